@@ -219,6 +219,7 @@ def posterior(aligned: Aligned, model: Model, gates: Sequence[bool] | None = Non
     cfg = _settings([model])
     slots = aligned.slots
     gates = [True] * len(model.emissions) if gates is None else list(gates)
+    sided = aligned.sided
 
     def run(it):
         for batch in it:
@@ -227,16 +228,16 @@ def posterior(aligned: Aligned, model: Model, gates: Sequence[bool] | None = Non
             b = _Batch(batch, slots, cfg["widths"])
             _, ll = _score(b, slots, cfg["emissions"][0], cfg["weights"][0], gates, cfg["offsets"], cfg["k"])
             u = softmax_rows(ll + _log_prior(b, cfg, 0))
-            extra = [batch.column("vox0"), batch.column("vox1")] if aligned.sided else []
+            extra = [batch.column("vox0"), batch.column("vox1")] if sided else []
             yield pa.RecordBatch.from_arrays(
                 [b.subj, b.node, batches.list_array(u), *extra],
-                names=["subj_id", "node_id", "uhat"] + (["vox0", "vox1"] if aligned.sided else []),
+                names=["subj_id", "node_id", "uhat"] + (["vox0", "vox1"] if sided else []),
             )
 
     df = _attach(aligned.df, model)
-    schema = "subj_id long, node_id long, uhat array<double>" + (", vox0 long, vox1 long" if aligned.sided else "")
+    schema = "subj_id long, node_id long, uhat array<double>" + (", vox0 long, vox1 long" if sided else "")
     out = df.mapInArrow(run, schema)
-    if not aligned.sided:
+    if not sided:
         return out.withColumnRenamed("node_id", "vox_id")
     # Back to locations: a row stands for up to two of them.
     left, right = F.col("uhat"), F.col("uhat")

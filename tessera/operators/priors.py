@@ -128,8 +128,8 @@ def clean_probabilities(prob: DataFrame, k: int, by: str = "vox_id") -> DataFram
     """
     filled = prob.select(by, F.transform("prob", lambda x: F.coalesce(x, F.lit(1.0 / k))).alias("p"))
     lowest = filled.agg(F.min(F.array_min("p")).alias("m")).scalar()
-    shift = F.when(lowest > 0, 0.0).otherwise(F.lit(PROB_EPSILON))
-    return filled.select(by, F.transform("p", lambda x: F.log(x + shift)).alias("logpi"))
+    shifted = filled.withColumn("_add", F.when(lowest > 0, 0.0).otherwise(F.lit(PROB_EPSILON)))
+    return shifted.select(by, F.transform("p", lambda x: F.log(x + F.col("_add"))).alias("logpi"))
 
 
 def halve_paired(logpi: DataFrame, layout: Layout, k: int) -> DataFrame:
