@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,46 +15,70 @@ from tessera.functions import batches
 from tessera.operators import mixture
 from tessera.operators.prediction import KINDS, cosine_error, harden
 from tessera.operators.reduce import sum_by_key
+from tessera.session import cut_lineage
 
 
 def _subject_sums(rows: DataFrame, width: int, k: int, weight: Callable, kind: str) -> DataFrame:
-    """Per subject and observation: K weighted data sums ``c0..`` plus the size terms.
+    """Weighted data sums per subject: rows ``subj_id, m, c0..`` for every condition m.
 
-    ``weight`` gives the factor of each location from its length; one row per
-    subject leaves each batch, so hot subjects stay cheap to shuffle.
+    ``weight`` gives the factor of each location from its length.  The row with
+    m = -1 holds the squared lengths in ``c0`` and the number of locations in
+    ``c1``.  Each task adds up its rows per subject first, so a subject with
+    very many locations stays cheap to shuffle.
     """
-    names = [f"c{m}_{j}" for m in range(width) for j in range(k)] + ["size", "count"]
-
-    def values(batch):
-        cols = batch.schema.names
-        y = batches.matrix(batch.column(cols.index("y")), width)
-        u = batches.matrix(batch.column(cols.index("uhat")), k)
-        u = harden(u) if kind == "hard" else u
-        length = np.sqrt((y * y).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            w = weight(length)
-        outer = np.nan_to_num(y * w[:, None])[:, :, None] * u[:, None, :]
-        ok = np.isfinite(length * w)
-        return np.column_stack([outer.reshape(len(y), -1), np.nan_to_num(length**2), ok.astype(float)])
+    cols = [f"c{j}" for j in range(max(k, 2))]
+
+    def run(it):
+        acc: dict[int, np.ndarray] = {}
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            y = batches.matrix(batch.column(names.index("y")), width)
+            u = batches.matrix(batch.column(names.index("uhat")), k)
+            u = harden(u) if kind == "hard" else u
+            length = np.sqrt((y * y).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                w = weight(length)
+            yw = np.nan_to_num(y * w[:, None])
+            ok = np.isfinite(length * w)
+            subj = batch.column(names.index("subj_id")).to_numpy()
+            for s in np.unique(subj):
+                mine = subj == s
+                block = np.zeros((width + 1, len(cols)))
+                block[:width, :k] = yw[mine].T @ u[mine]
+                block[width, :2] = np.nansum(length[mine] ** 2), ok[mine].sum()
+                acc[int(s)] = acc.get(int(s), 0) + block
+        if acc:
+            m = np.append(np.arange(width), -1)
+            stacked = np.vstack(list(acc.values()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(list(acc), width + 1)), pa.array(np.tile(m, len(acc)))]
+                + [pa.array(stacked[:, j]) for j in range(len(cols))],
+                names=["subj_id", "m", *cols],
+            )
 
-    return sum_by_key(rows.select("subj_id", "y", "uhat"), "subj_id", names, values)
+    schema = "subj_id long, m long, " + ", ".join(f"{c} double" for c in cols)
+    parts = rows.select("subj_id", "y", "uhat").mapInArrow(run, schema)
+    return parts.groupBy("subj_id", "m").agg(*[F.sum(c).alias(c) for c in cols])
 
 
-def _directions_without(stats: DataFrame, width: int, k: int) -> DataFrame:
-    """Unit directions from everyone but the subject: total sums minus its own.
+def _directions_without(stats: DataFrame, k: int) -> DataFrame:
+    """Unit directions from everyone but the subject: ``subj_id, m, v0..``.
 
-    ``stats`` holds per-subject sums of unit vectors; the total is one row.
+    Total sums minus the subject's own, then scaled to unit length per parcel.
     """
-    cols = [f"c{m}_{j}" for m in range(width) for j in range(k)]
-    total = stats.agg(F.array(*[F.sum(c) for c in cols]).alias("total"))
-    both = stats.select("subj_id", F.array(*cols).alias("own")).join(F.broadcast(total), F.lit(True))
-    rest = both.select("subj_id", F.zip_with("total", "own", lambda t, o: t - o).alias("rest"))
-    lengths = F.array(*[
-        F.sqrt(sum((F.col("rest")[m * k + j] * F.col("rest")[m * k + j] for m in range(1, width)), F.col("rest")[j] * F.col("rest")[j]))
-        for j in range(k)
-    ])
-    unit = F.transform("rest", lambda x, i: F.try_divide(x, F.col("len")[i % k]))
-    return rest.withColumn("len", lengths).select("subj_id", unit.alias("v"))
+    sums = stats.where("m >= 0")
+    total = sums.groupBy("m").agg(*[F.sum(f"c{j}").alias(f"t{j}") for j in range(k)])
+    rest = sums.join(total, "m").select(
+        "subj_id", "m", *[(F.col(f"t{j}") - F.col(f"c{j}")).alias(f"r{j}") for j in range(k)]
+    )
+    lengths = rest.groupBy("subj_id").agg(
+        *[F.sqrt(F.sum(F.col(f"r{j}") * F.col(f"r{j}"))).alias(f"l{j}") for j in range(k)]
+    )
+    return rest.join(lengths, "subj_id").select(
+        "subj_id", "m", *[F.try_divide(F.col(f"r{j}"), F.col(f"l{j}")).alias(f"v{j}") for j in range(k)]
+    )
 
 
 def leave_one_subject_out(
@@ -71,7 +96,9 @@ def leave_one_subject_out(
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind of cosine error {kind}")
-    v = _directions_without(_subject_sums(fit_rows, width, k, np.ones_like, "soft"), width, k)
+    # Subjects x conditions x parcels numbers: written out once, then read by every parcellation.
+    stats = cut_lineage(_subject_sums(fit_rows, width, k, np.ones_like, "soft"))
+    v = _directions_without(stats, k)
     out = None
     for name, rows in eval_rows.items():
         if kind == "average":
@@ -79,12 +106,11 @@ def leave_one_subject_out(
         else:
             weight = (lambda n: n) if adjusted else (lambda n: 1 / n)
             sums = _subject_sums(rows, width, k, weight, kind)
-            cols = F.array(*[f"c{m}_{j}" for m in range(width) for j in range(k)])
-            fit = A.dot(F.col("own"), F.col("v"))
-            total = F.col("size") if adjusted else F.col("count")
-            part = sums.select("subj_id", "size", "count", cols.alias("own")).join(v, "subj_id").select(
-                "subj_id", F.try_divide(total - fit, total).alias("error")
-            )
+            fit = sum((F.col(f"c{j}") * F.col(f"v{j}") for j in range(1, k)), F.col("c0") * F.col("v0"))
+            size = F.col("c0") if adjusted else F.col("c1")
+            part = sums.join(v, ["subj_id", "m"], "left").groupBy("subj_id").agg(
+                F.sum(F.when(F.col("m") >= 0, fit)).alias("fit"), F.sum(F.when(F.col("m") < 0, size)).alias("size")
+            ).select("subj_id", F.try_divide(F.col("size") - F.col("fit"), F.col("size")).alias("error"))
         part = part.select(F.lit(name).alias("parcellation"), "subj_id", "error")
         out = part if out is None else out.unionByName(part)
     return out
@@ -107,7 +133,9 @@ def _average_errors(rows: DataFrame, v: DataFrame, width: int, k: int, adjusted:
             e = 1 - fit / n
         return np.column_stack([np.nan_to_num(e), ~np.isnan(e)])
 
-    sums = sum_by_key(rows.join(v, "subj_id").select("subj_id", "y", "uhat", "v"), "subj_id", ["num", "den"], values)
+    ordered = F.array_sort(F.collect_list(F.struct("m", F.array(*[f"v{j}" for j in range(k)]).alias("r"))))
+    flat = v.groupBy("subj_id").agg(F.flatten(F.transform(ordered, lambda s: s["r"])).alias("v"))  # width rows each
+    sums = sum_by_key(rows.join(flat, "subj_id").select("subj_id", "y", "uhat", "v"), "subj_id", ["num", "den"], values)
     return sums.select("subj_id", F.try_divide("num", "den").alias("error"))
 
 
