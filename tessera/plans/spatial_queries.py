@@ -1 +1,345 @@
-"""To be filled."""
+"""Layouts and Potts models on nodes taken from the benchmark tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import arrays as A
+from tessera.operators import mixture, potts, priors, spatial
+from tessera.plans import views
+from tessera.plans.emission_queries import (
+    EVENT_PARCELS, EVENT_SUMS, LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, event_model, label_vmf,
+)
+from tessera.plans.prior_queries import LABEL_PRIOR, label_prior
+from tessera.plans.registry import query
+from tessera.plans.views import EVT_EVIDENCE, VOX, r6, table
+
+HEIGHT = 20  # parts fill a grid column by column
+CENTROIDS = ((1.0, 2.0), (30.0, 10.0), (60.0, 17.0), (90.0, 5.0))
+
+
+def part_grid(spark, sf):
+    x, y = spatial.grid_position(F.col("p_partkey"), HEIGHT)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"), x.alias("x"), y.alias("y"))
+
+
+_GRID = f"grid AS (SELECT p_partkey AS node_id, p_partkey // {HEIGHT} AS x, p_partkey % {HEIGHT} AS y FROM part)"
+_LINKS = f"""{_GRID},
+links AS (SELECT a.node_id AS src, b.node_id AS dst FROM grid a JOIN grid b
+          ON (a.x = b.x AND abs(a.y - b.y) = 1) OR (a.y = b.y AND abs(a.x - b.x) = 1))"""
+
+
+@query("chain_layout", """
+SELECT a.c_custkey AS src, b.c_custkey AS dst, 1.0::DOUBLE AS w FROM customer a JOIN customer b
+ON b.c_custkey = a.c_custkey + 1 OR b.c_custkey = a.c_custkey - 1""")
+def chain_layout(spark, sf):
+    return spatial.chain_edges(table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id")))
+
+
+@query("grid_layout", f"WITH {_LINKS} SELECT src, dst, 1.0::DOUBLE AS w FROM links")
+def grid_layout(spark, sf):
+    return spatial.grid_edges(part_grid(spark, sf))
+
+
+@query("edge_incidence", f"""
+WITH {_LINKS}, e AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS edge_id FROM links WHERE src < dst)
+SELECT edge_id, src AS node_id FROM e UNION ALL SELECT edge_id, dst FROM e""")
+def edge_incidence(spark, sf):
+    return spatial.incidence(spatial.grid_edges(part_grid(spark, sf)))
+
+
+_SMOOTH = f"""{_GRID},
+cen AS (SELECT * FROM (VALUES {", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE)" for k, (x, y) in enumerate(CENTROIDS))}) c(k, cx, cy)),
+d2 AS (SELECT g.node_id, c.k, (g.x - c.cx) * (g.x - c.cx) + (g.y - c.cy) * (g.y - c.cy) AS d2 FROM grid g CROSS JOIN cen c),
+sp AS (SELECT node_id, k, exp(-d2 / 800.0) / sum(exp(-d2 / 800.0)) OVER (PARTITION BY node_id) AS p FROM d2),
+slp AS (SELECT node_id, k, CASE WHEN p > 0 THEN ln(p) ELSE -3.4028234663852886e38 END AS lp FROM sp)"""
+
+
+def part_prior(spark, sf):
+    return priors.smooth_prior(spatial.centroid_distances(part_grid(spark, sf), CENTROIDS), len(CENTROIDS), 400.0)
+
+
+@query("smooth_prior", f"WITH {_SMOOTH} SELECT node_id, k::BIGINT AS k, round(lp, 6) + 0.0 AS lp FROM slp")
+def smooth_prior(spark, sf):
+    return views.explode_parcels(part_prior(spark, sf), "logpi", "node_id", alias="lp")
+
+
+@query("centroid_distance", f"WITH {_SMOOTH} SELECT node_id, k::BIGINT AS k, round(sqrt(d2), 6) AS dist FROM d2")
+def centroid_distance(spark, sf):
+    d = spatial.centroid_distances(part_grid(spark, sf), CENTROIDS)
+    return views.explode_parcels(d.select("node_id", F.transform("d2", F.sqrt).alias("d")), "d", "node_id", alias="dist")
+
+
+@query("within_distance", f"""
+WITH {_GRID}
+SELECT a.node_id AS src, b.node_id AS dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS dist
+FROM grid a JOIN grid b ON a.node_id <> b.node_id AND b.x BETWEEN a.x - 3 AND a.x + 3
+WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 2.5""")
+def within_distance(spark, sf):
+    return spatial.within_distance(part_grid(spark, sf), 2.5).select("src", "dst", r6(F.col("dist")).alias("dist"))
+
+
+# A labeling of the parts: their size modulo four.
+_PART_LABEL = f"lab AS (SELECT p_partkey AS node_id, p_size % {len(CENTROIDS)} AS label FROM part)"
+
+
+def part_labels(spark, sf):
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("node_id"), (F.col("p_size") % len(CENTROIDS)).cast("int").alias("label")
+    )
+
+
+@query("label_borders", f"""
+WITH {_LINKS}, {_PART_LABEL}
+SELECT least(a.label, b.label)::BIGINT AS a, greatest(a.label, b.label)::BIGINT AS b, count(*)::BIGINT AS n
+FROM links l JOIN lab a ON l.src = a.node_id JOIN lab b ON l.dst = b.node_id WHERE l.src < l.dst GROUP BY ALL""")
+def label_borders(spark, sf):
+    out = spatial.label_borders(part_labels(spark, sf), spatial.grid_edges(part_grid(spark, sf)))
+    return out.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n")
+
+
+@query("gradient_magnitude", f"""
+WITH {_GRID}, val AS (SELECT p_partkey AS node_id, p_retailprice AS v FROM part),
+lim AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM grid),
+ker AS (SELECT * FROM (VALUES (-1,-1,-1,-1),(-1,0,-2,0),(-1,1,-1,1),(0,-1,0,-2),(0,1,0,2),(1,-1,1,-1),(1,0,2,0),(1,1,1,1)) k(dx,dy,gx,gy)),
+g AS (SELECT a.node_id, sum(v.v * k.gx) AS gx, sum(v.v * k.gy) AS gy FROM grid a CROSS JOIN ker k CROSS JOIN lim
+      JOIN grid b ON b.x = greatest(lim.x0, least(lim.x1, a.x + k.dx)) AND b.y = greatest(lim.y0, least(lim.y1, a.y + k.dy))
+      JOIN val v ON v.node_id = b.node_id GROUP BY ALL)
+SELECT node_id, round(sqrt(gx * gx + gy * gy), 4) + 0.0 AS gradient FROM g""")
+def gradient_magnitude(spark, sf):
+    price = table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"), "p_retailprice")
+    nodes = part_grid(spark, sf).join(price, "node_id")
+    return spatial.gradient_magnitude(nodes, "p_retailprice").select("node_id", r6(F.col("gradient"), 4).alias("gradient"))
+
+
+@query("map_data", f"""
+SELECT p.p_partkey AS node_id, round(coalesce(l.v, -1), 6) AS value FROM part p
+LEFT JOIN (SELECT l_partkey, avg(l_discount) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O' GROUP BY ALL) l ON l.l_partkey = p.p_partkey""")
+def map_data(spark, sf):
+    rows = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'O'")
+    data = rows.groupBy(F.col("l_partkey").alias("node_id")).agg(F.avg("l_discount").alias("value"))
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"))
+    return spatial.map_data(nodes, data, default=-1.0).select("node_id", r6(F.col("value")).alias("value"))
+
+
+@query("disc_mask", f"""
+WITH {_GRID}, c AS (SELECT sqrt(0.1 * count(*) / pi()) AS r FROM grid)
+SELECT node_id, (sqrt((x - 50) * (x - 50) + (y - 10) * (y - 10)) < r)::BIGINT AS missing FROM grid CROSS JOIN c""")
+def disc_mask(spark, sf):
+    """A tenth of the parts missing around a point: the missing-data simulation."""
+    nodes = part_grid(spark, sf)
+    return spatial.disc_mask(nodes, (50.0, 10.0), 0.1, nodes.count()).select("node_id", F.col("missing").cast("long").alias("missing"))
+
+
+@query("graph_colouring")
+def graph_colouring(spark, sf):
+    return spatial.colour(spatial.grid_edges(part_grid(spark, sf)))
+
+
+# ---------------------------------------------------------------- Potts
+
+THETA = 0.8
+K = len(CENTROIDS)
+
+
+def part_potts(spark, sf) -> potts.PottsModel:
+    return potts.PottsModel(spatial.grid_edges(part_grid(spark, sf)), K, part_prior(spark, sf), THETA)
+
+
+def part_states(spark, sf):
+    """Two chains: labels by size and by price."""
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("node_id"),
+        F.array((F.col("p_size") % K).cast("int"), (F.floor("p_retailprice") % K).cast("int")).alias("labels"),
+    )
+
+
+_STATES = f"""
+st AS (SELECT p_partkey AS node_id, 0 AS chain, p_size % {K} AS u FROM part
+       UNION ALL SELECT p_partkey, 1, floor(p_retailprice)::BIGINT % {K} FROM part)"""
+
+
+@query("potts_energy", f"""
+WITH {_LINKS}, {_SMOOTH[len(_GRID) + 1:]}, {_STATES},
+phi AS (SELECT a.chain, sum((a.u = b.u)::INT) AS phi FROM links l JOIN st a ON l.src = a.node_id JOIN st b ON l.dst = b.node_id AND a.chain = b.chain GROUP BY ALL),
+loc AS (SELECT s.chain, sum(p.lp) AS l FROM st s JOIN slp p ON s.node_id = p.node_id AND s.u = p.k GROUP BY ALL)
+SELECT p.chain::BIGINT AS chain, round(p.phi, 4)::DOUBLE AS phi, round(l.l, 4) + 0.0 AS local, round({THETA} * p.phi + l.l, 4) + 0.0 AS loglik
+FROM phi p JOIN loc l ON p.chain = l.chain""")
+def potts_energy(spark, sf):
+    out = potts.energy(part_potts(spark, sf), part_states(spark, sf))
+    return out.select(
+        F.col("chain").cast("long").alias("chain"), r6(F.col("phi"), 4).alias("phi"), r6(F.col("local"), 4).alias("local"),
+        r6(F.col("loglik"), 4).alias("loglik"),
+    )
+
+
+_COND = f"""
+nb AS (SELECT l.src AS node_id, s.chain, s.u, count(*) AS n FROM links l JOIN st s ON l.dst = s.node_id GROUP BY ALL),
+ac AS (SELECT s.node_id, s.chain, p.k, {THETA} * coalesce(n.n, 0) + p.lp AS a FROM st s JOIN slp p ON s.node_id = p.node_id
+       LEFT JOIN nb n ON n.node_id = s.node_id AND n.chain = s.chain AND n.u = p.k),
+am AS (SELECT node_id, chain, max(a) AS m FROM ac GROUP BY ALL),
+cp AS (SELECT a.node_id, a.chain, a.k, exp(a.a - m.m) / sum(exp(a.a - m.m)) OVER (PARTITION BY a.node_id, a.chain) AS p
+       FROM ac a JOIN am m ON a.node_id = m.node_id AND a.chain = m.chain)"""
+
+
+@query("potts_conditional", f"""
+WITH {_LINKS}, {_SMOOTH[len(_GRID) + 1:]}, {_STATES}, {_COND}
+SELECT node_id, chain::BIGINT AS chain, k::BIGINT AS k, round(p, 6) + 0.0 AS p FROM cp""")
+def potts_conditional(spark, sf):
+    out = potts.conditional(part_potts(spark, sf), part_states(spark, sf)).withColumn("chain", F.col("chain").cast("long"))
+    return views.explode_parcels(out, "p", "node_id", "chain")
+
+
+def _sql_colour_step(states: str, colour: int, tag: str, seed: str) -> str:
+    other = "(x + y) % 2"
+    return f"""
+nb{tag} AS MATERIALIZED (SELECT l.src AS node_id, s.chain, s.u, count(*) AS n FROM links l JOIN {states} s ON l.dst = s.node_id GROUP BY ALL),
+ac{tag} AS MATERIALIZED (SELECT s.node_id, s.chain, p.k, {THETA} * coalesce(n.n, 0) + p.lp AS a FROM {states} s JOIN grid g ON g.node_id = s.node_id AND {other} = {colour}
+       JOIN slp p ON s.node_id = p.node_id LEFT JOIN nb{tag} n ON n.node_id = s.node_id AND n.chain = s.chain AND n.u = p.k),
+cp{tag} AS MATERIALIZED (SELECT node_id, chain, k, sum(exp(a - m)) OVER (PARTITION BY node_id, chain ORDER BY k) / sum(exp(a - m)) OVER (PARTITION BY node_id, chain) AS c
+       FROM (SELECT *, max(a) OVER (PARTITION BY node_id, chain) AS m FROM ac{tag})),
+dr{tag} AS MATERIALIZED (SELECT node_id, chain, min(CASE WHEN ('0x' || substr(md5('{seed}|' || node_id || '|' || chain), 1, 8))::BIGINT / 4294967296.0::DOUBLE < c THEN k END) AS u FROM cp{tag} GROUP BY ALL),
+st{tag} AS MATERIALIZED (SELECT s.node_id, s.chain, coalesce(d.u, s.u) AS u FROM {states} s LEFT JOIN dr{tag} d ON s.node_id = d.node_id AND s.chain = d.chain)"""
+
+
+def checkerboard(spark, sf):
+    return part_grid(spark, sf).select("node_id", ((F.col("x") + F.col("y")) % 2).cast("int").alias("colour"))
+
+
+@query("potts_gibbs_sweep", f"""
+WITH {_LINKS}, {_SMOOTH[len(_GRID) + 1:]}, {_STATES}, {_sql_colour_step('st', 0, '_a', '11.0.0')}, {_sql_colour_step('st_a', 1, '_b', '11.0.1')}
+SELECT node_id, chain::BIGINT AS chain, u::BIGINT AS label FROM st_b""")
+def potts_gibbs_sweep(spark, sf):
+    """One Gibbs sweep of two chains over a checkerboard."""
+    out = potts.gibbs(part_potts(spark, sf), checkerboard(spark, sf), 2, 2, 1, 11, states=part_states(spark, sf))
+    return out.select("node_id", F.posexplode("labels").alias("chain", "label")).select(
+        "node_id", F.col("chain").cast("long").alias("chain"), F.col("label").cast("long").alias("label")
+    )
+
+
+@query("potts_agreement", f"""
+WITH {_LINKS}, {_STATES}
+SELECT round(sum((a.u = b.u)::INT) / 2.0, 6) + 0.0 AS phi FROM links l JOIN st a ON l.src = a.node_id JOIN st b ON l.dst = b.node_id AND a.chain = b.chain""")
+def potts_agreement(spark, sf):
+    out = potts.expected_agreement(spatial.grid_edges(part_grid(spark, sf)), part_states(spark, sf))
+    return out.select(r6(F.col("phi")).alias("phi"))
+
+
+@query("potts_frequencies", f"""
+WITH {_STATES}
+SELECT p.node_id, t.k, sum((p.u = t.k)::INT) / 2.0::DOUBLE AS p FROM st p CROSS JOIN range({K}) t(k) GROUP BY ALL""")
+def potts_frequencies(spark, sf):
+    return views.explode_parcels(potts.frequencies(part_states(spark, sf), K), "uhat", "node_id")
+
+
+@query("potts_chain_sampler")
+def potts_chain_sampler(spark, sf):
+    """Positive phase by sampling: event users on a chain, five chains, two sweeps."""
+    scores, model = _event_chain(spark, sf)
+    colours = scores.select("node_id").distinct().withColumn("colour", (F.col("node_id") % 2).cast("int"))
+    uhat, _ = potts.posterior(model, scores, colours, 2, chains=5, sweeps=2, seed=3)
+    return views.explode_parcels(uhat, "uhat", "subj_id", "node_id")
+
+
+def _event_chain(spark, sf):
+    """Evidence of the event users, whose locations form a chain, and a flat prior."""
+    aligned, model = event_model(spark, sf)
+    scores = mixture.scores(aligned, model).withColumnRenamed("vox_id", "node_id")
+    nodes = views.event_cells(spark, sf).select(F.col("vox_id").alias("node_id")).distinct()
+    flat = nodes.withColumn("logpi", A.literal([0.1 * k for k in range(EVENT_PARCELS)]))
+    return scores, potts.PottsModel(spatial.chain_edges(nodes), EVENT_PARCELS, flat, 0.7, drop_last=False)
+
+
+_CHAIN = f"""{EVT_EVIDENCE}, {EVENT_SUMS},
+lq AS MATERIALIZED (SELECT subj_id, vox_id, list(ll + 0.1 * k ORDER BY k) AS q FROM sc GROUP BY ALL),
+fw AS (
+  SELECT subj_id, vox_id, q, q AS f FROM lq WHERE vox_id = 0
+  UNION ALL
+  SELECT n.subj_id, n.vox_id, n.q, list_transform([1, 2, 3, 4], lambda j: n.q[j] + ln(
+    exp(w.f[1] - list_max(w.f) + CASE WHEN j = 1 THEN 0.7 ELSE 0 END) + exp(w.f[2] - list_max(w.f) + CASE WHEN j = 2 THEN 0.7 ELSE 0 END)
+    + exp(w.f[3] - list_max(w.f) + CASE WHEN j = 3 THEN 0.7 ELSE 0 END) + exp(w.f[4] - list_max(w.f) + CASE WHEN j = 4 THEN 0.7 ELSE 0 END)))
+  FROM fw w JOIN lq n ON n.subj_id = w.subj_id AND n.vox_id = w.vox_id + 1
+),
+last AS (SELECT max(vox_id) AS v FROM lq),
+bw AS (
+  SELECT subj_id, vox_id, q, [0.0::DOUBLE, 0.0, 0.0, 0.0] AS b FROM lq WHERE vox_id = (SELECT v FROM last)
+  UNION ALL
+  SELECT n.subj_id, n.vox_id, n.q, list_transform([1, 2, 3, 4], lambda j: ln(
+    exp(w.q[1] + w.b[1] - w.q[1] - w.q[2] + CASE WHEN j = 1 THEN 0.7 ELSE 0 END) + exp(w.q[2] + w.b[2] - w.q[1] - w.q[2] + CASE WHEN j = 2 THEN 0.7 ELSE 0 END)
+    + exp(w.q[3] + w.b[3] - w.q[1] - w.q[2] + CASE WHEN j = 3 THEN 0.7 ELSE 0 END) + exp(w.q[4] + w.b[4] - w.q[1] - w.q[2] + CASE WHEN j = 4 THEN 0.7 ELSE 0 END)))
+  FROM bw w JOIN lq n ON n.subj_id = w.subj_id AND n.vox_id = w.vox_id - 1
+),
+cu AS (SELECT f.subj_id, f.vox_id, t.k, f.f[t.k + 1] + b.b[t.k + 1] AS s FROM fw f JOIN bw b ON f.subj_id = b.subj_id AND f.vox_id = b.vox_id CROSS JOIN range(4) t(k)),
+cm AS (SELECT subj_id, vox_id, max(s) AS m FROM cu GROUP BY ALL)"""
+
+
+@query("potts_chain_exact", f"""
+WITH RECURSIVE {_CHAIN}
+SELECT c.subj_id, c.vox_id AS node_id, c.k, round(exp(c.s - m.m) / sum(exp(c.s - m.m)) OVER (PARTITION BY c.subj_id, c.vox_id), 6) + 0.0 AS p
+FROM cu c JOIN cm m ON c.subj_id = m.subj_id AND c.vox_id = m.vox_id""")
+def potts_chain_exact(spark, sf):
+    """Exact chain posterior by messages; short blocks, so that borders are exercised."""
+    scores, model = _event_chain(spark, sf)
+    logq = scores.join(model.prior, "node_id").select("subj_id", "node_id", A.add(F.col("ll"), F.col("logpi")).alias("logq"))
+    return views.explode_parcels(potts.chain_posterior(logq, EVENT_PARCELS, model.theta, block=7), "uhat", "subj_id", "node_id")
+
+
+_DUO_POST = f"{VOX}, {LABEL_SUMS}, {SHARED_KAPPA}, {VMF_SCORES}, {LABEL_PRIOR}"
+
+
+@query("potts_duo_exact", f"""
+WITH {_DUO_POST},
+q AS (SELECT s.subj_id, s.vox_id, s.k, s.ll + p.lp AS q FROM sc s JOIN pri p ON s.vox_id = p.vox_id AND s.k = p.k),
+jt AS (SELECT a.subj_id, a.vox_id AS pair, a.k AS i, b.k AS j, a.q + b.q + CASE WHEN a.k = b.k THEN {THETA} ELSE 0 END AS l
+       FROM q a JOIN q b ON a.subj_id = b.subj_id AND b.vox_id = a.vox_id + 1 WHERE a.vox_id % 2 = 0),
+jm AS (SELECT subj_id, pair, max(l) AS m FROM jt GROUP BY ALL),
+jp AS (SELECT t.subj_id, t.pair, t.i, t.j, exp(t.l - m.m) / sum(exp(t.l - m.m)) OVER (PARTITION BY t.subj_id, t.pair) AS p FROM jt t JOIN jm m ON t.subj_id = m.subj_id AND t.pair = m.pair),
+ag AS (SELECT subj_id, pair, sum(CASE WHEN i = j THEN p ELSE 0 END) AS a FROM jp GROUP BY ALL),
+u1 AS (SELECT subj_id, pair, i AS k, sum(p) AS u FROM jp GROUP BY ALL),
+u2 AS (SELECT subj_id, pair, j AS k, sum(p) AS u FROM jp GROUP BY ALL)
+SELECT a.subj_id, a.pair, a.k::BIGINT AS k, round(a.u, 6) + 0.0 AS u1, round(b.u, 6) + 0.0 AS u2, round(g.a, 6) + 0.0 AS agree
+FROM u1 a JOIN u2 b ON a.subj_id = b.subj_id AND a.pair = b.pair AND a.k = b.k JOIN ag g ON g.subj_id = a.subj_id AND g.pair = a.pair""")
+def potts_duo_exact(spark, sf):
+    """Pairs of consecutive locations as two linked nodes, in closed form."""
+    ll = mixture.loglik(views.vox_evidence(spark, sf), label_vmf(spark, sf).emissions[0])
+    prior = label_prior(spark, sf).table.withColumnRenamed("node_id", "vox_id")
+    q = ll.join(prior, "vox_id").select("subj_id", "vox_id", A.add(F.col("ll"), F.col("logpi")).alias("q"))
+    even = F.col("vox_id") % 2 == 0
+    pairs = q.groupBy("subj_id", (F.col("vox_id") - F.col("vox_id") % 2).alias("pair")).agg(
+        F.first(F.when(even, F.col("q")), ignorenulls=True).alias("a"), F.first(F.when(~even, F.col("q")), ignorenulls=True).alias("b")
+    ).where("a is not null and b is not null")
+    out = pairs.select("subj_id", "pair", potts.duo_posterior(F.col("a"), F.col("b"), THETA).alias("d"))
+    return out.select("subj_id", "pair", F.posexplode(F.arrays_zip("d.u1", "d.u2")).alias("k", "z"), "d.agree").select(
+        "subj_id", "pair", F.col("k").cast("long").alias("k"), r6(F.col("z.u1")).alias("u1"), r6(F.col("z.u2")).alias("u2"), r6(F.col("agree")).alias("agree")
+    )
+
+
+@query("potts_enumerate", f"""
+WITH {EVT_EVIDENCE}, {EVENT_SUMS},
+f AS (SELECT a.subj_id, a.vox_id // 3 AS field, a.k AS i, b.k AS j, c.k AS l,
+             a.ll + b.ll + c.ll + CASE WHEN a.k = b.k THEN 0.7 ELSE 0 END + CASE WHEN b.k = c.k THEN 0.7 ELSE 0 END AS v
+      FROM sc a JOIN sc b ON a.subj_id = b.subj_id AND b.vox_id = a.vox_id + 1 JOIN sc c ON c.subj_id = a.subj_id AND c.vox_id = a.vox_id + 2 WHERE a.vox_id % 3 = 0),
+fm AS (SELECT subj_id, field, max(v) AS m FROM f GROUP BY ALL),
+fp AS (SELECT f.subj_id, f.field, f.i, f.j, f.l, exp(f.v - m.m) / sum(exp(f.v - m.m)) OVER (PARTITION BY f.subj_id, f.field) AS p FROM f JOIN fm m ON f.subj_id = m.subj_id AND f.field = m.field),
+al AS (SELECT subj_id, field, 0 AS position, i AS k, p FROM fp UNION ALL SELECT subj_id, field, 1, j, p FROM fp UNION ALL SELECT subj_id, field, 2, l, p FROM fp)
+SELECT subj_id, field, position::BIGINT AS position, k::BIGINT AS k, round(sum(p), 6) + 0.0 AS p FROM al GROUP BY ALL""")
+def potts_enumerate(spark, sf):
+    """Fields of three linked locations, all states visited."""
+    aligned, model = event_model(spark, sf)
+    ll = mixture.scores(aligned, model)
+    place = F.col("vox_id") % 3
+    groups = ll.groupBy("subj_id", F.expr("vox_id div 3").alias("field")).agg(
+        *[F.first(F.when(place == p, F.col("ll")), ignorenulls=True).alias(f"s{p}") for p in range(3)]
+    ).where("s0 is not null and s1 is not null and s2 is not null").select("subj_id", "field", F.array("s0", "s1", "s2").alias("score"))
+    out = potts.enumerate_field(groups, 3, EVENT_PARCELS, [(0, 1), (1, 2)], 0.7, ["subj_id", "field"])
+    out = out.withColumn("position", F.col("position").cast("long"))
+    return views.explode_parcels(out, "uhat", "subj_id", "field", "position")
+
+
+@query("potts_mean_field")
+def potts_mean_field(spark, sf):
+    scores, model = _event_chain(spark, sf)
+    colours = scores.select("node_id").distinct().withColumn("colour", (F.col("node_id") % 2).cast("int"))
+    return views.explode_parcels(potts.mean_field(model, scores, colours, 2, 2), "uhat", "subj_id", "node_id")
+
+
