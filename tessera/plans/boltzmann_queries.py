@@ -1 +1,314 @@
-"""To be filled."""
+"""Boltzmann-machine priors, samplers and stochastic learning."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessera.functions import arrays as A
+from tessera.functions import randoms
+from tessera.operators import boltzmann, mixture, sampling, spatial, stochastic
+from tessera.plans import views
+from tessera.plans.emission_queries import (
+    LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, label_gmm, label_gme, label_vmf, vox_aligned,
+)
+from tessera.plans.prior_queries import LABEL_PRIOR, label_prior
+from tessera.plans.registry import query
+from tessera.plans.views import PARCELS, VOX, r6
+
+HIDDEN = 4
+BH = (0.1, -0.2, 0.3, 0.0)
+STEPS = 2
+
+_U = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+# ---------------------------------------------------------------- binary hidden units
+
+
+def binary_model(spark, sf) -> boltzmann.BinaryHidden:
+    """Small hashed weights for every location, biases from the label prior."""
+    w = F.array(*[
+        F.array(*[(randoms.uniform("w", F.col("node_id"), F.lit(h), F.lit(k)) - 0.5) * 0.4 for k in range(PARCELS)])
+        for h in range(HIDDEN)
+    ])
+    prior = label_prior(spark, sf).table
+    return boltzmann.BinaryHidden(prior.select("node_id", w.alias("w"), F.col("logpi").alias("bu")), np.array(BH), PARCELS)
+
+
+def node_scores(spark, sf):
+    ll = mixture.loglik(views.vox_evidence(spark, sf), label_vmf(spark, sf).emissions[0])
+    # Soft evidence, so that the hidden units matter.
+    return ll.select("subj_id", F.col("vox_id").alias("node_id"), A.scale(F.col("ll"), F.lit(0.1)).alias("ll"))
+
+
+_BASE = f"{VOX}, {LABEL_SUMS}, {SHARED_KAPPA}, {VMF_SCORES}, {LABEL_PRIOR}"
+_BINARY = f"""{_BASE},
+bh AS (SELECT * FROM (VALUES {", ".join(f"({h}, {b}::DOUBLE)" for h, b in enumerate(BH))}) b(h, b)),
+we AS MATERIALIZED (SELECT v.vox_id, h.h, k.k, ({_U.format("'w|' || v.vox_id || '|' || h.h || '|' || k.k")} - 0.5) * 0.4 AS w
+       FROM (SELECT DISTINCT vox_id FROM vox) v CROSS JOIN range({HIDDEN}) h(h) CROSS JOIN range({PARCELS}) k(k)),
+base AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.k, 0.1 * s.ll + p.lp AS b FROM sc s JOIN pri p ON s.vox_id = p.vox_id AND s.k = p.k)"""
+
+
+def _sql_softmax(name: str, source: str, keys: str = "subj_id, vox_id", out: str = "u") -> str:
+    on = " AND ".join(f"x.{c} = m.{c}" for c in keys.split(", "))
+    part = ", ".join(f"x.{c}" for c in keys.split(", "))
+    return f"""
+{name}_m AS MATERIALIZED (SELECT {keys}, max(b) AS m FROM {source} GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT {part}, x.k, exp(x.b - m.m) / sum(exp(x.b - m.m)) OVER (PARTITION BY {part}) AS {out} FROM {source} x JOIN {name}_m m ON {on})"""
+
+
+def _sql_binary(steps: int) -> str:
+    out = [_sql_softmax("u0", "base")]
+    for i in range(steps):
+        out.append(f"""
+a{i} AS MATERIALIZED (SELECT u.subj_id, w.h, sum(u.u * w.w) AS a FROM u{i} u JOIN we w ON u.vox_id = w.vox_id AND u.k = w.k GROUP BY ALL),
+h{i} AS MATERIALIZED (SELECT a.subj_id, a.h, 1 / (1 + exp(-(a.a + b.b))) AS e FROM a{i} a JOIN bh b ON a.h = b.h),
+f{i} AS MATERIALIZED (SELECT b.subj_id, b.vox_id, b.k, b.b + sum(h.e * w.w) AS b FROM base b JOIN we w ON b.vox_id = w.vox_id AND b.k = w.k
+      JOIN h{i} h ON h.subj_id = b.subj_id AND h.h = w.h GROUP BY b.subj_id, b.vox_id, b.k, b.b)""")
+        out.append(_sql_softmax(f"u{i + 1}", f"f{i}"))
+    return ",".join(out)
+
+
+@query("rbm_meanfield", f"""
+WITH {_BINARY}, {_sql_binary(STEPS)}
+SELECT subj_id, vox_id AS node_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM u{STEPS}""")
+def rbm_meanfield(spark, sf):
+    uhat, _ = boltzmann.mean_field(node_scores(spark, sf), binary_model(spark, sf), STEPS)
+    return views.explode_parcels(uhat, "uhat", "subj_id", "node_id")
+
+
+@query("rbm_hidden", f"""
+WITH {_BINARY}, {_sql_binary(STEPS)}
+SELECT subj_id, h::BIGINT AS k, round(e, 6) + 0.0 AS p FROM h{STEPS - 1}""")
+def rbm_hidden(spark, sf):
+    _, hidden = boltzmann.mean_field(node_scores(spark, sf), binary_model(spark, sf), STEPS)
+    return views.explode_parcels(hidden, "eh", "subj_id")
+
+
+_ONE_HOT = f"oh AS (SELECT x.subj_id, x.vox_id, t.k, (x.label = t.k)::INT::DOUBLE AS u FROM vox x CROSS JOIN range({PARCELS}) t(k))"
+_BINARY_NEG = f"""
+na AS (SELECT u.subj_id, w.h, sum(u.u * w.w) AS a FROM oh u JOIN we w ON u.vox_id = w.vox_id AND u.k = w.k GROUP BY ALL),
+ne AS MATERIALIZED (SELECT a.subj_id, a.h, 1 / (1 + exp(-(a.a + b.b))) AS e FROM na a JOIN bh b ON a.h = b.h),
+nh AS MATERIALIZED (SELECT subj_id, h, ({_U.format("'5.h0|' || subj_id || '|' || h")} < e)::INT::DOUBLE AS s FROM ne),
+nf AS (SELECT x.subj_id, p.vox_id, p.k, p.lp + sum(h.s * w.w) AS b FROM (SELECT DISTINCT subj_id, vox_id FROM vox) x JOIN pri p ON x.vox_id = p.vox_id
+       JOIN we w ON p.vox_id = w.vox_id AND p.k = w.k JOIN nh h ON h.subj_id = x.subj_id AND h.h = w.h GROUP BY x.subj_id, p.vox_id, p.k, p.lp),
+{_sql_softmax("nu", "nf")}"""
+
+
+def label_states(spark, sf):
+    return views.vox(spark, sf).select(
+        "subj_id", F.col("vox_id").alias("node_id"), A.one_hot(F.col("label"), PARCELS).alias("u")
+    )
+
+
+@query("rbm_negative_phase", f"""
+WITH {_BINARY}, {_ONE_HOT}, {_BINARY_NEG}
+SELECT subj_id, vox_id AS node_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM nu""")
+def rbm_negative_phase(spark, sf):
+    """One step of contrastive divergence from the labels."""
+    states, _ = boltzmann.negative_phase(label_states(spark, sf), binary_model(spark, sf), 1, 5)
+    return views.explode_parcels(states, "pu", "subj_id", "node_id")
+
+
+@query("rbm_gradient_step", f"""
+WITH {_BINARY}, {_sql_binary(STEPS)}, {_ONE_HOT}, {_BINARY_NEG},
+gp AS (SELECT u.vox_id, h.h, u.k, sum(u.u * h.e) AS g FROM u{STEPS} u JOIN h{STEPS - 1} h ON u.subj_id = h.subj_id GROUP BY ALL),
+gn AS (SELECT u.vox_id, h.h, u.k, sum(u.u * h.e) AS g FROM nu u JOIN ne h ON u.subj_id = h.subj_id GROUP BY ALL)
+SELECT w.vox_id AS node_id, w.h::BIGINT AS h, w.k::BIGINT AS k, round(w.w + 0.01 * (p.g - n.g), 6) + 0.0 AS w
+FROM we w JOIN gp p ON w.vox_id = p.vox_id AND w.h = p.h AND w.k = p.k JOIN gn n ON w.vox_id = n.vox_id AND w.h = n.h AND w.k = n.k""")
+def rbm_gradient_step(spark, sf):
+    model = binary_model(spark, sf)
+    uhat, hidden = boltzmann.mean_field(node_scores(spark, sf), model, STEPS)
+    neg, neg_hidden = boltzmann.negative_phase(label_states(spark, sf), model, 1, 5)
+    new = boltzmann.binary_step(model, uhat, hidden, neg, neg_hidden)
+    rows = new.weights.select("node_id", F.posexplode("w").alias("h", "r"))
+    return views.explode_parcels(rows.withColumn("h", F.col("h").cast("long")), "r", "node_id", "h", alias="w")
+
+
+_COMPLETE = f"""
+tr AS (SELECT j.j, o.subj_id, o.vox_id, o.k, CASE WHEN o.vox_id % 3 = j.j THEN 0.5 ELSE o.u END AS u FROM oh o CROSS JOIN range(3) j(j)),
+ta AS (SELECT t.j, t.subj_id, w.h, sum(t.u * w.w) AS a FROM tr t JOIN we w ON t.vox_id = w.vox_id AND t.k = w.k GROUP BY ALL),
+th AS (SELECT a.j, a.subj_id, a.h, 1 / (1 + exp(-(a.a + b.b))) AS e FROM ta a JOIN bh b ON a.h = b.h),
+tf AS (SELECT o.subj_id, o.vox_id, o.k, p.lp + sum(h.e * w.w) AS b FROM oh o JOIN pri p ON o.vox_id = p.vox_id AND o.k = p.k JOIN we w ON w.vox_id = o.vox_id AND w.k = o.k
+       JOIN th h ON h.j = o.vox_id % 3 AND h.subj_id = o.subj_id AND h.h = w.h GROUP BY o.subj_id, o.vox_id, o.k, p.lp),
+{_sql_softmax("tu", "tf")}"""
+
+
+@query("rbm_completion", f"""
+WITH {_BINARY}, {_ONE_HOT}, {_COMPLETE}
+SELECT round(sum(abs(o.u - t.u)), 4) + 0.0 AS loss FROM oh o JOIN tu t ON o.subj_id = t.subj_id AND o.vox_id = t.vox_id AND o.k = t.k""")
+def rbm_completion(spark, sf):
+    """Each third of the locations predicted from the other two."""
+    out = boltzmann.completion_loss(label_states(spark, sf), binary_model(spark, sf), F.col("node_id") % 3, 3)
+    return out.select(r6(F.col("loss"), 4).alias("loss"))
+
+
+@query("rbm_baseline", f"""
+WITH {VOX}, {_ONE_HOT}, m AS (SELECT k, avg(u) AS p FROM oh GROUP BY ALL)
+SELECT round(sum(abs(o.u - m.p)), 4) + 0.0 AS loss FROM oh o JOIN m ON o.k = m.k""")
+def rbm_baseline(spark, sf):
+    return boltzmann.baseline_loss(label_states(spark, sf), PARCELS).select(r6(F.col("loss"), 4).alias("loss"))
+
+
+@query("rbm_sample")
+def rbm_sample(spark, sf):
+    model = binary_model(spark, sf)
+    return boltzmann.sample(model.weights.select("node_id"), model, 3, 2, 9)
+
+
+# ---------------------------------------------------------------- sparse connections
+
+STRENGTH = (0.6, 0.3)
+CHAINS = 4
+
+
+def sparse_model(spark, sf) -> boltzmann.SparseHidden:
+    """One hidden unit per location, linked to it (component 0) and its chain neighbours (component 1)."""
+    nodes = views.vox(spark, sf).select(F.col("vox_id").alias("node_id")).distinct()
+    own = nodes.select(F.col("node_id").alias("h"), "node_id", F.lit(0).alias("component"), F.lit(1.0).alias("w"))
+    near = spatial.chain_edges(nodes).select(
+        F.col("src").alias("h"), F.col("dst").alias("node_id"), F.lit(1).alias("component"), F.lit(0.5).alias("w")
+    )
+    bias = label_prior(spark, sf).table.withColumnRenamed("logpi", "bu")
+    return boltzmann.SparseHidden(own.unionByName(near), bias, STRENGTH, PARCELS)
+
+
+_SPARSE = f"""{_BASE},
+nodes AS (SELECT DISTINCT vox_id FROM vox),
+ed AS MATERIALIZED (SELECT vox_id AS h, vox_id, 0 AS c, 1.0::DOUBLE AS w FROM nodes UNION ALL
+       SELECT a.vox_id, b.vox_id, 1, 0.5::DOUBLE FROM nodes a JOIN nodes b ON abs(a.vox_id - b.vox_id) = 1),
+li AS MATERIALIZED (SELECT h, vox_id, sum(w * CASE c WHEN 0 THEN {STRENGTH[0]}::DOUBLE ELSE {STRENGTH[1]}::DOUBLE END) AS w FROM ed GROUP BY ALL),
+base AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.k, 0.1 * s.ll + p.lp AS b FROM sc s JOIN pri p ON s.vox_id = p.vox_id AND s.k = p.k)"""
+
+
+def _sql_sparse(steps: int) -> str:
+    out = [_sql_softmax("u0", "base")]
+    for i in range(steps):
+        out.append(f"""
+a{i} AS MATERIALIZED (SELECT u.subj_id, l.h, u.k, sum(l.w * u.u) AS b FROM u{i} u JOIN li l ON u.vox_id = l.vox_id GROUP BY ALL),
+{_sql_softmax(f"h{i}", f"a{i}", "subj_id, h", "v")},
+g{i} AS MATERIALIZED (SELECT v.subj_id, l.vox_id, v.k, sum(l.w * v.v) AS a FROM h{i} v JOIN li l ON v.h = l.h GROUP BY ALL),
+f{i} AS MATERIALIZED (SELECT b.subj_id, b.vox_id, b.k, b.b + coalesce(g.a, 0) AS b FROM base b LEFT JOIN g{i} g ON b.subj_id = g.subj_id AND b.vox_id = g.vox_id AND b.k = g.k)""")
+        out.append(_sql_softmax(f"u{i + 1}", f"f{i}"))
+    return ",".join(out)
+
+
+@query("cmp_rbm_meanfield", f"""
+WITH {_SPARSE}, {_sql_sparse(STEPS)}
+SELECT subj_id, vox_id AS node_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM u{STEPS}""")
+def cmp_rbm_meanfield(spark, sf):
+    uhat, _ = boltzmann.sparse_mean_field(node_scores(spark, sf), sparse_model(spark, sf), STEPS)
+    return views.explode_parcels(uhat, "uhat", "subj_id", "node_id")
+
+
+@query("cmp_rbm_pretrain", f"""
+WITH {_SPARSE}, {_sql_sparse(1)}
+SELECT subj_id, h, k::BIGINT AS k, round(v, 6) + 0.0 AS p FROM h0""")
+def cmp_rbm_pretrain(spark, sf):
+    """Single pass to the hidden units."""
+    _, hidden = boltzmann.sparse_mean_field(node_scores(spark, sf), sparse_model(spark, sf), pretrain=True)
+    return views.explode_parcels(hidden, "hhat", "subj_id", "h")
+
+
+@query("cmp_rbm_loglik", f"""
+WITH {_SPARSE}, {_sql_sparse(STEPS)},
+bi AS (SELECT u.subj_id, sum(u.u * p.lp) AS b FROM u{STEPS} u JOIN pri p ON u.vox_id = p.vox_id AND u.k = p.k GROUP BY ALL),
+ln AS (SELECT u.subj_id, sum(l.w * u.u * v.v) AS c FROM u{STEPS} u JOIN li l ON u.vox_id = l.vox_id JOIN h{STEPS - 1} v ON v.subj_id = u.subj_id AND v.h = l.h AND v.k = u.k GROUP BY ALL)
+SELECT b.subj_id, round(b.b, 5) + 0.0 AS bias, round(l.c, 5) + 0.0 AS link FROM bi b JOIN ln l ON b.subj_id = l.subj_id""")
+def cmp_rbm_loglik(spark, sf):
+    model = sparse_model(spark, sf)
+    uhat, hidden = boltzmann.sparse_mean_field(node_scores(spark, sf), model, STEPS)
+    out = boltzmann.unnormalised_loglik(uhat, hidden, model)
+    return out.select("subj_id", r6(F.col("bias"), 5).alias("bias"), r6(F.col("link"), 5).alias("link"))
+
+
+@query("cmp_rbm_gradient", f"""
+WITH {_SPARSE}, {_sql_sparse(STEPS)},
+gr AS (SELECT e.c, sum(e.w * u.u * v.v) AS g FROM u{STEPS} u JOIN ed e ON u.vox_id = e.vox_id JOIN h{STEPS - 1} v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL)
+SELECT g.c::BIGINT AS component, round(g.g / (SELECT count(DISTINCT subj_id) FROM vox) / (SELECT sum(w) FROM ed WHERE c = g.c), 6) + 0.0 AS gradient FROM gr g""")
+def cmp_rbm_gradient(spark, sf):
+    model = sparse_model(spark, sf)
+    uhat, hidden = boltzmann.sparse_mean_field(node_scores(spark, sf), model, STEPS)
+    out = boltzmann.component_gradient(uhat, hidden, model.edges)
+    return out.select(F.col("component").cast("long").alias("component"), r6(F.col("gradient")).alias("gradient"))
+
+
+_SPARSE_NEG = f"""
+pp AS (SELECT vox_id, k, exp(lp) / sum(exp(lp)) OVER (PARTITION BY vox_id) AS p FROM pri),
+pc AS (SELECT vox_id, k, sum(p) OVER (PARTITION BY vox_id ORDER BY k) AS c FROM pp),
+s0 AS MATERIALIZED (SELECT s.s AS subj_id, c.vox_id, coalesce(min(CASE WHEN {_U.format("'2|' || s.s || '|' || c.vox_id")} < c.c THEN c.k END), 0) AS u FROM pc c CROSS JOIN range({CHAINS}) s(s) GROUP BY ALL),
+na AS (SELECT s.subj_id, l.h, t.k, sum(CASE WHEN s.u = t.k THEN l.w ELSE 0 END) AS b FROM s0 s JOIN li l ON s.vox_id = l.vox_id CROSS JOIN range({PARCELS}) t(k) GROUP BY ALL),
+{_sql_softmax("nh", "na", "subj_id, h", "p")},
+nc AS (SELECT subj_id, h, k, sum(p) OVER (PARTITION BY subj_id, h ORDER BY k) AS c FROM nh),
+nd AS MATERIALIZED (SELECT subj_id, h, coalesce(min(CASE WHEN {_U.format("'4.h0|' || subj_id || '|' || h")} < c THEN k END), 0) AS v FROM nc GROUP BY ALL),
+nf AS (SELECT s.subj_id, p.vox_id, p.k, p.lp + coalesce(sum(CASE WHEN d.v = p.k THEN l.w ELSE 0 END), 0) AS b FROM s0 s JOIN pri p ON s.vox_id = p.vox_id
+       LEFT JOIN li l ON l.vox_id = p.vox_id LEFT JOIN nd d ON d.subj_id = s.subj_id AND d.h = l.h GROUP BY s.subj_id, p.vox_id, p.k, p.lp),
+{_sql_softmax("nu", "nf")}"""
+
+
+@query("cmp_rbm_negative_phase", f"""
+WITH {_SPARSE}, {_SPARSE_NEG}
+SELECT subj_id, vox_id AS node_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM nu""")
+def cmp_rbm_negative_phase(spark, sf):
+    """One Gibbs step of four chains drawn from the biases, without evidence."""
+    model = sparse_model(spark, sf)
+    states, _ = boltzmann.sparse_negative_phase(boltzmann.start_chains(model, CHAINS, 2), model, 1, 4)
+    return views.explode_parcels(states, "pu", "subj_id", "node_id")
+
+
+@query("cmp_rbm_step", f"""
+WITH {_SPARSE}, {_sql_sparse(STEPS)}, {_SPARSE_NEG},
+gp AS (SELECT e.c, sum(e.w * u.u * v.v) / (SELECT count(DISTINCT subj_id) FROM vox) AS g FROM u{STEPS} u JOIN ed e ON u.vox_id = e.vox_id JOIN h{STEPS - 1} v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL),
+gn AS (SELECT e.c, sum(e.w * u.u * v.p) / {CHAINS} AS g FROM nu u JOIN ed e ON u.vox_id = e.vox_id JOIN nh v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL)
+SELECT p.c::BIGINT AS component, round(CASE p.c WHEN 0 THEN {STRENGTH[0]}::DOUBLE ELSE {STRENGTH[1]}::DOUBLE END + 0.01 * (p.g - n.g) / (SELECT sum(w) FROM ed WHERE c = p.c), 6) + 0.0 AS theta
+FROM gp p JOIN gn n ON p.c = n.c""")
+def cmp_rbm_step(spark, sf):
+    model = sparse_model(spark, sf)
+    uhat, hidden = boltzmann.sparse_mean_field(node_scores(spark, sf), model, STEPS)
+    neg, neg_hidden = boltzmann.sparse_negative_phase(boltzmann.start_chains(model, CHAINS, 2), model, 1, 4)
+    new = boltzmann.sparse_step(model, uhat, hidden, neg, neg_hidden, fit_bias=False)
+    return spark.createDataFrame([(c, round(t, 6)) for c, t in enumerate(new.theta)], "component long, theta double")
+
+
+@query("dbm_mean_field_sample")
+def dbm_mean_field_sample(spark, sf):
+    out = boltzmann.mean_field_sample(sparse_model(spark, sf), 2, 2, 6)
+    return views.explode_parcels(out, "uhat", "subj_id", "node_id")
+
+
+@query("fit_sml_posterior")
+def fit_sml_posterior(spark, sf):
+    """One round of stochastic maximum likelihood with two batches of subjects."""
+    emissions = label_vmf(spark, sf).emissions
+    fit = stochastic.fit_sml(
+        sparse_model(spark, sf), emissions, vox_aligned(spark, sf), 1, batch_size=3, rate=0.1,
+        mean_field_iterations=2, chain_steps=1, seed=8,
+    )
+    return views.explode_parcels(fit.posterior, "uhat", "subj_id", "vox_id")
+
+
+# ---------------------------------------------------------------- samples of data
+
+
+def _labels(spark, sf):
+    return views.vox(spark, sf).select("subj_id", "vox_id", "label")
+
+
+def _sampled(df, digits=6):
+    return views.explode_parcels(df, "y", "subj_id", "vox_id", alias="y", digits=digits)
+
+
+@query("vmf_sample")
+def vmf_sample(spark, sf):
+    return _sampled(sampling.draw(_labels(spark, sf), label_vmf(spark, sf).emissions[0], 1))
+
+
+@query("gmm_sample")
+def gmm_sample(spark, sf):
+    return _sampled(sampling.draw(_labels(spark, sf), label_gmm(spark, sf).emissions[0], 1))
+
+
+@query("gauss_exp_sample")
+def gauss_exp_sample(spark, sf):
+    out = sampling.draw(_labels(spark, sf), label_gme(spark, sf), 1, signal=True)
+    return out.select("subj_id", "vox_id", r6(F.col("signal")).alias("signal"), r6(A.norm(F.col("y"))).alias("length"))
