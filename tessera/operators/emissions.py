@@ -10,6 +10,7 @@ emit them as rows of K numbers and Spark can add them up.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, replace
 
@@ -203,7 +204,10 @@ class GaussianExponential(Emission):
     """Gaussian noise around ``s * v`` with exponential signal strength ``s``.
 
     The posterior of ``s`` is evaluated on evenly spaced bins up to 1.2 times
-    the largest data length, which must be known before scoring.
+    the largest data length, which must be known before scoring
+    (``estep="linspace"``).  ``"import"`` weighs exponential draws shared by
+    all locations, ``"reject"`` thins them by rejection, and ``"max"`` takes
+    the most probable strength.
     """
 
     v: np.ndarray
@@ -213,6 +217,8 @@ class GaussianExponential(Emission):
     bins: int = 88
     x: np.ndarray | None = None
     unit_v: bool = True
+    estep: str = "linspace"
+    seed: int = 0
 
     @classmethod
     def random(cls, n_parcels, width, max_length, seed=0, **flags):
@@ -236,15 +242,40 @@ class GaussianExponential(Emission):
     def signal(self, y):
         """Posterior mean and mean square of the signal strength, each n x K."""
         mu = self.predicted
-        yv, vv, x = y @ mu, (mu * mu).sum(axis=0), self.grid
+        yv, vv = y @ mu, (mu * mu).sum(axis=0)
+        if self.estep == "max":
+            s = np.maximum(yv / vv - self.beta * self.sigma2, 0.0)
+            return s, s * s
+        sampled = self.estep in ("import", "reject")
+        x = self.draws if sampled else self.grid
+        density = self.beta * np.exp(-self.beta * x)
         s, s2 = np.empty_like(yv), np.empty_like(yv)
         for k in range(yv.shape[1]):
-            ll = -0.5 / self.sigma2 * (-2 * yv[:, k, None] * x + vv[k] * x**2) - self.beta * x
+            ll = -0.5 / self.sigma2 * (-2 * yv[:, k, None] * x + vv[k] * x**2)
+            if self.estep != "import":  # there the draws already follow the prior
+                ll = ll - self.beta * x
             p = np.exp(ll - ll.max(axis=1, keepdims=True))
+            if self.estep == "reject":
+                ratio = p / density
+                ratio /= ratio.max(axis=1, keepdims=True)
+                p = (self.thresholds[k] <= ratio).astype(float)
             p /= p.sum(axis=1, keepdims=True)
             s[:, k], s2[:, k] = p @ x, p @ x**2
         return s, s2
 
+    def _uniforms(self, tag):
+        """Hashed uniforms, the same in every task."""
+        heads = [hashlib.md5(f"{self.seed}|{tag}|{i}".encode()).hexdigest()[:8] for i in range(self.bins)]
+        return np.array([int(h, 16) for h in heads]) / 4294967296.0
+
+    @property
+    def draws(self):
+        return -np.log(1 - self._uniforms("signal")) / self.beta
+
+    @property
+    def thresholds(self):
+        return [self._uniforms(f"accept{k}") for k in range(self.n_parcels)]
+
     def loglik(self, y, num_part, kappa=None):
         mu = self.predicted
         s, s2 = self.signal(y)

@@ -99,3 +99,24 @@ def align_models(models: Sequence[mixture.Model]) -> list[mixture.Model]:
 def best_cosine(a: np.ndarray, b: np.ndarray) -> float:
     """Mean over the rows of ``a`` of the largest product with a row of ``b``."""
     return float((a @ b.T).max(axis=1).mean())
+
+
+def match_nearest(target: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """For every column of ``target`` the closest unused column of ``source``."""
+    d = ((target[:, :, None] - source[:, None, :]) ** 2).sum(axis=0)
+    out = np.empty(target.shape[1], dtype=int)
+    for i, j, _ in greedy_pairs(-d):
+        out[i] = j
+    return out
+
+
+def parameter_differences(truth: np.ndarray, history: Sequence[np.ndarray]) -> np.ndarray:
+    """Mean absolute difference to the true parameters per iteration."""
+    return np.array([np.abs(np.asarray(h) - truth).mean() for h in history])
+
+
+def match_to_group(rows: DataFrame, directions: np.ndarray, by: str = "subj_id") -> DataFrame:
+    """Mean over each subject's own directions ``v`` of the best cosine with any group direction."""
+    products = [A.dot(F.col("v"), A.literal(directions[:, k])) for k in range(directions.shape[1])]
+    best = F.greatest(*products)
+    return rows.groupBy(by).agg(F.avg(best).alias("match"))

@@ -177,12 +177,12 @@ def vmf_mstep_equal_weight(spark, sf):
 
 # ---------------------------------------------------------------- posteriors
 
-_ESTEP_SQL = f"""
+VMF_ESTEP_SQL = f"""
 WITH {VOX}, {LABEL_SUMS}, {SHARED_KAPPA}, {VMF_SCORES}, {SOFTMAX}
 SELECT subj_id, vox_id, k::BIGINT AS k, round(p, 6) + 0.0 AS p FROM post"""
 
 
-@query("vmf_estep", _ESTEP_SQL)
+@query("vmf_estep", VMF_ESTEP_SQL)
 def vmf_estep(spark, sf):
     """Flagship: posterior of every embedding under the labelled directions."""
     post = mixture.posterior(vox_aligned(spark, sf), label_vmf(spark, sf))
