@@ -175,14 +175,12 @@ def spread(nodes: DataFrame, layout: Layout, k: int) -> DataFrame:
     return rows.select(*others, "vox_id", full.alias("u"))
 
 
-def smooth_prior(distances: DataFrame, k: int, theta: float, drop_last: bool = False) -> DataFrame:
+def smooth_prior(distances: DataFrame, theta: float, drop_last: bool = False) -> DataFrame:
     """Prior that decays with the squared distance to K centroids.
 
     ``distances`` holds ``node_id, d2`` with K squared distances.
     """
-    weight = F.transform("d2", lambda d: F.exp(-d / (2 * theta)))
-    pi = A.let(weight, lambda w: A.let(A.total(w), lambda t: F.transform(w, lambda x: x / t)))
-    logpi = F.transform(pi, log_prob)
+    logpi = A.log_softmax(F.transform("d2", lambda d: -d / (2 * theta)))  # finite however far the centroids
     return distances.select("node_id", (drop_redundant(logpi) if drop_last else logpi).alias("logpi"))
 
 

@@ -159,14 +159,14 @@ def weighted_vectors(spark, sf, mode):
 
 def _register_weights(mode):
     sql = (
-        f"WITH {_WEIGHTS} SELECT v.subj_id, v.vox_id, v.part_id, round({_WEIGHT_SQL[mode]}, 3) + 0.0 AS w "
+        f"WITH {_WEIGHTS} SELECT v.subj_id, v.vox_id, v.part_id, round(ln(1 + {_WEIGHT_SQL[mode]}), 6) + 0.0 AS log_w "
         "FROM vec v JOIN tot t ON v.subj_id = t.subj_id AND v.part_id = t.part_id CROSS JOIN size s CROSS JOIN alltot g"
     )
 
     @query(f"weights_{mode}", sql)
     def weights(spark, sf):
         return weighted_vectors(spark, sf, mode).select(
-            "subj_id", "vox_id", F.col("part_id").cast("long").alias("part_id"), r6(F.col("w"), 3).alias("w")
+            "subj_id", "vox_id", F.col("part_id").cast("long").alias("part_id"), r6(F.log(1 + F.col("w"))).alias("log_w")
         )
 
 

@@ -164,11 +164,11 @@ def minmax_scale(spark, sf):
 
 @query("full_gmm_mstep", f"""
 WITH {_SHIP}
-SELECT k::BIGINT AS k, round(pi, 6) AS pi, round(mq, 6) AS mu0, round(md, 6) AS mu1, round(cqq, 6) + 0.0 AS c00, round(cqd, 6) + 0.0 AS c01, round(cdd, 6) + 0.0 AS c11 FROM pr""")
+SELECT k::BIGINT AS k, round(pi, 9) AS pi, round(mq, 6) AS mu0, round(md, 6) AS mu1, round(cqq, 6) + 0.0 AS c00, round(cqd, 6) + 0.0 AS c01, round(cdd, 6) + 0.0 AS c11 FROM pr""")
 def full_gmm_mstep(spark, sf):
     m = gm.maximise(_shipments(spark, sf), 3, 2)
     r = lambda v: float(round(v, 6)) + 0.0
-    rows = [(k, r(m.pi[k]), r(m.mu[k, 0]), r(m.mu[k, 1]), r(m.cov[k, 0, 0]), r(m.cov[k, 0, 1]), r(m.cov[k, 1, 1])) for k in range(3)]
+    rows = [(k, float(round(m.pi[k], 9)), r(m.mu[k, 0]), r(m.mu[k, 1]), r(m.cov[k, 0, 0]), r(m.cov[k, 0, 1]), r(m.cov[k, 1, 1])) for k in range(3)]
     return spark.createDataFrame(rows, "k long, pi double, mu0 double, mu1 double, c00 double, c01 double, c11 double")
 
 

@@ -51,12 +51,12 @@ def edge_incidence(spark, sf):
 _SMOOTH = f"""{_GRID},
 cen AS (SELECT * FROM (VALUES {", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE)" for k, (x, y) in enumerate(CENTROIDS))}) c(k, cx, cy)),
 d2 AS (SELECT g.node_id, c.k, (g.x - c.cx) * (g.x - c.cx) + (g.y - c.cy) * (g.y - c.cy) AS d2 FROM grid g CROSS JOIN cen c),
-sp AS (SELECT node_id, k, exp(-d2 / 800.0) / sum(exp(-d2 / 800.0)) OVER (PARTITION BY node_id) AS p FROM d2),
-slp AS (SELECT node_id, k, CASE WHEN p > 0 THEN ln(p) ELSE -3.4028234663852886e38 END AS lp FROM sp)"""
+sp AS (SELECT node_id, k, -d2 / 800.0 AS s, max(-d2 / 800.0) OVER (PARTITION BY node_id) AS top FROM d2),
+slp AS (SELECT node_id, k, s - top - ln(sum(exp(s - top)) OVER (PARTITION BY node_id)) AS lp FROM sp)"""
 
 
 def part_prior(spark, sf):
-    return priors.smooth_prior(spatial.centroid_distances(part_grid(spark, sf), CENTROIDS), len(CENTROIDS), 400.0)
+    return priors.smooth_prior(spatial.centroid_distances(part_grid(spark, sf), CENTROIDS), 400.0)
 
 
 @query("smooth_prior", f"WITH {_SMOOTH} SELECT node_id, k::BIGINT AS k, round(lp, 6) + 0.0 AS lp FROM slp")
