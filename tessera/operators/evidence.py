@@ -191,7 +191,8 @@ def add_weights(vectors: DataFrame, weighting: str, partitions: int, locations:
     """Append the weight ``w`` of each (subject, location, partition) vector.
 
     ``partitions``, ``locations`` and ``subjects`` give the full size of the
-    grid; a vector that is absent or incomplete has length zero.
+    grid; a vector that is absent or incomplete has length zero.  Where all
+    lengths of a normalised group are zero, no weight is given (NULL).
     """
     if weighting not in WEIGHTINGS:
         raise ValueError(f"unknown weighting {weighting}")

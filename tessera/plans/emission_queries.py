@@ -224,7 +224,7 @@ def vmf_estep_subject(spark, sf):
     return views.explode_parcels(post, "uhat", "subj_id", "vox_id")
 
 
-# Four parcels of the event users by their location number.
+# Four parcels of the event users by their location and subject number.
 EVENT_PARCELS = 4
 
 
@@ -232,14 +232,14 @@ def event_model(spark, sf, rows=None):
     rows = views.event_evidence(spark, sf) if rows is None else rows
     aligned = mixture.align([rows])
     fixed = mixture.Aligned(
-        aligned.df.withColumn("uhat", A.one_hot(F.col("node_id") % EVENT_PARCELS, EVENT_PARCELS)), aligned.slots
+        aligned.df.withColumn("uhat", A.one_hot((F.col("node_id") + F.col("subj_id")) % EVENT_PARCELS, EVENT_PARCELS)), aligned.slots
     )
     return aligned, mixture.m_step(fixed, start_vmf(len(EVENT_TYPES), EVENT_PARCELS))
 
 
 EVENT_SUMS = f"""
-yu AS (SELECT vox_id % {EVENT_PARCELS} AS k, cond, sum(y) AS s FROM eve GROUP BY ALL),
-ju AS (SELECT vox_id % {EVENT_PARCELS} AS k, sum(num_part) AS j FROM evs GROUP BY ALL),
+yu AS (SELECT (vox_id + subj_id) % {EVENT_PARCELS} AS k, cond, sum(y) AS s FROM eve GROUP BY ALL),
+ju AS (SELECT (vox_id + subj_id) % {EVENT_PARCELS} AS k, sum(num_part) AS j FROM evs GROUP BY ALL),
 len AS (SELECT k, sqrt(sum(s * s)) AS n FROM yu GROUP BY ALL),
 dir AS (SELECT y.k, y.cond, y.s / l.n AS v FROM yu y JOIN len l ON y.k = l.k),
 kap AS (SELECT {sql_concentration('r', 5)} AS kappa FROM (
@@ -265,7 +265,7 @@ _WVMF_SQL = EVT_EVIDENCE.replace(
 ),
 wp AS (SELECT count(DISTINCT vox_id) AS p FROM evt),
 ww AS (
-  SELECT n.subj_id, n.vox_id, n.part_id, CASE WHEN n.n = 5 THEN n.len * n.len ELSE 0 END * wp.p / t.t AS w
+  SELECT n.subj_id, n.vox_id, n.part_id, CASE WHEN n.n = 5 THEN n.len * n.len ELSE 0 END * wp.p / nullif(t.t, 0) AS w
   FROM evn n JOIN wtot t ON n.subj_id = t.subj_id AND n.part_id = t.part_id CROSS JOIN wp
 ),
 evw AS (SELECT subj_id, vox_id, sum(w) AS num_part FROM ww GROUP BY ALL),

@@ -155,7 +155,7 @@ def dice_mean(spark, sf):
 
 # ---------------------------------------------------------------- relabeling
 
-# Four parcels of the event users; the truth is their location number.
+# Four parcels of the event users; the truth is the parcel they were assigned to.
 _PERM = " CROSS JOIN ".join(f"range({EVENT_PARCELS}) t{i}(p{i})" for i in range(EVENT_PARCELS))
 _EVENT_POST = f"""{EVT_EVIDENCE}, {EVENT_SUMS}, {SOFTMAX},
 perms AS (SELECT p0, p1, p2, p3 FROM {_PERM} WHERE p0 <> p1 AND p0 <> p2 AND p0 <> p3 AND p1 <> p2 AND p1 <> p3 AND p2 <> p3)"""
@@ -164,12 +164,12 @@ perms AS (SELECT p0, p1, p2, p3 FROM {_PERM} WHERE p0 <> p1 AND p0 <> p2 AND p0
 def _event_rows(spark, sf):
     aligned, model = event_model(spark, sf)
     post = mixture.posterior(aligned, model)
-    return post.withColumn("label", (F.col("vox_id") % EVENT_PARCELS).cast("int"))
+    return post.withColumn("label", ((F.col("vox_id") + F.col("subj_id")) % EVENT_PARCELS).cast("int"))
 
 
 @query("label_assignment_error", f"""
 WITH {_EVENT_POST},
-cost AS (SELECT vox_id % {EVENT_PARCELS} AS t, c.c, sum(abs((p.k = c.c)::INT - p.p)) AS e
+cost AS (SELECT (vox_id + subj_id) % {EVENT_PARCELS} AS t, c.c, sum(abs((p.k = c.c)::INT - p.p)) AS e
          FROM post p CROSS JOIN range({EVENT_PARCELS}) c(c) GROUP BY ALL)
 SELECT round(min(e) / (SELECT count(*) FROM post), 6) + 0.0 AS u_prederr FROM (
   SELECT a.e + b.e + c.e + d.e AS e FROM perms p JOIN cost a ON a.t = 0 AND a.c = p.p0 JOIN cost b ON b.t = 1 AND b.c = p.p1
@@ -183,7 +183,7 @@ def label_assignment_error(spark, sf):
 WITH {_EVENT_POST},
 hp AS (SELECT subj_id, vox_id, max(p) AS p FROM post GROUP BY ALL),
 hard AS (SELECT p.subj_id, p.vox_id, min(p.k) AS g FROM post p JOIN hp h ON p.subj_id = h.subj_id AND p.vox_id = h.vox_id AND p.p = h.p GROUP BY ALL),
-wrong AS (SELECT p0, p1, p2, p3, sum((CASE g WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END <> vox_id % {EVENT_PARCELS})::INT) AS w
+wrong AS (SELECT p0, p1, p2, p3, sum((CASE g WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END <> (vox_id + subj_id) % {EVENT_PARCELS})::INT) AS w
           FROM hard CROSS JOIN perms GROUP BY ALL)
 SELECT round(min(w) / (SELECT count(*) FROM hard), 6) + 0.0 AS error FROM wrong""")
 def matched_labels(spark, sf):
