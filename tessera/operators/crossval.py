@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -140,32 +140,57 @@ def _average_errors(rows: DataFrame, v: DataFrame, width: int, k: int, adjusted:
 
 
 def leave_one_subject_out_refit(
-    model: mixture.Model, evidence: DataFrame, eval_rows: Mapping[str, DataFrame], subjects: list[int],
+    model: mixture.Model, evidence: DataFrame, eval_rows: Mapping[str, DataFrame], subjects: Sequence[int],
     max_iter: int = 200, tol: float = 0.1, kind: str = "expected", adjusted: bool = True, with_floor: bool = False,
+    folds_per_pass: int = 32,
 ) -> DataFrame:
     """Test error with the emission model refitted (prior frozen) without each subject.
 
-    Every fold starts from the given parameters.  Folds are independent fits,
-    so their number multiplies the work; prefer the one-pass version.
+    Every fold starts from the given parameters.  Several folds share each pass
+    over the data, as many as their parameters fit side by side.
     ``with_floor`` adds the parcellation from the test subject's own likelihood.
     """
     out = None
-    for s in subjects:
-        train = mixture.align([evidence.where(F.col("subj_id") != s)])
-        fit = mixture.fit_em(model, train, max_iter, tol, fit_prior=False, first_evidence=False)
-        emission = fit.model.emissions[0]
-        test = dict(eval_rows)
+    aligned = mixture.align([evidence])
+    for lo in range(0, len(subjects), folds_per_pass):
+        chunk = list(subjects[lo:lo + folds_per_pass])
+        fits = mixture.fit_em_folds(model, aligned, chunk, max_iter, tol)
+        emissions = {s: f.model.emissions[0] for s, f in zip(chunk, fits)}
+        directions = {s: e.v for s, e in emissions.items()}
+        test = {name: rows.where(F.col("subj_id").isin(chunk)) for name, rows in eval_rows.items()}
         if with_floor:
-            own = evidence.where(F.col("subj_id") == s)
-            ll = mixture.loglik(own, emission).select("subj_id", "vox_id", A.softmax(F.col("ll")).alias("uhat"))
-            test["floor"] = own.select("subj_id", "vox_id", "y").join(ll, ["subj_id", "vox_id"])
+            test["floor"] = _own_likelihood(evidence.where(F.col("subj_id").isin(chunk)), emissions)
         for name, rows in test.items():
-            e = cosine_error(rows.where(F.col("subj_id") == s), emission.v, kind, adjusted)
+            e = cosine_error(rows, directions, kind, adjusted)
             part = e.select(F.lit(name).alias("parcellation"), "subj_id", F.col("cosine_error").alias("error"))
             out = part if out is None else out.unionByName(part)
     return out
 
 
+def _own_likelihood(rows: DataFrame, emissions: Mapping[int, mixture.em.Emission]) -> DataFrame:
+    """``subj_id, y, uhat``: the softmax of each subject's likelihood under its own fold's model."""
+
+    def run(it):
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            subj = batch.column(names.index("subj_id")).to_numpy()
+            first = next(iter(emissions.values()))
+            y = batches.matrix(batch.column(names.index("y")), first.width)
+            n = batches.vector(batch.column(names.index("num_part")), 0.0)
+            u = np.empty((len(y), first.n_parcels))
+            for s in np.unique(subj):
+                mine = subj == s
+                u[mine] = batches.softmax_rows(emissions[int(s)].loglik(y[mine], n[mine]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(names.index("subj_id")), batch.column(names.index("y")), batches.list_array(u)],
+                names=["subj_id", "y", "uhat"],
+            )
+
+    return rows.select("subj_id", "y", "num_part").mapInArrow(run, "subj_id long, y array<double>, uhat array<double>")
+
+
 def completion(
     scores: DataFrame, part: Column, infer: Callable[[DataFrame], DataFrame], n_parts: int
 ) -> DataFrame:

@@ -90,24 +90,28 @@ def weighted_mean(parcels: DataFrame, by: str = "subj_id", value: str = "homogen
     return parcels.groupBy(by).agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias(value))
 
 
-def task_inhomogeneity(rows: DataFrame, width: int, by: str = "subj_id", z_transfer: bool = True) -> DataFrame:
-    """Standard deviation inside parcels per contrast, weighted by parcel size.
+def task_inhomogeneity(rows: DataFrame, by: str = "subj_id", z_transfer: bool = True) -> DataFrame:
+    """Standard deviation inside parcels per contrast ``m``, weighted by parcel size.
 
-    Standardising a contrast only divides its deviations by the overall one, so
-    both come from one rollup over labels.
+    One scan gives count, mean and variance per parcel and contrast; the
+    overall deviation, by which standardising divides, follows from them.
     """
-    dev = [F.stddev_samp(F.col("y")[m]).alias(f"d{m}") for m in range(width)]
-    both = complete(rows).groupBy(by, "label").agg(F.count(F.lit(1)).cast("double").alias("n"), *dev)
-    spread_all = complete(rows).groupBy(by).agg(*[F.stddev_samp(F.col("y")[m]).alias(f"t{m}") for m in range(width)])
-    joined = both.join(spread_all, by) if z_transfer else both
-    inner = []
-    for m in range(width):
-        d = F.coalesce(F.col(f"d{m}"), F.lit(0.0))  # a single location does not vary
-        inner.append(F.try_divide(d, F.col(f"t{m}")) if z_transfer else d)
-    sums = joined.select(by, "n", F.array(*inner).alias("v")).groupBy(by).agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[m] * F.col("n")) for m in range(width)]).alias("s")
+    cells = complete(rows).select(by, "label", F.posexplode_outer("y").alias("m", "v"))
+    parcels = cells.groupBy(by, "label", "m").agg(
+        F.count("v").cast("double").alias("n"), F.avg("v").alias("mean"),
+        F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("var"),  # a single location does not vary
     )
-    return sums.select(by, F.transform("s", lambda x: F.coalesce(x, F.lit(0.0)) / F.col("n")).alias("inhomogeneity"))
+    n, mean = F.col("n"), F.col("mean")
+    sums = parcels.groupBy(by, "m").agg(
+        F.sum("n").alias("n"), F.sum(n * F.sqrt("var")).alias("dev"),
+        F.sum((n - 1) * F.col("var")).alias("within"),
+        F.collect_list(F.struct("n", "mean")).alias("parts"),  # one entry per parcel
+    )
+    grand = A.total(F.transform("parts", lambda q: q["n"] * q["mean"])) / n
+    between = A.let(grand, lambda g: A.total(F.transform("parts", lambda q: q["n"] * (q["mean"] - g) * (q["mean"] - g))))
+    spread = F.sqrt(F.try_divide(F.col("within") + between, n - 1))
+    inner = F.col("dev") / n
+    return sums.select(by, F.col("m"), (F.coalesce(F.try_divide(inner, spread), F.lit(0.0)) if z_transfer else inner).alias("inhomogeneity"))
 
 
 def nan_std(df: DataFrame, column: str, by: list[str]) -> DataFrame:

@@ -298,12 +298,16 @@ def _attach(df: DataFrame, model: Model, prior: bool = True) -> DataFrame:
 # ---------------------------------------------------------------- one pass
 
 
-def _pass(aligned: Aligned, df: DataFrame, models: Sequence[Model], gates, want_nodes: bool) -> DataFrame:
+def _pass(
+    aligned: Aligned, df: DataFrame, models: Sequence[Model], gates, want_nodes: bool, held_out: Sequence[int | None] | None = None
+) -> DataFrame:
     """Sums of all sufficient statistics of one inference pass.
 
     Long result: ``init, ds, stat, key, subj`` identify a row of K sums
     ``c0..``; ``rows, ll_a, ll_e`` count rows and add up log-likelihoods.
+    ``held_out`` names a subject per model whose rows do not count for it.
     """
+    held_out = list(held_out) if held_out is not None else [None] * len(models)
     cfg, slots = _settings(models), aligned.slots
     kf, k = cfg["k_full"], cfg["k"]
     by_subject = [isinstance(e, em.VonMisesFisher) and e.equal_weight for e in models[0].emissions]
@@ -330,6 +334,7 @@ def _pass(aligned: Aligned, df: DataFrame, models: Sequence[Model], gates, want_
             node = subj = None
             nodes_out = []
             for i in range(len(models_emissions)):
+                keep = np.ones(b.rows) if held_out[i] is None else (b.subj.to_numpy() != held_out[i]).astype(float)
                 if b.uhat is not None:
                     u = batches.matrix(b.uhat, k)
                 else:
@@ -337,24 +342,25 @@ def _pass(aligned: Aligned, df: DataFrame, models: Sequence[Model], gates, want_
                     logpi = _log_prior(b, cfg, i)
                     u = softmax_rows(ll + logpi)
                     with np.errstate(invalid="ignore"):
-                        ll_a = np.nan_to_num(u * log_softmax_rows(logpi), neginf=0.0).sum()
-                    ll_e = sum(((u * p).sum(axis=1) * b.share).sum() for p in parts)
-                    put(i, -1, "total", 0, None, [], (b.rows, ll_a, ll_e))
+                        ll_a = (np.nan_to_num(u * log_softmax_rows(logpi), neginf=0.0) * keep[:, None]).sum()
+                    ll_e = sum(((u * p).sum(axis=1) * b.share * keep).sum() for p in parts)
+                    put(i, -1, "total", 0, None, [], (keep.sum(), ll_a, ll_e))
+                u = u * keep[:, None]
                 if want_nodes and spatial:
                     if node is None:
                         node, inverse = np.unique(b.node.to_numpy(), return_inverse=True)
                     sums = np.zeros((len(node), kf + 3))
                     np.add.at(sums[:, :k], inverse, u)
-                    sums[:, kf] = np.bincount(inverse, minlength=len(node))
+                    sums[:, kf] = np.bincount(inverse, weights=keep, minlength=len(node))
                     nodes_out.append((i, sums))
                 elif want_nodes:
-                    put(i, -1, "node", 0, None, u.sum(axis=0), (b.rows, 0.0, 0.0))
+                    put(i, -1, "node", 0, None, u.sum(axis=0), (keep.sum(), 0.0, 0.0))
                 for j, s in enumerate(slots):
                     full = np.zeros((b.rows, kf))
                     o = cfg["offsets"][s.side]
                     full[:, o:o + k] = u * b.share[:, None]
                     full[~b.present[j]] = 0.0
-                    count = float((b.share * b.present[j]).sum())
+                    count = float((b.share * b.present[j] * keep).sum())
                     emission = models_emissions[i][s.dataset]
                     put(i, s.dataset, "rows", 0, None, [], (count, 0.0, 0.0))
                     if by_subject[s.dataset]:
@@ -389,20 +395,25 @@ def _emit(keys, numbers, values):
     return pa.RecordBatch.from_arrays(arrays, names=["init", "ds", "stat", "key", "subj", *values])
 
 
-def _collect(step: DataFrame, k_full: int):
+def _collect(step: DataFrame, model: Model):
     """Statistics per (init, dataset) and totals per init; no per-node or per-subject rows."""
+    k_full = model.prior.k_full
     values = [f"c{i}" for i in range(k_full)]
-    small = step.where(F.col("stat") != "node").groupBy("init", "ds", "stat", "key").agg(
-        *[F.sum(c).alias(c) for c in [*values, "rows", "ll_a", "ll_e"]]
-    )
+    small = step if not model.prior.spatial else step.where(F.col("stat") != "node")
+    if any(getattr(e, "equal_weight", False) for e in model.emissions):
+        small = small.groupBy("init", "ds", "stat", "key").agg(
+            *[F.sum(c).alias(c) for c in [*values, "rows", "ll_a", "ll_e"]]
+        )
     stats: dict = {}
     total: dict = {}
     counts: dict = {}
     for r in small.collect():
         if r["stat"] == "total":
             total[r["init"]] = (r["ll_a"], r["ll_e"])
+        elif r["stat"] == "node":  # the flat prior's sums
+            stats.setdefault((r["init"], -1), {}).setdefault("node", {})[0] = [r[c] for c in values] + [r["rows"]]
         elif r["stat"] == "rows":
-            counts[r["init"], r["ds"]] = r["rows"]
+            counts[r["init"], r["ds"]] = counts.get((r["init"], r["ds"]), 0.0) + r["rows"]
         else:
             stats.setdefault((r["init"], r["ds"]), {}).setdefault(r["stat"], {})[r["key"]] = [r[c] for c in values]
     packed = {
@@ -466,11 +477,10 @@ def _subject_kappa(aligned: Aligned, df: DataFrame, model: Model, new: em.VonMis
     return cut_lineage(sums.select("subj_id", kappa.alias("kappa")))
 
 
-def _flat_prior(step: DataFrame, init: int, prior: IndependentPrior, k: int) -> IndependentPrior:
-    r = step.where((F.col("stat") == "node") & (F.col("init") == init)).first()
-    p = np.array([r[f"c{i}"] for i in range(k)]) / r["rows"]
+def _flat_prior(sums: np.ndarray, prior: IndependentPrior) -> IndependentPrior:
+    """Common log prior from the summed posteriors and the number of rows."""
     with np.errstate(divide="ignore"):
-        logpi = np.log(p)
+        logpi = np.log(sums[: prior.k] / sums[-1])
     if prior.drop_last:
         logpi = logpi - logpi[-1]
     return replace(prior, flat=np.nan_to_num(logpi))
@@ -549,7 +559,7 @@ def m_step(aligned: Aligned, model: Model, uhat: DataFrame | None = None) -> Mod
         df = df.join(uhat.select("subj_id", F.col("vox_id").alias("node_id"), "uhat"), ["subj_id", "node_id"])
     gates = [True] * len(model.emissions)
     step = _pass(aligned, df, [model], gates, want_nodes=False)
-    stats, counts, _ = _collect(step, model.prior.k_full)
+    stats, counts, _ = _collect(step, model)
     return _update_emissions(model, model, aligned, df, step, stats, counts, 0, gates, gates)
 
 
@@ -597,13 +607,23 @@ def fit_em_starts(
     )
 
 
-def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence) -> list[FitResult]:
+def fit_em_folds(
+    model: Model, aligned: Aligned, held_out: Sequence[int], max_iter: int = 200, tol: float = 0.1, fit_emission=True,
+) -> list[FitResult]:
+    """EM once per held-out subject, all fits in the same passes; the prior stays frozen."""
+    return _fit([model] * len(held_out), aligned, max_iter, tol, fit_emission, False, False, list(held_out))
+
+
+def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence, held_out=None) -> list[FitResult]:
+    held_out = held_out or [None] * len(models)
     n_ds = len(models[0].emissions)
     fit_emission, first = _as_list(fit_emission, n_ds), _as_list(first_evidence, n_ds)
     prior0 = models[0].prior
     node_prior = prior0.spatial and (fit_prior or prior0.table is not None)
     if len(models) > 1 and any(getattr(e, "per_subject", False) for e in models[0].emissions):
-        return [_fit([m], aligned, max_iter, tol, fit_emission, fit_prior, first_evidence)[0] for m in models]
+        return [
+            _fit([m], aligned, max_iter, tol, fit_emission, fit_prior, first_evidence, [h])[0] for m, h in zip(models, held_out)
+        ]
 
     salts = None
     df = aligned.df
@@ -633,12 +653,10 @@ def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence
             kt = running[0].kappa_table(d)
             if kt is not None:
                 data = data.join(kt.select("subj_id", F.col("kappa").alias(f"kappa{d}")), "subj_id", "left")
-        step = _pass(aligned, data, running, gates, want_nodes=fit_prior)
+        step = _pass(aligned, data, running, gates, fit_prior, [held_out[i] for i in active])
         if (fit_prior and prior0.spatial) or any(getattr(e, "equal_weight", False) for e in running[0].emissions):
             step = cut_lineage(step)
-        elif fit_prior:
-            step = step.persist(StorageLevel.MEMORY_AND_DISK)
-        stats, counts, total = _collect(step, prior0.k_full)
+        stats, counts, total = _collect(step, current[0])
 
         going = []
         for pos, i in enumerate(active):
@@ -670,7 +688,7 @@ def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence
                 m = replace(m, prior=replace(m.prior, table=table.select(
                     "node_id", F.slice("logpi", rank * k + 1, k).alias("logpi"))))
             elif fit_prior:
-                m = replace(m, prior=_flat_prior(step, pos, m.prior, prior0.k))
+                m = replace(m, prior=_flat_prior(stats[pos, -1]["node"][0], m.prior))
             current[i] = _update_emissions(
                 m, running[pos], aligned, data, step, stats, counts, pos, gates, fit_emission
             )

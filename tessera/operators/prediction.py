@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,24 +31,25 @@ def harden(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def cosine_error(rows: DataFrame, v: np.ndarray, kind: str = "expected", adjusted: bool = False) -> DataFrame:
+def cosine_error(
+    rows: DataFrame, v: np.ndarray | Mapping[int, np.ndarray], kind: str = "expected", adjusted: bool = False
+) -> DataFrame:
     """Cosine error per subject between data and predicted directions.
 
     ``rows``: ``subj_id, y, uhat``.  ``hard`` predicts the direction of the most
     probable parcel, ``expected`` the probability-weighted mean, ``average``
     that mean rescaled to unit length.  ``adjusted`` weighs locations by their
-    squared length.  Missing locations do not count.
+    squared length.  Missing locations do not count.  ``v`` may differ between
+    the subjects of a cross-validation.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown kind of cosine error {kind}")
-    vn = unit_columns(v)
+    own = {s: unit_columns(d) for s, d in v.items()} if isinstance(v, Mapping) else None
+    shape = next(iter(own.values())).shape if own is not None else v.shape
+    shared = None if own is not None else unit_columns(v)
 
-    def values(batch):
-        names = batch.schema.names
-        y = batches.matrix(batch.column(names.index("y")), vn.shape[0])
-        u = batches.matrix(batch.column(names.index("uhat")), vn.shape[1])
-        if kind == "hard":
-            u = harden(u)
+    def errors(y, u, vn):
+        u = harden(u) if kind == "hard" else u
         with np.errstate(invalid="ignore", divide="ignore"):
             predicted = u @ vn.T
             if kind == "average":
@@ -59,6 +62,18 @@ def cosine_error(rows: DataFrame, v: np.ndarray, kind: str = "expected", adjuste
             error = 1 - fit / n
         return np.column_stack([np.nan_to_num(error), ~np.isnan(error)])
 
+    def values(batch):
+        names = batch.schema.names
+        y = batches.matrix(batch.column(names.index("y")), shape[0])
+        u = batches.matrix(batch.column(names.index("uhat")), shape[1])
+        if own is None:
+            return errors(y, u, shared)
+        subj = batch.column(names.index("subj_id")).to_numpy()
+        out = np.empty((len(y), 2))
+        for s in np.unique(subj):
+            out[subj == s] = errors(y[subj == s], u[subj == s], own[int(s)])
+        return out
+
     sums = sum_by_key(rows.select("subj_id", "y", "uhat"), "subj_id", ["num", "den"], values)
     return sums.select("subj_id", F.try_divide("num", "den").alias("cosine_error"))
 

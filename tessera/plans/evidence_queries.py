@@ -67,7 +67,7 @@ _PART_SQL = f"WITH {EVT_EVIDENCE} SELECT subj_id, vox_id, cond, num_part, round(
 
 def _by_condition(df):
     names = F.array(*[F.lit(c) for c in EVENT_TYPES])
-    return df.select("subj_id", "vox_id", "num_part", F.posexplode("y").alias("i", "v")).select(
+    return df.select("subj_id", "vox_id", "num_part", F.posexplode_outer("y").alias("i", "v")).select(
         "subj_id", "vox_id", names[F.col("i")].alias("cond"), "num_part", r6(F.col("v")).alias("y")
     )
 
@@ -115,7 +115,7 @@ def design_regression(spark, sf):
     obs = np.arange(views.WIDTH)
     x = evidence.design_matrix((obs % 32) // 4)
     out = evidence.project(views.vox(spark, sf), x, parts=obs // 32)
-    return out.select("subj_id", "vox_id", "num_part", F.posexplode("y").alias("k", "v")).select(
+    return out.select("subj_id", "vox_id", "num_part", F.posexplode_outer("y").alias("k", "v")).select(
         "subj_id", "vox_id", F.col("k").cast("long").alias("k"), "num_part", r6(F.col("v")).alias("y")
     )
 

@@ -34,7 +34,7 @@ def softened(spark, sf, mix: float, flags=None, model=None) -> mixture.Model:
 
 def sql_em(
     iterations: int, mix: float = 0.5, kind: str = "vmf", spatial: bool = False, fit_prior: bool = True,
-    gated: bool = False, tag: str = "", given_prior: bool = False,
+    gated: bool = False, tag: str = "", given_prior: bool = False, without: int | None = None,
 ) -> str:
     """EM written out as one block of tables per iteration.
 
@@ -42,6 +42,7 @@ def sql_em(
     """
     out = []
     by = "vox_id, " if spatial else ""
+    where = "" if without is None else f"WHERE x.subj_id <> {without} "
 
     def params(t, u):
         """M-step from the posterior table ``u`` (subj_id, vox_id, k, p)."""
@@ -80,7 +81,7 @@ lp{tag}0 AS MATERIALIZED (SELECT vox_id, k, lp - ln(sum(exp(lp)) OVER (PARTITION
             ll = f"0 * ({ll})"
         on = "l.k = s.k" + (" AND l.vox_id = s.vox_id" if spatial or given_prior else "")
         out.append(f"""
-sc{t} AS MATERIALIZED (SELECT x.subj_id, x.vox_id, d.k, {ll} AS ll FROM voxl x JOIN v{t} d ON x.m = d.m CROSS JOIN q{t} q GROUP BY x.subj_id, x.vox_id, d.k),
+sc{t} AS MATERIALIZED (SELECT x.subj_id, x.vox_id, d.k, {ll} AS ll FROM voxl x JOIN v{t} d ON x.m = d.m CROSS JOIN q{t} q {where}GROUP BY x.subj_id, x.vox_id, d.k),
 jo{t} AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.k, s.ll, l.lp FROM sc{t} s JOIN lp{t} l ON {on}),
 mx{t} AS MATERIALIZED (SELECT subj_id, vox_id, max(ll + lp) AS m FROM jo{t} GROUP BY ALL),
 post{t} AS MATERIALIZED (

@@ -12,7 +12,7 @@ from tessera.plans.emission_queries import (
     LABEL_SUMS, SHARED_KAPPA, SOFTMAX, VMF_SCORES, label_vmf, vox_aligned,
 )
 from tessera.plans.label_queries import HARD
-from tessera.plans.learning_queries import softened
+from tessera.plans.learning_queries import softened, sql_em
 from tessera.plans.prior_queries import LABEL_PRIOR, label_prior
 from tessera.plans.registry import query
 from tessera.plans.views import PARCELS, SUBJECTS, VOX, WIDTH, r6
@@ -217,14 +217,14 @@ con AS (SELECT p.subj_id, p.m, sum(p.n * p.d / t.t) / sum(p.n) AS v FROM par p J
 
 @query("task_inhomogeneity", f"{_INHOM} SELECT subj_id, m::BIGINT AS k, round(v, 6) + 0.0 AS inhomogeneity FROM con")
 def task_inhomogeneity(spark, sf):
-    out = homogeneity.task_inhomogeneity(views.vox(spark, sf), WIDTH)
-    return views.explode_parcels(out, "inhomogeneity", "subj_id", alias="inhomogeneity")
+    out = homogeneity.task_inhomogeneity(views.vox(spark, sf))
+    return out.select("subj_id", F.col("m").cast("long").alias("k"), r6(F.col("inhomogeneity")).alias("inhomogeneity"))
 
 
 @query("task_inhomogeneity_global", f"{_INHOM} SELECT subj_id, round(avg(v), 6) + 0.0 AS inhomogeneity FROM con GROUP BY ALL")
 def task_inhomogeneity_global(spark, sf):
-    out = homogeneity.task_inhomogeneity(views.vox(spark, sf), WIDTH)
-    return out.select("subj_id", r6(A.total(F.col("inhomogeneity")) / WIDTH).alias("inhomogeneity"))
+    out = homogeneity.task_inhomogeneity(views.vox(spark, sf))
+    return out.groupBy("subj_id").agg(r6(F.avg("inhomogeneity")).alias("inhomogeneity"))
 
 
 @query("nan_std", f"""
@@ -358,10 +358,29 @@ def loso_error_average(spark, sf):
     return out.select("parcellation", "subj_id", r6(F.col("error")).alias("error"))
 
 
-@query("loso_refit_error")
+def _sql_refit(fold: int) -> str:
+    """Three passes without one subject, then its errors with the resulting directions."""
+    t = f"f{fold}_"
+    error = "round(sum(n.n2 - f.f * sqrt(n.n2)) / sum(n.n2), 6) + 0.0"
+    return sql_em(3, fit_prior=False, gated=True, given_prior=True, tag=t, without=fold) + f""",
+{t}d AS MATERIALIZED (SELECT x.subj_id, x.vox_id, v.k, sum(x.v * v.v) AS dot FROM voxl x JOIN v{t}2 v ON x.m = v.m WHERE x.subj_id = {fold} GROUP BY ALL),
+{t}m AS (SELECT d.vox_id, max(q.kappa * d.dot) AS m FROM {t}d d CROSS JOIN q{t}2 q GROUP BY ALL),
+{t}o AS (SELECT d.vox_id, d.k, exp(q.kappa * d.dot - m.m) / sum(exp(q.kappa * d.dot - m.m)) OVER (PARTITION BY d.vox_id) AS p FROM {t}d d CROSS JOIN q{t}2 q JOIN {t}m m ON d.vox_id = m.vox_id),
+{t}e AS (
+  SELECT 'individual' AS parcellation, f.subj_id, {error} AS error FROM (SELECT d.subj_id, d.vox_id, sum(p.p * d.dot) AS f FROM {t}d d JOIN post p ON p.subj_id = d.subj_id AND p.vox_id = d.vox_id AND p.k = d.k GROUP BY ALL) f JOIN yn n ON f.subj_id = n.subj_id AND f.vox_id = n.vox_id GROUP BY ALL
+  UNION ALL SELECT 'group', f.subj_id, {error} FROM (SELECT d.subj_id, d.vox_id, sum(p.p * d.dot) AS f FROM {t}d d JOIN gp p ON p.vox_id = d.vox_id AND p.k = d.k GROUP BY ALL) f JOIN yn n ON f.subj_id = n.subj_id AND f.vox_id = n.vox_id GROUP BY ALL
+  UNION ALL SELECT 'floor', f.subj_id, {error} FROM (SELECT d.subj_id, d.vox_id, sum(p.p * d.dot) AS f FROM {t}d d JOIN {t}o p ON p.vox_id = d.vox_id AND p.k = d.k GROUP BY ALL) f JOIN yn n ON f.subj_id = n.subj_id AND f.vox_id = n.vox_id GROUP BY ALL)"""
+
+
+_REFIT = ",".join(_sql_refit(f) for f in range(SUBJECTS))
+
+
+@query("loso_refit_error", f"""
+WITH {POST}, {LABEL_PRIOR}, {_LOSO}, {_REFIT}
+{" UNION ALL ".join(f"SELECT * FROM f{f}_e" for f in range(SUBJECTS))}""")
 def loso_refit_error(spark, sf):
     """Emission model refitted without each of the five subjects, three parcellations."""
-    rows, evals = _loso_inputs(spark, sf)
+    _, evals = _loso_inputs(spark, sf)
     model = mixture.Model(label_prior(spark, sf), softened(spark, sf, 0.5).emissions)
     out = crossval.leave_one_subject_out_refit(
         model, views.vox_evidence(spark, sf), evals, list(range(SUBJECTS)), max_iter=3, tol=0.1, with_floor=True

@@ -98,7 +98,11 @@ eve AS (
 
 
 def explode_parcels(df: DataFrame, column: str, *keys: str, alias: str = "p", digits: int = 6) -> DataFrame:
-    """One row per element of an array column, rounded for comparison."""
-    return df.select(*keys, F.posexplode(column).alias("k", "_v")).select(
+    """One row per element of an array column, rounded for comparison.
+
+    The outer form keeps Spark from adding a filter on the array's size, which
+    would evaluate the array expression a second time.
+    """
+    return df.select(*keys, F.posexplode_outer(column).alias("k", "_v")).select(
         *keys, F.col("k").cast("long").alias("k"), r6(F.col("_v"), digits).alias(alias)
     )
