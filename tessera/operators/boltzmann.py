@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.functions import randoms
+from tessera.operators.mixture import colocate, repeat_for_salts
 from tessera.session import cut_lineage
 
 
@@ -66,8 +67,13 @@ def _field(hidden: str, model: BinaryHidden) -> Column:
 
 
 def mean_field(scores: DataFrame, model: BinaryHidden, iterations: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Posterior and hidden probabilities given the evidence ``subj_id, node_id, ll``."""
-    base = scores.join(model.weights, "node_id")
+    """Posterior and hidden probabilities given the evidence ``subj_id, node_id, ll``.
+
+    The evidence is placed by location and written once; every iteration joins
+    the weights to it in place and moves only sums per subject.
+    """
+    placed, hot = colocate(scores.select("subj_id", "node_id", "ll"))
+    base = cut_lineage(placed).join(repeat_for_salts(model.weights, hot), ["node_id", "salt"])
     rows = base.withColumn("uhat", A.softmax(A.add(F.col("ll"), F.col("bu"))))
     hidden = None
     for _ in range(iterations):
@@ -103,7 +109,7 @@ def negative_phase(states: DataFrame, model: BinaryHidden, steps: int, seed) ->
     hidden = None
     for i in range(steps):
         rows = states.join(model.weights, "node_id")
-        hidden = cut_lineage(draw_hidden(rows, model, f"{seed}.h{i}", "u"))
+        hidden = draw_hidden(rows, model, f"{seed}.h{i}", "u")
         states = cut_lineage(draw_locations(states, hidden, model, f"{seed}.u{i}"))
     return states, hidden
 
@@ -200,11 +206,12 @@ def sparse_mean_field(
     """
     links = cut_lineage(model.connections())
     base = scores.join(model.bias, "node_id").select("subj_id", "node_id", A.add(F.col("ll"), F.col("bu")).alias("base"))
+    base = cut_lineage(base)  # read by every iteration
     rows = base.withColumn("uhat", A.softmax(F.col("base")))
     hidden = None
     for _ in range(1 if pretrain else iterations):
+        # Not written out: it is read once here, and once more from the last locations if asked for.
         hidden = to_hidden(rows, links, model.k).select("subj_id", "h", A.softmax(F.col("a")).alias("hhat"))
-        hidden = cut_lineage(hidden)
         if pretrain:
             break
         a = to_locations(hidden, links, model.k)
@@ -291,7 +298,7 @@ def sparse_negative_phase(
         rows = states.select("subj_id", "node_id", A.one_hot(F.col("label"), model.k).alias("u"))
         p = to_hidden(rows, links, model.k, "u").select("subj_id", "h", A.softmax(F.col("a")).alias("ph"))
         draw = randoms.pick_category(F.col("ph"), randoms.uniform(f"{seed}.h{i}", F.col("subj_id"), F.col("h")))
-        hidden = cut_lineage(p.withColumn("s", A.one_hot(draw, model.k)))
+        hidden = p.withColumn("s", A.one_hot(draw, model.k))
         a = to_locations(hidden, links, model.k, "s")
         base = states.select("subj_id", "node_id").join(model.bias, "node_id").join(a, ["subj_id", "node_id"], "left")
         act = A.add(F.col("bu"), F.coalesce("a", none))

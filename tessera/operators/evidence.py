@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -239,7 +239,6 @@ def split_sessions(cells: DataFrame, session: str, join: bool = False, ignore_pa
     if join:
         out = cells.withColumn("dataset_id", F.lit(0))
         return out.withColumn("part_id", F.lit(1)) if ignore_partitions else out
-    order = Window.orderBy(session)
-    names = cells.select(session).distinct()  # one row per session
-    ids = names.withColumn("dataset_id", F.row_number().over(order) - 1)
-    return cells.join(F.broadcast(ids), session)
+    # One sorted array of the session names; its length is the number of sessions.
+    names = cells.agg(F.array_sort(F.collect_set(session)).alias("names")).scalar()
+    return cells.withColumn("dataset_id", F.array_position(names, F.col(session)).cast("int") - 1)

@@ -37,11 +37,12 @@ def nmi_distance(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     With N = sum n: MI = sum n log n / N - sum a log a / N - sum b log b / N + log N, so three
     sums are enough and no total has to be known beforehand.
     """
-    rows, cols = _margins(table, by)
-    t = table.groupBy(*by).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("j"))
-    r = rows.groupBy(*by).agg(F.sum(F.col("na") * F.log("na")).alias("ra"))
-    c = cols.groupBy(*by).agg(F.sum(F.col("nb") * F.log("nb")).alias("cb"))
-    joined = _side_by_side([t, r, c], by)
+    table, keys = _grouped(table, by)
+    rows, cols = _margins(table, keys)
+    t = table.groupBy(*keys).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("j"))
+    r = rows.groupBy(*keys).agg(F.sum(F.col("na") * F.log("na")).alias("ra"))
+    c = cols.groupBy(*keys).agg(F.sum(F.col("nb") * F.log("nb")).alias("cb"))
+    joined = t.join(r, keys).join(c, keys)
     ha = F.log("t") - F.col("ra") / F.col("t")
     hb = F.log("t") - F.col("cb") / F.col("t")
     mi = ha + hb - (F.log("t") - F.col("j") / F.col("t"))
@@ -50,21 +51,19 @@ def nmi_distance(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return joined.select(*by, F.when(constant, 0.0).otherwise(1 - F.try_divide(2 * mi, ha + hb)).alias("nmi"))
 
 
-def _side_by_side(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        # Without groups each side is a single aggregate row.
-        out = out.join(p, list(by)) if by else out.join(F.broadcast(p), F.lit(True))
-    return out
+def _grouped(table: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Groups to join on; one constant group where none are given."""
+    return (table, list(by)) if by else (table.withColumn("_g", F.lit(0)), ["_g"])
 
 
 def adjusted_rand(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adjusted Rand index from ordered pair counts, in DOUBLE because counts are multiplied."""
-    rows, cols = _margins(table, by)
+    table, keys = _grouped(table, by)
+    rows, cols = _margins(table, keys)
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1))
-    t = table.groupBy(*by).agg(F.sum("n").alias("t"), pairs("n").alias("n11"))
-    joined = _side_by_side(
-        [t, rows.groupBy(*by).agg(pairs("na").alias("pa")), cols.groupBy(*by).agg(pairs("nb").alias("pb"))], by
+    t = table.groupBy(*keys).agg(F.sum("n").alias("t"), pairs("n").alias("n11"))
+    joined = t.join(rows.groupBy(*keys).agg(pairs("na").alias("pa")), keys).join(
+        cols.groupBy(*keys).agg(pairs("nb").alias("pb")), keys
     )
     n11, t = F.col("n11"), F.col("t")
     n10, n01 = F.col("pa") - n11, F.col("pb") - n11
@@ -101,10 +100,8 @@ def dice_greedy(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     labels, whatever the number of locations.  Left-over labels are matched
     with coefficient 0.
     """
-    cells = dice_cells(table, by)
-    keys = list(by) or ["_g"]
-    if not by:
-        cells = cells.withColumn("_g", F.lit(0))
+    table, keys = _grouped(table, by)
+    cells = dice_cells(table, keys)
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["rank int", f"a {kinds['a']}", f"b {kinds['b']}", "dice double"])
 

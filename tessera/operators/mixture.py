@@ -109,12 +109,14 @@ def align(evidence: Sequence[DataFrame], prior: IndependentPrior | None = None)
     layout = prior.layout if prior is not None else None
     if layout is None and len(evidence) == 1:
         df = evidence[0].select(
-            "subj_id", F.col("vox_id").alias("node_id"), F.col("num_part").alias("n0_0"), F.col("y").alias("y0_0")
+            F.col("subj_id").cast("long").alias("subj_id"), F.col("vox_id").cast("long").alias("node_id"),
+            F.col("num_part").cast("double").alias("n0_0"), F.col("y").alias("y0_0"),
         )
         return Aligned(df, (Slot(0),))
     rows = None
     for d, e in enumerate(evidence):
-        part = e.select(F.lit(d).alias("_d"), "subj_id", "vox_id", "num_part", "y")
+        ids = [F.col(c).cast("long").alias(c) for c in ("subj_id", "vox_id")]
+        part = e.select(F.lit(d).alias("_d"), *ids, F.col("num_part").cast("double").alias("num_part"), "y")
         rows = part if rows is None else rows.unionByName(part)
     if layout is None:
         rows = rows.withColumn("node_id", F.col("vox_id")).withColumn("side", F.lit(0))
@@ -139,20 +141,25 @@ def align(evidence: Sequence[DataFrame], prior: IndependentPrior | None = None)
     return Aligned(wide.select(*cols), slots)
 
 
-def colocate(aligned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spread rows by node so that each new prior can be joined without moving them.
+def colocate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spread rows by node so that per-node tables can be joined without moving them again.
 
-    A node with very many subjects is split over several salts; the returned
-    table says how many, so the small prior can be repeated to match.
+    A node with very many subjects is split over several salts.  The returned
+    table lists only those hot nodes with their number of salts, at most one
+    per ``ROWS_PER_SALT`` rows; ``repeat_for_salts`` repeats a per-node table
+    to match.
     """
-    salts = aligned.groupBy("node_id").agg(
-        F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("int").alias("n_salt")
-    )
-    n = int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = aligned.join(salts, "node_id").withColumn(
-        "salt", F.pmod(F.xxhash64("subj_id"), F.col("n_salt")).cast("int")
-    ).drop("n_salt")
-    return rows.repartition(n, "node_id", "salt"), salts
+    hot = rows.groupBy("node_id").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("int").alias("n_salt")).where("n_salt > 1")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("subj_id"), F.coalesce("n_salt", F.lit(1))).cast("int")
+    placed = rows.join(hot, "node_id", "left").withColumn("salt", salt).drop("n_salt")
+    return placed.repartition(n, "node_id", "salt"), hot
+
+
+def repeat_for_salts(table: DataFrame, hot: DataFrame) -> DataFrame:
+    """A per-node table with one copy per salt of its node."""
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("n_salt", F.lit(1)) - 1))
+    return table.join(hot, "node_id", "left").withColumn("salt", salts).drop("n_salt")
 
 
 # ---------------------------------------------------------------- scoring
@@ -645,8 +652,7 @@ def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence
         data = df
         if table is not None:
             if salts is not None:
-                repeated = table.join(salts, "node_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)))
-                data = df.join(repeated.drop("n_salt"), ["node_id", "salt"])
+                data = df.join(repeat_for_salts(table, salts), ["node_id", "salt"])
             else:
                 data = df.join(table, "node_id")
         for d in range(n_ds):

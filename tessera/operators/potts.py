@@ -154,6 +154,7 @@ def posterior(model: PottsModel, scores: DataFrame, colours: DataFrame, n_colour
     Returns the posterior (``subj_id, node_id, uhat``) and the agreement per subject.
     """
     bias = scores.join(model.prior, "node_id").select("subj_id", "node_id", A.add(F.col("ll"), F.col("logpi")).alias("bias"))
+    bias = cut_lineage(bias)  # read by every colour of every sweep
     states = gibbs(model, colours, n_colours, chains, sweeps, seed, bias=bias, keys=("subj_id",))
     return frequencies(states, model.k, ("subj_id",)), expected_agreement(model.edges, states, ("subj_id",))
 

@@ -165,16 +165,13 @@ def relabelled_error(rows: DataFrame, k: int) -> float:
     The error adds up over labels, so K x K sums and one assignment replace
     K! evaluations.
     """
-    prepared = rows.select(
-        A.one_hot(F.col("label"), k).alias("t"),
-        A.let(
-            A.total(F.transform("uhat", F.abs)),
-            lambda s: F.transform("uhat", lambda u: F.abs(1 - u) + s - F.abs(u)),
-        ).alias("c"),
-        F.array(F.lit(1.0)).alias("one"),
+    errors = A.let(
+        A.total(F.transform("uhat", F.abs)), lambda s: F.transform("uhat", lambda u: F.abs(1 - u) + s - F.abs(u))
     )
-    cost = gram(prepared, "t", "c", k, k)
-    n = gram(prepared, "t", "one", k, 1).sum()
+    # The extra 1 counts the rows in the same pass.
+    prepared = rows.select(A.one_hot(F.col("label"), k).alias("t"), F.concat(errors, F.array(F.lit(1.0))).alias("c"))
+    sums = gram(prepared, "t", "c", k, k + 1)
+    cost, n = sums[:, :k], sums[:, k].sum()
     names = labels.best_assignment(cost)
     return float(cost[np.arange(k), names].sum() / (n * k))
 

@@ -103,6 +103,7 @@ def draw(labels: DataFrame, emission: em.Emission, seed, x: np.ndarray | None =
                 out_names.append("signal")
             yield pa.RecordBatch.from_arrays(arrays, names=out_names)
 
-    keep = ["subj_id", "vox_id", F.col("label").cast("int").alias("label")] + (["kappa"] if "kappa" in labels.columns else [])
+    ids = [F.col(c).cast("long").alias(c) for c in ("subj_id", "vox_id")]
+    keep = [*ids, F.col("label").cast("int").alias("label")] + (["kappa"] if "kappa" in labels.columns else [])
     schema = "subj_id long, vox_id long, y array<double>" + (", signal double" if signal else "")
     return labels.select(*keep).mapInArrow(run, schema)

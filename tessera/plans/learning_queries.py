@@ -266,7 +266,36 @@ def em_fused_trace(spark, sf):
     return _trace_rows(spark, mixture.fit_em(model, aligned, 3, NEVER, first_evidence=True))
 
 
-@query("em_symmetric_groups")
+def _sql_symmetric(iterations: int) -> str:
+    """EM with one prior per node and directions for both sides, written out."""
+    from tessera.plans.prior_queries import _PAIRS
+
+    out = [_PAIRS.replace(" AS (", " AS MATERIALIZED ("), f"""
+u0 AS MATERIALIZED (SELECT x.subj_id, x.vox_id, t.k, 0.5::DOUBLE * (x.label = t.k)::INT + 0.05::DOUBLE AS p FROM vox x CROSS JOIN range({PARCELS}) t(k)),
+g0 AS MATERIALIZED (SELECT node_id, t.k, -ln({HALF}) AS lp FROM node CROSS JOIN range({HALF}) t(k)),
+one AS (SELECT vox_id, node_id, min(side) AS side FROM lay GROUP BY ALL)"""]
+    for i in range(iterations):
+        u = f"u{i}"
+        out.append(f"""
+y{i} AS MATERIALIZED (SELECT u.k, x.m, sum(u.p * x.v) AS s FROM {u} u JOIN voxl x ON u.subj_id = x.subj_id AND u.vox_id = x.vox_id GROUP BY u.k, x.m),
+l{i} AS MATERIALIZED (SELECT k, sqrt(sum(s * s)) AS n FROM y{i} GROUP BY k),
+v{i} AS MATERIALIZED (SELECT y.k, y.m, y.s / l.n AS v FROM y{i} y JOIN l{i} l ON y.k = l.k),
+q{i} AS MATERIALIZED (SELECT {sql_concentration('r', WIDTH)} AS kappa FROM (SELECT avg(l.n / j.j) AS r FROM l{i} l JOIN (SELECT k, sum(p) AS j FROM {u} GROUP BY k) j ON l.k = j.k)),
+s{i} AS MATERIALIZED (SELECT x.subj_id, x.vox_id, d.k, max({sql_log_constant(WIDTH, 'q.kappa')}) + max(q.kappa) * sum(x.v * d.v) AS ll
+       FROM voxl x JOIN v{i} d ON x.m = d.m CROSS JOIN q{i} q GROUP BY x.subj_id, x.vox_id, d.k),
+n{i} AS MATERIALIZED (SELECT s.subj_id, l.node_id, s.k % {HALF} AS k, sum(s.ll) AS ll FROM s{i} s JOIN lay l ON s.vox_id = l.vox_id AND s.k // {HALF} = l.side GROUP BY ALL),
+b{i} AS MATERIALIZED (SELECT n.subj_id, n.node_id, n.k, n.ll + g.lp AS b FROM n{i} n JOIN g{i} g ON n.node_id = g.node_id AND n.k = g.k),
+w{i} AS MATERIALIZED (SELECT subj_id, node_id, k, exp(b - m) / sum(exp(b - m)) OVER (PARTITION BY subj_id, node_id) AS u
+       FROM (SELECT *, max(b) OVER (PARTITION BY subj_id, node_id) AS m FROM b{i})),
+u{i + 1} AS MATERIALIZED (SELECT w.subj_id, o.vox_id, w.k + {HALF} * t.side AS k, CASE WHEN d.mid THEN w.u / 2 WHEN t.side = o.side THEN w.u ELSE 0 END AS p
+       FROM w{i} w JOIN one o ON w.node_id = o.node_id JOIN node d ON d.node_id = w.node_id CROSS JOIN (VALUES (0), (1)) t(side)),
+g{i + 1} AS MATERIALIZED (SELECT node_id, k, ln(avg(u)) AS lp FROM w{i} GROUP BY ALL)""")
+    return ",".join(out)
+
+
+@query("em_symmetric_groups", f"""
+WITH {VOX}, {_sql_symmetric(3)}
+SELECT subj_id, vox_id, k::BIGINT AS k, round(p, 6) + 0.0 AS p FROM u3""")
 def em_symmetric_groups(spark, sf):
     """Symmetric prior per node, learned with directions for both sides."""
     layout = pair_layout(spark, sf)

@@ -336,7 +336,30 @@ def potts_enumerate(spark, sf):
     return views.explode_parcels(out, "uhat", "subj_id", "field", "position")
 
 
-@query("potts_mean_field")
+def _sql_mean_field(steps: int) -> str:
+    """Softmax of the biased, coupled means, even nodes then odd nodes, per step."""
+    out = ["""
+mb AS MATERIALIZED (SELECT subj_id, vox_id, k, ll + 0.1 * k AS b FROM sc),
+mf AS MATERIALIZED (SELECT subj_id, vox_id, k, exp(b - m) / sum(exp(b - m)) OVER (PARTITION BY subj_id, vox_id) AS u
+       FROM (SELECT *, max(b) OVER (PARTITION BY subj_id, vox_id) AS m FROM mb))"""]
+    last = "mf"
+    for i in range(steps):
+        for c in (0, 1):
+            n = f"mf{i}{c}"
+            out.append(f"""
+{n}_b AS MATERIALIZED (SELECT b.subj_id, b.vox_id, b.k, b.b + 0.7 * coalesce(sum(o.u), 0) AS b FROM mb b
+       LEFT JOIN {last} o ON o.subj_id = b.subj_id AND o.k = b.k AND abs(o.vox_id - b.vox_id) = 1 GROUP BY b.subj_id, b.vox_id, b.k, b.b),
+{n}_u AS MATERIALIZED (SELECT subj_id, vox_id, k, exp(b - m) / sum(exp(b - m)) OVER (PARTITION BY subj_id, vox_id) AS u
+       FROM (SELECT *, max(b) OVER (PARTITION BY subj_id, vox_id) AS m FROM {n}_b)),
+{n} AS MATERIALIZED (SELECT o.subj_id, o.vox_id, o.k, CASE WHEN o.vox_id % 2 = {c} THEN n.u ELSE o.u END AS u
+       FROM {last} o JOIN {n}_u n ON o.subj_id = n.subj_id AND o.vox_id = n.vox_id AND o.k = n.k)""")
+            last = n
+    return ",".join(out)
+
+
+@query("potts_mean_field", f"""
+WITH {EVT_EVIDENCE}, {EVENT_SUMS}, {_sql_mean_field(2)}
+SELECT subj_id, vox_id AS node_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM mf11""")
 def potts_mean_field(spark, sf):
     scores, model = _event_chain(spark, sf)
     colours = scores.select("node_id").distinct().withColumn("colour", (F.col("node_id") % 2).cast("int"))
