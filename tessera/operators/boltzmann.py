@@ -281,6 +281,46 @@ def sparse_step(
     return new
 
 
+def weight_step(
+    model: SparseHidden, uhat: DataFrame, hidden: DataFrame, neg_u: DataFrame, neg_hidden: DataFrame, rate: float = 0.01
+) -> SparseHidden:
+    """Gradient step on freely trained connections: every edge has its own weight.
+
+    For models of one component with strength 1.
+    """
+    if len(model.theta) != 1:
+        raise ValueError("free weights need a single component")
+
+    def mean(u, h, uc, hc, name):
+        n = u.select("subj_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+        x = _expected_products(u, h, model.edges, uc, hc)
+        return x.groupBy("h", "node_id").agg(F.sum("x").alias("s")).select("h", "node_id", (F.col("s") / n).alias(name))
+
+    pos, neg = mean(uhat, hidden, "uhat", "hhat", "gp"), mean(neg_u, neg_hidden, "pu", "ph", "gn")
+    rows = model.edges.join(pos, ["h", "node_id"], "left").join(neg, ["h", "node_id"], "left")
+    g = F.coalesce("gp", F.lit(0.0)) - F.coalesce("gn", F.lit(0.0))
+    moved = F.col("w") + rate * (1 - model.weight_decay) * g
+    return replace(model, edges=cut_lineage(rows.select("h", "node_id", "component", moved.alias("w"))))
+
+
+def random_weights(h: DataFrame, nodes: DataFrame, seed, scale: float = 0.1) -> DataFrame:
+    """Normal starting weights between every hidden unit and every location of a dense layer.
+
+    The number of hidden units is a model setting, so this is one row per
+    weight and nothing else.
+    """
+    units = h.agg(F.collect_set("h").alias("u")).scalar()
+    rows = nodes.withColumn("h", F.explode(units))
+    z = randoms.normal(seed, F.col("h"), F.col("node_id")) * scale
+    return rows.select("h", "node_id", F.lit(0).alias("component"), z.alias("w"))
+
+
+def chain_marginal(states: DataFrame, k: int, column: str = "label") -> DataFrame:
+    """Marginal probability of every location as the mean over chains."""
+    share = [F.avg(F.when(F.col(column) == i, 1.0).otherwise(0.0)) for i in range(k)]
+    return states.groupBy("node_id").agg(F.array(*share).alias("pi"))
+
+
 def sparse_negative_phase(
     states: DataFrame, model: SparseHidden, steps: int, seed, evidence: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.functions import batches
 from tessera.operators import mixture
-from tessera.operators.prediction import KINDS, cosine_error, harden
+from tessera.operators.prediction import KINDS, cosine_error, harden, mean_abs_error, mean_log_evidence
 from tessera.operators.reduce import sum_by_key
 from tessera.session import cut_lineage
 
@@ -214,5 +213,21 @@ def completion_independent(scores: DataFrame, prior: mixture.IndependentPrior) -
     return scores.select("subj_id", "vox_id").join(pi, "vox_id")
 
 
-def with_emissions(model: mixture.Model, *emissions) -> mixture.Model:
-    return replace(model, emissions=tuple(emissions))
+CRITERIA = ("logpY", "u_abserr", "cos_err", "Ecos_err")
+
+
+def evaluate(rows: DataFrame, criterion: str, v: np.ndarray | None = None) -> float:
+    """One number for a parcellation on new data, averaged over subjects.
+
+    ``rows`` holds ``uhat`` and, as the criterion needs, ``ll`` (logpY), true
+    indicators ``u`` (u_abserr), or ``subj_id, y`` (hard or expected cosine
+    error).
+    """
+    if criterion == "logpY":
+        return mean_log_evidence(rows).first()["logpy"]
+    if criterion == "u_abserr":
+        return mean_abs_error(rows).first()["u_abserr"]
+    if criterion in ("cos_err", "Ecos_err"):
+        kind = "hard" if criterion == "cos_err" else "expected"
+        return cosine_error(rows, v, kind).agg(F.avg("cosine_error").alias("e")).first()["e"]
+    raise ValueError(f"unknown criterion {criterion}, use one of {CRITERIA}")

@@ -186,3 +186,18 @@ def smooth_prior(distances: DataFrame, theta: float, drop_last: bool = False) ->
 
 def uniform_flat(k: int) -> np.ndarray:
     return np.full(k, -math.log(k))
+
+
+def build_prior(prob: DataFrame, k: int, kind: str = "prob", layout: Layout | None = None) -> IndependentPrior:
+    """Independent prior from given values per location (``vox_id, prob`` or ``vox_id, logpi``).
+
+    ``kind="prob"`` cleans probabilities first, ``"logpi"`` takes logarithms as
+    they are.  With a layout the values of paired locations are combined.
+    """
+    if kind not in ("prob", "logpi"):
+        raise ValueError(f"unknown kind of prior {kind}")
+    logpi = clean_probabilities(prob, k) if kind == "prob" else prob
+    if layout is None:
+        return IndependentPrior(k, table=logpi.withColumnRenamed("vox_id", "node_id"))
+    k_node = k if layout.same_parcels else k // 2
+    return IndependentPrior(k_node, table=halve_paired(logpi, layout, k_node), layout=layout)

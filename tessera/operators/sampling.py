@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import batches
+from tessera.functions import batches, randoms
 from tessera.operators import emissions as em
 
 
@@ -107,3 +107,30 @@ def draw(labels: DataFrame, emission: em.Emission, seed, x: np.ndarray | None =
     keep = [*ids, F.col("label").cast("int").alias("label")] + (["kappa"] if "kappa" in labels.columns else [])
     schema = "subj_id long, vox_id long, y array<double>" + (", signal double" if signal else "")
     return labels.select(*keep).mapInArrow(run, schema)
+
+
+def draw_labels(marginal: DataFrame, subjects: DataFrame, seed) -> DataFrame:
+    """A label for every subject and location; ``marginal``: ``vox_id, pi``; ``subjects``: ``subj_id``.
+
+    Subjects are few compared with locations and are attached to each location
+    as one array.
+    """
+    ids = subjects.agg(F.collect_set("subj_id").alias("s")).scalar()
+    cells = marginal.withColumn("subj_id", F.explode(ids))
+    u = randoms.uniform(seed, F.col("subj_id"), F.col("vox_id"))
+    return cells.select("subj_id", "vox_id", randoms.pick_category(F.col("pi"), u).alias("label"))
+
+
+def simulate(model, subject_map: DataFrame, seed, designs=None) -> tuple[DataFrame, list[DataFrame]]:
+    """Labels of all subjects and the data of every dataset.
+
+    ``subject_map``: ``dataset_id, local_subj, subj_id``; ``designs`` gives
+    (design, partitions) per dataset.
+    """
+    labels = draw_labels(model.prior.marginal_full(), subject_map.select("subj_id").distinct(), f"{seed}.u")
+    data = []
+    for d, emission in enumerate(model.emissions):
+        x, parts = (None, None) if designs is None else designs[d]
+        members = subject_map.where(F.col("dataset_id") == d).select("subj_id").distinct()
+        data.append(draw(labels.join(members, "subj_id", "left_semi"), emission, f"{seed}.y{d}", x, parts))
+    return labels, data

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import randoms
 from tessera.session import cut_lineage
 
 # Node ids per block when edges are numbered.
@@ -155,3 +156,9 @@ def disc_mask(nodes: DataFrame, centre: tuple[float, float], rate: float, size:
     r = float(np.sqrt(rate * size / np.pi))
     d = F.sqrt((F.col("x") - centre[0]) * (F.col("x") - centre[0]) + (F.col("y") - centre[1]) * (F.col("y") - centre[1]))
     return nodes.select("node_id", (d < r).alias("missing"))
+
+
+def random_mask(nodes: DataFrame, rate: float, seed, *keys: str) -> DataFrame:
+    """Nodes that go missing independently with a given rate (per key, such as the subject)."""
+    u = randoms.uniform(seed, *[F.col(c) for c in keys], F.col("node_id"))
+    return nodes.select(*keys, "node_id", (u < rate).alias("missing"))

@@ -270,12 +270,39 @@ def cmp_rbm_step(spark, sf):
     return spark.createDataFrame([(c, round(t, 6)) for c, t in enumerate(new.theta)], "component long, theta double")
 
 
-@query("dbm_mean_field_sample")
+_NORMAL = "sqrt(-2 * ln(1 - {a})) * cos(2 * pi() * {b})".format(
+    a=_U.format("'6.a|' || s.s || '|' || n.vox_id || '|' || k.k"), b=_U.format("'6.b|' || s.s || '|' || n.vox_id || '|' || k.k")
+)
+
+
+def _sql_dbm(steps: int) -> str:
+    out = [f"""
+z AS MATERIALIZED (SELECT s.s AS subj_id, n.vox_id, k.k, {_NORMAL} AS b FROM nodes n CROSS JOIN range(2) s(s) CROSS JOIN range({PARCELS}) k(k))""", _sql_softmax("u0", "z")]
+    for i in range(steps):
+        out.append(f"""
+a{i} AS MATERIALIZED (SELECT u.subj_id, l.h, u.k, sum(l.w * u.u) AS b FROM u{i} u JOIN li l ON u.vox_id = l.vox_id GROUP BY ALL),
+{_sql_softmax(f"h{i}", f"a{i}", "subj_id, h", "v")},
+f{i} AS MATERIALIZED (SELECT v.subj_id, l.vox_id, v.k, max(p.lp) + sum(l.w * v.v) AS b FROM h{i} v JOIN li l ON v.h = l.h JOIN pri p ON p.vox_id = l.vox_id AND p.k = v.k GROUP BY ALL)""")
+        out.append(_sql_softmax(f"u{i + 1}", f"f{i}"))
+    return ",".join(out)
+
+
+@query("dbm_mean_field_sample", f"""
+WITH {_SPARSE}, {_sql_dbm(2)}
+SELECT subj_id, vox_id AS node_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM u2""")
 def dbm_mean_field_sample(spark, sf):
     out = boltzmann.mean_field_sample(sparse_model(spark, sf), 2, 2, 6)
     return views.explode_parcels(out, "uhat", "subj_id", "node_id")
 
 
+@query("chain_marginal", f"""
+WITH {_SPARSE}, {_SPARSE_NEG}
+SELECT s.vox_id AS node_id, t.k, avg((s.u = t.k)::INT) AS p FROM s0 s CROSS JOIN range({PARCELS}) t(k) GROUP BY ALL""")
+def chain_marginal(spark, sf):
+    states = boltzmann.start_chains(sparse_model(spark, sf), CHAINS, 2)
+    return views.explode_parcels(boltzmann.chain_marginal(states, PARCELS), "pi", "node_id")
+
+
 @query("fit_sml_posterior")
 def fit_sml_posterior(spark, sf):
     """One round of stochastic maximum likelihood with two batches of subjects."""

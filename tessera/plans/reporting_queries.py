@@ -225,7 +225,14 @@ def gauss_exp_import(spark, sf):
     return views.explode_parcels(out, "ll", "subj_id", "vox_id", alias="ll", digits=5)
 
 
-@query("gauss_exp_reject")
+@query("gauss_exp_reject", f"""
+WITH {VOX}, {LABEL_SUMS}, {_GME_HEAD},
+bi AS MATERIALIZED (SELECT i, -ln(1 - ('0x' || substr(md5('0|signal|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE) / {GME_BETA} AS x FROM range({GME_BINS}) t(i)),
+th AS MATERIALIZED (SELECT k.k, t.i, ('0x' || substr(md5('0|accept' || k.k || '|' || t.i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range({PARCELS}) k(k) CROSS JOIN range({GME_BINS}) t(i)),
+lg AS (SELECT y.*, b.i, b.x, (2 * y.a * b.x - b.x * b.x) / (2 * {GME_SIGMA2}) AS l FROM yv y CROSS JOIN bi b),
+ra AS (SELECT *, exp(l - max(l) OVER (PARTITION BY subj_id, vox_id, k)) AS ratio FROM lg),
+sg AS (SELECT r.subj_id, r.vox_id, r.k, max(r.a) AS a, avg(r.x) AS s, avg(r.x * r.x) AS s2 FROM ra r JOIN th t ON t.k = r.k AND t.i = r.i WHERE t.u <= r.ratio GROUP BY ALL)
+{_GME_TAIL}""")
 def gauss_exp_reject(spark, sf):
     out = mixture.loglik(views.vox_evidence(spark, sf), replace(label_gme(spark, sf), estep="reject"))
     return views.explode_parcels(out, "ll", "subj_id", "vox_id", alias="ll", digits=5)

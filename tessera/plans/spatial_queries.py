@@ -131,6 +131,13 @@ def disc_mask(spark, sf):
     return spatial.disc_mask(nodes, (50.0, 10.0), 0.1, nodes.count()).select("node_id", F.col("missing").cast("long").alias("missing"))
 
 
+@query("random_mask", """
+SELECT p_partkey AS node_id, (('0x' || substr(md5('5|' || p_partkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.15)::BIGINT AS missing FROM part""")
+def random_mask(spark, sf):
+    out = spatial.random_mask(part_grid(spark, sf), 0.15, 5)
+    return out.select("node_id", F.col("missing").cast("long").alias("missing"))
+
+
 @query("graph_colouring")
 def graph_colouring(spark, sf):
     return spatial.colour(spatial.grid_edges(part_grid(spark, sf)))

@@ -166,3 +166,15 @@ def test_completion_of_an_independent_prior(spark):
     fast = crossval.completion_independent(scores, prior).orderBy("vox_id").collect()
     for a, b in zip(slow, fast):
         assert a["uhat"] == pytest.approx(b["uhat"])
+
+
+def test_evaluation_by_name(spark):
+    df = spark.createDataFrame(
+        [(0, [1.0, 0.0], [0.8, 0.2], [1.0, 0.0], [0.0, -1.0])], "subj_id long, y array<double>, uhat array<double>, u array<double>, ll array<double>"
+    )
+    assert crossval.evaluate(df, "u_abserr") == pytest.approx(0.2)
+    assert crossval.evaluate(df, "cos_err", np.eye(2)) == pytest.approx(0.0)
+    assert crossval.evaluate(df, "Ecos_err", np.eye(2)) == pytest.approx(0.2)
+    assert crossval.evaluate(df, "logpY") == pytest.approx(np.log(0.8 + 0.2 * np.exp(-1)))
+    with pytest.raises(ValueError):
+        crossval.evaluate(df, "other")

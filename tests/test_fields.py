@@ -182,3 +182,35 @@ def test_samples_have_the_right_moments(spark):
     assert hit == pytest.approx(np.exp(2) / (np.exp(2) + 2), abs=0.03)
     g = sampling.draw(rows, em.GaussianExponential(v, 5.0, 0.1, 2.0), 1, signal=True)
     assert g.agg(F.avg("signal").alias("s")).first()["s"] == pytest.approx(0.5, abs=0.04)
+
+
+def test_free_weights_follow_their_gradient(spark):
+    model = sparse(spark, 3, 2, theta=(1.0,))
+    uhat = spark.createDataFrame([(0, i, [1.0, 0.0]) for i in range(3)], "subj_id long, node_id long, uhat array<double>")
+    hid = spark.createDataFrame([(0, h, [0.5, 0.5]) for h in range(3)], "subj_id long, h long, hhat array<double>")
+    neg = spark.createDataFrame([(0, i, [0.5, 0.5]) for i in range(3)], "subj_id long, node_id long, pu array<double>")
+    neg_hid = spark.createDataFrame([(0, h, [0.25, 0.25]) for h in range(3)], "subj_id long, h long, ph array<double>")
+    new = boltzmann.weight_step(model, uhat, hid, neg, neg_hid, rate=0.1)
+    assert [r["w"] for r in new.edges.collect()] == pytest.approx([1.0 + 0.1 * (0.5 - 0.25)] * 4)
+
+
+def test_simulation_covers_all_datasets(spark):
+    v = np.linalg.qr(np.random.default_rng(0).standard_normal((5, 3)))[0]
+    table = spark.createDataFrame([(i, [5.0 if k == i % 3 else 0.0 for k in range(3)]) for i in range(9)], "node_id long, logpi array<double>")
+    e = em.VonMisesFisher(v, 50.0)
+    model = mixture.Model(priors.IndependentPrior(3, table=table), (e, e))
+    who = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 2)], "dataset_id int, local_subj long, subj_id long")
+    labels, data = sampling.simulate(model, who, 3)
+    assert labels.count() == 27 and [d.count() for d in data] == [18, 18]
+    ready = [d.select("subj_id", "vox_id", F.lit(1.0).alias("num_part"), "y") for d in data]
+    post = mixture.posterior(mixture.align(ready), model).join(labels, ["subj_id", "vox_id"])
+    assert post.agg(F.avg((A.argmax(F.col("uhat")) == F.col("label")).cast("int")).alias("a")).first()["a"] > 0.95
+
+
+def test_prior_from_probabilities(spark):
+    prob = spark.createDataFrame([(0, [0.0, 1.0]), (1, [None, None])], "vox_id long, prob array<double>")
+    rows = priors.build_prior(prob, 2).table.orderBy("node_id").collect()
+    assert rows[0]["logpi"] == pytest.approx([np.log(1e-8), np.log(1 + 1e-8)])
+    assert rows[1]["logpi"] == pytest.approx([np.log(0.5 + 1e-8)] * 2)
+    with pytest.raises(ValueError):
+        priors.build_prior(prob, 2, kind="odds")
