@@ -13,6 +13,7 @@ from tessera.functions import arrays as A
 from tessera.functions import batches
 from tessera.operators import mixture
 from tessera.operators.prediction import KINDS, cosine_error, harden, mean_abs_error, mean_log_evidence
+from tessera.operators.mixture import MAX_HELD_SUMS
 from tessera.operators.reduce import sum_by_key
 from tessera.session import cut_lineage
 
@@ -27,6 +28,15 @@ def _subject_sums(rows: DataFrame, width: int, k: int, weight: Callable, kind: s
     """
     cols = [f"c{j}" for j in range(max(k, 2))]
 
+    def emit(acc):
+        m = np.append(np.arange(width), -1)
+        stacked = np.vstack(list(acc.values()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(list(acc), width + 1)), pa.array(np.tile(m, len(acc)))]
+            + [pa.array(stacked[:, j]) for j in range(len(cols))],
+            names=["subj_id", "m", *cols],
+        )
+
     def run(it):
         acc: dict[int, np.ndarray] = {}
         for batch in it:
@@ -48,14 +58,11 @@ def _subject_sums(rows: DataFrame, width: int, k: int, weight: Callable, kind: s
                 block[:width, :k] = yw[mine].T @ u[mine]
                 block[width, :2] = np.nansum(length[mine] ** 2), ok[mine].sum()
                 acc[int(s)] = acc.get(int(s), 0) + block
+            if len(acc) * (width + 1) > MAX_HELD_SUMS:
+                yield emit(acc)
+                acc = {}
         if acc:
-            m = np.append(np.arange(width), -1)
-            stacked = np.vstack(list(acc.values()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(list(acc), width + 1)), pa.array(np.tile(m, len(acc)))]
-                + [pa.array(stacked[:, j]) for j in range(len(cols))],
-                names=["subj_id", "m", *cols],
-            )
+            yield emit(acc)
 
     schema = "subj_id long, m long, " + ", ".join(f"{c} double" for c in cols)
     parts = rows.select("subj_id", "y", "uhat").mapInArrow(run, schema)

@@ -27,6 +27,8 @@ from tessera.session import cut_lineage
 
 # Rows of one node that may share a task before the node is split (salted).
 ROWS_PER_SALT = 50_000
+# Sums a task holds before it hands them on; only per-subject sums get that many.
+MAX_HELD_SUMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -379,6 +381,9 @@ def _pass(
                         for name, m in emission.stats(full[rows], b.y[j][rows], b.n[j][rows]).items():
                             for r in range(m.shape[0]):
                                 put(i, s.dataset, name, r, sid, m[r])
+            if len(acc) > MAX_HELD_SUMS:
+                yield _emit([list(c) for c in zip(*acc)], np.array(list(acc.values())), values)
+                acc.clear()
             for i, sums in nodes_out:
                 yield _emit(
                     [np.full(len(node), i), np.full(len(node), -1), ["node"] * len(node), node, [None] * len(node)],

@@ -243,7 +243,8 @@ def chain_posterior(scores: DataFrame, k: int, theta: float, block: int = 256) -
     along the chain.  A chain is cut into blocks.  Every block is reduced to one
     K x K transfer matrix, the short list of matrices of a subject gives the
     messages at all block borders, and then each block finishes on its own.  No
-    task ever sees a whole chain.
+    task ever sees a whole chain; with ``block`` near the square root of its
+    length both levels stay equally small.
 
     Returns ``subj_id, node_id, uhat, agree``; ``agree`` is the probability
     that the node equals its predecessor (NULL for the first).

@@ -25,7 +25,7 @@ def indicator_matrix(spark, sf):
 
 
 _POSITIVE_SQL = """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
        (l_linenumber - 3 = 1)::INT::DOUBLE AS x0, (l_linenumber - 3 = 2)::INT::DOUBLE AS x1,
        (l_linenumber - 3 = 3)::INT::DOUBLE AS x2, (l_linenumber - 3 = 4)::INT::DOUBLE AS x3
 FROM lineitem"""
@@ -34,7 +34,7 @@ FROM lineitem"""
 @query("indicator_positive", _POSITIVE_SQL)
 def indicator_positive(spark, sf):
     df = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         (F.col("l_linenumber") - 3).alias("level"),
     )
     return evidence.indicator(df, "level", range(-2, 5), positive=True).drop("level")

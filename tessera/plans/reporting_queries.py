@@ -154,10 +154,10 @@ pr AS (SELECT *, n / sum(n) OVER () AS pi, cqq * cdd - cqd * cqd AS det FROM mo)
 
 
 @query("minmax_scale", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, round((l_quantity - a.q0) / (a.q1 - a.q0), 6) + 0.0 AS l_quantity, round((l_extendedprice - a.p0) / (a.p1 - a.p0), 6) + 0.0 AS l_extendedprice
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity - a.q0) / (a.q1 - a.q0), 6) + 0.0 AS l_quantity, round((l_extendedprice - a.p0) / (a.p1 - a.p0), 6) + 0.0 AS l_extendedprice
 FROM lineitem CROSS JOIN (SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_extendedprice) AS p0, max(l_extendedprice) AS p1 FROM lineitem) a""")
 def minmax_scale(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     out = gm.scale_columns(rows, ["l_quantity", "l_extendedprice"])
     return out.withColumns({c: r6(F.col(c)) for c in ("l_quantity", "l_extendedprice")})
 

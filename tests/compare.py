@@ -52,6 +52,14 @@ def run_sql(con, sql):
     return table(columns, con.fetchall())
 
 
+def type_differences(df, con, sql):
+    """Columns whose Spark type has another name in SQL."""
+    same = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "float": "FLOAT"}
+    con.execute(f"DESCRIBE {sql}")
+    kinds = {r[0]: r[1] for r in con.fetchall()}
+    return {c: (t, kinds.get(c)) for c, t in df.dtypes if same.get(t, t) != kinds.get(c)}
+
+
 def difference(got, want):
     """None if equal, else a short description."""
     if got[0] != want[0]:
@@ -79,8 +87,11 @@ def main():
             continue
         t0 = time.time()
         try:
-            got = run_spark(spark, fn, sf_dir)
+            df = fn(spark, sf_dir)
+            got = table(df.columns, [tuple(r) for r in df.collect()])
             t1 = time.time()
+            if name in oracles and (kinds := type_differences(df, con, oracles[name])):
+                print(f"{name:34s} types {kinds}", flush=True)
             if name in oracles:
                 want = run_sql(con, oracles[name])
                 diff = difference(got, want)
