@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import arrays as A
 from tessera.functions import batches
 from tessera.operators import mixture
 from tessera.operators.prediction import KINDS, cosine_error, harden, mean_abs_error, mean_log_evidence

@@ -9,7 +9,7 @@ from tessera.functions import arrays as A
 from tessera.operators import evidence
 from tessera.plans import views
 from tessera.plans.registry import query
-from tessera.plans.views import BLOCKS, EVENT_TYPES, EVT, EVT_EVIDENCE, VOX, r6, table
+from tessera.plans.views import EVENT_TYPES, EVT, EVT_EVIDENCE, VOX, r6, table
 
 _INDICATOR_SQL = """
 SELECT event_id, (event_type = 'click')::INT::DOUBLE AS x0, (event_type = 'error')::INT::DOUBLE AS x1,

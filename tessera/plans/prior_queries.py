@@ -16,7 +16,7 @@ from tessera.plans.emission_queries import (
     LABEL_SUMS, SHARED_KAPPA, SOFTMAX, VMF_SCORES, label_vmf, sql_concentration, sql_log_constant, vox_aligned,
 )
 from tessera.plans.registry import query
-from tessera.plans.views import PARCELS, VOX, r6, table
+from tessera.plans.views import PARCELS, VOX, table
 
 # ---------------------------------------------------------------- label prior
 
