@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import substring_dedup
+from tessera.llm import bpe, exact_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,8 +30,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query("op10_substring_dedup", r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
-win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM at),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM pos),
 first AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k),
 cut AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (k) WHERE doc_id > f),
 kept AS (
@@ -43,3 +44,23 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query("op1_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.mark(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@_query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    both = bpe.decode(ids, vocabulary)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
