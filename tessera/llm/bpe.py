@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textops
 
 #: White space of the pre-tokenising pattern, and the endings it splits off after an apostrophe.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 #: Distinct words remembered by a task; beyond them it starts afresh, with the same results.

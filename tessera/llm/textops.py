@@ -83,12 +83,13 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data, offsets - offsets[0]
 
 
-def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
-    """Consecutive ranges of rows of about ``limit`` bytes; a longer row is a slice of its own."""
+def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES, rows: int = 1 << 16):
+    """Consecutive ranges of rows of about ``limit`` bytes and ``rows`` at most; a longer row is its own slice."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        yield lo, min(hi, n)
+        hi = min(hi, lo + rows, n)
+        yield lo, hi
         lo = hi
 
 
