@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, embedding_dedup, exact_dedup, lm_scoring, near_dedup, substring_dedup, toxicity
+from tessera.llm import (
+    bpe, embedding_dedup, exact_dedup, licenses, line_dedup, lm_scoring, mixing, near_dedup, substring_dedup, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +104,91 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_lm_scoring")
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+    return f"""
+WITH template(id, license, text) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+part AS (
+  SELECT r, doc_id, 'line' AS kind, unnest(range(len(l))) AS number, unnest(l) AS p
+  FROM (SELECT *, string_split(text, chr(10)) AS l FROM d)
+  UNION ALL SELECT r, doc_id, 'paragraph', number, p FROM (
+    SELECT r, doc_id, unnest(range(len(l))) AS number, unnest(l) AS p
+    FROM (SELECT *, string_split_regex(text, '\n[ \t\r]*\n') AS l FROM d)) WHERE contains(p, chr(10))
+  UNION ALL SELECT r, doc_id, 'text', 0, text FROM d WHERE len(string_split_regex(text, '\n[ \t\r]*\n')) > 1),
+unit AS (SELECT row_number() OVER () AS u, *, string_split({normal("p")}, ' ') AS w FROM part),
+pair AS (SELECT u, w[i] || ' ' || w[i + 1] AS b FROM (SELECT u, w, unnest(range(1, len(w))) AS i FROM unit)),
+pairs AS (SELECT u, b, count(*) AS n FROM pair GROUP BY ALL),
+tw AS (SELECT id, license, string_split({normal("text")}, ' ') AS w FROM template),
+tpair AS (SELECT id, w[i] || ' ' || w[i + 1] AS b FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM tw)),
+tpairs AS (SELECT id, b, count(*) AS n FROM tpair GROUP BY ALL),
+common AS (SELECT u, id, sum(least(pairs.n, tpairs.n)) AS c FROM pairs JOIN tpairs USING (b) GROUP BY ALL),
+hit AS (
+  SELECT r, id, license, 2.0::DOUBLE * c / (len(unit.w) - 1 + len(tw.w) - 1) AS dice
+  FROM common JOIN unit USING (u) JOIN tw USING (id) WHERE 2.0::DOUBLE * c / (len(unit.w) - 1 + len(tw.w) - 1) >= 0.8)
+SELECT d.doc_id, first(license ORDER BY dice DESC, id) AS license, max(dice) AS dice, count(dice) AS n_matches
+FROM d LEFT JOIN hit USING (r) GROUP BY d.r, d.doc_id"""
+
+
+@_query("op3_license_scan", _license_sql())
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_mix_sources", """
+WITH n AS (
+  SELECT doc_id, coalesce(source, '') AS source, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+         len(coalesce(text, '')) - len(replace(replace(coalesce(text, ''), ' ', ''), chr(10), '')) + 1 AS tokens
+  FROM documents),
+d AS (SELECT *, CAST('0x' || k[1:8] AS BIGINT) % 64 AS block FROM n),
+s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+f AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, max(tokens) AS most, min(tokens) AS least, count(*) AS k FROM s),
+g AS (SELECT i / 1048576.0::DOUBLE AS x FROM (SELECT unnest(range(0, 1048577)) AS i)),
+h AS (SELECT x, ln(sum(exp(x * ln(tokens / total)))) - sum(exp(x * ln(tokens / total)) * x * ln(tokens / total))
+             / sum(exp(x * ln(tokens / total))) AS entropy FROM g, s, f GROUP BY x),
+e AS (SELECT round(greatest((SELECT max(x) FROM h, f WHERE entropy >= 0.97 * ln(k::DOUBLE) - 1e-12),
+             CASE WHEN most <= 2 * least THEN 0 ELSE 1 - ln(2.0) / ln(most / least::DOUBLE) END), 6) AS x FROM f),
+w AS (SELECT source, tokens, greatest(tokens, CAST(round(tokens * pow(most / tokens::DOUBLE, 1 - x)) AS BIGINT)) AS budget
+      FROM s, f, e),
+b AS (
+  SELECT source, block, sum(d.tokens) AS t, any_value(budget // w.tokens) AS readings, any_value(budget % w.tokens) AS rest
+  FROM d JOIN w USING (source) GROUP BY source, block),
+p AS (
+  SELECT *, rest - coalesce(sum(t) OVER (PARTITION BY source ORDER BY md5('mix|' || source || '|' || readings || '|' || block), block
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM b),
+o AS (
+  SELECT doc_id, source, readings, room, t,
+         sum(tokens) OVER (PARTITION BY source, block ORDER BY k RANGE UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN p USING (source, block))
+SELECT doc_id, source, unnest(range(CAST(readings + CASE WHEN room >= t OR upto <= room THEN 1 ELSE 0 END AS BIGINT))) AS reading
+FROM o""")
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "reading")
+
+
+@_query("op9_line_dedup", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+line AS (SELECT doc_id, i, l[i] AS raw, trim(lower(l[i]), ' ') AS norm FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+long AS (SELECT *, string_split(norm, ' ') AS w FROM line WHERE len(norm) - len(replace(norm, ' ', '')) >= 4),
+uniq AS (SELECT norm, any_value(w) AS w, min({'d': doc_id, 'i': i}) AS first FROM long GROUP BY norm),
+variant AS (SELECT norm, first, len(w) AS n, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS v
+            FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM uniq)),
+lead AS (SELECT v, p, n, min(first) AS first FROM variant GROUP BY ALL),
+near AS (
+  SELECT variant.norm FROM variant JOIN lead USING (v, p, n) WHERE lead.first < variant.first
+  UNION SELECT CASE WHEN uniq.first < variant.first THEN variant.norm ELSE uniq.norm END
+  FROM variant JOIN uniq ON uniq.norm = variant.v),
+kept AS (
+  SELECT line.doc_id, string_agg(raw, chr(10) ORDER BY line.i) AS t, count(*) AS n
+  FROM line LEFT JOIN uniq ON uniq.norm = line.norm LEFT JOIN near ON near.norm = line.norm
+  WHERE uniq.norm IS NULL OR (near.norm IS NULL AND uniq.first = {'d': line.doc_id, 'i': line.i}) GROUP BY line.doc_id)
+SELECT d.doc_id, CAST(len(d.l) AS BIGINT) AS n_lines, CAST(len(d.l) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
