@@ -8,6 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def required(value: Column, message: str) -> Column:
+    """``value``, or an error where it is NULL: for keys that a join must find."""
+    return F.coalesce(value, F.raise_error(F.lit(message)))
+
+
+def known(value: Column, values, message: str) -> Column:
+    """``value`` if it is one of ``values``, else an error."""
+    return F.when(value.isin(list(values)), value).otherwise(F.raise_error(F.lit(message)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and pass it to ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

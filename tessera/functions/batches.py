@@ -24,6 +24,21 @@ def vector(column: pa.Array, default: float = np.nan) -> np.ndarray:
     return np.where(np.isnan(values), default, values)
 
 
+def width(column: pa.Array) -> int:
+    """Length of the lists of a column whose lists all have the same length (0 if all are missing)."""
+    lengths = column.value_lengths().drop_null()
+    return int(lengths[0].as_py()) if len(lengths) else 0
+
+
+def groups(ids: np.ndarray):
+    """(id, its rows) of a batch, from one sort: the work is linear in the rows, however many ids there are."""
+    order = np.argsort(ids, kind="stable")
+    ordered = ids[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ids) else np.zeros(0, int)
+    for v, rows in zip(ordered[first], np.split(order, first[1:])):
+        yield int(v), rows
+
+
 def list_array(values: np.ndarray) -> pa.Array:
     """(n, width) matrix as a list<double> column; NaN elements become NULL."""
     n, width = values.shape

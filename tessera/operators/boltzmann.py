@@ -173,6 +173,11 @@ class SparseHidden:
     momentum: float | None = None
     weight_decay: float = 0.0
     velocity: tuple[float, ...] | None = None
+    # Sparse machines divide the plain sum of products by the summed weights, others weigh the products.
+    weighted_gradient: bool = True
+    # With momentum: node_id, vb (biases) and h, node_id, vw (free weights).
+    bias_velocity: DataFrame | None = None
+    weight_velocity: DataFrame | None = None
 
     def connections(self) -> DataFrame:
         scale = F.element_at(A.literal(self.theta), F.col("component") + 1)
@@ -245,10 +250,13 @@ def mean_unnormalised_probability(uhat: DataFrame, hidden: DataFrame, model: Spa
     return e.agg(F.avg(F.exp(F.col("bias") + F.col("link"))).alias("p"))
 
 
-def component_gradient(uhat: DataFrame, hidden: DataFrame, edges: DataFrame, u: str = "uhat", h: str = "hhat") -> DataFrame:
-    """Mean over subjects of sum w <h, u> per component, over the summed weights."""
+def component_gradient(
+    uhat: DataFrame, hidden: DataFrame, edges: DataFrame, u: str = "uhat", h: str = "hhat", weighted: bool = True
+) -> DataFrame:
+    """Mean over subjects of sum w <h, u> (or of sum <h, u>) per component, over the summed weights."""
+    scale = F.col("w") if weighted else F.lit(1.0)
     n = uhat.select("subj_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    sums = _expected_products(uhat, hidden, edges, u, h).groupBy("component").agg(F.sum(F.col("w") * F.col("x")).alias("g"))
+    sums = _expected_products(uhat, hidden, edges, u, h).groupBy("component").agg(F.sum(scale * F.col("x")).alias("g"))
     weights = edges.groupBy("component").agg(F.sum("w").alias("t"))
     return sums.join(weights, "component").select("component", (F.col("g") / n / F.col("t")).alias("gradient"))
 
@@ -260,8 +268,10 @@ def sparse_step(
     """Gradient step on the component strengths and the biases."""
     new = model
     if fit_theta:
-        pos = {r["component"]: r["gradient"] for r in component_gradient(uhat, hidden, model.edges).collect()}
-        neg = {r["component"]: r["gradient"] for r in component_gradient(neg_u, neg_hidden, model.edges, "pu", "ph").collect()}
+        pos = {r["component"]: r["gradient"] for r in component_gradient(
+            uhat, hidden, model.edges, weighted=model.weighted_gradient).collect()}
+        neg = {r["component"]: r["gradient"] for r in component_gradient(
+            neg_u, neg_hidden, model.edges, "pu", "ph", model.weighted_gradient).collect()}
         theta, velocity = [], []
         for c, t in enumerate(model.theta):
             g = pos.get(c, 0.0) - neg.get(c, 0.0)
@@ -276,8 +286,15 @@ def sparse_step(
         k = model.k
         mean = lambda df, c: df.groupBy("node_id").agg(F.array(*[F.avg(F.col(c)[i]) for i in range(k)]).alias(c))
         rows = model.bias.join(mean(uhat, "uhat"), "node_id").join(mean(neg_u, "pu"), "node_id")
-        moved = F.transform(F.arrays_zip("bu", "uhat", "pu"), lambda z: z["bu"] + rate * (z["uhat"] - z["pu"]))
-        new = replace(new, bias=cut_lineage(rows.select("node_id", moved.alias("bu"))))
+        step = F.transform(F.arrays_zip("uhat", "pu"), lambda z: rate * (z["uhat"] - z["pu"]))
+        if model.momentum is not None and model.bias_velocity is not None:
+            rows = rows.join(model.bias_velocity, "node_id", "left")
+            before = F.coalesce("vb", F.array_repeat(F.lit(0.0), k))
+            step = F.zip_with(before, step, lambda v, g: model.momentum * v + g)
+        moved = cut_lineage(rows.select("node_id", "bu", step.alias("vb")))
+        new = replace(new, bias=moved.select("node_id", A.add(F.col("bu"), F.col("vb")).alias("bu")))
+        if model.momentum is not None:
+            new = replace(new, bias_velocity=moved.select("node_id", "vb"))
     return new
 
 
@@ -299,8 +316,17 @@ def weight_step(
     pos, neg = mean(uhat, hidden, "uhat", "hhat", "gp"), mean(neg_u, neg_hidden, "pu", "ph", "gn")
     rows = model.edges.join(pos, ["h", "node_id"], "left").join(neg, ["h", "node_id"], "left")
     g = F.coalesce("gp", F.lit(0.0)) - F.coalesce("gn", F.lit(0.0))
-    moved = F.col("w") + rate * (1 - model.weight_decay) * g
-    return replace(model, edges=cut_lineage(rows.select("h", "node_id", "component", moved.alias("w"))))
+    if model.momentum is None:
+        moved = F.col("w") + rate * (1 - model.weight_decay) * g
+        return replace(model, edges=cut_lineage(rows.select("h", "node_id", "component", moved.alias("w"))))
+    velocity = rate * g
+    if model.weight_velocity is not None:
+        rows = rows.join(model.weight_velocity, ["h", "node_id"], "left")
+        velocity = model.momentum * F.coalesce("vw", F.lit(0.0)) + velocity
+    moved = cut_lineage(rows.select("h", "node_id", "component", "w", velocity.alias("vw")))
+    w = F.col("w") + (1 - rate * model.weight_decay) * F.col("vw")
+    return replace(model, edges=moved.select("h", "node_id", "component", w.alias("w")),
+                   weight_velocity=moved.select("h", "node_id", "vw"))
 
 
 def random_weights(h: DataFrame, nodes: DataFrame, seed, scale: float = 0.1) -> DataFrame:

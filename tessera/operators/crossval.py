@@ -13,7 +13,7 @@ from tessera.functions import batches
 from tessera.operators import mixture
 from tessera.operators.prediction import KINDS, cosine_error, harden, mean_abs_error, mean_log_evidence
 from tessera.operators.mixture import MAX_HELD_SUMS
-from tessera.operators.reduce import sum_by_key
+from tessera.operators.reduce import join_hot, sum_by_key
 from tessera.session import cut_lineage
 
 
@@ -51,12 +51,11 @@ def _subject_sums(rows: DataFrame, width: int, k: int, weight: Callable, kind: s
             yw = np.nan_to_num(y * w[:, None])
             ok = np.isfinite(length * w)
             subj = batch.column(names.index("subj_id")).to_numpy()
-            for s in np.unique(subj):
-                mine = subj == s
+            for s, mine in batches.groups(subj):
                 block = np.zeros((width + 1, len(cols)))
                 block[:width, :k] = yw[mine].T @ u[mine]
                 block[width, :2] = np.nansum(length[mine] ** 2), ok[mine].sum()
-                acc[int(s)] = acc.get(int(s), 0) + block
+                acc[s] = acc.get(s, 0) + block
             if len(acc) * (width + 1) > MAX_HELD_SUMS:
                 yield emit(acc)
                 acc = {}
@@ -140,7 +139,8 @@ def _average_errors(rows: DataFrame, v: DataFrame, width: int, k: int, adjusted:
 
     ordered = F.array_sort(F.collect_list(F.struct("m", F.array(*[f"v{j}" for j in range(k)]).alias("r"))))
     flat = v.groupBy("subj_id").agg(F.flatten(F.transform(ordered, lambda s: s["r"])).alias("v"))  # width rows each
-    sums = sum_by_key(rows.join(flat, "subj_id").select("subj_id", "y", "uhat", "v"), "subj_id", ["num", "den"], values)
+    met = join_hot(rows, flat, "subj_id", F.col("y"), "inner")
+    sums = sum_by_key(met.select("subj_id", "y", "uhat", "v"), "subj_id", ["num", "den"], values)
     return sums.select("subj_id", F.try_divide("num", "den").alias("error"))
 
 
@@ -185,9 +185,8 @@ def _own_likelihood(rows: DataFrame, emissions: Mapping[int, mixture.em.Emission
             y = batches.matrix(batch.column(names.index("y")), first.width)
             n = batches.vector(batch.column(names.index("num_part")), 0.0)
             u = np.empty((len(y), first.n_parcels))
-            for s in np.unique(subj):
-                mine = subj == s
-                u[mine] = batches.softmax_rows(emissions[int(s)].loglik(y[mine], n[mine]))
+            for s, mine in batches.groups(subj):
+                u[mine] = batches.softmax_rows(emissions[s].loglik(y[mine], n[mine]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(names.index("subj_id")), batch.column(names.index("y")), batches.list_array(u)],
                 names=["subj_id", "y", "uhat"],

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.functions import batches
 
-# Above this many condition x partition cells the one-shuffle pivot gets too wide.
-MAX_PIVOT_CELLS = 128
-
 WEIGHTINGS = (
     "length", "length_sum2P", "lsquare", "lsquare_sum2P", "lsquare_sum2PJ",
     "length_normalized", "ones",
@@ -125,8 +122,10 @@ def partition_vectors(cells: DataFrame, conditions: Sequence) -> DataFrame:
 
     ``cells`` is long: ``subj_id, vox_id, part_id, cond_id, value``.  Averaging
     repeated observations is the least-squares solution for an indicator
-    design.  A vector with a missing condition keeps a NULL element.
+    design.  A vector with a missing condition keeps a NULL element; a
+    condition outside the list is an error.
     """
+    cells = cells.withColumn("cond_id", A.known(F.col("cond_id"), conditions, "unknown condition"))
     means = [F.avg(F.when(F.col("cond_id") == F.lit(c), F.col("value"))) for c in conditions]
     return cells.groupBy("subj_id", "vox_id", "part_id").agg(F.array(*means).alias("y"))
 
@@ -146,30 +145,15 @@ def collapse(vectors: DataFrame, width: int, weight: str | None = None) -> DataF
     return rows.groupBy("subj_id", "vox_id").agg(F.sum("_w").alias("num_part"), F.array(*sums).alias("y"))
 
 
-def from_cells(cells: DataFrame, conditions: Sequence, partitions: Sequence) -> DataFrame:
-    """Partitioned evidence from long observations.
+def from_cells(cells: DataFrame, conditions: Sequence, partitions: Sequence | None = None) -> DataFrame:
+    """Partitioned evidence from long observations: one row per partition first, then collapsed.
 
-    Few cells: one shuffle, every condition x partition mean side by side.
-    Many cells: one row per partition first, then collapsed.
+    Every partition of the data counts.  Conditions must be among ``conditions``, partitions among ``partitions`` if
+    those are given; others are an error.
     """
-    if len(conditions) * len(partitions) > MAX_PIVOT_CELLS:
-        return collapse(partition_vectors(cells, conditions), len(conditions))
-    here = [
-        F.array(*[
-            F.avg(F.when((F.col("part_id") == F.lit(p)) & (F.col("cond_id") == F.lit(c)), F.col("value")))
-            for c in conditions
-        ])
-        for p in partitions
-    ]
-    wide = cells.groupBy("subj_id", "vox_id").agg(F.array(*here).alias("_parts"))
-    complete = F.filter("_parts", lambda v: ~F.exists(v, lambda e: e.isNull()))
-    zero = F.array_repeat(F.lit(0.0), len(conditions))
-    return wide.select(
-        "subj_id", "vox_id", F.size(complete).cast("double").alias("num_part"),
-        F.aggregate(
-            F.transform(complete, A.unit), zero, lambda acc, v: A.add(acc, A.fill_missing(v))
-        ).alias("y"),
-    )
+    if partitions is not None:
+        cells = cells.withColumn("part_id", A.known(F.col("part_id"), partitions, "unknown partition"))
+    return collapse(partition_vectors(cells, conditions), len(conditions))
 
 
 def from_cells_unpartitioned(cells: DataFrame, conditions: Sequence) -> DataFrame:
@@ -187,11 +171,14 @@ def from_cells_unpartitioned(cells: DataFrame, conditions: Sequence) -> DataFram
 # ---------------------------------------------------------------- weights
 
 
-def add_weights(vectors: DataFrame, weighting: str, partitions: int, locations: int, subjects: int) -> DataFrame:
+def add_weights(
+    vectors: DataFrame, weighting: str, partitions: int, locations: int | DataFrame, subjects: int | None = None
+) -> DataFrame:
     """Append the weight ``w`` of each (subject, location, partition) vector.
 
-    ``partitions``, ``locations`` and ``subjects`` give the full size of the
-    grid; a vector that is absent or incomplete has length zero.  Where all
+    ``locations`` is the number of locations of every one of ``subjects``
+    subjects, or a table of them (``subj_id, locations``) where they differ;
+    a vector that is absent or incomplete has length zero.  Where all
     lengths of a normalised group are zero, no weight is given (NULL).
     """
     if weighting not in WEIGHTINGS:
@@ -206,14 +193,24 @@ def add_weights(vectors: DataFrame, weighting: str, partitions: int, locations:
         rows = rows.withColumn("w", F.lit(1.0))
     else:
         by = [] if weighting == "lsquare_sum2PJ" else ["subj_id", "part_id"]
-        size = partitions * locations * subjects if not by else locations
+        if not by:
+            each = (F.lit(locations * subjects) if isinstance(locations, int)
+                    else locations.agg(F.sum("locations").alias("n")).scalar())
+            size = each * partitions
+        elif isinstance(locations, int):
+            size = F.lit(locations)
+        else:
+            rows = rows.join(locations.select("subj_id", F.col("locations").alias("_size")), "subj_id", "left")
+            size = A.required(F.col("_size"), "subject without a number of locations")
         base = F.col("_d") if weighting in ("length_sum2P", "length_normalized") else F.col("_d") * F.col("_d")
         rows = rows.withColumn("_b", base)
         # Totals are aggregated with map-side combine and joined back: a window
         # would pull a whole partition of the data into one task.
         totals = rows.groupBy(*by).agg(
+            F.sum("_b").alias("_sum"), F.max("_b").alias("_max"), F.min("_b").alias("_min"),
+        ) if not by else rows.groupBy(*by).agg(
             F.sum("_b").alias("_sum"), F.max("_b").alias("_max"),
-            F.when(F.count(F.lit(1)) < size, F.least(F.lit(0.0), F.min("_b"))).otherwise(F.min("_b")).alias("_min"),
+            F.when(F.count(F.lit(1)) < F.max(size), F.least(F.lit(0.0), F.min("_b"))).otherwise(F.min("_b")).alias("_min"),
         )
         if by:
             rows = rows.join(totals, by)
@@ -222,8 +219,8 @@ def add_weights(vectors: DataFrame, weighting: str, partitions: int, locations:
         if weighting == "length_normalized":
             w = F.try_divide(F.col("_b") - F.col("_min"), F.col("_max") - F.col("_min"))
         else:
-            w = F.try_divide(F.col("_b") * F.lit(float(size)), F.col("_sum"))
-        rows = rows.withColumn("w", w).drop("_b", "_sum", "_max", "_min")
+            w = F.try_divide(F.col("_b") * size.cast("double"), F.col("_sum"))
+        rows = rows.withColumn("w", w).drop("_b", "_sum", "_max", "_min", "_size")
     return rows.drop("_d")
 
 

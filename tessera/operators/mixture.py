@@ -19,10 +19,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays as A
 from tessera.functions import batches, special
 from tessera.functions.batches import log_softmax_rows, softmax_rows
 from tessera.operators import emissions as em
 from tessera.operators.priors import IndependentPrior, drop_redundant, log_prob
+from tessera.operators.reduce import join_hot
 from tessera.session import cut_lineage
 
 # Rows of one node that may share a task before the node is split (salted).
@@ -99,15 +101,25 @@ def map_subjects(evidence: DataFrame, subject_map: DataFrame | None) -> DataFram
     if subject_map is None:
         return evidence
     rows = subject_map.select(F.col("local_subj").alias("subj_id"), F.col("subj_id").alias("_subj"))
-    return evidence.join(rows, "subj_id").drop("subj_id").withColumnRenamed("_subj", "subj_id")
+    subject = A.required(F.col("_subj"), "subject without an entry in the subject map")
+    return evidence.join(rows, "subj_id", "left").withColumn("subj_id", subject).drop("_subj")
+
+
+def _reject_repeats(evidence: DataFrame) -> None:
+    twice = evidence.groupBy("subj_id", "vox_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['n']} rows of subject {twice['subj_id']} at location {twice['vox_id']}")
 
 
 def align(evidence: Sequence[DataFrame], prior: IndependentPrior | None = None) -> Aligned:
     """One row per (subject, node) with the evidence of all datasets side by side.
 
     A subject that is absent from a dataset has NULLs there, which add nothing.
-    With one dataset and no layout this is only a projection.
+    With one dataset and no layout this is only a projection.  Repeated rows of
+    a dataset, subject and location are an error: their keys are counted once.
     """
+    for e in evidence:
+        _reject_repeats(e)
     layout = prior.layout if prior is not None else None
     if layout is None and len(evidence) == 1:
         df = evidence[0].select(
@@ -123,7 +135,9 @@ def align(evidence: Sequence[DataFrame], prior: IndependentPrior | None = None)
     if layout is None:
         rows = rows.withColumn("node_id", F.col("vox_id")).withColumn("side", F.lit(0))
     else:
-        rows = rows.join(layout.table, "vox_id")
+        place = layout.table.withColumnRenamed("node_id", "_node")
+        rows = rows.join(place, "vox_id", "left").withColumn(
+            "node_id", A.required(F.col("_node"), "location without a place in the layout")).drop("_node")
     slots = tuple(Slot(d, s) for d in range(len(evidence)) for s in range(1 if layout is None else 2))
     picked = []
     for s in slots:
@@ -182,7 +196,7 @@ class _Batch:
         self.logpi = col("logpi") if "logpi" in names else None
         self.uhat = col("uhat") if "uhat" in names else None
         self.kappa = {
-            s.dataset: np.asarray(col(f"kappa{s.dataset}").to_pylist(), dtype=float).reshape(self.rows, -1)
+            s.dataset: batches.matrix(col(f"kappa{s.dataset}"), batches.width(col(f"kappa{s.dataset}")))
             for s in slots if f"kappa{s.dataset}" in names
         }
 
@@ -294,13 +308,19 @@ def distribute(uhat: DataFrame, subject_map: DataFrame) -> DataFrame:
     return uhat.join(subject_map, "subj_id")
 
 
+def join_prior(df: DataFrame, table: DataFrame, *by: str) -> DataFrame:
+    """Rows with the prior of their node; a node without a prior is an error."""
+    met = df.join(table, list(by) or ["node_id"], "left")
+    return met.withColumn("logpi", A.required(F.col("logpi"), "location without a prior"))
+
+
 def _attach(df: DataFrame, model: Model, prior: bool = True) -> DataFrame:
     if prior and model.prior.table is not None and "logpi" not in df.columns:
-        df = df.join(model.prior.table, "node_id")
+        df = join_prior(df, model.prior.table)
     for d in range(len(model.emissions)):
         table = model.kappa_table(d)
         if table is not None:
-            df = df.join(table.select("subj_id", F.col("kappa").alias(f"kappa{d}")), "subj_id", "left")
+            df = join_hot(df, table.select("subj_id", F.col("kappa").alias(f"kappa{d}")), "subj_id", F.col("node_id"))
     return df
 
 
@@ -373,8 +393,8 @@ def _pass(
                     emission = models_emissions[i][s.dataset]
                     put(i, s.dataset, "rows", 0, None, [], (count, 0.0, 0.0))
                     if by_subject[s.dataset]:
-                        subj = b.subj.to_numpy() if subj is None else subj
-                        groups = [(int(v), subj == v) for v in np.unique(subj)]
+                        subj = [*batches.groups(b.subj.to_numpy())] if subj is None else subj
+                        groups = subj
                     else:
                         groups = [(None, slice(None))]
                     for sid, rows in groups:
@@ -612,6 +632,9 @@ def fit_em_starts(
     for i, r in enumerate(first):
         if r.loglik[-1] > first[best].loglik[-1]:
             best = i
+    if max_iter <= first_iter:
+        short = first[best]
+        return replace(short, first_traces=[r.loglik for r in first])
     rest = _fit([first[best].model], aligned, max_iter - first_iter, tol, fit_emission, fit_prior, True)[0]
     return FitResult(
         rest.model, first[best].trace + rest.trace[1:], first[best].history + rest.history[1:], rest._inference,
@@ -642,6 +665,10 @@ def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence
     if node_prior and fit_prior:
         df, salts = colocate(df)
         salts = salts.persist(StorageLevel.MEMORY_AND_DISK)
+    table = _joined_priors(models)
+    frozen = table is not None and salts is None
+    if frozen:  # a given prior never changes: it is joined once, before the evidence is kept
+        df = join_prior(df, table)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
 
     n = len(models)
@@ -650,20 +677,20 @@ def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence
     history: list[list] = [[] for _ in range(n)]
     used: list = [None] * n
     active = list(range(n))
-    table = _joined_priors(current)
     for t in range(max_iter):
         gates = first if t == 0 else [True] * n_ds
         running = [current[i] for i in active]
         data = df
-        if table is not None:
-            if salts is not None:
-                data = df.join(repeat_for_salts(table, salts), ["node_id", "salt"])
-            else:
-                data = df.join(table, "node_id")
+        if frozen:
+            if len(active) < n:
+                k = prior0.k
+                data = df.withColumn("logpi", F.concat(*[F.slice("logpi", i * k + 1, k) for i in active]))
+        elif table is not None:
+            data = join_prior(df, repeat_for_salts(table, salts), "node_id", "salt")
         for d in range(n_ds):
             kt = running[0].kappa_table(d)
             if kt is not None:
-                data = data.join(kt.select("subj_id", F.col("kappa").alias(f"kappa{d}")), "subj_id", "left")
+                data = join_hot(data, kt.select("subj_id", F.col("kappa").alias(f"kappa{d}")), "subj_id", F.col("node_id"))
         step = _pass(aligned, data, running, gates, fit_prior, [held_out[i] for i in active])
         if (fit_prior and prior0.spatial) or any(getattr(e, "equal_weight", False) for e in running[0].emissions):
             step = cut_lineage(step)
@@ -688,10 +715,6 @@ def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence
             break
         if fit_prior and prior0.spatial:
             table = _node_prior(step, [pos for pos, _ in going], prior0)
-        elif table is not None and len(going) < len(active):
-            k = prior0.k
-            kept = F.concat(*[F.slice("logpi", pos * k + 1, k) for pos, _ in going])
-            table = table.select("node_id", kept.alias("logpi"))
         for rank, (pos, i) in enumerate(going):
             m = current[i]
             if fit_prior and prior0.spatial:

@@ -112,6 +112,8 @@ def sweep(
         ordered = F.array_sort(F.collect_list(F.struct("chain", "label")))  # one entry per chain
         new = drawn.groupBy(*keys, "node_id").agg(F.transform(ordered, lambda s: s["label"]).alias("labels"))
         states = rest.unionByName(new.withColumn("colour", F.lit(c)).select(rest.columns))
+        if c < n_colours - 1:  # the next colour reads the states three times: the plan must not grow with the colours
+            states = cut_lineage(states)
     return states
 
 
@@ -123,7 +125,9 @@ def gibbs(
     if states is None:
         local = model.prior.select("node_id", F.col("logpi").alias("bias")) if bias is None else bias
         states = start(local, chains, seed, keys, "bias")
-    states = states.join(colours, "node_id").select(*keys, "node_id", "labels", F.col("colour").cast("int").alias("colour"))
+    # A node without links has no colour: it may be drawn with any.
+    states = states.join(colours, "node_id", "left").select(
+        *keys, "node_id", "labels", F.coalesce(F.col("colour"), F.lit(0)).cast("int").alias("colour"))
     edges = model.edges.join(colours.select(F.col("node_id").alias("src"), "colour"), "src")
     for i in range(sweeps):
         states = cut_lineage(sweep(model, states, edges, n_colours, f"{seed}.{i}", bias, keys))
@@ -148,12 +152,18 @@ def expected_agreement(edges: DataFrame, states: DataFrame, keys: tuple[str, ...
     return linked.groupBy(*keys).agg(F.sum(same * F.col("w")).alias("phi"))
 
 
+def _biased(scores: DataFrame, model: PottsModel) -> DataFrame:
+    """Scores plus local terms; a node without a local term is an error."""
+    rows = scores.join(model.prior, "node_id", "left")
+    return rows.withColumn("bias", A.add(F.col("ll"), A.required(F.col("logpi"), "node without a prior")))
+
+
 def posterior(model: PottsModel, scores: DataFrame, colours: DataFrame, n_colours: int, chains: int, sweeps: int, seed):
     """Positive phase: chains per subject given its evidence ``subj_id, node_id, ll``.
 
     Returns the posterior (``subj_id, node_id, uhat``) and the agreement per subject.
     """
-    bias = scores.join(model.prior, "node_id").select("subj_id", "node_id", A.add(F.col("ll"), F.col("logpi")).alias("bias"))
+    bias = _biased(scores, model).select("subj_id", "node_id", "bias")
     bias = cut_lineage(bias)  # read by every colour of every sweep
     states = gibbs(model, colours, n_colours, chains, sweeps, seed, bias=bias, keys=("subj_id",))
     return frequencies(states, model.k, ("subj_id",)), expected_agreement(model.edges, states, ("subj_id",))
@@ -167,7 +177,8 @@ def log_likelihood(model: PottsModel, uhat: DataFrame, agreement: DataFrame) ->
         z = F.log(A.total(F.transform("logpi", F.exp)))
         local = local - z
     sums = rows.groupBy("subj_id").agg(F.sum(local).alias("l"))
-    return sums.join(agreement, "subj_id").select("subj_id", (model.theta * F.col("phi") + F.col("l")).alias("ll_a"))
+    phi = F.coalesce(F.col("phi"), F.lit(0.0))  # a subject without any link
+    return sums.join(agreement, "subj_id", "left").select("subj_id", (model.theta * phi + F.col("l")).alias("ll_a"))
 
 
 def gradient_step(
@@ -190,6 +201,15 @@ def gradient_step(
 # ---------------------------------------------------------------- exact inference
 
 
+def pair_posterior(a: Column, b: Column, theta: float) -> Column:
+    """Posterior of two linked nodes, or of the only one of them that is there (the other has none)."""
+    alone = F.struct(
+        F.when(a.isNotNull(), A.softmax(a)).alias("u1"), F.when(b.isNotNull(), A.softmax(b)).alias("u2"),
+        F.lit(None).cast("double").alias("agree"),
+    )
+    return F.when(a.isNotNull() & b.isNotNull(), duo_posterior(a, b, theta)).otherwise(alone)
+
+
 def duo_posterior(a: Column, b: Column, theta: float) -> Column:
     """Posterior of two linked nodes from their scores (evidence plus prior).
 
@@ -216,24 +236,28 @@ def duo_posterior(a: Column, b: Column, theta: float) -> Column:
 def enumerate_field(groups: DataFrame, positions: int, k: int, links: list[tuple[int, int]], theta: float, keys: list[str]) -> DataFrame:
     """Exact marginals of small fields by visiting all K^positions states.
 
-    ``groups``: keys and ``score``, an array (positions) of arrays (K).  Serves
-    to check approximate inference; the number of states must stay small.
+    ``groups``: keys and ``score``, an array (positions) of arrays (K).  A
+    position whose score is NULL is not there: it has no links and no result.
+    Serves to check approximate inference; the number of states must stay small.
     """
     states = F.explode(F.sequence(F.lit(0), F.lit(k**positions - 1)))
     rows = groups.select(*keys, "score", states.alias("state"))
     digit = [F.floor(F.col("state") / k**p).cast("int") % k for p in range(positions)]
-    value = sum((F.col("score")[p][digit[p]] for p in range(1, positions)), F.col("score")[0][digit[0]])
+    part = [F.coalesce(F.col("score")[p][digit[p]], F.lit(0.0)) for p in range(positions)]
+    there = [F.col("score")[p].isNotNull() for p in range(positions)]
+    value = sum(part[1:], part[0])
     for i, j in links:
-        value = value + F.when(digit[i] == digit[j], theta).otherwise(0.0)
-    scored = rows.select(*keys, "state", value.alias("v"))
-    top = scored.groupBy(*keys).agg(F.max("v").alias("m"))
+        value = value + F.when((digit[i] == digit[j]) & there[i] & there[j], theta).otherwise(0.0)
+    scored = rows.select(*keys, "state", value.alias("v"), F.array(*there).alias("there"))
+    top = scored.groupBy(*keys).agg(F.max("v").alias("m"), F.min("there").alias("there"))
     weight = scored.join(top, keys).select(*keys, "state", F.exp(F.col("v") - F.col("m")).alias("e"))
     sums = weight.groupBy(*keys).agg(
         F.sum("e").alias("z"),
         *[F.sum(F.when(digit[p] == i, F.col("e")).otherwise(0.0)).alias(f"s{p}_{i}") for p in range(positions) for i in range(k)],
     )
     marg = F.array(*[F.array(*[F.col(f"s{p}_{i}") / F.col("z") for i in range(k)]) for p in range(positions)])
-    return sums.select(*keys, F.posexplode(marg).alias("position", "uhat"))
+    out = sums.join(top.select(*keys, "there"), keys).select(*keys, "there", F.posexplode(marg).alias("position", "uhat"))
+    return out.where(F.col("there")[F.col("position")]).drop("there")
 
 
 def chain_posterior(scores: DataFrame, k: int, theta: float, block: int = 256) -> DataFrame:
@@ -323,15 +347,16 @@ def mean_field(model: PottsModel, scores: DataFrame, colours: DataFrame, n_colou
     Each node takes the coupled mean of its neighbours; nodes of one colour
     are updated together.
     """
-    base = scores.join(model.prior, "node_id").join(colours, "node_id").select(
-        "subj_id", "node_id", "colour", A.add(F.col("ll"), F.col("logpi")).alias("bias")
+    base = _biased(scores, model).join(colours, "node_id", "left").select(
+        "subj_id", "node_id", F.coalesce(F.col("colour"), F.lit(0)).alias("colour"), "bias"
     )
     state = base.withColumn("uhat", A.softmax(F.col("bias")))
     k = model.k
     for _ in range(iterations):
         for c in range(n_colours):
             other = state.select("subj_id", F.col("node_id").alias("dst"), F.col("uhat").alias("v"))
-            field = model.edges.join(other, "dst").groupBy("subj_id", F.col("src").alias("node_id")).agg(
+            own = state.where(F.col("colour") == c).select(F.col("node_id").alias("src")).distinct()
+            field = model.edges.join(own, "src", "left_semi").join(other, "dst").groupBy("subj_id", F.col("src").alias("node_id")).agg(
                 F.array(*[F.sum(F.col("w") * F.col("v")[i]) for i in range(k)]).alias("field")
             )
             none = F.array_repeat(F.lit(0.0), k)
@@ -339,5 +364,5 @@ def mean_field(model: PottsModel, scores: DataFrame, colours: DataFrame, n_colou
             state = state.join(field, ["subj_id", "node_id"], "left").select(
                 "subj_id", "node_id", "colour", "bias", F.when(F.col("colour") == c, new).otherwise(F.col("uhat")).alias("uhat")
             )
-        state = cut_lineage(state)
+            state = cut_lineage(state)
     return state.select("subj_id", "node_id", "uhat")

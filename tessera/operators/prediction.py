@@ -70,8 +70,8 @@ def cosine_error(
             return errors(y, u, shared)
         subj = batch.column(names.index("subj_id")).to_numpy()
         out = np.empty((len(y), 2))
-        for s in np.unique(subj):
-            out[subj == s] = errors(y[subj == s], u[subj == s], own[int(s)])
+        for s, mine in batches.groups(subj):
+            out[mine] = errors(y[mine], u[mine], own[s])
         return out
 
     sums = sum_by_key(rows.select("subj_id", "y", "uhat"), "subj_id", ["num", "den"], values)

@@ -87,15 +87,22 @@ class IndependentPrior:
         centred = A.let(draws, lambda d: A.let(A.total(d) / self.k, lambda m: F.transform(d, lambda x: x - m)))
         return self.with_table(nodes.select("node_id", centred.alias("logpi")))
 
-    def marginal(self) -> DataFrame:
-        """Marginal probability of every node: the softmax of its prior."""
+    def marginal(self, nodes: DataFrame | None = None) -> DataFrame:
+        """Marginal probability of every node: the softmax of its prior.  A flat prior is given its ``nodes``."""
+        if self.table is None:
+            if nodes is None:
+                raise ValueError("a flat prior has no nodes of its own: pass them")
+            logpi = F.array(*[F.lit(float(x)) for x in self.start])
+            return nodes.select("node_id", A.softmax(logpi).alias("pi"))
         return self.table.select("node_id", A.softmax(F.col("logpi")).alias("pi"))
 
-    def marginal_full(self) -> DataFrame:
+    def marginal_full(self, nodes: DataFrame | None = None) -> DataFrame:
         """Marginal probability per location and full set of parcels."""
+        if self.table is None and nodes is None and self.layout is not None:
+            nodes = self.layout.table.select("node_id").distinct()
         if self.layout is None:
-            return self.marginal().withColumnRenamed("node_id", "vox_id")
-        return spread(self.marginal().withColumnRenamed("pi", "u"), self.layout, self.k).withColumnRenamed("u", "pi")
+            return self.marginal(nodes).withColumnRenamed("node_id", "vox_id")
+        return spread(self.marginal(nodes).withColumnRenamed("pi", "u"), self.layout, self.k).withColumnRenamed("u", "pi")
 
 
 def log_prob(p: Column) -> Column:

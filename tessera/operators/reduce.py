@@ -6,10 +6,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import batches
+from tessera.session import cut_lineage
+
+# Rows of a table that may be broadcast, and parts of a key when it may not.
+SMALL_ROWS, SALTS = 4096, 32
 
 
 def sum_by_key(
@@ -70,3 +74,17 @@ def gram(df: DataFrame, left: str, right: str, n_left: int, n_right: int) -> np.
     for r in parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in cols]).collect():
         out[r["i"]] = [r[c] for c in cols]
     return out
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
+    """Join a table of one row per ``key`` (a subject) to rows of which one key may have nearly all.
+
+    A table of at most SMALL_ROWS rows is broadcast; a larger one is repeated for SALTS parts of each key, which
+    ``spread`` tells apart, so that no key meets in one task.
+    """
+    table = cut_lineage(table)
+    if table.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    salts = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(salts, [key, "_salt"], how).drop("_salt")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -270,6 +273,36 @@ def cmp_rbm_step(spark, sf):
     return spark.createDataFrame([(c, round(t, 6)) for c, t in enumerate(new.theta)], "component long, theta double")
 
 
+def _sql_gradients(scale: str) -> str:
+    return f"""
+gp AS (SELECT e.c, sum({scale} * u.u * v.v) / (SELECT count(DISTINCT subj_id) FROM vox) AS g FROM u{STEPS} u JOIN ed e ON u.vox_id = e.vox_id JOIN h{STEPS - 1} v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL),
+gn AS (SELECT e.c, sum({scale} * u.u * v.p) / {CHAINS} AS g FROM nu u JOIN ed e ON u.vox_id = e.vox_id JOIN nh v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL)
+SELECT p.c::BIGINT AS component, round(CASE p.c WHEN 0 THEN {STRENGTH[0]}::DOUBLE ELSE {STRENGTH[1]}::DOUBLE END
+       + %s 0.01 * (p.g - n.g) / (SELECT sum(w) FROM ed WHERE c = p.c), 6) + 0.0 AS theta
+FROM gp p JOIN gn n ON p.c = n.c"""
+
+
+def _theta_after_step(spark, sf, **settings):
+    model = replace(sparse_model(spark, sf), **settings)
+    uhat, hidden = boltzmann.sparse_mean_field(node_scores(spark, sf), model, STEPS)
+    neg, neg_hidden = boltzmann.sparse_negative_phase(boltzmann.start_chains(model, CHAINS, 2), model, 1, 4)
+    new = boltzmann.sparse_step(model, uhat, hidden, neg, neg_hidden, fit_bias=False)
+    return spark.createDataFrame([(c, round(t, 6)) for c, t in enumerate(new.theta)], "component long, theta double")
+
+
+@query("cmp_rbm_step_momentum", f"WITH {_SPARSE}, {_sql_sparse(STEPS)}, {_SPARSE_NEG}," + _sql_gradients("e.w").replace(
+    "%s", "0.9 * CASE p.c WHEN 0 THEN 0.01 ELSE -0.02 END +"))
+def cmp_rbm_step_momentum(spark, sf):
+    """A step with momentum after one whose velocities were 0.01 and -0.02."""
+    return _theta_after_step(spark, sf, momentum=0.9, velocity=(0.01, -0.02))
+
+
+@query("dbm_step", f"WITH {_SPARSE}, {_sql_sparse(STEPS)}, {_SPARSE_NEG}," + _sql_gradients("1.0").replace("%s", ""))
+def dbm_step(spark, sf):
+    """The sparse machine's rule: the plain sum of products over the summed weights."""
+    return _theta_after_step(spark, sf, weighted_gradient=False)
+
+
 _NORMAL = "sqrt(-2 * ln(1 - {a})) * cos(2 * pi() * {b})".format(
     a=_U.format("'6.a|' || s.s || '|' || n.vox_id || '|' || k.k"), b=_U.format("'6.b|' || s.s || '|' || n.vox_id || '|' || k.k")
 )
@@ -303,12 +336,54 @@ def chain_marginal(spark, sf):
     return views.explode_parcels(boltzmann.chain_marginal(states, PARCELS), "pi", "node_id")
 
 
-@query("fit_sml_posterior")
+def _renamed(sql: str) -> str:
+    """The mean field over the connections and biases after a step."""
+    return re.sub(r"\b([uahgf]\d(_m)?)\b", r"z\1", sql).replace(" li ", " li2 ").replace("base", "base2")
+
+
+# One round without drawn data: all subjects in a batch, chains from the biases, theta and biases moved by 0.1.
+_SML_NEG = _SPARSE_NEG.replace(f"range({CHAINS})", f"range({views.SUBJECTS})").replace("'2|'", "'8.chains|'").replace(
+    "'4.h0|'", "'8.0.0.h0|'")
+_SML = f"""{_SPARSE.replace("0.1 * s.ll", "s.ll")}, {_sql_sparse(2)}, {_SML_NEG},
+gp AS (SELECT e.c, sum(e.w * u.u * v.v) / {views.SUBJECTS} AS g FROM u2 u JOIN ed e ON u.vox_id = e.vox_id JOIN h1 v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL),
+gn AS (SELECT e.c, sum(e.w * u.u * v.p) / {views.SUBJECTS} AS g FROM nu u JOIN ed e ON u.vox_id = e.vox_id JOIN nh v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL),
+th AS MATERIALIZED (SELECT p.c, CASE p.c WHEN 0 THEN {STRENGTH[0]}::DOUBLE ELSE {STRENGTH[1]}::DOUBLE END
+       + 0.1 * (p.g - n.g) / (SELECT sum(w) FROM ed WHERE c = p.c) AS t FROM gp p JOIN gn n ON p.c = n.c)"""
+
+
+def _sml_round(spark, sf):
+    return stochastic.fit_sml(
+        sparse_model(spark, sf), label_vmf(spark, sf).emissions, vox_aligned(spark, sf), 1, batch_size=views.SUBJECTS,
+        rate=0.1, mean_field_iterations=2, chain_steps=1, with_evidence=False, seed=8,
+    )
+
+
+@query("fit_sml_theta", f"""
+WITH {_SML} SELECT c::BIGINT AS component, round(t, 5) + 0.0 AS theta FROM th""")
+def fit_sml_theta(spark, sf):
+    fit = _sml_round(spark, sf)
+    return spark.createDataFrame([(c, round(t, 5) + 0.0) for c, t in enumerate(fit.prior.theta)], "component long, theta double")
+
+
+@query("fit_sml_posterior", f"""
+WITH {_SML},
+mu AS (SELECT vox_id, k, avg(u) AS m FROM u2 GROUP BY ALL), mn AS (SELECT vox_id, k, avg(u) AS m FROM nu GROUP BY ALL),
+bu AS (SELECT p.vox_id, p.k, p.lp + 0.1 * (mu.m - mn.m) AS lp FROM pri p JOIN mu ON mu.vox_id = p.vox_id AND mu.k = p.k
+       JOIN mn ON mn.vox_id = p.vox_id AND mn.k = p.k),
+li2 AS MATERIALIZED (SELECT h, vox_id, sum(w * th.t) AS w FROM ed JOIN th ON ed.c = th.c GROUP BY ALL),
+base2 AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.k, s.ll + b.lp AS b FROM sc s JOIN bu b ON s.vox_id = b.vox_id AND s.k = b.k),
+{_renamed(_sql_sparse(2))}
+SELECT subj_id, vox_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM zu2""")
 def fit_sml_posterior(spark, sf):
-    """One round of stochastic maximum likelihood with two batches of subjects."""
-    emissions = label_vmf(spark, sf).emissions
+    """One round of stochastic maximum likelihood: all of its draws are hashed, so SQL can follow it."""
+    return views.explode_parcels(_sml_round(spark, sf).posterior, "uhat", "subj_id", "vox_id")
+
+
+@query("fit_sml_with_evidence")
+def fit_sml_with_evidence(spark, sf):
+    """One round with two batches of subjects whose chains see data drawn from the emission model."""
     fit = stochastic.fit_sml(
-        sparse_model(spark, sf), emissions, vox_aligned(spark, sf), 1, batch_size=3, rate=0.1,
+        sparse_model(spark, sf), label_vmf(spark, sf).emissions, vox_aligned(spark, sf), 1, batch_size=3, rate=0.1,
         mean_field_iterations=2, chain_steps=1, seed=8,
     )
     return views.explode_parcels(fit.posterior, "uhat", "subj_id", "vox_id")

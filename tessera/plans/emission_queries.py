@@ -372,7 +372,7 @@ def gmm_mstep_missing(spark, sf):
 # ---------------------------------------------------------------- multinomial
 
 _MULTI = f"""
-wt AS (SELECT subj_id, vox_id, m AS k, exp(5 * v) AS e FROM voxl WHERE m < {PARCELS}),
+wt AS (SELECT x.subj_id, x.vox_id, d.k, exp(5 * sum(x.v * d.v)) AS e FROM voxl x JOIN dir d ON x.m = d.m GROUP BY ALL),
 uh AS (SELECT subj_id, vox_id, k, e / sum(e) OVER (PARTITION BY subj_id, vox_id) AS u FROM wt),
 ag AS (SELECT sum(u.u) / (SELECT count(*) FROM vox) AS a FROM uh u JOIN vox x
        ON u.subj_id = x.subj_id AND u.vox_id = x.vox_id AND u.k = x.label),
@@ -380,9 +380,10 @@ mw AS (SELECT ln(1 - {PARCELS} + ({PARCELS} - 1) / (1 - a)) AS w FROM ag)"""
 
 
 def _multinomial(spark, sf):
-    """Labels as noisy indicators; posteriors from the leading embedding values."""
+    """Labels as noisy indicators; posteriors from the products of the embeddings with the label directions."""
     rows = views.vox(spark, sf)
-    first = F.slice("y", 1, PARCELS)
+    v = label_vmf(spark, sf).emissions[0].v
+    first = F.array(*[A.dot(F.col("y"), F.array(*[F.lit(float(x)) for x in v[:, k]])) for k in range(PARCELS)])
     df = rows.select(
         "subj_id", F.col("vox_id").alias("node_id"), F.lit(1.0).alias("n0_0"),
         A.one_hot(F.col("label"), PARCELS).alias("y0_0"), A.softmax(A.scale(first, F.lit(5.0))).alias("uhat"),
@@ -391,14 +392,14 @@ def _multinomial(spark, sf):
     return aligned, mixture.m_step(aligned, mixture.Model(IndependentPrior(PARCELS), (em.Multinomial(PARCELS),)))
 
 
-@query("multinomial_mstep", f"WITH {VOX}, {_MULTI} SELECT round(w, 6) + 0.0 AS w FROM mw")
+@query("multinomial_mstep", f"WITH {VOX}, {LABEL_SUMS}, {_MULTI} SELECT round(w, 6) + 0.0 AS w FROM mw")
 def multinomial_mstep(spark, sf):
     _, model = _multinomial(spark, sf)
     return spark.createDataFrame([(round(model.emissions[0].w, 6),)], "w double")
 
 
 @query("multinomial_estep", f"""
-WITH {VOX}, {_MULTI}
+WITH {VOX}, {LABEL_SUMS}, {_MULTI}
 SELECT x.subj_id, x.vox_id, t.k, round(CASE WHEN x.label = t.k THEN mw.w ELSE 0 END - ln({PARCELS} - 1 + exp(mw.w)), 6) + 0.0 AS ll
 FROM vox x CROSS JOIN range({PARCELS}) t(k) CROSS JOIN mw""")
 def multinomial_estep(spark, sf):

@@ -125,9 +125,8 @@ vm AS (SELECT subj_id, vox_id, part_id, cond, avg(value) AS y FROM evt GROUP BY
 vec AS (
   SELECT subj_id, vox_id, part_id, CASE WHEN count(*) = 5 THEN sqrt(sum(y * y)) ELSE 0 END AS d FROM vm GROUP BY ALL
 ),
-size AS (
-  SELECT count(DISTINCT vox_id) AS p, count(DISTINCT part_id) AS j, count(DISTINCT subj_id) AS s FROM evt
-),
+loc AS (SELECT subj_id, count(DISTINCT vox_id) AS p FROM evt GROUP BY ALL),
+size AS (SELECT (SELECT sum(p) FROM loc) AS n, count(DISTINCT part_id) AS j FROM evt),
 tot AS (
   SELECT subj_id, part_id, count(*) AS n, sum(d) AS d1, sum(d * d) AS d2, min(d) AS lo, max(d) AS hi FROM vec GROUP BY ALL
 ),
@@ -135,12 +134,12 @@ alltot AS (SELECT sum(d * d) AS d2 FROM vec)"""
 
 _WEIGHT_SQL = {
     "length": "v.d",
-    "length_sum2P": "v.d * s.p / t.d1",
+    "length_sum2P": "v.d * l.p / t.d1",
     "lsquare": "v.d * v.d",
-    "lsquare_sum2P": "v.d * v.d * s.p / t.d2",
-    "lsquare_sum2PJ": "v.d * v.d * s.p * s.j * s.s / g.d2",
-    "length_normalized": "(v.d - CASE WHEN t.n < s.p THEN 0 ELSE t.lo END)"
-    " / (t.hi - CASE WHEN t.n < s.p THEN 0 ELSE t.lo END)",
+    "lsquare_sum2P": "v.d * v.d * l.p / t.d2",
+    "lsquare_sum2PJ": "v.d * v.d * s.n * s.j / g.d2",
+    "length_normalized": "(v.d - CASE WHEN t.n < l.p THEN 0 ELSE t.lo END)"
+    " / (t.hi - CASE WHEN t.n < l.p THEN 0 ELSE t.lo END)",
     "ones": "1.0::DOUBLE",
 }
 
@@ -148,19 +147,15 @@ _WEIGHT_SQL = {
 def weighted_vectors(spark, sf, mode):
     cells = views.event_cells(spark, sf)
     vectors = evidence.partition_vectors(cells, EVENT_TYPES)
-    # Sizes of the grid; users are spread evenly over subjects, so every
-    # subject has the same number of locations.
-    size = cells.agg(
-        F.countDistinct("vox_id").alias("p"), F.countDistinct("part_id").alias("j"),
-        F.countDistinct("subj_id").alias("s"),
-    ).first()
-    return evidence.add_weights(vectors, mode, size["j"], size["p"], size["s"])
+    locations = cells.groupBy("subj_id").agg(F.countDistinct("vox_id").alias("locations"))
+    partitions = cells.agg(F.countDistinct("part_id")).first()[0]
+    return evidence.add_weights(vectors, mode, partitions, locations)
 
 
 def _register_weights(mode):
     sql = (
         f"WITH {_WEIGHTS} SELECT v.subj_id, v.vox_id, v.part_id, round(ln(1 + {_WEIGHT_SQL[mode]}), 6) + 0.0 AS log_w "
-        "FROM vec v JOIN tot t ON v.subj_id = t.subj_id AND v.part_id = t.part_id CROSS JOIN size s CROSS JOIN alltot g"
+        "FROM vec v JOIN tot t ON v.subj_id = t.subj_id AND v.part_id = t.part_id JOIN loc l ON v.subj_id = l.subj_id CROSS JOIN size s CROSS JOIN alltot g"
     )
 
     @query(f"weights_{mode}", sql)

@@ -313,6 +313,12 @@ def solution_consistency_rows(spark, sf):
     return _consistency_rows(spark, matching.consistency(_solution_cells(spark, sf), "values", 3, ["vox_id"]))
 
 
+@query("solution_consistency_columns", _cons_sql("k"))
+def solution_consistency_columns(spark, sf):
+    """Mean over locations removed within each parcel."""
+    return _consistency_rows(spark, matching.consistency(_solution_cells(spark, sf), "values", 3, ["k"]))
+
+
 # ---------------------------------------------------------------- cross-validation
 
 _LOSO = f"""

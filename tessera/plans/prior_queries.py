@@ -41,6 +41,18 @@ def softmax_prior(spark, sf):
     return views.explode_parcels(label_prior(spark, sf).marginal_full(), "pi", "vox_id")
 
 
+@query("marginal_flat", f"""
+WITH {VOX}, n AS (SELECT label, count(*)::DOUBLE AS n FROM vox GROUP BY ALL), p AS (SELECT label AS k, n / sum(n) OVER () AS pi FROM n)
+SELECT x.vox_id, p.k::BIGINT AS k, round(p.pi, 6) + 0.0 AS p FROM (SELECT DISTINCT vox_id FROM vox) x CROSS JOIN p""")
+def marginal_flat(spark, sf):
+    """The marginal of a prior without locations of its own, at the locations of the data."""
+    rows = views.vox(spark, sf)
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    prior = priors.IndependentPrior(PARCELS, flat=np.log([counts.get(k, 0) for k in range(PARCELS)]), spatial=False)
+    nodes = rows.select(F.col("vox_id").alias("node_id")).distinct()
+    return views.explode_parcels(prior.marginal_full(nodes), "pi", "vox_id")
+
+
 _POST_SQL = f"{VOX}, {LABEL_SUMS}, {SHARED_KAPPA}, {VMF_SCORES}, {SOFTMAX}"
 
 

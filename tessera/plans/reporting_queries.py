@@ -17,6 +17,7 @@ from tessera.plans.emission_queries import (
 )
 from tessera.plans.label_queries import HARD, guesses
 from tessera.plans.learning_queries import NEVER, T_NODE, _flat_uniform, softened, sql_em, sql_trace
+from tessera.plans.prior_queries import LABEL_PRIOR, label_prior
 from tessera.plans.registry import query
 from tessera.plans.views import PARCELS, SUBJECTS, VOX, WIDTH, r6, table
 from tessera.session import ensure_checkpoint_dir
@@ -238,6 +239,52 @@ def gauss_exp_reject(spark, sf):
     return views.explode_parcels(out, "ll", "subj_id", "vox_id", alias="ll", digits=5)
 
 
+# ---------------------------------------------------------------- model store
+
+
+def _stored(spark, sf) -> str:
+    """Two models in a store: the second, which is the better one, has the label prior and the label directions."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    best = replace(label_vmf(spark, sf), prior=label_prior(spark, sf))
+    halved = best.prior.table.select("node_id", F.transform("logpi", lambda x: x / 2).alias("logpi"))
+    models = [replace(best, prior=best.prior.with_table(halved)), best]
+    info = spark.createDataFrame([(0, 1.0), (1, 2.0)], "model_id long, loglik double")
+    tables.save_models(info, mixture.parameter_table(spark, models), path)
+    return path
+
+
+@query("store_group_prior", f"""
+WITH {VOX}, {LABEL_PRIOR} SELECT vox_id AS node_id, k::BIGINT AS k, round(lp, 6) + 0.0 AS logpi FROM pri""")
+def store_group_prior(spark, sf):
+    """The prior of the best stored model, read back."""
+    prior, _ = tables.load_group_prior(spark, _stored(spark, sf), PARCELS)
+    return views.explode_parcels(prior, "logpi", "node_id", alias="logpi")
+
+
+@query("store_directions", f"""
+WITH {VOX}, {LABEL_SUMS} SELECT m::BIGINT AS m, k::BIGINT AS k, round(v, 6) + 0.0 AS value FROM dir""")
+def store_directions(spark, sf):
+    """The directions of the best stored model, read back."""
+    v = tables.load_emission_params(spark, _stored(spark, sf), "V")[0].reshape(WIDTH, PARCELS)
+    rows = [(m, k, round(float(v[m, k]), 6) + 0.0) for m in range(WIDTH) for k in range(PARCELS)]
+    return spark.createDataFrame(rows, "m long, k long, value double")
+
+
+@query("align_models", f"""
+WITH {VOX}, {LABEL_PRIOR}
+SELECT vox_id AS node_id, k::BIGINT AS k, round(exp(lp) / sum(exp(lp)) OVER (PARTITION BY vox_id), 6) + 0.0 AS p FROM pri""")
+def align_models(spark, sf):
+    """A model whose parcels are shifted by three comes back in the order of the first."""
+    one = replace(label_vmf(spark, sf), prior=label_prior(spark, sf))
+    order = [(k + 3) % PARCELS for k in range(PARCELS)]
+    moved = one.prior.table.select("node_id", F.array(*[F.col("logpi")[k] for k in order]).alias("logpi"))
+    two = replace(one, prior=one.prior.with_table(moved),
+                  emissions=tuple(replace(e, v=e.v[:, order]) for e in one.emissions))
+    back = matching.align_models([one, two])[1]
+    return views.explode_parcels(back.prior.marginal(), "pi", "node_id")
+
+
 # ---------------------------------------------------------------- streaming
 
 _EMBEDDINGS = T.StructType([

@@ -113,12 +113,13 @@ def gradient_magnitude(spark, sf):
 
 
 @query("map_data", f"""
-SELECT p.p_partkey AS node_id, round(coalesce(l.v, -1), 6) AS value FROM part p
-LEFT JOIN (SELECT l_partkey, avg(l_discount) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O' GROUP BY ALL) l ON l.l_partkey = p.p_partkey""")
+SELECT c.c_custkey AS node_id, round(coalesce(o.v, -1), 6) AS value FROM customer c
+LEFT JOIN (SELECT o_custkey, avg(o_totalprice) / 1e6 AS v FROM orders GROUP BY ALL) o ON o.o_custkey = c.c_custkey""")
 def map_data(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'O'")
-    data = rows.groupBy(F.col("l_partkey").alias("node_id")).agg(F.avg("l_discount").alias("value"))
-    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"))
+    """Mean order price (in millions) of every customer; customers without orders get the default."""
+    data = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("node_id")).agg(
+        (F.avg("o_totalprice") / 1e6).alias("value"))
+    nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id"))
     return spatial.map_data(nodes, data, default=-1.0).select("node_id", r6(F.col("value")).alias("value"))
 
 
@@ -138,9 +139,20 @@ def random_mask(spark, sf):
     return out.select("node_id", F.col("missing").cast("long").alias("missing"))
 
 
-@query("graph_colouring")
+@query("graph_colouring", f"""
+WITH {_GRID} SELECT g.node_id, 1::BIGINT AS coloured, 0::BIGINT AS conflicts FROM grid g""")
 def graph_colouring(spark, sf):
-    return spatial.colour(spatial.grid_edges(part_grid(spark, sf)))
+    """The property that counts: every node has a colour, and no neighbour has the same."""
+    nodes = part_grid(spark, sf).select("node_id")
+    edges = spatial.grid_edges(part_grid(spark, sf))
+    colours = spatial.colour(edges)
+    far = colours.select(F.col("node_id").alias("dst"), F.col("colour").alias("other"))
+    clash = edges.join(colours.withColumnRenamed("node_id", "src"), "src").join(far, "dst").where("colour = other").groupBy(
+        F.col("src").alias("node_id")).agg(F.count("*").alias("conflicts"))
+    linked = edges.select(F.col("src").alias("node_id")).distinct().withColumn("linked", F.lit(True))
+    found = nodes.join(linked, "node_id", "left").join(colours, "node_id", "left").join(clash, "node_id", "left")
+    done = F.col("colour").isNotNull() | F.col("linked").isNull()  # a node without links takes any colour
+    return found.select("node_id", done.cast("long").alias("coloured"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
 # ---------------------------------------------------------------- Potts
@@ -305,7 +317,12 @@ ag AS (SELECT subj_id, pair, sum(CASE WHEN i = j THEN p ELSE 0 END) AS a FROM jp
 u1 AS (SELECT subj_id, pair, i AS k, sum(p) AS u FROM jp GROUP BY ALL),
 u2 AS (SELECT subj_id, pair, j AS k, sum(p) AS u FROM jp GROUP BY ALL)
 SELECT a.subj_id, a.pair, a.k::BIGINT AS k, round(a.u, 6) + 0.0 AS u1, round(b.u, 6) + 0.0 AS u2, round(g.a, 6) + 0.0 AS agree
-FROM u1 a JOIN u2 b ON a.subj_id = b.subj_id AND a.pair = b.pair AND a.k = b.k JOIN ag g ON g.subj_id = a.subj_id AND g.pair = a.pair""")
+FROM u1 a JOIN u2 b ON a.subj_id = b.subj_id AND a.pair = b.pair AND a.k = b.k JOIN ag g ON g.subj_id = a.subj_id AND g.pair = a.pair
+UNION ALL
+SELECT s.subj_id, s.pair, s.k::BIGINT, CASE WHEN s.vox_id % 2 = 0 THEN round(s.u, 6) + 0.0 END, CASE WHEN s.vox_id % 2 = 1 THEN round(s.u, 6) + 0.0 END, NULL
+FROM (SELECT subj_id, vox_id, vox_id - vox_id % 2 AS pair, k, exp(q - m) / sum(exp(q - m)) OVER (PARTITION BY subj_id, vox_id) AS u
+      FROM (SELECT *, max(q) OVER (PARTITION BY subj_id, vox_id) AS m FROM q)) s
+WHERE NOT EXISTS (SELECT 1 FROM jp WHERE jp.subj_id = s.subj_id AND jp.pair = s.pair)""")
 def potts_duo_exact(spark, sf):
     """Pairs of consecutive locations as two linked nodes, in closed form."""
     ll = mixture.loglik(views.vox_evidence(spark, sf), label_vmf(spark, sf).emissions[0])
@@ -314,8 +331,8 @@ def potts_duo_exact(spark, sf):
     even = F.col("vox_id") % 2 == 0
     pairs = q.groupBy("subj_id", (F.col("vox_id") - F.col("vox_id") % 2).alias("pair")).agg(
         F.first(F.when(even, F.col("q")), ignorenulls=True).alias("a"), F.first(F.when(~even, F.col("q")), ignorenulls=True).alias("b")
-    ).where("a is not null and b is not null")
-    out = pairs.select("subj_id", "pair", potts.duo_posterior(F.col("a"), F.col("b"), THETA).alias("d"))
+    )
+    out = pairs.select("subj_id", "pair", potts.pair_posterior(F.col("a"), F.col("b"), THETA).alias("d"))
     return out.select("subj_id", "pair", F.posexplode(F.arrays_zip("d.u1", "d.u2")).alias("k", "z"), "d.agree").select(
         "subj_id", "pair", F.col("k").cast("long").alias("k"), r6(F.col("z.u1")).alias("u1"), r6(F.col("z.u2")).alias("u2"), r6(F.col("agree")).alias("agree")
     )
@@ -323,13 +340,15 @@ def potts_duo_exact(spark, sf):
 
 @query("potts_enumerate", f"""
 WITH {EVT_EVIDENCE}, {EVENT_SUMS},
-f AS (SELECT a.subj_id, a.vox_id // 3 AS field, a.k AS i, b.k AS j, c.k AS l,
-             a.ll + b.ll + c.ll + CASE WHEN a.k = b.k THEN 0.7 ELSE 0 END + CASE WHEN b.k = c.k THEN 0.7 ELSE 0 END AS v
-      FROM sc a JOIN sc b ON a.subj_id = b.subj_id AND b.vox_id = a.vox_id + 1 JOIN sc c ON c.subj_id = a.subj_id AND c.vox_id = a.vox_id + 2 WHERE a.vox_id % 3 = 0),
+f AS (SELECT d.subj_id, d.field, a.k AS i, b.k AS j, c.k AS l,
+             coalesce(a.ll, 0) + coalesce(b.ll, 0) + coalesce(c.ll, 0) + CASE WHEN a.k = b.k THEN 0.7 ELSE 0 END + CASE WHEN b.k = c.k THEN 0.7 ELSE 0 END AS v
+      FROM (SELECT DISTINCT subj_id, vox_id // 3 AS field FROM sc) d
+      LEFT JOIN sc a ON a.subj_id = d.subj_id AND a.vox_id = d.field * 3 LEFT JOIN sc b ON b.subj_id = d.subj_id AND b.vox_id = d.field * 3 + 1
+      LEFT JOIN sc c ON c.subj_id = d.subj_id AND c.vox_id = d.field * 3 + 2),
 fm AS (SELECT subj_id, field, max(v) AS m FROM f GROUP BY ALL),
 fp AS (SELECT f.subj_id, f.field, f.i, f.j, f.l, exp(f.v - m.m) / sum(exp(f.v - m.m)) OVER (PARTITION BY f.subj_id, f.field) AS p FROM f JOIN fm m ON f.subj_id = m.subj_id AND f.field = m.field),
 al AS (SELECT subj_id, field, 0 AS position, i AS k, p FROM fp UNION ALL SELECT subj_id, field, 1, j, p FROM fp UNION ALL SELECT subj_id, field, 2, l, p FROM fp)
-SELECT subj_id, field, position::BIGINT AS position, k::BIGINT AS k, round(sum(p), 6) + 0.0 AS p FROM al GROUP BY ALL""")
+SELECT subj_id, field, position::BIGINT AS position, k::BIGINT AS k, round(sum(p), 6) + 0.0 AS p FROM al WHERE k IS NOT NULL GROUP BY ALL""")
 def potts_enumerate(spark, sf):
     """Fields of three linked locations, all states visited."""
     aligned, model = event_model(spark, sf)
@@ -337,7 +356,7 @@ def potts_enumerate(spark, sf):
     place = F.col("vox_id") % 3
     groups = ll.groupBy("subj_id", F.expr("vox_id div 3").alias("field")).agg(
         *[F.first(F.when(place == p, F.col("ll")), ignorenulls=True).alias(f"s{p}") for p in range(3)]
-    ).where("s0 is not null and s1 is not null and s2 is not null").select("subj_id", "field", F.array("s0", "s1", "s2").alias("score"))
+    ).select("subj_id", "field", F.array("s0", "s1", "s2").alias("score"))
     out = potts.enumerate_field(groups, 3, EVENT_PARCELS, [(0, 1), (1, 2)], 0.7, ["subj_id", "field"])
     out = out.withColumn("position", F.col("position").cast("long"))
     return views.explode_parcels(out, "uhat", "subj_id", "field", "position")

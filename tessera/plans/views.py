@@ -16,7 +16,6 @@ SUBJECTS = 5
 PARCELS = 10  # labels 0..9 of the embeddings table
 WIDTH = 64  # length of an embedding
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-BLOCKS = (0, 1, 2, 3, 4)  # weeks of a month
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -67,7 +66,7 @@ def event_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.from_cells(event_cells(spark, sf), EVENT_TYPES, BLOCKS)
+    return evidence.from_cells(event_cells(spark, sf), EVENT_TYPES)
 
 
 EVT = f"""

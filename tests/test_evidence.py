@@ -63,6 +63,24 @@ def test_regression_uses_pseudo_inverse(spark):
     assert got[0] == pytest.approx(b / np.linalg.norm(b, axis=0))
 
 
+def test_partitions_outside_the_list_are_an_error(spark):
+    cells = spark.createDataFrame([(0, 0, j, 0, 1.0) for j in range(3)], "subj_id long, vox_id long, part_id int, cond_id int, value double")
+    assert evidence.from_cells(cells, [0]).first()["num_part"] == 3
+    with pytest.raises(Exception, match="unknown partition"):
+        evidence.from_cells(cells, [0], [0, 1]).collect()
+    with pytest.raises(Exception, match="unknown condition"):
+        evidence.from_cells(cells, [1]).collect()
+
+
+def test_weights_follow_the_locations_of_a_subject(spark):
+    rows = [(s, v, 0, 0, float(v + 1)) for s, n in ((0, 2), (1, 4)) for v in range(n)]
+    cells = spark.createDataFrame(rows, "subj_id long, vox_id long, part_id int, cond_id int, value double")
+    sizes = cells.groupBy("subj_id").agg(F.countDistinct("vox_id").alias("locations"))
+    out = evidence.add_weights(evidence.partition_vectors(cells, [0]), "length_sum2P", 1, sizes)
+    sums = {r["subj_id"]: r["w"] for r in out.groupBy("subj_id").agg(F.sum("w").alias("w")).collect()}
+    assert sums == pytest.approx({0: 2.0, 1: 4.0})
+
+
 def test_one_and_two_shuffle_plans_agree(spark):
     rows = [(0, v, j, c, float(v + j + c)) for v in range(3) for j in range(2) for c in range(2) if not (v == 1 and j == 0 and c == 1)]
     cells = spark.createDataFrame(rows, "subj_id long, vox_id long, part_id int, cond_id int, value double")

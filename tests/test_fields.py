@@ -1,6 +1,7 @@
 """Layouts, Potts fields, hidden units, samplers, stochastic learning."""
 
 import itertools
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -214,3 +215,42 @@ def test_prior_from_probabilities(spark):
     assert rows[1]["logpi"] == pytest.approx([np.log(0.5 + 1e-8)] * 2)
     with pytest.raises(ValueError):
         priors.build_prior(prob, 2, kind="odds")
+
+
+def test_bias_and_weight_momentum(spark):
+    model = sparse(spark, 3, 2, theta=(1.0,), momentum=0.5)
+    uhat = spark.createDataFrame([(0, i, [1.0, 0.0]) for i in range(3)], "subj_id long, node_id long, uhat array<double>")
+    hid = spark.createDataFrame([(0, h, [0.5, 0.5]) for h in range(3)], "subj_id long, h long, hhat array<double>")
+    neg = spark.createDataFrame([(0, i, [0.5, 0.5]) for i in range(3)], "subj_id long, node_id long, pu array<double>")
+    neg_hid = spark.createDataFrame([(0, h, [0.25, 0.25]) for h in range(3)], "subj_id long, h long, ph array<double>")
+    one = boltzmann.weight_step(model, uhat, hid, neg, neg_hid, rate=0.1)
+    two = boltzmann.weight_step(one, uhat, hid, neg, neg_hid, rate=0.1)
+    g = 0.1 * 0.25
+    assert [r["w"] for r in two.edges.collect()] == pytest.approx([1.0 + g + 1.5 * g] * 4)
+    one = boltzmann.sparse_step(model, uhat, hid, neg, neg_hid, rate=0.1, fit_theta=False)
+    two = boltzmann.sparse_step(one, uhat, hid, neg, neg_hid, rate=0.1, fit_theta=False)
+    before = {r["node_id"]: r["bu"] for r in model.bias.collect()}
+    for r in two.bias.collect():
+        assert np.subtract(r["bu"], before[r["node_id"]]) == pytest.approx([0.05 * 2.5, -0.05 * 2.5])
+
+
+def test_sparse_machine_sums_plain_products(spark):
+    edges = spark.createDataFrame([(0, 0, 0, 2.0), (1, 0, 0, 0.5)], "h long, node_id long, component int, w double")
+    uhat = spark.createDataFrame([(0, 0, [1.0, 0.0])], "subj_id long, node_id long, uhat array<double>")
+    hid = spark.createDataFrame([(0, 0, [0.5, 0.5]), (0, 1, [0.2, 0.8])], "subj_id long, h long, hhat array<double>")
+    plain = boltzmann.component_gradient(uhat, hid, edges, weighted=False).first()["gradient"]
+    assert plain == pytest.approx((0.5 + 0.2) / 2.5)
+    assert boltzmann.component_gradient(uhat, hid, edges).first()["gradient"] == pytest.approx((1.0 + 0.1) / 2.5)
+
+
+def test_isolated_nodes_stay(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, w double")
+    prior = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(3)], "node_id long, logpi array<double>")
+    model = potts.PottsModel(edges, 2, prior)
+    colours = spatial.colour(edges)
+    assert potts.gibbs(model, colours, 2, 3, 2, 1).count() == 3
+    scores = spark.createDataFrame([(0, i, [0.0, 0.0]) for i in range(3)], "subj_id long, node_id long, ll array<double>")
+    uhat, _ = potts.posterior(model, scores, colours, 2, 3, 1, 1)
+    assert uhat.count() == 3 and potts.mean_field(model, scores, colours, 2, 1).count() == 3
+    with pytest.raises(Exception, match="without a prior"):
+        potts.mean_field(replace(model, prior=prior.limit(2)), scores, colours, 2, 1).collect()

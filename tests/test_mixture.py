@@ -223,3 +223,75 @@ def test_recovers_directions_and_concentration(spark):
     got = fit.model.emissions[0]
     assert np.diag(got.v.T @ v).min() > 0.98
     assert got.kappa == pytest.approx(12.0, rel=0.15)
+
+
+def test_repeated_rows_are_refused(spark, data):
+    _, _, y = data
+    e = evidence(spark, y)
+    with pytest.raises(ValueError, match="2 rows"):
+        mixture.align([e.unionByName(e.limit(1))])
+    with pytest.raises(ValueError, match="2 rows"):
+        mixture.align([e, e.unionByName(e.limit(1))])
+
+
+def test_missing_keys_are_refused(spark, data):
+    v, _, y = data
+    table = spark.createDataFrame([(p, [0.0] * K) for p in range(P - 1)], "node_id long, logpi array<double>")
+    model = mixture.Model(priors.IndependentPrior(K, table=table), (em.VonMisesFisher(v, 5.0),))
+    with pytest.raises(Exception, match="without a prior"):
+        mixture.posterior(mixture.align([evidence(spark, y)]), model).collect()
+    who = spark.createDataFrame([(0, 0)], "local_subj long, subj_id long")
+    with pytest.raises(Exception, match="without an entry"):
+        mixture.map_subjects(evidence(spark, y), who).collect()
+
+
+def test_frozen_prior_is_joined_once(spark, data, monkeypatch):
+    """With a given prior the passes after the first move no evidence."""
+    v, _, y = data
+    table = spark.createDataFrame([(p, [0.1 * p, 0.0, -0.1]) for p in range(P)], "node_id long, logpi array<double>")
+    model = mixture.Model(priors.IndependentPrior(K, table=table), (em.VonMisesFisher(v, 5.0),))
+    plans, inner = [], mixture._pass
+
+    def spy(aligned, df, *args, **kw):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return inner(aligned, df, *args, **kw)
+
+    monkeypatch.setattr(mixture, "_pass", spy)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fit = mixture.fit_em(model, mixture.align([evidence(spark, y)]), 3, 1e-9, fit_prior=False, first_evidence=True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(plans) == 3 and all(p.startswith("InMemoryRelation") for p in plans)
+    trace, _ = numpy_em(y, v, 5.0, np.array([[0.1 * p, 0.0, -0.1] for p in range(P)]) - np.log(
+        np.exp([[0.1 * p, 0.0, -0.1] for p in range(P)]).sum(axis=1, keepdims=True)), 3, fit_prior=False)
+    assert np.array(fit.trace)[:, 1] == pytest.approx(trace[:, 1])
+
+
+def test_several_starts_with_a_frozen_prior(spark, data):
+    v, _, y = data
+    table = spark.createDataFrame([(p, [0.1 * p, 0.0, -0.1]) for p in range(P)], "node_id long, logpi array<double>")
+    prior = priors.IndependentPrior(K, table=table)
+    starts = [mixture.Model(prior, (em.VonMisesFisher(w, 5.0),)) for w in (v, np.roll(v, 1, axis=1))]
+    both = mixture._fit(starts, mixture.align([evidence(spark, y)]), 12, 0.5, True, False, True)
+    for s, r in zip(starts, both):
+        one = mixture.fit_em(s, mixture.align([evidence(spark, y)]), 12, 0.5, fit_prior=False, first_evidence=True)
+        assert np.array(one.trace) == pytest.approx(np.array(r.trace))
+
+
+def test_multistart_with_few_iterations(spark, data):
+    v, _, y = data
+    prior = priors.IndependentPrior(K, flat=priors.uniform_flat(K), spatial=False)
+    starts = [mixture.Model(prior, (em.VonMisesFisher(w, 5.0),)) for w in (v, np.roll(v, 1, axis=0))]
+    fit = mixture.fit_em_starts(starts, mixture.align([evidence(spark, y)]), first_iter=3, max_iter=3, tol=1e-9, align_on=None)
+    assert len(fit.trace) == 3 and len(fit.first_traces) == 2 and fit.posterior().count() == S * P
+
+
+def test_marginal_of_a_flat_prior(spark):
+    prior = priors.IndependentPrior(3, flat=np.log([0.5, 0.3, 0.2]), spatial=False)
+    nodes = spark.createDataFrame([(0,), (4,)], "node_id long")
+    assert [r["pi"] for r in prior.marginal(nodes).collect()] == [pytest.approx([0.5, 0.3, 0.2])] * 2
+    assert prior.marginal_full(nodes).columns == ["vox_id", "pi"]
+    with pytest.raises(ValueError):
+        prior.marginal()
