@@ -20,8 +20,9 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 #: Distinct words remembered by a task; beyond them it starts afresh, with the same results.
-REMEMBERED = 500_000
-SLICE_BYTES = 2 << 20
+REMEMBERED = 300_000
+#: Bytes of text whose new words are replayed together, and that are turned to ids at a time.
+CORPUS_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -134,8 +135,8 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     data = np.frombuffer(b"".join(words), np.uint8)
     n = len(data)
     token = vocabulary.byte_rank[data]
-    word = np.repeat(np.arange(len(words)), sizes)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     ends = np.cumsum(sizes)
     after[ends[sizes > 0] - 1] = -1
     before[(ends - sizes)[sizes > 0]] = -1
@@ -226,32 +227,31 @@ class Encoder:
         cuts = byte_at[np.append(starts, len(points))].tolist()
         index = self.index
         codes = np.fromiter(
-            (index.setdefault(raw[a:b], len(index)) for a, b in zip(cuts, cuts[1:])), np.int64, len(starts))
+            (index.setdefault(raw[a:b], len(index)) for a, b in zip(cuts, cuts[1:])), np.int32, len(starts))
         return codes, np.diff(np.searchsorted(starts, rows))
 
     def encode(self, column: pa.Array):
-        """Ranges of rows, and for each a list column of token ids."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
+        """Ranges of rows, and for each the ids one after the other and the offsets of the rows in them."""
         data, offsets = textops.text_buffers(column)
-        data = data.tobytes()
-        done = []
-        for lo, hi in textops.row_slices(offsets, SLICE_BYTES):
-            raw = data[offsets[lo]:offsets[hi]]
-            done.append((lo, hi, *self._codes(raw, offsets[lo:hi + 1] - offsets[lo])))
-        known = len(self.ends) - 1
-        if len(self.index) > known:
-            new = [*self.index][known:] if known else [*self.index]
-            ids, ends = replay(new, self.vocabulary)
-            self.ids = np.concatenate((self.ids, ids))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + ends[1:]))
-        for lo, hi, codes, per_row in done:
-            starts = self.ends[codes]
-            lengths = self.ends[codes + 1] - starts
-            total = np.concatenate(([0], np.cumsum(lengths)))
-            rows = total[np.concatenate(([0], np.cumsum(per_row)))]
-            ids = textops.gather(self.ids, starts, lengths)
-            yield lo, hi, pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32()))
+        for first, last in textops.row_slices(offsets, CORPUS_BYTES):
+            if len(self.index) > REMEMBERED:
+                self.forget()
+            done = []
+            for lo, hi in textops.row_slices(offsets[first:last + 1], SLICE_BYTES):
+                lo, hi = lo + first, hi + first
+                raw = data[offsets[lo]:offsets[hi]].tobytes()
+                done.append((lo, hi, *self._codes(raw, offsets[lo:hi + 1] - offsets[lo])))
+            known = len(self.ends) - 1
+            if len(self.index) > known:
+                ids, ends = replay([*self.index][known:], self.vocabulary)
+                self.ids = np.concatenate((self.ids, ids))
+                self.ends = np.concatenate((self.ends, self.ends[-1] + ends[1:]))
+            for lo, hi, codes, per_row in done:
+                starts = self.ends[codes]
+                lengths = self.ends[codes + 1] - starts
+                total = np.concatenate(([0], np.cumsum(lengths)))
+                rows = total[np.concatenate(([0], np.cumsum(per_row)))]
+                yield lo, hi, textops.gather(self.ids, starts, lengths), rows
 
 
 def _valid(column: pa.Array) -> pa.Array:
@@ -264,60 +264,66 @@ def _valid(column: pa.Array) -> pa.Array:
                          column.cast(pa.binary()).to_pylist()], pa.string())
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of each text instead of the text. Special tokens are ordinary text.
+def _decoded(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) -> pa.Array:
+    """The bytes of each row of ids."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(vocabulary.token_ends) - 1):
+        raise ValueError("token id outside the vocabulary")
+    starts = vocabulary.token_ends[ids]
+    lengths = vocabulary.token_ends[ids + 1] - starts
+    total = np.concatenate(([0], np.cumsum(lengths)))
+    return textops.binary_column(textops.gather(vocabulary.token_bytes, starts, lengths), total[bounds])
+
+
+def _fields(df: DataFrame, *without: str) -> list[str]:
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without]
+
 
-    The text is split by the usual byte-level BPE pattern and each match encoded by itself. A task gathers the
-    distinct words of an Arrow batch and replays the merges over all of them together (``replay``); nothing is
-    shuffled. Null and empty texts have no ids. Other columns are left as they are, but for one named ``out_col``,
-    which is replaced. Memory: an Arrow batch of texts and the words of REMEMBERED size.
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "ids",
+           decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of each text instead of the text, and if asked for the bytes the ids decode to.
+
+    Special tokens are ordinary text. The text is split by the usual byte-level BPE pattern and each match encoded
+    by itself. A task gathers the distinct words of CORPUS_BYTES of texts that it has not met and replays the merges
+    over all of them together (``replay``); nothing is shuffled. Null and empty texts have no ids. Other columns are
+    left as they are, but for those named like a new one, which are replaced. Memory: an Arrow batch of texts, the
+    words remembered, and some ten times the longest text.
     """
-    others = [c for c in docs.columns if c not in (text_col, out_col)]
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # some 10 MB for 50,000 tokens
+    others = [c for c in docs.columns if c not in (text_col, out_col, decoded_col)]
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # some 3 MB for 50,000 tokens
 
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            column = table[text_col].combine_chunks()
-            column = _valid(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
-            for lo, hi, ids in encoder.encode(column):
-                part = table.slice(lo, hi - lo).drop_columns([text_col]).append_column(out_col, ids)
+            column = _valid(batch.column(len(others)))
+            rest = pa.Table.from_batches([batch]).select(range(len(others)))
+            for lo, hi, ids, bounds in encoder.encode(column):
+                part = rest.slice(lo, hi - lo) if others else pa.table({})
+                part = part.append_column(out_col, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)))
+                if decoded_col:
+                    part = part.append_column(decoded_col, _decoded(ids, bounds, encoder.vocabulary))
                 yield from part.combine_chunks().to_batches()
 
     narrow = docs.select(*others, F.col(text_col).cast("string").alias(text_col))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != text_col)
-    return narrow.mapInArrow(run, f"{fields}{', ' if fields else ''}`{out_col}` array<int>")
+    new = [f"`{out_col}` array<int>", *([f"`{decoded_col}` binary"] if decoded_col else [])]
+    return narrow.mapInArrow(run, ", ".join([*_fields(narrow, text_col), *new]))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``rows`` with the bytes that their ids stand for in a new column. Null ids give empty bytes; ids outside
-    the vocabulary are an error."""
+    """``rows`` with the bytes that their ids stand for in a new column. Null ids, and nulls among them, give no
+    bytes; ids outside the vocabulary are an error."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    base = rows.drop(out_col).withColumn(ids_col, F.filter(
+        F.coalesce(ids_col, F.array().cast("array<int>")), lambda i: i.isNotNull()).cast("array<int>"))
+    place = base.columns.index(ids_col)
 
     def run(batches):
-        v = shared.value
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            ids = table[ids_col].combine_chunks()
-            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            counts = np.nan_to_num(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+            ids = batch.column(place)
             flat = ids.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and (flat.min() < 0 or flat.max() >= len(v.token_ends) - 1):
-                raise ValueError("token id outside the vocabulary")
-            bounds = np.concatenate(([0], np.cumsum(counts)))
-            lo, n = 0, len(counts)
-            while lo < n:
-                hi = min(n, max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE_BYTES // 4, "right")) - 1))
-                part = flat[bounds[lo]:bounds[hi]]
-                starts = v.token_ends[part]
-                lengths = v.token_ends[part + 1] - starts
-                total = np.concatenate(([0], np.cumsum(lengths)))
-                column = textops.binary_column(textops.gather(v.token_bytes, starts, lengths),
-                                               total[bounds[lo:hi + 1] - bounds[lo]])
-                yield from table.slice(lo, hi - lo).append_column(out_col, column).combine_chunks().to_batches()
-                lo = hi
-
-    base = rows.drop(out_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{fields}, `{out_col}` binary")
+            bounds = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))
+            for lo, hi in textops.row_slices(bounds, SLICE_BYTES // 4):
+                part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                column = _decoded(flat[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo], shared.value)
+                yield from part.append_column(out_col, column).combine_chunks().to_batches()
+
+    return base.mapInArrow(run, ", ".join([*_fields(base), f"`{out_col}` binary"]))

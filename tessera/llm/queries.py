@@ -60,8 +60,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    both = bpe.decode(ids, vocabulary)
+    both = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded_col="decoded")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
