@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,11 +96,31 @@ def _with_bigrams(rows: DataFrame, norm, out: str) -> DataFrame:
     common elements are counted as often as they occur. Every step is a column of its own: inside a lambda function
     an expression would be computed for each element."""
     words = rows.withColumn("_words", F.split(norm, " "))
-    pairs = words.withColumn("_pairs", F.array_sort(F.transform(
+    pairs = words.withColumn("_pairs", F.sort_array(F.transform(
         F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))),
         lambda w, i: F.concat_ws(" ", F.get("_words", i), w))))
-    return pairs.withColumn(out, F.transform("_pairs", lambda p, i: F.concat_ws(
-        "#", p, (i + 1 - F.array_position("_pairs", p)).cast("string")))).drop("_words", "_pairs")
+    return pairs.withColumn(out, F.transform("_pairs", lambda p, i: F.concat_ws("#", p, F.when(
+        F.get("_pairs", i - 1) == p, (i + 1 - F.array_position("_pairs", p)).cast("string")).otherwise("0")))).drop(
+        "_words", "_pairs")
+
+
+def markers(texts: list[str], threshold: float = THRESHOLD) -> list[str]:
+    """Words one of which every text like a template has.
+
+    A text of a Dice coefficient of t has at least t / (2 - t) of the template's bigrams. For each template its longest
+    words are taken until the bigrams without any of them are fewer than that.
+    """
+    out: set[str] = set()
+    for text in texts:
+        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        need = math.ceil((len(words) - 1) * threshold / (2 - threshold) - 1e-9)
+        chosen: set[str] = set()
+        for w in sorted(set(words), key=lambda w: (len(w), w), reverse=True):
+            if sum(a not in chosen and b not in chosen for a, b in zip(words, words[1:])) < need:
+                break
+            chosen.add(w)
+        out |= chosen
+    return sorted(out)
 
 
 def _size(norm):
@@ -138,8 +161,12 @@ def _compared(docs: DataFrame, id_col: str, text_col: str, threshold: float, kno
     """Every part of every document with each template that its size allows, or with none: row, doc_id, kind, number,
     template, license and dice (null below the threshold)."""
     parts = _units(docs, id_col, text_col).withColumn("norm", _normal(F.col("part"))).withColumn("size", _size(F.col("norm")))
-    near = parts.select("row", "doc_id", "kind", "number", "norm", "size").join(
-        F.broadcast(templates(docs.sparkSession, known, threshold)), "size", "left")
+    table = templates(docs.sparkSession, known, threshold)
+    low, high = table.agg(F.min("size"), F.max("size")).first()
+    marked = F.arrays_overlap(F.split("norm", " "), F.array(*[F.lit(w) for w in markers([t for _, t in known], threshold)]))
+    possible = parts.select("row", "doc_id", "kind", "number", "norm", F.when(
+        F.col("size").between(low, high) & marked, F.col("size")).alias("size"))
+    near = possible.join(F.broadcast(table), "size", "left")
     near = _with_bigrams(near, F.when(F.col("template").isNotNull(), F.col("norm")), "bigrams")
     common = F.size(F.array_intersect("bigrams", "template_bigrams"))
     dice = F.when(F.col("template").isNotNull(), F.lit(2.0) * common / (F.col("size") + F.col("template_size")))
@@ -153,7 +180,8 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     Parts are lines, paragraphs (between blank lines) of several lines, and the whole of a text of several
     paragraphs. Bigrams are those of the normal form (lower-case runs of ASCII letters and digits) with their counts;
-    dice = 2 * common / (a + b). Only templates that the sizes allow are compared. Null texts count as empty; parts
+    dice = 2 * common / (a + b). Only templates that the sizes allow are compared, and only with parts that have one of
+    the words that no similar text can lack. Null texts count as empty; parts
     of fewer than two words have no bigrams and are like nothing.
     """
     return _compared(docs, id_col, text_col, threshold, known).filter("dice IS NOT NULL").drop("row")
