@@ -179,6 +179,18 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
                 at = at[since % 2 == 0]
         gone = after[at]
         beyond = after[gone]
+        several = np.zeros(0, np.int64)
+        if len(at) > 1:  # places are in the order of words
+            again = word[at[1:]] == word[at[:-1]]
+            if again.any():
+                several = np.flatnonzero(np.concatenate(([False], again)) | np.concatenate((again, [False])))
+                near = np.concatenate((beyond[several], before[at[several]]))
+                there = np.maximum(near, 0)
+                side = np.full(len(several), rank, np.int64)
+                ahead = vocabulary.rank(np.concatenate((side, token[there[len(several):]])),
+                                        np.concatenate((token[there[:len(several)]], side)))
+                low = np.concatenate((at[several], at[several]))[(near >= 0) & (ahead < rank)]
+                alone.update(word[low].tolist())
         token[at] = rank
         after[at] = beyond
         before[beyond[beyond >= 0]] = at[beyond >= 0]
@@ -189,10 +201,9 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
         right = after[touched]
         has = right >= 0
         pair[touched] = np.where(has, vocabulary.rank(token[touched], token[np.where(has, right, 0)]), _NONE)
-        lower = touched[pair[touched] < rank]
-        if len(lower):
-            merged, times = np.unique(word[at], return_counts=True)
-            alone.update(np.intersect1d(merged[times > 1], word[lower]).tolist())
+        if len(several):
+            lower = touched[pair[touched] < rank]
+            alone.update(np.intersect1d(word[at[several]], word[lower]).tolist())
         enter(touched)
     ids = token[alive]
     counts = np.bincount(word[alive], minlength=len(words))
