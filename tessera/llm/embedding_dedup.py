@@ -192,19 +192,23 @@ def mark(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     finite = F.forall("embedding", lambda e: F.coalesce(F.abs(e) < F.lit(float("inf")), F.lit(False)))
     valid = rows.filter(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda e: e != 0))
-    reps = cut_lineage(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # Each different vector gets a number of its own, which the checkpoint keeps: ids may repeat.
+    reps = cut_lineage(valid.groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+                       .withColumn("rep", F.monotonically_increasing_id()))
     share = lambda dim, b: math.sqrt(2 * (1 - threshold) * len(_places(dim)[b]) / dim + _SLACK) + _SLACK
     sc = vectors.sparkSession.sparkContext
     axes = sc.broadcast(_rotations(reps))  # the square of the dimension
     bounds = sc.broadcast(_bounds(reps, axes, cell_rows))  # a number per cell of thousands of rows
-    met = _deal(reps, axes, bounds, share).groupBy("dim", "block", "c1", "c2").applyInArrow(
+    met = _deal(reps.drop("first_id"), axes, bounds, share).groupBy("dim", "block", "c1", "c2").applyInArrow(
         _meet(axes, threshold), "rep long, links long, root long")
     found = cut_lineage(met)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     group = components.connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    facts = reps.join(links, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "embedding", F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.coalesce("component", "rep")
-    ).toDF("embedding", "n_links", "component_id")
+    placed = reps.join(links, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    facts = placed.join(smallest, "component").select(
+        "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = valid.join(facts, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda e: e != 0),
                                     F.lit(False)))
