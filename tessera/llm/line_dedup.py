@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import written
+
 #: Shorter lines are left alone: one changed word would be more than a fifth of them.
 MIN_WORDS = 5
-#: Size of the presence table that spares most lines a shuffle of their text: this many rows of 8 bytes at most.
-_PRESENCE = 1 << 18
+#: Size of the tables that spare most rows a shuffle: this many rows of 8 bytes at most.
+_PRESENCE = 1 << 22
 
 
 def _doc_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -20,87 +22,110 @@ def _doc_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """One row per line of MIN_WORDS or more: place, normal form, its words and its digest."""
+    """One row per line of MIN_WORDS or more: place, normal form, its words and two hashes that name it."""
     parts = rows.select("doc", "doc_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     norm = parts.select("doc", "doc_key", "line_no", F.trim(F.lower("line")).alias("norm"))
     words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return norm.withColumn("n", words).filter(F.col("n") >= MIN_WORDS).withColumn("key", F.unhex(F.md5("norm")))
+    return norm.withColumn("n", words).filter(F.col("n") >= MIN_WORDS).withColumn("k1", F.xxhash64("norm")).withColumn(
+        "k2", F.xxhash64(F.lit("line"), "norm"))
+
+
+def _halves():
+    """Hashes of the first and last k words, for k = (n - 1) / 2 and (n - 2) / 2 rounded down (the same for even n): two
+    lines within one word of each other share one of them."""
+    def pair(k):
+        return [F.expr(f"xxhash64('a', {k}, substring_index(norm, ' ', cast({k} AS int)))"),
+                F.expr(f"xxhash64('z', {k}, substring_index(norm, ' ', cast(-({k}) AS int)))")]
+
+    first, second = pair("(n - 1) div 2"), pair("(n - 2) div 2")
+    return F.when(F.col("n") % 2 == 1, F.array(*first, *second)).otherwise(F.array(*first))
+
+
+def _residue(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(_PRESENCE))
 
 
-def _halves(n: str = "n") -> list:
-    """Hashes of the first and last k words, for k = (n - 1) / 2 and (n - 2) / 2 rounded down: two lines within one
-    word of each other share one of them."""
-    out = []
-    for k in (f"({n} - 1) div 2", f"({n} - 2) div 2"):
-        out.append(F.expr(f"xxhash64('a', {k}, substring_index(norm, ' ', cast({k} AS int)))"))
-        out.append(F.expr(f"xxhash64('z', {k}, substring_index(norm, ' ', cast(-({k}) AS int)))"))
-    return out
+def _possible(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``wanted``: the residues of the wanted values, at most
+    _PRESENCE rows, are broadcast."""
+    residues = F.broadcast(wanted.select(_residue(column).alias("_residue")).distinct())
+    return rows.join(residues, _residue(column) == F.col("_residue"), "left_semi")
 
 
-def _presence(keys: DataFrame) -> DataFrame:
-    """The residues of the keys: at most _PRESENCE rows."""
-    return F.broadcast(keys.select(F.pmod(F.xxhash64("key"), F.lit(_PRESENCE)).alias("residue")).distinct())
+def _survivors(table: DataFrame) -> DataFrame:
+    """Names of the lines that share a half with another line."""
+    halves = table.select("k1", "k2", F.explode("halves").alias("half"))
+    shared = written(halves.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter(
+        "low <> high").select("half"))
+    return _possible(halves, "half", shared).join(shared, "half", "left_semi").select("k1", "k2").distinct()
 
 
-def _near(lines: DataFrame, uniq: DataFrame) -> DataFrame:
-    """Keys of the lines that have an earlier line within one word of them.
+def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Names of those of the lines ``firsts`` (k1, k2, first, n) that have an earlier line within one word of them.
 
-    Survivors are lines that share a half with another line. Of each survivor all variants with one word deleted are
-    emitted as hashed keys: exclusive-or of the hashes of (word, place), with the places after the deletion moved up.
-    Equal variants of the same place are substitutions, a variant equal to a whole line is an insertion. Within a
-    group of equal variants all lines are within one word of each other, so each is compared with the earliest only.
+    Of each line all variants with one word deleted are emitted as hashed keys: exclusive-or of the hashes of (word,
+    place), with the places after the deletion moved up. Equal variants of the same place are substitutions, a variant
+    equal to a whole line is an insertion. Within a group of equal variants all lines are within one word of each
+    other, so each is compared with the earliest only.
     """
-    halves = uniq.select("key", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
-    survivors = halves.join(shared, "half", "left_semi").select("key").distinct()
-    firsts = uniq.join(survivors, "key", "left_semi").select("key", "first", "n")
-    texts = lines.join(_presence(survivors), F.pmod(F.xxhash64("key"), F.lit(_PRESENCE)) == F.col("residue"), "left_semi")
-    full = texts.select("key", F.struct("doc", "doc_key", "line_no").alias("first"), "norm").join(
-        firsts, ["key", "first"]).dropDuplicates(["key"])
-    words = full.select("key", "first", "n", F.posexplode(F.split("norm", " ")).alias("pos", "word"))
-    hashed = words.select("key", "first", "n", "pos", F.xxhash64("word", "pos").alias("here"),
+    at = F.xxhash64("k1", "k2", "doc", "doc_key", "line_no")
+    wanted = firsts.select(F.xxhash64("k1", "k2", "first.doc", "first.doc_key", "first.line_no").alias("at"))
+    texts = _possible(lines.withColumn("at", at), "at", wanted).select(
+        "k1", "k2", F.struct("doc", "doc_key", "line_no").alias("first"), "norm")
+    full = written(texts.join(firsts, ["k1", "k2", "first"]).dropDuplicates(["k1", "k2"]))
+    words = full.select("k1", "n", F.posexplode(F.split("norm", " ")).alias("pos", "word"))
+    hashed = words.select("k1", "n", "pos", F.xxhash64("word", "pos").alias("here"),
                           F.xxhash64("word", F.col("pos") - 1).alias("moved"))
-    line = Window.partitionBy("key")
+    line = Window.partitionBy("k1")
     past = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    later = line.orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    zero = F.lit(0).cast("long")
-    variants = hashed.select(
-        "key", "first", "n", "pos", F.bit_xor("here").over(line).alias("whole"),
-        F.coalesce(F.bit_xor("here").over(past), zero).bitwiseXOR(
-            F.coalesce(F.bit_xor("moved").over(later), zero)).alias("variant"))
+    upto = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # What follows a place is the whole line less what does not: exclusive-or takes it away again.
+    follows = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(upto))
+    variants = written(hashed.select("k1", "n", "pos", F.coalesce(F.bit_xor("here").over(past), F.lit(0).cast(
+        "long")).bitwiseXOR(follows).alias("variant"), F.when(F.col("pos") == 0, F.bit_xor("here").over(line)).alias("whole")))
+    name = full.select("k1", "k2", "first", "n")
     # Substitutions: the same variant of the same place.
-    leaders = variants.groupBy("variant", "pos", "n").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("c"))
-    substituted = variants.join(leaders.filter("c > 1"), ["variant", "pos", "n"]).filter("first <> lead").select(
-        "key", F.col("lead"), "pos", F.col("pos").alias("lead_pos"))
+    groups = variants.groupBy("variant", "pos", "n").agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
+    shared = written(groups.filter("low <> high").select("variant", "pos", "n"))
+    members = _possible(variants, "variant", shared).join(shared, ["variant", "pos", "n"]).select(
+        "k1", "variant", "pos", "n").join(name, ["k1", "n"])
+    leaders = members.groupBy("variant", "pos", "n").agg(F.min("first").alias("lead"))
+    substituted = members.join(leaders, ["variant", "pos", "n"]).filter("first <> lead").select("k1", "k2", "lead", "pos")
     # Insertions: a line that equals a variant of a line with one word more; the later of the two goes.
-    shorter = variants.filter("pos = 0").select(
-        F.col("key").alias("short_key"), F.col("first").alias("short_first"), F.col("whole").alias("variant"),
+    shorter = variants.filter("pos = 0").select("k1", "n", F.col("whole").alias("variant"))
+    longer = _possible(variants.select("k1", "n", "pos", "variant"), "variant", shorter).join(name, ["k1", "n"])
+    other = shorter.join(name, ["k1", "n"]).select(
+        F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("first").alias("short_first"), "variant",
         (F.col("n") + 1).alias("n"))
-    inserted = variants.join(shorter, ["variant", "n"]).select(
-        F.when(F.col("short_first") < F.col("first"), F.col("key")).otherwise(F.col("short_key")).alias("key"),
-        F.least("first", "short_first").alias("lead"), "pos", F.lit(None).cast("int").alias("lead_pos"))
+    later = F.col("short_first") < F.col("first")
+    inserted = longer.join(other, ["variant", "n"]).select(
+        F.when(later, F.col("k1")).otherwise(F.col("s1")).alias("k1"),
+        F.when(later, F.col("k2")).otherwise(F.col("s2")).alias("k2"),
+        F.least("first", "short_first").alias("lead"), "pos")
     pairs = substituted.unionByName(inserted).distinct()
     # Hashes only propose: what stands before and after the place must be equal word for word.
-    mine = full.select("key", F.col("norm").alias("x"), F.col("n").alias("nx"))
+    mine = full.select("k1", "k2", F.col("norm").alias("x"), F.col("n").alias("nx"))
     leads = full.select(F.col("first").alias("lead"), F.col("norm").alias("y"), F.col("n").alias("ny"))
-    both = pairs.join(mine, "key").join(leads, "lead")
-    after = F.expr("greatest(nx, ny) - 1 - pos")
+    both = pairs.join(mine, ["k1", "k2"]).join(leads, "lead")
     same = F.expr("substring_index(x, ' ', pos) = substring_index(y, ' ', pos)") & F.expr(
         "substring_index(x, ' ', cast(-(greatest(nx, ny) - 1 - pos) AS int)) = "
-        "substring_index(y, ' ', cast(-(greatest(nx, ny) - 1 - pos) AS int))") & (after >= 0)
-    return both.filter(same).select("key").distinct()
+        "substring_index(y, ' ', cast(-(greatest(nx, ny) - 1 - pos) AS int))")
+    return both.filter(same).select("k1", "k2").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, doc_key, gone): the numbers of the lines that go, for each document that loses any."""
     lines = _lines(_doc_columns(docs, id_col, text_col))
     place = F.struct("doc", "doc_key", "line_no")
-    uniq = lines.select("key", place.alias("first"), "n", F.array(*_halves()).alias("halves")).groupBy("key").agg(
-        F.min("first").alias("first"), F.min("n").alias("n"), F.min("halves").alias("halves"),
-        F.count(F.lit(1)).alias("c"))
-    near = _near(lines, uniq).withColumn("near", F.lit(True))
-    verdict = uniq.select("key", "first", "c").join(near, "key", "left").filter("near OR c > 1")
-    gone = lines.select("key", "doc", "doc_key", "line_no").join(verdict, "key").filter(
+    # Places and hashes of all lines, without their texts: read several times, made once.
+    table = written(lines.select("doc", "doc_key", "line_no", "n", "k1", "k2", _halves().alias("halves")))
+    survivors = _survivors(table).withColumn("survives", F.lit(True))
+    uniq = table.groupBy("k1", "k2").agg(
+        F.min(place).alias("first"), F.min("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    marked = written(uniq.join(survivors, ["k1", "k2"], "left").filter("survives OR c > 1"))
+    near = _near(lines, marked.filter("survives").select("k1", "k2", "first", "n")).withColumn("near", F.lit(True))
+    verdict = written(marked.select("k1", "k2", "first", "c").join(near, ["k1", "k2"], "left").filter("near OR c > 1"))
+    gone = _possible(table.select("k1", "k2", "doc", "doc_key", "line_no"), "k1", verdict).join(verdict, ["k1", "k2"]).filter(
         F.coalesce("near", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy("doc", "doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
@@ -117,15 +142,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told apart by a hash of their texts, and rows that repeat both count as one document. Other columns are left
     as they are, but for ones named n_lines or n_removed, which are replaced.
     """
-    gone = removed_lines(docs, id_col, text_col).select(
+    gone = written(removed_lines(docs, id_col, text_col)).select(
         F.col("doc").alias("_doc"), F.col("doc_key").alias("_doc_key"), F.col("gone").alias("_gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     rows = docs.drop("n_lines", "n_removed").withColumn("_d", doc).withColumn("_k", F.xxhash64(text))
-    met = rows.join(gone, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_doc_key")), "left")
+    # Texts that lose nothing are not shuffled: all but those that share a residue with a document that does.
+    residues = F.broadcast(gone.select(_residue("_doc").alias("_residue")).distinct())
+    told = rows.join(residues, _residue("_d") == F.col("_residue"), "left")
+    met = told.filter("_residue IS NOT NULL").join(
+        gone, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_doc_key")), "left").drop("_doc", "_doc_key")
+    every = met.unionByName(told.filter("_residue IS NULL").withColumn("_gone", F.lit(None).cast("array<int>")))
     kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return met.select(
+    return every.select(
         *[(F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else c)
           for c in others],
         F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
