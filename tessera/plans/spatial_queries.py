@@ -251,7 +251,39 @@ def potts_frequencies(spark, sf):
     return views.explode_parcels(potts.frequencies(part_states(spark, sf), K), "uhat", "node_id")
 
 
-@query("potts_chain_sampler")
+_DRAW = "('0x' || substr(md5('{seed}|' || subj_id || '|' || vox_id || '|' || chain), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _sql_chain_step(states: str, colour: int, tag: str, seed: str) -> str:
+    """One colour of a Gibbs sweep over the chain of every subject, given its evidence."""
+    return f"""
+nb{tag} AS MATERIALIZED (SELECT a.subj_id, a.vox_id, a.chain, b.u, count(*) AS n FROM {states} a JOIN {states} b
+       ON a.subj_id = b.subj_id AND a.chain = b.chain AND abs(a.vox_id - b.vox_id) = 1 GROUP BY ALL),
+ac{tag} AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.chain, p.k, 0.7 * coalesce(n.n, 0) + p.b AS a FROM {states} s
+       JOIN pb p ON s.subj_id = p.subj_id AND s.vox_id = p.vox_id
+       LEFT JOIN nb{tag} n ON n.subj_id = s.subj_id AND n.vox_id = s.vox_id AND n.chain = s.chain AND n.u = p.k WHERE s.vox_id % 2 = {colour}),
+cp{tag} AS MATERIALIZED (SELECT subj_id, vox_id, chain, k, sum(exp(a - m)) OVER (PARTITION BY subj_id, vox_id, chain ORDER BY k)
+       / sum(exp(a - m)) OVER (PARTITION BY subj_id, vox_id, chain) AS c
+       FROM (SELECT *, max(a) OVER (PARTITION BY subj_id, vox_id, chain) AS m FROM ac{tag})),
+dr{tag} AS MATERIALIZED (SELECT subj_id, vox_id, chain, coalesce(min(CASE WHEN {_DRAW.format(seed=seed)} < c THEN k END), 0) AS u FROM cp{tag} GROUP BY ALL),
+st{tag} AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.chain, coalesce(d.u, s.u) AS u FROM {states} s
+       LEFT JOIN dr{tag} d ON s.subj_id = d.subj_id AND s.vox_id = d.vox_id AND s.chain = d.chain)"""
+
+
+_SAMPLER = f"""{EVT_EVIDENCE}, {EVENT_SUMS},
+pb AS MATERIALIZED (SELECT subj_id, vox_id, k, ll + 0.1 * k AS b FROM sc),
+p0 AS (SELECT subj_id, vox_id, k, sum(exp(b - m)) OVER (PARTITION BY subj_id, vox_id ORDER BY k) / sum(exp(b - m)) OVER (PARTITION BY subj_id, vox_id) AS c
+       FROM (SELECT *, max(b) OVER (PARTITION BY subj_id, vox_id) AS m FROM pb)),
+s0 AS MATERIALIZED (SELECT subj_id, vox_id, chain, coalesce(min(CASE WHEN {_DRAW.format(seed=3)} < c THEN k END), 0) AS u
+       FROM p0 CROSS JOIN range(5) t(chain) GROUP BY ALL),
+{_sql_chain_step("s0", 0, "_00", "3.0.0")}, {_sql_chain_step("st_00", 1, "_01", "3.0.1")},
+{_sql_chain_step("st_01", 0, "_10", "3.1.0")}, {_sql_chain_step("st_10", 1, "_11", "3.1.1")}"""
+
+
+@query("potts_chain_sampler", f"""
+WITH {_SAMPLER}
+SELECT s.subj_id, s.vox_id AS node_id, t.k::BIGINT AS k, round(avg((s.u = t.k)::INT), 6) + 0.0 AS p
+FROM st_11 s CROSS JOIN range({EVENT_PARCELS}) t(k) GROUP BY s.subj_id, s.vox_id, t.k""")
 def potts_chain_sampler(spark, sf):
     """Positive phase by sampling: event users on a chain, five chains, two sweeps."""
     scores, model = _event_chain(spark, sf)
