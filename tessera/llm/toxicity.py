@@ -160,6 +160,28 @@ def _sample(labels: DataFrame, label_col: str, examples: int) -> tuple[list, dic
     return rows, totals
 
 
+def _without_copies(texts: DataFrame) -> DataFrame:
+    """One of the examples of a label that share their least hash of three words: copies and most near copies. Else the
+    words of one toxic text that was copied often would count as marks of toxicity."""
+
+    def sketch(batches):
+        for batch in batches:
+            words = textops.words_of(batch.column("text"))
+            hashes, start = textops.windows(words.hashes, words.counts, 3)
+            row = words.row_of[start]
+            least = np.zeros(batch.num_rows, np.uint64)
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else row
+            if len(first):
+                least[row[first]] = np.minimum.reduceat(hashes, first)
+            for r in np.flatnonzero(least == 0):  # shorter texts
+                at = words.counts[:r].sum()
+                least[r] = np.bitwise_xor.reduce(words.hashes[at:at + words.counts[r]], initial=np.uint64(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], [*batch.schema.names, "sketch"])
+
+    known = texts.select("doc_id", "label", "text").mapInArrow(sketch, "doc_id long, label int, text string, sketch long")
+    return known.groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("one.*", "label")
+
+
 def _term_table(texts: DataFrame, terms: int) -> np.ndarray:
     """The terms that mark label 1 in the examples, at most ``terms`` and the best by chi-square, sorted."""
 
@@ -207,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         examples: int = EXAMPLES, terms: int = TERMS) -> Model:
     """Learn from the labelled rows of ``labels`` (doc_id and ``label_col``, 0 or 1).
 
-    Examples are at most ``examples`` rows of each label, chosen by a hash of their id; the vocabulary is the
+    Examples are at most ``examples`` rows of each label, chosen by a hash of their id, less copies; the vocabulary is the
     ``terms`` terms that mark label 1 best. The frequency of each term is counted over all of ``docs``.
     A vote of neighbours turns into a probability by a monotone fit over the examples, each scored without
     itself and weighted so that the labels have the shares they have in ``labels``.
@@ -219,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen, totals = _sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), label_col), label_col, examples)
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int"))
-    texts = cut_lineage(narrow.join(sample, "doc_id"))
+    texts = cut_lineage(_without_copies(narrow.join(sample, "doc_id")))
     vocabulary = _term_table(texts, terms)
     count = sum(totals.values())
     prior = totals.get(1, 0) / count if count else 0.5
