@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from tessera.llm import exchange, textops
 
 BACKOFF = 0.4
+#: Smaller chunks than elsewhere: every word stands for several n-grams.
+CHUNK_BYTES = 4 << 20
 SCHEMA = "doc_id long, n_words long, log10_sum double, log10_mean double"
 #: A key that no n-gram is given: its count is the number of words.
 _TOTAL = np.uint64(0)
@@ -84,4 +86,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             "log10_mean": pa.array(mean, mask=~some),
         })
 
-    return exchange.corpus_figures(exchange.chunked(docs, id_col, text_col), send, np.add, finish, SCHEMA)
+    return exchange.corpus_figures(exchange.chunked(docs, id_col, text_col, CHUNK_BYTES), send, np.add, finish, SCHEMA)
