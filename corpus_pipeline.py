@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier document or line has; n_chars follows the text."""
-    out = line_dedup.remove_repeats(docs)
+    """All documents, without the lines, short ones too, that an earlier document or line has; n_chars follows the text."""
+    out = line_dedup.remove_repeats(docs, short_lines=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import written
 
-#: Shorter lines are left alone: one changed word would be more than a fifth of them.
+#: Shorter lines have no edit variants: one changed word would be more than a fifth of them.
 MIN_WORDS = 5
 #: Size of the tables that spare most rows a shuffle: this many rows of 8 bytes at most.
 _PRESENCE = 1 << 22
@@ -21,24 +21,26 @@ def _doc_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text.alias("text"))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """One row per line of MIN_WORDS or more: place, normal form, its words and two hashes that name it."""
+def _lines(rows: DataFrame, short_lines: bool) -> DataFrame:
+    """One row per line of MIN_WORDS or more, or per line that is not blank: place, normal form, its words and two
+    hashes that name it."""
     parts = rows.select("doc", "doc_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     norm = parts.select("doc", "doc_key", "line_no", F.trim(F.lower("line")).alias("norm"))
     words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return norm.withColumn("n", words).filter(F.col("n") >= MIN_WORDS).withColumn("k1", F.xxhash64("norm")).withColumn(
+    compared = F.btrim("norm", F.lit(" \t\r\x0b\x0c")) != "" if short_lines else F.col("n") >= MIN_WORDS
+    return norm.withColumn("n", words).filter(compared).withColumn("k1", F.xxhash64("norm")).withColumn(
         "k2", F.xxhash64(F.lit("line"), "norm"))
 
 
 def _halves():
     """Hashes of the first and last k words, for k = (n - 1) / 2 and (n - 2) / 2 rounded down (the same for even n): two
-    lines within one word of each other share one of them."""
+    lines within one word of each other share one of them. Null for lines under MIN_WORDS."""
     def pair(k):
         return [F.expr(f"xxhash64('a', {k}, substring_index(norm, ' ', cast({k} AS int)))"),
                 F.expr(f"xxhash64('z', {k}, substring_index(norm, ' ', cast(-({k}) AS int)))")]
 
     first, second = pair("(n - 1) div 2"), pair("(n - 2) div 2")
-    return F.when(F.col("n") % 2 == 1, F.array(*first, *second)).otherwise(F.array(*first))
+    return F.when(F.col("n") >= MIN_WORDS, F.when(F.col("n") % 2 == 1, F.array(*first, *second)).otherwise(F.array(*first)))
 
 
 def _residue(column: str):
@@ -113,9 +115,10 @@ def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return both.filter(same).select("k1", "k2").distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  short_lines: bool = False) -> DataFrame:
     """(doc, doc_key, gone): the numbers of the lines that go, for each document that loses any."""
-    lines = _lines(_doc_columns(docs, id_col, text_col))
+    lines = _lines(_doc_columns(docs, id_col, text_col), short_lines)
     place = F.struct("doc", "doc_key", "line_no")
     # Places and hashes of all lines, without their texts: read several times, made once.
     table = written(lines.select("doc", "doc_key", "line_no", "n", "k1", "k2", _halves().alias("halves")))
@@ -130,19 +133,21 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("doc", "doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   short_lines: bool = False) -> DataFrame:
     """``docs`` with the repeated lines cut out of their texts, and two more columns: n_lines (before) and n_removed.
 
     Lines end at line feeds. Their normal form is lower case without spaces at the ends; words are what single
     spaces separate. A line of MIN_WORDS words or more goes if an earlier line, in the order of document id and line
     number, is equal to it or within one inserted, deleted or replaced word. Lines are judged on the input, not on
-    what is left. All other lines and all documents stay, also those that lose every line.
+    what is left. With ``short_lines`` every other line that is not blank goes too if an earlier one is equal to it.
+    All other lines and all documents stay, also those that lose every line.
 
     Null texts count as one empty line and become empty. Null ids come after all others; rows that repeat an id are
     told apart by a hash of their texts, and rows that repeat both count as one document. Other columns are left
     as they are, but for ones named n_lines or n_removed, which are replaced.
     """
-    gone = written(removed_lines(docs, id_col, text_col)).select(
+    gone = written(removed_lines(docs, id_col, text_col, short_lines)).select(
         F.col("doc").alias("_doc"), F.col("doc_key").alias("_doc_key"), F.col("gone").alias("_gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))

@@ -118,6 +118,30 @@ def test_line(spark):
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == want
 
 
+def test_line_short(spark):
+    """Exact repeats of every line that is not blank go in the pipeline, edit variants only from five words on."""
+    import corpus_pipeline
+
+    url = "https://example.org/" + "x" * 200
+    texts = ["All rights reserved.\n\nown\na\tb\tc\td\te\tf", "all rights reserved. \n\nmine\nA\tb\tc\td\te\tf\n" + url,
+             url + "\nall rights kept.\n\t\n漢字漢字", "漢字漢字\n \n\t\n\r\n\r\none two three four five\none two three four six",
+             "", None]
+    want = [texts[0], "\nmine\n" + url, "all rights kept.\n\t\n漢字漢字", " \n\t\n\r\n\r\none two three four five", "", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert dict(corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()) == dict(enumerate(want))
+    cased = cases.documents(spark, extra=[(1000 + i, t) for i, t in enumerate(texts)])
+    seen, n = set(), 0
+    for r in sorted(cased.dropDuplicates(["doc_id", "text"]).collect(), key=lambda r: r.doc_id if r.doc_id is not None else 1 << 63):
+        for line in (r.text or "").split("\n"):
+            norm = line.strip(" ").lower()
+            if norm.count(" ") < 4 and norm.strip():
+                n += norm in seen
+                seen.add(norm)
+    with_short = line_dedup.remove_repeats(cased.dropDuplicates(["doc_id", "text"]), short_lines=True).agg(F.sum("n_removed")).first()[0]
+    without = line_dedup.remove_repeats(cased.dropDuplicates(["doc_id", "text"])).agg(F.sum("n_removed")).first()[0]
+    assert with_short == without + n and n > 0
+
+
 def _classes(rows):
     texts = {}
     for r in rows:
