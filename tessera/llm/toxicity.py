@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import exchange, textops
+from tessera.llm import textops
 from tessera.session import cut_lineage
 
-#: Bounds of the fitted model: examples of each label, terms, examples of a block, neighbours that vote.
-EXAMPLES, TERMS, BLOCK, NEIGHBOURS = 2048, 2048, 64, 16
-#: A term belongs to the vocabulary if it is commoner in label 1 by this chi-square: among millions of candidates a
-#: few terms pass by chance.
-CHI_SQUARE = 25
+#: Bounds of the fitted model: examples of each label, neighbours that vote. BLOCK is only how examples are shown.
+EXAMPLES, BLOCK, NEIGHBOURS = 2048, 64, 16
+#: All terms of the examples count. A term weighs x / (x + CHI_SQUARE), where x is its chi-square if it is commoner in
+#: label 1 (else 0) plus FLOOR: terms that do not mark label 1 weigh little, none weighs nothing.
+CHI_SQUARE, FLOOR = 25, 1
+#: The commonest terms of the examples are held as dense rows, the others as lists of the examples that have them.
+HEAD = 1024
+_ROWS, _PRODUCTS = 128, 1 << 17
 #: Terms are words and their first bytes, which catch families of words.
 PREFIXES = (3, 4, 5, 6)
 _BASE = 0x9E3779B97F4A7C15
 _GRID = 1 << 24
-_FILTER_BITS = 20
 
 SCHEMA = "score double, evidence array<struct<doc_id:long,cosine:double,label:int>>"
 
@@ -40,7 +44,7 @@ def _term_slices(column: pa.Array):
     digits and other characters beyond ASCII; ASCII letters count as lower case."""
     data, offsets = textops.text_buffers(column)
     values = textops.byte_values(fold_ascii=True)
-    for lo, hi in textops.row_slices(offsets, rows=1024):  # dense vectors are made of a slice
+    for lo, hi in textops.row_slices(offsets, rows=1024):
         piece = data[offsets[lo]:offsets[hi]]
         cuts = offsets[lo:hi + 1] - offsets[lo]
         s, e = textops.word_spans(np.where(_SEPARATOR[piece], np.uint8(32), np.uint8(1)), cuts)
@@ -60,71 +64,144 @@ class _Lookup:
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[terms >> np.uint64(64 - _FILTER_BITS)] = True
+        bits = min(24, max(16, (4 * len(terms)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        buckets = np.bincount((terms >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = np.concatenate(([0], np.cumsum(buckets))).astype(np.int32)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are terms, and the places of those."""
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        left, hits, places = np.flatnonzero(at < end), [], []
+        while len(left):
+            equal = self.terms[at[left]] == hashes[left]
+            hits.append(left[equal])
+            places.append(at[left[equal]])
+            left = left[~equal]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return np.concatenate([np.zeros(0, np.int64), *hits]), np.concatenate([np.zeros(0, np.int64), *places])
 
     def counts(self, column: pa.Array):
         """Per slice of rows: (first row, last row, row, place, count) for the terms found."""
-        size = len(self.terms)
+        size = max(len(self.terms), 1)
         for lo, hi, hashes, rows in _term_slices(column):
-            some = self.maybe[hashes >> np.uint64(64 - _FILTER_BITS)]
-            hashes, rows = hashes[some], rows[some]
-            at = np.minimum(np.searchsorted(self.terms, hashes), max(size - 1, 0))
-            hit = self.terms[at] == hashes if size else np.zeros(0, bool)
-            key = rows[hit].astype(np.int64) * size + at[hit]
-            key, n = np.unique(key, return_counts=True)
-            yield lo, hi, key // max(size, 1), key % max(size, 1), n
+            hit, at = self.places(hashes)
+            key, n = np.unique(rows[hit].astype(np.int64) * size + at, return_counts=True)
+            yield lo, hi, key // size, key % size, n
 
 
-def _weighted(rows: np.ndarray, places: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """Dense unit TF-IDF vectors; rows without a term are zero."""
-    out = np.zeros((n, len(idf)))
-    out[rows, places] = (1 + np.log(counts)) * idf[places]
-    norm = np.sqrt((out * out).sum(1))
-    return out / np.where(norm > 0, norm, 1)[:, None]
+def _weighted(rows: np.ndarray, places: np.ndarray, counts: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Entries of unit TF-IDF vectors of n rows."""
+    out = np.log(counts, dtype=np.float64)
+    out += 1
+    out *= weights[places]
+    norm = np.sqrt(np.bincount(rows, out * out, minlength=n))
+    return out / norm[rows]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Vocabulary, example index and calibration. Examples stand in blocks; a block has the terms that occur in it,
-    its vectors over them, and over all blocks the largest weight of each term bounds what a block can give."""
+    """Vocabulary, example index and calibration. For term t, ``holders[starts[t]:starts[t + 1]]`` are the numbers of
+    the examples that have it and ``values`` its entries in their unit vectors."""
 
     terms: np.ndarray
     idf: np.ndarray
-    block_terms: list[np.ndarray]
-    block_vectors: list[np.ndarray]
-    block_max: np.ndarray
+    mark: np.ndarray
+    starts: np.ndarray
+    holders: np.ndarray
+    values: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     prior: float
     steps: np.ndarray
     step_scores: np.ndarray
 
-    def neighbours(self, queries: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def weights(self) -> np.ndarray:
+        return self.idf * self.mark
+
+    @cached_property
+    def head(self) -> tuple[np.ndarray, np.ndarray]:
+        """The dense row of each term or -1, and the dense rows."""
+        length = np.diff(self.starts)
+        common = np.sort(np.argsort(-length, kind="stable")[:HEAD])
+        row = np.full(len(length), -1, np.int32)
+        row[common] = np.arange(len(common))
+        term = np.repeat(row, length)
+        dense = np.zeros((len(common), len(self.ids)))
+        dense[term[term >= 0], self.holders[term >= 0]] = self.values[term >= 0]
+        return row, dense
+
+    def _block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        size = min(BLOCK, len(self.ids) - b * BLOCK)
+        mine = np.flatnonzero(self.holders // BLOCK == b)
+        used, column = np.unique(np.searchsorted(self.starts, mine, "right") - 1, return_inverse=True)
+        dense = np.zeros((size, len(used)), np.float32)
+        dense[self.holders[mine] % BLOCK, column] = self.values[mine]
+        return used, dense
+
+    @property
+    def block_terms(self) -> list[np.ndarray]:
+        """The terms that occur in each BLOCK of examples."""
+        return [self._block(b)[0] for b in range(-(-len(self.ids) // BLOCK))]
+
+    @property
+    def block_vectors(self) -> list[np.ndarray]:
+        """The unit vectors of each BLOCK of examples over its terms."""
+        return [self._block(b)[1] for b in range(-(-len(self.ids) // BLOCK))]
+
+    def _cosines(self, rows: np.ndarray, places: np.ndarray, entries: np.ndarray, n: int) -> np.ndarray:
+        row, dense = self.head
+        size, at = len(self.ids), row[places]
+        common = at >= 0
+        queries = np.zeros((n, len(dense)))
+        queries[rows[common], at[common]] = entries[common]
+        out = (queries @ dense).ravel()
+        rows, places, entries = rows[~common], places[~common], entries[~common]
+        first, length = self.starts[places], self.starts[places + 1] - self.starts[places]
+        upto = np.cumsum(length)
+        lo = 0
+        while lo < len(rows):
+            done = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, done + _PRODUCTS, "right")))
+            many = length[lo:hi]
+            where = np.repeat(first[lo:hi] - (upto[lo:hi] - many - done), many) + np.arange(many.sum())
+            base, end = rows[lo] * size, (rows[hi - 1] + 1) * size
+            out[base:end] += np.bincount(np.repeat(rows[lo:hi] * size - base, many) + self.holders[where],
+                                         np.repeat(entries[lo:hi], many) * self.values[where], minlength=end - base)
+            lo = hi
+        return out.reshape(n, size)
+
+    def nearest(self, rows: np.ndarray, places: np.ndarray, entries: np.ndarray, n: int,
+                skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and numbers of the NEIGHBOURS nearest examples with a positive cosine, nearest first; -1 for none.
 
-        A block is opened only for the queries that its bound says it can still improve. Cosines are compared on a
-        grid of 2^-24, equal ones by the example's number, so the result does not depend on the order of blocks.
+        The queries are n sparse unit vectors, their entries in the order of rows. Cosines are compared on a grid of
+        2^-24, equal ones by the example's number, so the result does not depend on the order of the sums.
         """
-        n, size = len(queries), len(self.ids)
+        size = len(self.ids)
         best = np.full((n, NEIGHBOURS), -1, np.int64)
-        if size and n:
-            bound = np.floor(queries @ self.block_max.T * _GRID) + 2
-            for b in np.argsort(-bound.sum(0), kind="stable"):
-                open_ = np.flatnonzero((bound[:, b] > 2) & ((bound[:, b] + 1) * size > best[:, -1]))
-                if not len(open_):
-                    continue
-                cos = queries[np.ix_(open_, self.block_terms[b])] @ self.block_vectors[b].T.astype(np.float64)
-                number = b * BLOCK + np.arange(cos.shape[1])
-                grid = np.rint(cos * _GRID).astype(np.int64)
-                key = np.where(grid > 0, grid * size + (size - 1 - number), -1)
-                if skip is not None:
-                    key[skip[open_][:, None] == number] = -1
-                both = np.concatenate((best[open_], key), axis=1)
-                best[open_] = -np.sort(-both, axis=1)[:, :NEIGHBOURS]
+        for lo in range(0, n if size else 0, _ROWS):
+            hi = min(lo + _ROWS, n)
+            a, b = np.searchsorted(rows, (lo, hi))
+            grid = np.rint(self._cosines(
+                rows[a:b].astype(np.int64) - lo, places[a:b], entries[a:b].astype(np.float64), hi - lo) * _GRID).astype(np.int64)
+            key = np.where(grid > 0, grid * size + (size - 1 - np.arange(size)), -1)
+            if skip is not None:
+                own = np.flatnonzero(skip[lo:hi] >= 0)
+                key[own, skip[lo:hi][own]] = -1
+            top = min(NEIGHBOURS, size)
+            best[lo:hi, :top] = -np.sort(np.partition(-key, top - 1, axis=1)[:, :top], axis=1)
         none = best < 0
         return np.where(none, 0.0, best // max(size, 1) / _GRID), np.where(none, -1, size - 1 - best % max(size, 1))
 
+    def neighbours(self, queries: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` for dense vectors."""
+        rows, places = np.nonzero(queries)
+        return self.nearest(rows, places, queries[rows, places], len(queries), skip)
+
     def vote(self, cosines: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """Votes weighted by squared cosine, drawn to the prior where the neighbours are far."""
         weight = cosines ** 2
@@ -182,30 +259,30 @@ def _without_copies(texts: DataFrame) -> DataFrame:
     return known.groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("one.*", "label")
 
 
-def _term_table(texts: DataFrame, terms: int) -> np.ndarray:
-    """The terms that mark label 1 in the examples, at most ``terms`` and the best by chi-square, sorted."""
+def _example_terms(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and labels of the examples in the order of both, and the terms of all: example, hash, count."""
 
     def count(batches):
         for batch in batches:
-            label = batch.column("label").to_numpy(zero_copy_only=False)
             for lo, hi, hashes, rows in _term_slices(batch.column("text")):
-                pair = np.unique(np.stack((rows.astype(np.uint64), hashes), 1), axis=0)
-                uniq, pos, _ = exchange.combine(pair[:, 1], label[pair[:, 0].astype(np.int64)].astype(np.int64), np.add)
-                _, n, _ = exchange.combine(pair[:, 1], np.ones(len(pair), np.int64), np.add)
-                yield pa.RecordBatch.from_pydict({"term": pa.array(uniq.view(np.int64)), "pos": pa.array(pos),
-                                                  "n": pa.array(n)})
-
-    totals = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    total, positive = totals[0], totals[1]
-    if not 0 < positive < total:
-        return np.zeros(0, np.uint64)
-    sums = texts.mapInArrow(count, "term long, pos long, n long").groupBy("term").agg(
-        F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    rate = positive / total
-    excess = F.col("pos") - F.col("n") * rate
-    chi = excess * excess / (F.col("n") * (rate * (1 - rate)) * (1 - F.col("n") / (total + 1)))
-    best = sums.filter("n >= 3").withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & (excess > 0)).orderBy(F.desc("chi"), "term").limit(terms)
-    return np.sort(np.array([r.term for r in best.collect()], np.int64).view(np.uint64))
+                order = np.lexsort((hashes, rows))
+                hashes, rows = hashes[order], rows[order]
+                new = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])))[:len(rows)])
+                n = np.diff(np.concatenate((new, [len(rows)])))
+                at = np.searchsorted(rows[new], np.arange(lo, hi + 1))
+                column = lambda x, kind: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, kind))
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").slice(lo, hi - lo), "label": batch.column("label").slice(lo, hi - lo),
+                    "terms": column(hashes[new].view(np.int64), pa.int64()), "counts": column(n, pa.int32())})
+
+    found = texts.select("doc_id", "label", "text").mapInArrow(
+        count, "doc_id long, label int, terms array<long>, counts array<int>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    ids, label = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
+    flat = lambda c: pa.chunked_array([x.flatten() for x in found.column(c).chunks]).to_numpy()
+    size = pc.list_value_length(found.column("terms")).to_numpy()
+    return (ids, label, np.repeat(np.arange(len(ids), dtype=np.int32), size), flat("terms").astype(np.int64).view(np.uint64),
+            flat("counts").astype(np.int32))
 
 
 def _document_frequency(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -217,20 +294,23 @@ def _document_frequency(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray,
             rows += batch.num_rows
             for _, _, _, places, _ in lookup.counts(batch.column(0)):
                 total += np.bincount(places, minlength=len(terms))
-        yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(-1, len(terms))),
-                                          "n": pa.array(np.concatenate(([rows], total)), pa.int64())})
+        n = np.concatenate(([rows], total))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(some - 1), "n": pa.array(n[some], pa.int64())})
 
     sums = docs.select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    found = {r.place: r.n for r in sums.collect()}
-    return np.array([found.get(i, 0) for i in range(len(terms))], np.float64), found.get(-1, 0)
+    found = sums.toArrow()
+    out = np.zeros(len(terms) + 1)
+    out[found.column("place").to_numpy() + 1] = found.column("n").to_numpy()
+    return out[1:], int(out[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+        examples: int = EXAMPLES) -> Model:
     """Learn from the labelled rows of ``labels`` (doc_id and ``label_col``, 0 or 1).
 
-    Examples are at most ``examples`` rows of each label, chosen by a hash of their id, less copies; the vocabulary is the
-    ``terms`` terms that mark label 1 best. The frequency of each term is counted over all of ``docs``.
+    Examples are at most ``examples`` rows of each label, chosen by a hash of their id, less copies; the vocabulary is
+    all of their terms, which the driver holds. The frequency of each term is counted over all of ``docs``.
     A vote of neighbours turns into a probability by a monotone fit over the examples, each scored without
     itself and weighted so that the labels have the shares they have in ``labels``.
 
@@ -242,56 +322,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int"))
     texts = cut_lineage(_without_copies(narrow.join(sample, "doc_id")))
-    vocabulary = _term_table(texts, terms)
+    ids, label, holder, hashes, counts = _example_terms(texts)
+    vocabulary = np.unique(hashes)
+    # Entries stand in the order of (example, term); they are many, so nothing more than needed is held of them.
+    places = np.searchsorted(vocabulary, hashes).astype(np.int32)
+    del hashes
     count = sum(totals.values())
     prior = totals.get(1, 0) / count if count else 0.5
     flat = (np.array([0.0, 1.0]), np.array([prior, prior]))
-    if not len(vocabulary):
-        return Model(vocabulary, np.zeros(0), [], [], np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0), prior, *flat)
+    if not len(vocabulary) or not 0 < label.sum() < len(label):
+        none = np.zeros(0, np.int64)
+        return Model(none.view(np.uint64), np.zeros(0), np.zeros(0), np.zeros(1, np.int64), none, np.zeros(0, np.float32),
+                     none, none, prior, *flat)
+    n = np.bincount(places)
+    rate = label.sum() / len(label)
+    excess = np.bincount(places, label[holder]) - n * rate
+    strength = np.where(excess > 0, excess ** 2 / (n * rate * (1 - rate) * (1 - n / (len(label) + 1))), 0) + FLOOR
+    mark = strength / (strength + CHI_SQUARE)
     frequency, n_docs = _document_frequency(narrow, vocabulary)
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-
-    def vectors(batches):
-        lookup = _Lookup(vocabulary)
-        for batch in batches:
-            for lo, hi, rows, places, n in lookup.counts(batch.column("text")):
-                at = np.searchsorted(rows, np.arange(lo, hi + 1))
-                column = lambda x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int64()))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(lo, hi - lo), "label": batch.column("label").slice(lo, hi - lo),
-                    "places": column(places), "counts": column(n)})
-
-    # At most 2 * examples rows of at most as many entries as terms.
-    found = sorted(texts.mapInArrow(vectors, "doc_id long, label int, places array<long>, counts array<long>").collect())
-    rows = np.repeat(np.arange(len(found)), [len(r.places) for r in found])
-    dense = _weighted(rows, np.array([p for r in found for p in r.places], np.int64),
-                      np.array([c for r in found for c in r.counts], np.int64), idf, len(found))
-    ids, label = np.array([r.doc_id for r in found]), np.array([r.label for r in found])
-    # Neighbouring examples share their heaviest term, so that the bounds of a block are sharp.
-    some = dense.any(1)
-    heavy = np.where(some, dense.argmax(1), -1)
-    order = np.lexsort((ids, label, heavy))
-    dense, ids, label, some = dense[order], ids[order], label[order], some[order]
-    kept = dense[some].astype(np.float32)
-    blocks = [kept[i:i + BLOCK] for i in range(0, len(kept), BLOCK)]
-    used = [np.flatnonzero(b.any(0)) for b in blocks]
-    block_max = np.array([b.max(0) for b in blocks], np.float64).reshape(len(blocks), len(idf))
-    model = Model(vocabulary, idf, used, [b[:, u] for b, u in zip(blocks, used)], block_max, ids[some], label[some],
-                  prior, *flat)
-    own = np.full(len(ids), -1)
-    own[some] = np.arange(some.sum())
-    votes = model.vote(*model.neighbours(dense, own))
+    # Examples without a term cannot be neighbours; the others are numbered in the order of their ids.
+    some = np.bincount(holder, minlength=len(ids)) > 0
+    own = np.where(some, np.cumsum(some) - 1, -1)
+    entries = _weighted(holder, places, counts, idf * mark, len(ids)).astype(np.float32)
+    del counts
+    by_term = np.argsort(places, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(n)))
+    model = Model(vocabulary, idf, mark, starts, own.astype(np.int32)[holder[by_term]], entries[by_term], ids[some],
+                  label[some], prior, *flat)
+    del by_term
+    votes = model.vote(*model.nearest(holder, places, entries, len(ids), own))
     share = {k: totals.get(k, 0) / max(1, (label == k).sum()) for k in (0, 1)}
     steps, scores = _isotonic(votes, label.astype(float), np.where(label == 1, share[1], share[0]))
-    return Model(vocabulary, idf, model.block_terms, model.block_vectors, block_max, model.ids, model.labels, prior,
-                 steps, scores)
+    return replace(model, steps=steps, step_scores=scores)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``evidence``, the three nearest examples.
 
-    Whole texts are read; nothing is shuffled. The model is broadcast: its size is bounded by the parameters of
-    ``fit`` (tens of megabytes). Null, empty and all other texts without a known term have no neighbours and get
+    Whole texts are read; nothing is shuffled. The model is broadcast: its size is bounded by the texts of the
+    examples (tens of megabytes). Null, empty and all other texts without a known term have no neighbours and get
     the score that such examples have. Other columns stay, but for ones named score or evidence, which are replaced.
     """
     base = docs.drop("score", "evidence")
@@ -305,10 +375,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             table = pa.Table.from_batches([batch])
             text = table.column(names.index(text_col))
             for lo, hi, rows, places, n in lookup.counts(text):
-                queries = _weighted(rows - lo, places, n, m.idf, hi - lo)
-                some = queries.any(1)
-                cosines, numbers = np.zeros((hi - lo, NEIGHBOURS)), np.full((hi - lo, NEIGHBOURS), -1)
-                cosines[some], numbers[some] = m.neighbours(queries[some])
+                rows = rows - lo
+                cosines, numbers = m.nearest(rows, places, _weighted(rows, places, n, m.weights, hi - lo), hi - lo)
                 top = numbers[:, :3]
                 at = np.concatenate(([0], np.cumsum((top >= 0).sum(1))))
                 flat = top[top >= 0]

@@ -260,6 +260,38 @@ def test_toxicity_neighbours_are_exact(spark):
     assert np.allclose(cosines[:, :want.shape[1]], want, atol=1e-6)
 
 
+def test_toxicity_counts_all_terms(spark):
+    """Cosines over every word of the examples and its first bytes, also of texts without a mark of label 1."""
+    docs, labels = _toxic_corpus(spark)
+    model = toxicity.fit(docs, labels.filter("doc_id % 4 <> 1"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    terms = lambda t: Counter((k, w[:k] if k else w) for w in t.split() for k in (0, 3, 4, 5, 6) if len(w) >= k)
+    bags = {i: terms(t) for i, t in texts.items()}
+    label, examples = {r.doc_id: r.toxic for r in labels.filter("toxic < 2").collect()}, [int(i) for i in model.ids]
+    n, pos = (Counter(t for i in examples for t in bags[i] if label[i] >= k) for k in (0, 1))
+    assert len(model.terms) == len(n)
+    frequency = Counter(t for b in bags.values() for t in b)
+    rate = sum(label[i] for i in examples) / len(examples)
+
+    def weight(t):
+        x, all_ = pos[t] - n[t] * rate, len(examples) + 1
+        x = toxicity.FLOOR + (x * x / (n[t] * rate * (1 - rate) * (1 - n[t] / all_)) if x > 0 else 0)
+        return (math.log((1 + len(texts)) / (1 + frequency[t])) + 1) * x / (x + toxicity.CHI_SQUARE)
+
+    def unit(bag):
+        v = {t: (1 + math.log(c)) * weight(t) for t, c in bag.items() if t in n}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    units = {i: unit(bags[i]) for i in examples}
+    got = {r.doc_id: r.evidence for r in toxicity.score(docs, model).collect()}
+    for i in [1, 5, 9, 13, 17, 1002]:
+        mine = unit(bags[i])
+        cosines = sorted((sum(x * units[j].get(t, 0) for t, x in mine.items()) for j in examples), reverse=True)
+        assert [e["cosine"] for e in got[i]] == pytest.approx([c for c in cosines[:3] if c > 0], abs=1e-6)
+    assert got[9] and got[13]
+
+
 def test_toxicity_without_examples(spark):
     docs, labels = _toxic_corpus(spark)
     model = toxicity.fit(docs, labels.limit(0))
