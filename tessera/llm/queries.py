@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    bpe, embedding_dedup, exact_dedup, licenses, line_dedup, lm_scoring, mixing, near_dedup, substring_dedup, toxicity,
+    bpe, embedding_dedup, exact_dedup, licenses, line_dedup, lm_scoring, mixing, near_dedup, periodic_runs,
+    substring_dedup, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,64 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""")
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _crc32_sql(number: str) -> str:
+    """The unsigned CRC-32 of a number's decimal digits, bit by bit."""
+    bits = f"flatten(list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    folded = f"list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda a, x: {step})"
+    return f"xor({folded}, 4294967295::BIGINT)"
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents the words from a hashed place on repeat with a hashed period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0))
+    chosen = docs.select("doc_id", "text", g.alias("_g"), F.when(h % 10 == 0, words).alias("_w"))
+    n = F.greatest(F.size("_w"), F.lit(1)).cast("long")
+    a = F.col("_g") % n
+    placed = chosen.select("doc_id", "text", "_w", a.alias("_a"), (1 + F.floor((n - a) / (3 + F.col("_g") % 8))).alias("_p"))
+    source = lambda w, i: F.when(i < F.col("_a"), w).otherwise(
+        F.get("_w", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int")))
+    return placed.select("doc_id", F.when(F.col("_w").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform("_w", source), " ")).alias("text"))
+
+
+@_query("op11_periodic_runs", rf"""
+WITH o AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+           {_crc32_sql("doc_id")} AS h FROM documents),
+g AS (SELECT *, len(w) AS n, h // 10 AS g FROM o),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT r, doc_id, CASE WHEN a IS NULL THEN w ELSE
+        list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM p),
+k AS (SELECT r, i, array_to_string(w[i + 1:i + 16], ' ') AS k FROM (SELECT r, w, unnest(range(len(w) - 15)) AS i FROM d)),
+m AS (SELECT x.r, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.r = y.r AND x.k = y.k AND x.i < y.i),
+island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS grp FROM m),
+stretch AS (SELECT r, q, min(i) AS s, max(i) + 16 + q AS e FROM island GROUP BY r, q, grp),
+run AS (SELECT r, s, e - s AS l, min(q) AS q FROM stretch WHERE e - s >= greatest(24, 3 * q) GROUP BY r, s, e),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t,
+                  first({{'s': s, 'l': l, 'q': q}} ORDER BY l / q::DOUBLE DESC, s, q) AS best FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT x.r, string_agg(x.word, ' ' ORDER BY x.i) AS t
+         FROM (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d) x
+         LEFT JOIN gone ON gone.r = x.r AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.r)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start,
+       CAST(best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+       CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)""")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(_with_periods(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"))
