@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    bpe, embedding_dedup, exact_dedup, licenses, line_dedup, lm_scoring, mixing, near_dedup, periodic_runs,
-    substring_dedup, toxicity,
+    bpe, embedding_dedup, exact_dedup, html_extraction, licenses, line_dedup, lm_scoring, mixing, near_dedup,
+    periodic_runs, prefix_trie, substring_dedup, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +253,55 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def _grafted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, and all conversations: each begins with up to three turns of the first of its
+    twenty, as many as a hash of its id says, in place of its own."""
+    turns = prefix_trie.number(_table(spark, sf_dir, "conversations"))
+    conversations = turns.select("conv_id").distinct()
+    base = (F.col("conv_id") - F.col("conv_id") % 20).alias("base")
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).alias("h")
+    content = ["role", "text_sha256", "n_words"]
+    heads = turns.filter("conv_id % 20 = 0 AND depth <= 3").withColumnRenamed("conv_id", "base")
+    taken = conversations.select("conv_id", base, h).join(heads, "base").filter("depth <= h").select("conv_id", "depth", *content)
+    known = heads.groupBy("base").agg(F.max("depth").alias("known"))
+    own = turns.select("*", base, h).filter("depth > h").join(known, "base", "left").select(
+        "conv_id", (F.col("depth") - F.col("h") + F.least(F.coalesce("known", F.lit(0)), "h")).alias("depth"), *content)
+    return taken.unionByName(own), conversations
+
+
+@_query("op12_prefix_trie", rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32_sql("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+      UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+l AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY part, i) AS l FROM r GROUP BY conv_id),
+m AS (SELECT conv_id, coalesce(l, []) AS l, unnest(range(coalesce(len(l), 0) + 1)) AS depth FROM c LEFT JOIN l USING (conv_id)),
+node AS (
+  SELECT l[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(l)) AS deepest,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(l) = depth), '') AS ends,
+         CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(l)[depth].text, '{_WORD}')) END AS words
+  FROM m GROUP BY 1, 2),
+child AS (SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1, 2),
+sub AS (
+  SELECT p[1:k] AS p, k AS depth, count(*) FILTER (WHERE deepest = depth) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM node) GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+       CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(n.ends) AS ends_sha256
+FROM node n JOIN sub ON sub.p = n.p AND sub.depth = n.depth
+LEFT JOIN child ON child.p = n.p AND child.depth = n.depth
+LEFT JOIN node up ON up.p = n.p[1:n.depth - 1] AND up.depth = n.depth - 1""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.build(*_grafted(spark, sf_dir))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                        F.lower(F.hex("ends")).alias("ends_sha256"))
+
+
+@_query("op13_html_extraction")
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
