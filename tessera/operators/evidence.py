@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.functions import batches
+from tessera.operators import neighbours
 
 WEIGHTINGS = (
     "length", "length_sum2P", "lsquare", "lsquare_sum2P", "lsquare_sum2PJ",
@@ -224,6 +225,24 @@ def add_weights(
     return rows.drop("_d")
 
 
+def add_density_weights(
+    vectors: DataFrame, partitions: int, locations: int | DataFrame, q: int = 20, subjects: int | None = None
+) -> DataFrame:
+    """Append the weight ``w``: the length scaled to [0, 1] plus the density scaled to [0, 1], both over the locations of
+    a subject and partition.
+
+    The density of a location is the mean cosine of its ``q`` nearest neighbours there.  A vector that is incomplete or
+    has no neighbour gets no weight (NULL), and neither does any of a group whose densities are all equal.
+    """
+    by = ["subj_id", "part_id"]
+    weighted = add_weights(vectors, "length_normalized", partitions, locations, subjects)
+    density = neighbours.cosine_density(vectors, q, group=by)
+    scale = density.groupBy(*by).agg(F.min("density").alias("_low"), F.max("density").alias("_high"))
+    scaled = F.try_divide(F.col("density") - F.col("_low"), F.col("_high") - F.col("_low"))
+    rows = density.join(scale, by).select(*by, "vox_id", scaled.alias("_dense"))
+    return weighted.join(rows, [*by, "vox_id"], "left").withColumn("w", F.col("w") + F.col("_dense")).drop("_dense")
+
+
 # ---------------------------------------------------------------- sessions
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -50,6 +50,7 @@ class Aligned:
     df: DataFrame
     slots: tuple[Slot, ...]
     sided: bool = False
+    grouped: bool = False  # one row per subject and node is certain
 
 
 @dataclass(frozen=True)
@@ -105,21 +106,29 @@ def map_subjects(evidence: DataFrame, subject_map: DataFrame | None) -> DataFram
     return evidence.join(rows, "subj_id", "left").withColumn("subj_id", subject).drop("_subj")
 
 
-def _reject_repeats(evidence: DataFrame) -> None:
-    twice = evidence.groupBy("subj_id", "vox_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+def _reject_repeats(rows: DataFrame) -> None:
+    """Stop if a subject has several rows at a node; ``rows`` are kept, so only their keys are read and shuffled."""
+    twice = rows.groupBy("subj_id", "node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
     if twice is not None:
-        raise ValueError(f"{twice['n']} rows of subject {twice['subj_id']} at location {twice['vox_id']}")
+        raise ValueError(f"{twice['n']} rows of subject {twice['subj_id']} at location {twice['node_id']}")
+
+
+def _only(value: Column, dataset: int) -> Column:
+    """The one non-NULL value of a group; an error if there are several."""
+    n = F.count(value)
+    message = F.concat(n.cast("string"), F.lit(f" rows of a subject at one location in dataset {dataset}"))
+    return F.when(n > 1, F.raise_error(message)).otherwise(F.first(value, ignorenulls=True))
 
 
 def align(evidence: Sequence[DataFrame], prior: IndependentPrior | None = None) -> Aligned:
     """One row per (subject, node) with the evidence of all datasets side by side.
 
     A subject that is absent from a dataset has NULLs there, which add nothing.
-    With one dataset and no layout this is only a projection.  Repeated rows of
-    a dataset, subject and location are an error: their keys are counted once.
+    With one dataset and no layout this is only a projection, which streams may
+    take as well.  Nothing is run here.  Repeated rows of a dataset, subject and
+    location are an error: where rows are grouped, when the plan runs; for one
+    dataset, when a model is learned from them (each is scored by itself).
     """
-    for e in evidence:
-        _reject_repeats(e)
     layout = prior.layout if prior is not None else None
     if layout is None and len(evidence) == 1:
         df = evidence[0].select(
@@ -143,7 +152,7 @@ def align(evidence: Sequence[DataFrame], prior: IndependentPrior | None = None)
     for s in slots:
         here = (F.col("_d") == s.dataset) & (F.col("side") == s.side)
         value = F.when(here, F.struct("num_part", "y", "vox_id"))
-        picked.append(F.first(value, ignorenulls=True).alias(f"s{s.name}"))
+        picked.append(_only(value, s.dataset).alias(f"s{s.name}"))
     wide = rows.groupBy("subj_id", "node_id").agg(*picked)
     cols = ["subj_id", "node_id"]
     for s in slots:
@@ -153,8 +162,8 @@ def align(evidence: Sequence[DataFrame], prior: IndependentPrior | None = None)
             known = [F.col(f"s{s.name}.vox_id") for s in slots if s.side == side]
             cols.append(F.coalesce(*known).alias(f"vox{side}"))
         df = wide.select(*cols).withColumn("share", F.when(F.col("vox0") == F.col("vox1"), 0.5).otherwise(1.0))
-        return Aligned(df, slots, sided=True)
-    return Aligned(wide.select(*cols), slots)
+        return Aligned(df, slots, sided=True, grouped=True)
+    return Aligned(wide.select(*cols), slots, grouped=True)
 
 
 def colocate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -635,7 +644,7 @@ def fit_em_starts(
     if max_iter <= first_iter:
         short = first[best]
         return replace(short, first_traces=[r.loglik for r in first])
-    rest = _fit([first[best].model], aligned, max_iter - first_iter, tol, fit_emission, fit_prior, True)[0]
+    rest = _fit([first[best].model], replace(aligned, grouped=True), max_iter - first_iter, tol, fit_emission, fit_prior, True)[0]
     return FitResult(
         rest.model, first[best].trace + rest.trace[1:], first[best].history + rest.history[1:], rest._inference,
         first_traces=[r.loglik for r in first],
@@ -670,6 +679,8 @@ def _fit(models, aligned, max_iter, tol, fit_emission, fit_prior, first_evidence
     if frozen:  # a given prior never changes: it is joined once, before the evidence is kept
         df = join_prior(df, table)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if not aligned.grouped:
+        _reject_repeats(df)
 
     n = len(models)
     current = list(models)

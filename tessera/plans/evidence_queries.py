@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators import evidence
+from tessera.operators import evidence, neighbours
 from tessera.plans import views
 from tessera.plans.registry import query
 from tessera.plans.views import EVENT_TYPES, EVT, EVT_EVIDENCE, VOX, r6, table
@@ -169,6 +169,49 @@ for _mode in evidence.WEIGHTINGS:
     _register_weights(_mode)
 
 
+NEAREST = 20
+
+_DENSITY_SQL = f"""
+WITH {_WEIGHTS},
+full_vec AS (SELECT vm.*, v.d FROM vm JOIN vec v USING (subj_id, vox_id, part_id) WHERE v.d > 0),
+cosine AS (
+  SELECT a.subj_id, a.part_id, a.vox_id, b.vox_id AS other, sum(a.y / a.d * b.y / b.d) AS c
+  FROM full_vec a JOIN full_vec b ON a.subj_id = b.subj_id AND a.part_id = b.part_id AND a.cond = b.cond AND a.vox_id <> b.vox_id
+  GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY subj_id, part_id, vox_id ORDER BY c DESC, other) AS r FROM cosine),
+dens AS (SELECT subj_id, part_id, vox_id, avg(c) AS density FROM ranked WHERE r <= {NEAREST} GROUP BY ALL),
+scaled AS (
+  SELECT *, (density - min(density) OVER g) / nullif(max(density) OVER g - min(density) OVER g, 0) AS dense
+  FROM dens WINDOW g AS (PARTITION BY subj_id, part_id))
+SELECT v.subj_id, v.vox_id, v.part_id, round(ln(1 + {_WEIGHT_SQL["length_normalized"]} + dense), 6) + 0.0 AS log_w
+FROM vec v JOIN tot t ON v.subj_id = t.subj_id AND v.part_id = t.part_id JOIN loc l ON v.subj_id = l.subj_id
+LEFT JOIN scaled s ON s.subj_id = v.subj_id AND s.part_id = v.part_id AND s.vox_id = v.vox_id"""
+
+
+@query("weights_density", _DENSITY_SQL)
+def weights_density(spark, sf):
+    cells = views.event_cells(spark, sf)
+    vectors = evidence.partition_vectors(cells, EVENT_TYPES)
+    locations = cells.groupBy("subj_id").agg(F.countDistinct("vox_id").alias("locations"))
+    partitions = cells.agg(F.countDistinct("part_id")).first()[0]
+    return evidence.add_density_weights(vectors, partitions, locations, NEAREST).select(
+        "subj_id", "vox_id", F.col("part_id").cast("long").alias("part_id"), r6(F.log(1 + F.col("w"))).alias("log_w"))
+
+
+@query("knn_top_q", f"""
+WITH v AS (SELECT vec_id % {views.SUBJECTS} AS subj_id, vec_id // {views.SUBJECTS} AS vox_id,
+                  list_transform(embedding, lambda e: e::DOUBLE) AS y FROM embeddings),
+d AS (SELECT a.subj_id, a.vox_id, b.vox_id AS other, 1 - list_cosine_similarity(a.y, b.y) AS d
+      FROM v a JOIN v b ON a.subj_id = b.subj_id AND a.vox_id <> b.vox_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY subj_id, vox_id ORDER BY d, other) AS place FROM d)
+SELECT subj_id, vox_id, place, other, round(d, 6) + 0.0 AS d FROM r WHERE place <= {NEAREST}""")
+def knn_top_q(spark, sf):
+    """The nearest locations of each subject by the cosine of their responses."""
+    near = neighbours.nearest(views.vox(spark, sf), NEAREST, "cosine")
+    return near.select("subj_id", "vox_id", F.posexplode("near").alias("place", "n")).select(
+        "subj_id", "vox_id", (F.col("place") + 1).cast("long").alias("place"), F.col("n.id").alias("other"), r6(F.col("n.d")).alias("d"))
+
+
 _SESSION = EVT + """,
 ses AS (SELECT event_type AS cond, row_number() OVER (ORDER BY event_type) - 1 AS dataset_id
         FROM (SELECT DISTINCT event_type FROM events))"""

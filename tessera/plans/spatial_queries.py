@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators import mixture, potts, priors, spatial
+from tessera.operators import mixture, neighbours, potts, priors, spatial
 from tessera.plans import views
 from tessera.plans.emission_queries import (
     EVENT_PARCELS, EVENT_SUMS, LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, event_model, label_vmf,
@@ -79,6 +79,22 @@ def within_distance(spark, sf):
     return spatial.within_distance(part_grid(spark, sf), 2.5).select("src", "dst", r6(F.col("dist")).alias("dist"))
 
 
+# Kernel density of the parts on the grid, by their retail price as height over it.
+@query("knn_kernel_density", f"""
+WITH {_GRID}, pt AS (SELECT g.*, p.p_retailprice / 100 AS z, p.p_size % 3 AS grp FROM grid g JOIN part p ON p.p_partkey = g.node_id),
+d AS (SELECT a.grp, a.node_id, b.node_id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d
+      FROM pt a JOIN pt b ON a.grp = b.grp),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, node_id ORDER BY d, other) AS place FROM d)
+SELECT grp, node_id, round(sum(exp(-d * d / 100.0)), 6) + 0.0 AS density FROM r WHERE place <= 20 GROUP BY ALL""")
+def knn_kernel_density(spark, sf):
+    part = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("node_id"), (F.col("p_retailprice") / 100).alias("z"), (F.col("p_size") % 3).cast("long").alias("grp"))
+    at = part_grid(spark, sf).join(part, "node_id")
+    points = at.select("grp", "node_id", F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("y"))
+    out = neighbours.kernel_density(points, 20, 100.0, group=("grp",), id_col="node_id")
+    return out.select("grp", "node_id", r6(F.col("density")).alias("density"))
+
+
 # A labeling of the parts: their size modulo four.
 _PART_LABEL = f"lab AS (SELECT p_partkey AS node_id, p_size % {len(CENTROIDS)} AS label FROM part)"
 

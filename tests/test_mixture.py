@@ -228,10 +228,24 @@ def test_recovers_directions_and_concentration(spark):
 def test_repeated_rows_are_refused(spark, data):
     _, _, y = data
     e = evidence(spark, y)
+    model = mixture.Model(priors.IndependentPrior(K, flat=priors.uniform_flat(K), spatial=False), (em.VonMisesFisher(np.eye(M)[:, :K], 5.0),))
+    twice = mixture.align([e.unionByName(e.limit(1))])
+    assert mixture.posterior(twice, model).count() == S * P + 1  # each row is scored by itself
     with pytest.raises(ValueError, match="2 rows"):
-        mixture.align([e.unionByName(e.limit(1))])
-    with pytest.raises(ValueError, match="2 rows"):
-        mixture.align([e, e.unionByName(e.limit(1))])
+        mixture.fit_em(model, twice, 2)
+    with pytest.raises(Exception, match="2 rows"):
+        mixture.align([e, e.unionByName(e.limit(1))]).df.collect()
+
+
+def test_aligning_runs_nothing(spark, data, monkeypatch):
+    _, _, y = data
+    e = evidence(spark, y)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("aligning", "align")
+    mixture.align([e])
+    mixture.align([e, e])
+    assert len(tracker.getJobIdsForGroup("aligning")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_missing_keys_are_refused(spark, data):
