@@ -6,10 +6,10 @@ hashing (seed, keys) does not, so a lost executor recomputes the same draws.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,7 +39,16 @@ def pick_category(p: Column, u: Column) -> Column:
     return F.aggregate(p, state, step, lambda acc: F.greatest(acc["hit"], F.lit(0)))
 
 
-def generator(seed, *keys) -> np.random.Generator:
-    """A numpy generator keyed the same way, for samplers inside Arrow batches."""
-    text = "|".join([str(seed), *map(str, keys)])
-    return np.random.default_rng(int(hashlib.md5(text.encode()).hexdigest()[:16], 16))
+def uniform_blocks(n: int, seed, *keys: Column) -> Column:
+    """The digests md5(seed|key|key...|block) that hold ``n`` uniforms of 32 bits each, as array<binary>."""
+    names = [k.cast("string") for k in keys]
+    digest = lambda j: F.unhex(F.md5(F.concat_ws("|", F.lit(str(seed)), *names, j.cast("string"))))
+    return F.transform(F.sequence(F.lit(0), F.lit(-(-n // 4) - 1)), digest)
+
+
+def from_blocks(column: pa.Array, n: int) -> np.ndarray:
+    """The uniforms of ``uniform_blocks`` as an (rows, n) matrix."""
+    flat = column.flatten()
+    offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat) + 1]
+    data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    return data.view(">u4").reshape(len(column), -1)[:, :n] / 4294967296.0

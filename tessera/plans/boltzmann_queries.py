@@ -13,7 +13,8 @@ from tessera.functions import randoms
 from tessera.operators import boltzmann, mixture, sampling, spatial, stochastic
 from tessera.plans import views
 from tessera.plans.emission_queries import (
-    LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, label_gmm, label_gme, label_vmf, vox_aligned,
+    GME_BETA, GME_SIGMA2, GMM_PARAMS, LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, label_gme, label_gmm, label_vmf, sql_log_constant,
+    vox_aligned,
 )
 from tessera.plans.prior_queries import LABEL_PRIOR, label_prior
 from tessera.plans.registry import query
@@ -379,7 +380,117 @@ def fit_sml_posterior(spark, sf):
     return views.explode_parcels(_sml_round(spark, sf).posterior, "uhat", "subj_id", "vox_id")
 
 
-@query("fit_sml_with_evidence")
+# ---------------------------------------------------------------- draws of data
+
+
+def _sql_uniforms(name: str, source: str, seed: str, n: int) -> str:
+    """The uniforms of each (subject, location) of ``source``, long."""
+    text = f"'{seed}|' || r.subj_id || '|' || r.vox_id || '|' || (j.j // 4)"
+    return f"""
+{name} AS MATERIALIZED (SELECT r.subj_id, r.vox_id, j.j,
+  ('0x' || substr(md5({text}), 1 + 8 * (j.j % 4), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {source} r CROSS JOIN range({n}) j(j))"""
+
+
+def _sql_normals(name: str, uniforms: str, n: int) -> str:
+    return f"""
+{name} AS (SELECT a.subj_id, a.vox_id, m.m, sqrt(-2 * ln(1 - a.u)) * CASE WHEN m.m % 2 = 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * b.u) END AS z
+  FROM range({n}) m(m) JOIN {uniforms} a ON a.j = 1 + 2 * (m.m // 2) JOIN {uniforms} b ON b.j = a.j + 1 AND b.subj_id = a.subj_id AND b.vox_id = a.vox_id)"""
+
+
+_FREE = views.WIDTH - 2
+#: Cells of the angle to the mean direction under the shared concentration.
+_ANGLES = f"""
+mode AS (SELECT kappa, 2 * kappa / ({_FREE} + sqrt({_FREE * _FREE} + 4 * kappa * kappa)) AS c FROM kap),
+edge AS (SELECT kappa, greatest(0, acos(c) - reach) AS low, (least(pi(), acos(c) + reach) - greatest(0, acos(c) - reach)) / {sampling.ANGLES} AS width
+  FROM (SELECT *, {sampling.REACH} / sqrt(kappa * c + {_FREE} / (1 - c * c)) AS reach FROM mode)),
+cellw AS (SELECT i.i, low, width, kappa * cos(low + (i.i + 0.5) * width) + {_FREE} * ln(sin(low + (i.i + 0.5) * width)) AS g
+  FROM edge CROSS JOIN range({sampling.ANGLES}) i(i)),
+cellp AS (SELECT *, exp(g - max(g) OVER ()) AS p FROM cellw),
+cell AS MATERIALIZED (SELECT i, low, width, p, sum(p) OVER (ORDER BY i) AS upto, sum(p) OVER () AS total FROM cellp)"""
+
+
+def _sql_directions(name: str, source: str, seed: str) -> str:
+    """Directions around those of each label: ``subj_id, vox_id, m, y``; ``source`` has ``subj_id, vox_id, label``."""
+    n = sampling.uniforms_of_direction(views.WIDTH)
+    return f"""{_sql_uniforms(f"{name}u", source, seed, n)},
+{_sql_normals(f"{name}z", f"{name}u", views.WIDTH)},
+{name}a AS (SELECT r.subj_id, r.vox_id, r.label, c.low + (c.i + (u.u * c.total - (c.upto - c.p)) / c.p) * c.width AS angle
+  FROM {source} r JOIN {name}u u ON u.subj_id = r.subj_id AND u.vox_id = r.vox_id AND u.j = 0
+  JOIN cell c ON c.upto > u.u * c.total AND c.upto - c.p <= u.u * c.total QUALIFY row_number() OVER (PARTITION BY r.subj_id, r.vox_id ORDER BY c.i) = 1),
+{name}t AS (SELECT a.subj_id, a.vox_id, z.m, a.angle, d.v, z.z, sum(z.z * d.v) OVER w AS along
+  FROM {name}a a JOIN {name}z z ON z.subj_id = a.subj_id AND z.vox_id = a.vox_id JOIN dir d ON d.k = a.label AND d.m = z.m
+  WINDOW w AS (PARTITION BY a.subj_id, a.vox_id)),
+{name} AS MATERIALIZED (SELECT subj_id, vox_id, m, cos(angle) * v + sin(angle) * (z - along * v)
+  / sqrt(sum((z - along * v) * (z - along * v)) OVER (PARTITION BY subj_id, vox_id)) AS y FROM {name}t)"""
+
+
+def _sql_negative(n: str, chains: str, li: str, bias: str, seed: str) -> str:
+    """One Gibbs step of ``chains`` (``subj_id, vox_id, u``) that see data drawn for their labels: nh (p), nu (u)."""
+    logc = sql_log_constant(views.WIDTH, "q.kappa")
+    return f"""
+na{n} AS (SELECT s.subj_id, l.h, t.k, sum(CASE WHEN s.u = t.k THEN l.w ELSE 0 END) AS b FROM {chains} s JOIN {li} l ON s.vox_id = l.vox_id CROSS JOIN range({PARCELS}) t(k) GROUP BY ALL),
+{_sql_softmax(f"nh{n}", f"na{n}", "subj_id, h", "p")},
+nc{n} AS (SELECT subj_id, h, k, sum(p) OVER (PARTITION BY subj_id, h ORDER BY k) AS c FROM nh{n}),
+nd{n} AS MATERIALIZED (SELECT subj_id, h, coalesce(min(CASE WHEN {_U.format(f"'{seed}.h0|' || subj_id || '|' || h")} < c THEN k END), 0) AS v FROM nc{n} GROUP BY ALL),
+nr{n} AS (SELECT subj_id, vox_id, u AS label FROM {chains}),
+{_sql_directions(f"ny{n}", f"nr{n}", f"{seed}.y0")},
+nl{n} AS (SELECT y.subj_id, y.vox_id, d.k, max({logc}) + max(q.kappa) * sum(y.y * d.v) AS ll FROM ny{n} y JOIN dir d ON d.m = y.m CROSS JOIN kap q GROUP BY ALL),
+nf{n} AS (SELECT s.subj_id, p.vox_id, p.k, p.lp + coalesce(sum(CASE WHEN d.v = p.k THEN l.w ELSE 0 END), 0) + max(e.ll) AS b FROM {chains} s JOIN {bias} p ON s.vox_id = p.vox_id
+       JOIN nl{n} e ON e.subj_id = s.subj_id AND e.vox_id = p.vox_id AND e.k = p.k
+       LEFT JOIN {li} l ON l.vox_id = p.vox_id LEFT JOIN nd{n} d ON d.subj_id = s.subj_id AND d.h = l.h GROUP BY s.subj_id, p.vox_id, p.k, p.lp),
+{_sql_softmax(f"nu{n}", f"nf{n}")}"""
+
+
+_CHAINS = _SPARSE_NEG[:_SPARSE_NEG.index("na AS")].rstrip().rstrip(",")
+
+
+@query("cmp_rbm_eneg_evidence", f"""
+WITH {_SPARSE}, {_CHAINS}, {_ANGLES}, {_sql_negative("0", "s0", "li", "pri", "4")}
+SELECT subj_id, vox_id AS node_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM nu0""")
+def cmp_rbm_eneg_evidence(spark, sf):
+    """One Gibbs step of four chains that see data drawn from the emission model for their labels."""
+    model = sparse_model(spark, sf)
+    evidence = stochastic.emission_evidence(label_vmf(spark, sf).emissions[0])
+    states, _ = boltzmann.sparse_negative_phase(boltzmann.start_chains(model, CHAINS, 2), model, 1, 4, evidence)
+    return views.explode_parcels(states, "pu", "subj_id", "node_id")
+
+
+def _sql_mean_field(prefix: str, li: str, base: str) -> str:
+    """Two mean-field steps over other connections and another base, with names of their own."""
+    named = re.sub(r"\b([uahgf]\d(_m)?)\b", rf"{prefix}\1", _sql_sparse(2))
+    return named.replace(" li ", f" {li} ").replace("base ", f"{base} ")
+
+
+def _sql_batch(b: int, li: str, bias: str, theta: str) -> str:
+    """A step of theta and biases on the subjects of one batch: th{b}, bu{b}, li{b}."""
+    sub = f"sub{b}"
+    return f"""
+{sub} AS MATERIALIZED (SELECT DISTINCT subj_id FROM vox WHERE floor({_U.format("'8.0|' || subj_id")} * 2) = {b}),
+base{b} AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.k, s.ll + p.lp AS b FROM sc s JOIN {sub} USING (subj_id) JOIN {bias} p ON s.vox_id = p.vox_id AND s.k = p.k),
+{_sql_mean_field(f"p{b}", li, f"base{b}")},
+cs{b} AS MATERIALIZED (SELECT s.* FROM s0 s JOIN {sub} USING (subj_id)),
+{_sql_negative(str(b), f"cs{b}", li, bias, f"8.0.{b}")},
+gp{b} AS (SELECT e.c, sum(e.w * u.u * v.v) / (SELECT count(*) FROM {sub}) AS g FROM p{b}u2 u JOIN ed e ON u.vox_id = e.vox_id JOIN p{b}h1 v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL),
+gn{b} AS (SELECT e.c, sum(e.w * u.u * v.p) / (SELECT count(*) FROM {sub}) AS g FROM nu{b} u JOIN ed e ON u.vox_id = e.vox_id JOIN nh{b} v ON v.subj_id = u.subj_id AND v.h = e.h AND v.k = u.k GROUP BY ALL),
+th{b} AS MATERIALIZED (SELECT t.c, t.t + 0.1 * (p.g - n.g) / (SELECT sum(w) FROM ed WHERE c = t.c) AS t FROM {theta} t JOIN gp{b} p ON p.c = t.c JOIN gn{b} n ON n.c = t.c),
+mu{b} AS (SELECT vox_id, k, avg(u) AS m FROM p{b}u2 GROUP BY ALL), mn{b} AS (SELECT vox_id, k, avg(u) AS m FROM nu{b} GROUP BY ALL),
+bu{b} AS MATERIALIZED (SELECT p.vox_id, p.k, p.lp + 0.1 * (mu{b}.m - mn{b}.m) AS lp FROM {bias} p JOIN mu{b} ON mu{b}.vox_id = p.vox_id AND mu{b}.k = p.k
+       JOIN mn{b} ON mn{b}.vox_id = p.vox_id AND mn{b}.k = p.k),
+li{b} AS MATERIALIZED (SELECT h, vox_id, sum(w * t.t) AS w FROM ed JOIN th{b} t ON ed.c = t.c GROUP BY ALL)"""
+
+
+def _kept(sql: str) -> str:
+    """Every named query computed once."""
+    return re.sub(r"(\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", sql)
+
+
+@query("fit_sml_with_evidence", _kept(f"""
+WITH {_SPARSE}, {_CHAINS.replace(f"range({CHAINS})", f"range({views.SUBJECTS})").replace("'2|'", "'8.chains|'")}, {_ANGLES},
+th_ AS (SELECT * FROM (VALUES (0, {STRENGTH[0]}::DOUBLE), (1, {STRENGTH[1]}::DOUBLE)) t(c, t)),
+{_sql_batch(0, "li", "pri", "th_")}, {_sql_batch(1, "li0", "bu0", "th0")},
+baseE AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.k, s.ll + b.lp AS b FROM sc s JOIN bu1 b ON s.vox_id = b.vox_id AND s.k = b.k),
+{_sql_mean_field("z", "li1", "baseE")}
+SELECT subj_id, vox_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM zu2"""))
 def fit_sml_with_evidence(spark, sf):
     """One round with two batches of subjects whose chains see data drawn from the emission model."""
     fit = stochastic.fit_sml(
@@ -400,17 +511,28 @@ def _sampled(df, digits=6):
     return views.explode_parcels(df, "y", "subj_id", "vox_id", alias="y", digits=digits)
 
 
-@query("vmf_sample")
+@query("vmf_sample", f"""
+WITH {VOX}, {LABEL_SUMS}, {SHARED_KAPPA}, {_ANGLES}, {_sql_directions("ys", "vox", "1")}
+SELECT subj_id, vox_id, m::BIGINT AS k, round(y, 6) + 0.0 AS y FROM ys""")
 def vmf_sample(spark, sf):
     return _sampled(sampling.draw(_labels(spark, sf), label_vmf(spark, sf).emissions[0], 1))
 
 
-@query("gmm_sample")
+@query("gmm_sample", f"""
+WITH {VOX}, {LABEL_SUMS}, {GMM_PARAMS}, {_sql_uniforms("un", "vox", "1", views.WIDTH + 1)}, {_sql_normals("nz", "un", views.WIDTH)}
+SELECT x.subj_id, x.vox_id, z.m::BIGINT AS k, round(g.v + sqrt(s.sigma2) * z.z, 6) + 0.0 AS y
+FROM vox x JOIN nz z ON z.subj_id = x.subj_id AND z.vox_id = x.vox_id JOIN gv g ON g.k = x.label AND g.m = z.m CROSS JOIN gs s""")
 def gmm_sample(spark, sf):
     return _sampled(sampling.draw(_labels(spark, sf), label_gmm(spark, sf).emissions[0], 1))
 
 
-@query("gauss_exp_sample")
+@query("gauss_exp_sample", f"""
+WITH {VOX}, {LABEL_SUMS}, {_sql_uniforms("un", "vox", "1", views.WIDTH + 1)}, {_sql_normals("nz", "un", views.WIDTH)},
+sg AS (SELECT subj_id, vox_id, -ln(1 - u) / {GME_BETA} AS s FROM un WHERE j = 0),
+yy AS (SELECT x.subj_id, x.vox_id, g.s, g.s * d.v + sqrt({GME_SIGMA2}::DOUBLE) * z.z AS y
+  FROM vox x JOIN sg g ON g.subj_id = x.subj_id AND g.vox_id = x.vox_id JOIN nz z ON z.subj_id = x.subj_id AND z.vox_id = x.vox_id
+  JOIN dir d ON d.k = x.label AND d.m = z.m)
+SELECT subj_id, vox_id, round(max(s), 6) + 0.0 AS signal, round(sqrt(sum(y * y)), 6) + 0.0 AS length FROM yy GROUP BY ALL""")
 def gauss_exp_sample(spark, sf):
     out = sampling.draw(_labels(spark, sf), label_gme(spark, sf), 1, signal=True)
     return out.select("subj_id", "vox_id", r6(F.col("signal")).alias("signal"), r6(A.norm(F.col("y"))).alias("length"))
