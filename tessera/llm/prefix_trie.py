@@ -159,8 +159,9 @@ _SHARD = "shard long, depth long, a long, b long, pa long, pb long, own long, le
 _PARTIAL = "depth long, a long, b long, n_children long, n_leaves long, saved_tokens long"
 
 
-def _sum_shard(table: pa.Table) -> pa.Table:
-    """Children of each node of a shard, and sums over its subtree, of what the shard's rows bring."""
+def _sum_shard(table: pa.Table, block: int) -> pa.Table:
+    """Children of each node of a shard, and sums over its subtree, of what the shard's rows bring. Nothing passes from
+    one block of levels to the one above: those sums come in at its last nodes."""
     depth, a, b, pa_, pb, own, leaf, saved = (
         table[c].to_numpy() for c in ("depth", "a", "b", "pa", "pb", "own", "leaf", "saved"))
     order = np.lexsort((b, a, depth))
@@ -172,7 +173,7 @@ def _sum_shard(table: pa.Table) -> pa.Table:
     n = len(nodes.a)
     children, leaves, tokens = (np.zeros(n, np.int64) for _ in range(3))
     parent = np.full(n, -1, np.int64)
-    below = one[depth[one] > 0]
+    below = one[(depth[one] == 1) | (depth[one] > 1) & ((depth[one] - 1) % block > 0)]
     slot = nodes.find(depth[below], a[below], b[below])
     parent[slot] = nodes.find(depth[below] - 1, pa_[below], pb[below])
     at = nodes.find(depth, a, b)
@@ -181,7 +182,7 @@ def _sum_shard(table: pa.Table) -> pa.Table:
     owned = np.flatnonzero((own > 0) & (depth > 0))
     up = parent[at[owned]]
     np.add.at(children, up[up >= 0], 1)
-    apart = owned[up < 0]  # tops of later blocks: their parents lie in other shards
+    apart = owned[up < 0]  # tops of later blocks
     by_depth = np.argsort(-nodes.depth, kind="stable")
     cuts = np.flatnonzero(np.diff(nodes.depth[by_depth])) + 1
     for level in np.split(by_depth, cuts):
@@ -306,7 +307,7 @@ def build(numbered: DataFrame, conversations: DataFrame | None = None, shard_row
     shards = max(1, math.ceil((rows.count() + nodes.count()) / shard_rows))
     dealt = owned.unionByName(along).unionByName(seams).select(
         F.pmod(F.xxhash64("conv_id", number_of), F.lit(shards)).cast("long").alias("shard"), *KEY, "pa", "pb", "own", "leaf", "saved")
-    partial = dealt.groupBy("shard").applyInArrow(_sum_shard, _PARTIAL)
+    partial = dealt.groupBy("shard").applyInArrow(lambda table: _sum_shard(table, block), _PARTIAL)
     sums = partial.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in ("n_children", "n_leaves", "saved_tokens")])
     above = nodes.select(F.col("conv_id").alias("parent_conv_id"), (F.col("depth") + 1).alias("depth"), F.col("a").alias("pa"),
                          F.col("b").alias("pb"))
