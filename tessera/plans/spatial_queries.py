@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators import mixture, neighbours, potts, priors, spatial
+from tessera.operators import forest, mixture, neighbours, potts, priors, spatial
 from tessera.plans import views
 from tessera.plans.emission_queries import (
     EVENT_PARCELS, EVENT_SUMS, LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, event_model, label_vmf,
@@ -440,3 +442,54 @@ def potts_mean_field(spark, sf):
     return views.explode_parcels(potts.mean_field(model, scores, colours, 2, 2), "uhat", "subj_id", "node_id")
 
 
+
+
+# ---------------------------------------------------------------- forests
+
+# Six nodes in a branch; the last field of a subject may be cut short.
+BRANCH = ((0, 2, 1.0), (1, 2, 1.0), (2, 3, 1.5), (3, 4, 1.0), (3, 5, 0.5))
+_PLACES = range(6)
+_FOREST = f"""{EVT_EVIDENCE}, {EVENT_SUMS},
+nd AS (SELECT s.subj_id, n.n AS vox_id FROM (SELECT DISTINCT subj_id FROM sc) s CROSS JOIN range((SELECT max(vox_id) FROM sc) + 1) n(n)),
+nb AS MATERIALIZED (SELECT nd.subj_id, nd.vox_id, k.k, coalesce(sc.ll, 0) + 0.1 * k.k AS b FROM nd CROSS JOIN range({EVENT_PARCELS}) k(k)
+       LEFT JOIN sc ON sc.subj_id = nd.subj_id AND sc.vox_id = nd.vox_id AND sc.k = k.k),
+fs AS (SELECT d.subj_id, d.field, {", ".join(f"n{i}.k AS k{i}" for i in _PLACES)},
+         {" + ".join(f"coalesce(n{i}.b, 0)" for i in _PLACES)} + 0.7 * ({" + ".join(f"CASE WHEN n{i}.k = n{j}.k THEN {w} ELSE 0 END" for i, j, w in BRANCH)}) AS v
+       FROM (SELECT DISTINCT subj_id, vox_id // 6 AS field FROM nd) d
+       {" ".join(f"LEFT JOIN nb n{i} ON n{i}.subj_id = d.subj_id AND n{i}.vox_id = d.field * 6 + {i}" for i in _PLACES)}),
+fp AS MATERIALIZED (SELECT *, exp(v - max(v) OVER g) / sum(exp(v - top)) OVER g AS p FROM (SELECT *, max(v) OVER (PARTITION BY subj_id, field) AS top FROM fs)
+       WINDOW g AS (PARTITION BY subj_id, field))"""
+
+
+def _event_forest(spark, sf):
+    """Every node and subject of the event cells, with nothing known where a subject has no data, in branches of six."""
+    scores, model = _event_chain(spark, sf)
+    last = scores.agg(F.max("node_id")).first()[0]
+    nodes = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("node_id")
+    grid = scores.select("subj_id").distinct().select("subj_id", nodes)
+    none = F.array_repeat(F.lit(0.0), EVENT_PARCELS)
+    full = grid.join(scores, ["subj_id", "node_id"], "left").select("subj_id", "node_id", F.coalesce("ll", none).alias("ll"))
+    links = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in BRANCH]))
+    field = spark.range(last // 6 + 1).select((F.col("id") * 6).alias("o"), links.alias("l"))
+    up = field.select((F.col("o") + F.col("l.i")).alias("src"), (F.col("o") + F.col("l.j")).alias("dst"), "l.w").where(F.col("dst") <= last)
+    edges = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    known = full.select("node_id").distinct().select("node_id", F.array(*[F.lit(0.1 * k) for k in range(EVENT_PARCELS)]).alias("logpi"))
+    return full, replace(model, edges=edges, prior=known)
+
+
+@query("potts_forest_exact", f"""
+WITH {_FOREST}, al AS ({" UNION ALL ".join(f"SELECT subj_id, field * 6 + {i} AS node_id, k{i} AS k, p FROM fp" for i in _PLACES)})
+SELECT subj_id, node_id, k::BIGINT AS k, round(sum(p), 6) + 0.0 AS p FROM al WHERE k IS NOT NULL GROUP BY ALL""")
+def potts_forest_exact(spark, sf):
+    """Branches of six linked locations, exactly, against all their states."""
+    scores, model = _event_forest(spark, sf)
+    return views.explode_parcels(forest.infer(model, scores)[0], "uhat", "subj_id", "node_id")
+
+
+@query("potts_forest_agreement", f"""
+WITH {_FOREST}
+SELECT subj_id, round(2 * sum(p * ({" + ".join(f"CASE WHEN k{i} = k{j} THEN {w} ELSE 0 END" for i, j, w in BRANCH)})), 5) + 0.0 AS phi FROM fp GROUP BY ALL""")
+def potts_forest_agreement(spark, sf):
+    """Expected agreement of linked locations per subject."""
+    scores, model = _event_forest(spark, sf)
+    return forest.agreement(forest.infer(model, scores)[1]).select("subj_id", r6(F.col("phi"), 5).alias("phi"))
