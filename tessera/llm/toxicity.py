@@ -305,6 +305,31 @@ def _document_frequency(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray,
     return out[1:], int(out[0])
 
 
+def _own_votes(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Label of each example and the vote of the others on it, in the order of the ids. The examples are scored in tasks
+    like any other text, so the driver holds one row of numbers for each."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        lookup = _Lookup(m.terms)
+        for batch in batches:
+            ids, known = (batch.column(i).to_numpy() for i in (0, 1))
+            for lo, hi, rows, places, n in lookup.counts(batch.column(2)):
+                own = np.minimum(np.searchsorted(m.ids, ids[lo:hi]), max(len(m.ids) - 1, 0))
+                own = np.where(m.ids[own] == ids[lo:hi], own, -1) if len(m.ids) else np.full(hi - lo, -1)
+                rows = rows - lo
+                entries = _weighted(rows, places, n, m.weights, hi - lo)
+                votes = m.vote(*m.nearest(rows, places, entries, hi - lo, own))
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(ids[lo:hi]), "label": pa.array(known[lo:hi]), "vote": pa.array(votes)})
+
+    found = texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, vote double").toArrow()
+    shared.destroy()
+    found = found.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    return found.column("label").to_numpy().astype(np.int64), found.column("vote").to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         examples: int = EXAMPLES) -> Model:
     """Learn from the labelled rows of ``labels`` (doc_id and ``label_col``, 0 or 1).
@@ -351,7 +376,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(vocabulary, idf, mark, starts, own.astype(np.int32)[holder[by_term]], entries[by_term], ids[some],
                   label[some], prior, *flat)
     del by_term
-    votes = model.vote(*model.nearest(holder, places, entries, len(ids), own))
+    del holder, places, entries
+    label, votes = _own_votes(texts, model)
     share = {k: totals.get(k, 0) / max(1, (label == k).sum()) for k in (0, 1)}
     steps, scores = _isotonic(votes, label.astype(float), np.where(label == 1, share[1], share[0]))
     return replace(model, steps=steps, step_scores=scores)
