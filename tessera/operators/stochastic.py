@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.functions import randoms
-from tessera.operators import boltzmann, mixture, sampling
+from tessera.operators import boltzmann, forest, mixture, potts, sampling
 from tessera.operators import emissions as em
 from tessera.operators.priors import IndependentPrior
 from tessera.session import cut_lineage
@@ -110,6 +110,65 @@ def fit_sml(
     return StochasticFit(prior, emissions, trace, uhat.withColumnRenamed("node_id", "vox_id"), thetas)
 
 
+@dataclass
+class PottsFit:
+    """``chains``: the persistent labels, ``node_id, labels``; ``theta``: the coupling of every round, the last one's step
+    included; ``trace``: mean expected log-likelihood of the arrangement before each step."""
+
+    model: potts.PottsModel
+    chains: DataFrame
+    theta: list[float]
+    trace: list[float]
+    posterior: DataFrame
+
+
+#: (model, scores, seed) to the posterior ``subj_id, node_id, uhat`` and the agreement ``subj_id, phi``.
+PositivePhase = Callable[[potts.PottsModel, DataFrame, str], tuple[DataFrame, DataFrame]]
+
+
+def sampled_phase(colours: DataFrame, n_colours: int, chains: int = 20, sweeps: int = 5) -> PositivePhase:
+    """Positive phase of a Potts model by chains of each subject."""
+    return lambda model, scores, seed: potts.posterior(model, scores, colours, n_colours, chains, sweeps, seed)
+
+
+def exact_phase(edges: DataFrame) -> PositivePhase:
+    """Exact positive phase on a forest; which nodes are removed when is decided once."""
+    rounds = forest.schedule(edges)
+
+    def phase(model: potts.PottsModel, scores: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+        uhat, links = forest.infer(model, scores, rounds)
+        return uhat, forest.agreement(links)
+
+    return phase
+
+
+def fit_potts_sml(
+    model: potts.PottsModel, scores: DataFrame, positive: PositivePhase, colours: DataFrame, n_colours: int, rounds: int,
+    chains: int = 20, sweeps: int = 5, rate: float = 0.1, fit_theta: bool = True, seed=0,
+) -> PottsFit:
+    """Stochastic maximum likelihood of a Potts prior for given evidence ``subj_id, node_id, ll``.
+
+    Every round has a positive phase, given the evidence, and ``sweeps`` sweeps of persistent chains without it; local
+    terms and coupling move by ``rate`` times the difference of both phases' means.  The chains go on where the round
+    before left them, under the new parameters.  Every round's chains and prior are checkpointed under new names, and
+    draws are hashes of round and keys, so that a lost task repeats them.
+    """
+    scores = cut_lineage(scores.select("subj_id", "node_id", "ll"))
+    states, uhat = None, None
+    thetas, trace = [float(model.theta)], []
+    for r in range(rounds):
+        uhat, agreement = positive(model, scores, f"{seed}.{r}.pos")
+        uhat, agreement = cut_lineage(uhat), cut_lineage(agreement)
+        states = potts.gibbs(model, colours, n_colours, chains, sweeps, f"{seed}.{r}.neg", states=states)
+        drawn = potts.expected_agreement(model.edges, states).first()
+        ll = potts.log_likelihood(model, uhat, agreement).agg(F.avg("ll_a").alias("l")).first()["l"]
+        trace.append(float(ll))
+        model = potts.gradient_step(
+            model, uhat, agreement, potts.frequencies(states, model.k), drawn["phi"] if drawn else 0.0, rate, fit_theta)
+        thetas.append(float(model.theta))
+    return PottsFit(model, states, thetas, trace, uhat)
+
+
 def individual_maps(
     prior, evidence: list[DataFrame], emissions: tuple[em.Emission, ...], n_iter: int = 200, fit_prior: bool = False,
     fit_emission=True, rate: float = 0.5,

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators import forest, mixture, neighbours, potts, priors, spatial
+from tessera.operators import forest, mixture, neighbours, potts, priors, spatial, stochastic
 from tessera.plans import views
 from tessera.plans.emission_queries import (
     EVENT_PARCELS, EVENT_SUMS, LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, event_model, label_vmf,
@@ -493,3 +493,90 @@ def potts_forest_agreement(spark, sf):
     """Expected agreement of linked locations per subject."""
     scores, model = _event_forest(spark, sf)
     return forest.agreement(forest.infer(model, scores)[1]).select("subj_id", r6(F.col("phi"), 5).alias("phi"))
+
+
+# ---------------------------------------------------------------- learning a Potts prior
+
+SML_CHAINS, SML_SWEEPS, SML_RATE = 4, 1, 0.1
+
+
+def _sql_draws(name: str, local: str, keys: list[str], seed: str, chains: int) -> str:
+    """First labels of all chains from ``local`` (keys, vox_id, k, b) alone."""
+    by = ", ".join([*keys, "vox_id"])
+    text = " || '|' || ".join([f"'{seed}'", *keys, "vox_id", "chain"])
+    return f"""
+{name}c AS MATERIALIZED (SELECT {by}, k, sum(exp(b - m)) OVER (PARTITION BY {by} ORDER BY k) / sum(exp(b - m)) OVER (PARTITION BY {by}) AS c
+  FROM (SELECT *, max(b) OVER (PARTITION BY {by}) AS m FROM {local})),
+{name} AS MATERIALIZED (SELECT {by}, chain, coalesce(min(CASE WHEN ('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE < c THEN k END), 0) AS u
+  FROM {name}c CROSS JOIN range({chains}) t(chain) GROUP BY ALL)"""
+
+
+def _sql_swept(name: str, states: str, local: str, keys: list[str], seed: str, theta: str) -> str:
+    """A sweep over even, then odd nodes of chains of nodes."""
+    by = ", ".join([*keys, "vox_id", "chain"])
+    same = lambda a, b, *c: " AND ".join(f"{a}.{k} = {b}.{k}" for k in [*keys, *c])
+    text = " || '|' || ".join(["'{}'", *keys, "vox_id", "chain"])
+    out = []
+    for colour in (0, 1):
+        n = f"{name}{colour}"
+        draw = f"('0x' || substr(md5({text.format(f'{seed}.{colour}')}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+        out.append(f"""
+{n}n AS MATERIALIZED (SELECT {", ".join(f"a.{c}" for c in [*keys, "vox_id", "chain"])}, b.u, count(*) AS n FROM {states} a JOIN {states} b
+  ON {same("a", "b", "chain")} AND abs(a.vox_id - b.vox_id) = 1 GROUP BY ALL),
+{n}a AS MATERIALIZED (SELECT {", ".join(f"s.{c}" for c in [*keys, "vox_id", "chain"])}, p.k, {theta} * coalesce(n.n, 0) + p.b AS a FROM {states} s
+  JOIN {local} p ON {same("p", "s", "vox_id")} LEFT JOIN {n}n n ON {same("n", "s", "vox_id", "chain")} AND n.u = p.k WHERE s.vox_id % 2 = {colour}),
+{n}c AS MATERIALIZED (SELECT {by}, k, sum(exp(a - m)) OVER (PARTITION BY {by} ORDER BY k) / sum(exp(a - m)) OVER (PARTITION BY {by}) AS c
+  FROM (SELECT *, max(a) OVER (PARTITION BY {by}) AS m FROM {n}a)),
+{n}d AS MATERIALIZED (SELECT {by}, coalesce(min(CASE WHEN {draw} < c THEN k END), 0) AS u FROM {n}c GROUP BY ALL),
+{n} AS MATERIALIZED (SELECT {", ".join(f"s.{c}" for c in [*keys, "vox_id", "chain"])}, coalesce(d.u, s.u) AS u FROM {states} s
+  LEFT JOIN {n}d d ON {same("d", "s", "vox_id", "chain")})""")
+        states = n
+    return ",".join(out)
+
+
+def _sql_sml_round(r: int, chains: str | None) -> str:
+    """Round r from pr{r} (vox_id, k, b) and th{r}; makes those of round r + 1 and the chains ng{r}1."""
+    theta, one = f"(SELECT t FROM th{r})", f"{EVENT_PARCELS}"
+    phi = "SELECT {by} sum((a.u = b.u)::INT) / {n}.0 AS phi FROM {s} a JOIN {s} b ON {on} a.chain = b.chain AND abs(a.vox_id - b.vox_id) = 1 {group}"
+    start = "" if chains else _sql_draws(f"ns{r}", f"pr{r}", [], f"13.{r}.neg", SML_CHAINS) + ","
+    return f"""
+pb{r} AS MATERIALIZED (SELECT sc.subj_id, sc.vox_id, sc.k, sc.ll + p.b AS b FROM sc JOIN pr{r} p ON p.vox_id = sc.vox_id AND p.k = sc.k),
+{_sql_draws(f"ps{r}", f"pb{r}", ["subj_id"], f"13.{r}.pos", SML_CHAINS)},
+{_sql_swept(f"pp{r}", f"ps{r}", f"pb{r}", ["subj_id"], f"13.{r}.pos.0", theta)},{start}
+{_sql_swept(f"ng{r}", chains or f"ns{r}", f"pr{r}", [], f"13.{r}.neg.0", theta)},
+gp{r} AS MATERIALIZED (SELECT s.vox_id, t.k, avg((s.u = t.k)::INT) AS p FROM pp{r}1 s CROSS JOIN range({one}) t(k) GROUP BY ALL),
+gn{r} AS MATERIALIZED (SELECT s.vox_id, t.k, avg((s.u = t.k)::INT) AS p FROM ng{r}1 s CROSS JOIN range({one}) t(k) GROUP BY ALL),
+fp{r} AS MATERIALIZED ({phi.format(by="a.subj_id,", n=SML_CHAINS, s=f"pp{r}1", on="a.subj_id = b.subj_id AND", group="GROUP BY a.subj_id")}),
+fn{r} AS MATERIALIZED ({phi.format(by="", n=SML_CHAINS, s=f"ng{r}1", on="", group="")}),
+pr{r + 1} AS MATERIALIZED (SELECT p.vox_id, p.k, p.b + {SML_RATE} * (gp{r}.p - gn{r}.p) AS b FROM pr{r} p JOIN gp{r} ON gp{r}.vox_id = p.vox_id AND gp{r}.k = p.k
+  JOIN gn{r} ON gn{r}.vox_id = p.vox_id AND gn{r}.k = p.k),
+th{r + 1} AS MATERIALIZED (SELECT t + {SML_RATE} * ((SELECT avg(phi) FROM fp{r}) - (SELECT phi FROM fn{r})) AS t FROM th{r})"""
+
+
+_POTTS_SML = f"""{EVT_EVIDENCE}, {EVENT_SUMS.replace("sc AS (", "sc AS MATERIALIZED (")},
+pr0 AS MATERIALIZED (SELECT v.vox_id, k.k, 0.1 * k.k AS b FROM (SELECT DISTINCT vox_id FROM evt) v CROSS JOIN range({EVENT_PARCELS}) k(k)),
+th0 AS (SELECT 0.7::DOUBLE AS t),
+{_sql_sml_round(0, None)}, {_sql_sml_round(1, "ng01")}"""
+
+
+def _potts_sml(spark, sf):
+    scores, model = _event_chain(spark, sf)
+    colours = model.prior.select("node_id", (F.col("node_id") % 2).cast("int").alias("colour"))
+    phase = stochastic.sampled_phase(colours, 2, SML_CHAINS, SML_SWEEPS)
+    return stochastic.fit_potts_sml(model, scores, phase, colours, 2, 2, SML_CHAINS, SML_SWEEPS, SML_RATE, seed=13)
+
+
+@query("potts_sml_theta", f"""
+WITH {_POTTS_SML}
+SELECT r::BIGINT AS round, round(t, 6) + 0.0 AS theta FROM (SELECT 0 AS r, t FROM th0 UNION ALL SELECT 1, t FROM th1 UNION ALL SELECT 2, t FROM th2)""")
+def potts_sml_theta(spark, sf):
+    """The coupling over two rounds of stochastic maximum likelihood with persistent chains."""
+    rows = [(r, round(t, 6) + 0.0) for r, t in enumerate(_potts_sml(spark, sf).theta)]
+    return spark.createDataFrame(rows, "round long, theta double")
+
+
+@query("potts_sml_prior", f"""
+WITH {_POTTS_SML} SELECT vox_id AS node_id, k::BIGINT AS k, round(b, 6) + 0.0 AS p FROM pr2""")
+def potts_sml_prior(spark, sf):
+    """The local terms after the same rounds."""
+    return views.explode_parcels(_potts_sml(spark, sf).model.prior, "logpi", "node_id")
