@@ -403,6 +403,51 @@ def mean_field_sample(model: SparseHidden, subjects: int, iterations: int, seed)
     return rows
 
 
+# ---------------------------------------------------------------- completion
+
+
+def sparse_completion(scores: DataFrame, model: SparseHidden, part: Column, iterations: int = 10) -> DataFrame:
+    """Posterior of every location when the evidence of its own partition is hidden: ``subj_id, node_id, uhat``.
+
+    ``scores``: ``subj_id, node_id, ll``; ``part`` numbers the partition of a location.  All partitions are hidden in the
+    same passes: the turn is part of the key.  The first input of a hidden unit is its total over all locations less
+    what the turn's own partition adds and plus what its bare biases add, so it takes one aggregate for all turns; the
+    last pass visits each location in its own turn only.  Between them every location is there once for each turn.
+    """
+    k = model.k
+    links = cut_lineage(model.connections())
+    none = F.array_repeat(F.lit(0.0), k)
+    base = cut_lineage(scores.join(model.bias, "node_id").select(
+        "subj_id", "node_id", part.cast("long").alias("part"), "bu", A.add(F.col("ll"), F.col("bu")).alias("base")))
+    sums = lambda c: F.array(*[F.sum(F.col("w") * F.col(c)[i]) for i in range(k)])
+    first = base.select("subj_id", "node_id", "part", A.softmax(F.col("base")).alias("u"), A.softmax(F.col("bu")).alias("v"))
+    own = cut_lineage(first.join(links, "node_id").groupBy("subj_id", "h", "part").agg(sums("u").alias("x"), sums("v").alias("y")))
+    total = own.groupBy("subj_id", "h").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(k)]).alias("t"))
+    less = lambda x, y: F.zip_with(F.zip_with("t", x, lambda a, b: a - b), y, lambda a, b: a + b)
+    if iterations == 1:  # only turns of partitions that the unit is linked to are asked for
+        inputs = total.join(own, ["subj_id", "h"]).select("subj_id", "h", F.col("part").alias("turn"), less("x", "y").alias("a"))
+    else:
+        turns = base.agg(F.array_sort(F.collect_set("part")).alias("turns")).scalar()
+        keyed = total.select("subj_id", "h", "t", F.explode(turns).alias("turn"))
+        inputs = keyed.join(own.withColumnRenamed("part", "turn"), ["subj_id", "h", "turn"], "left").select(
+            "subj_id", "h", "turn", less(F.coalesce("x", none), F.coalesce("y", none)).alias("a"))
+    rows = None
+    for i in range(iterations):
+        hidden = inputs.select("subj_id", "h", "turn", A.softmax(F.col("a")).alias("v"))
+        final = i == iterations - 1
+        reached = hidden.join(links, "h").join(base.select("subj_id", "node_id", "part", "bu", "base"), ["subj_id", "node_id"])
+        if final:
+            reached = reached.where(F.col("turn") == F.col("part"))
+        given = F.when(F.col("turn") == F.col("part"), F.col("bu")).otherwise(F.col("base"))
+        field = reached.groupBy("subj_id", "node_id", "turn").agg(F.first(given).alias("b"), sums("v").alias("a"))
+        rows = cut_lineage(field.select("subj_id", "node_id", "turn", A.softmax(A.add(F.col("b"), F.col("a"))).alias("uhat")))
+        if not final:
+            inputs = rows.join(links, "node_id").groupBy("subj_id", "h", "turn").agg(sums("uhat").alias("a"))
+    # A location without links has its bare biases.
+    found = base.join(rows.select("subj_id", "node_id", "uhat"), ["subj_id", "node_id"], "left")
+    return found.select("subj_id", "node_id", F.coalesce("uhat", A.softmax(F.col("bu"))).alias("uhat"))
+
+
 # ---------------------------------------------------------------- visible-unit machines
 
 

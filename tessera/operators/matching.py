@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
@@ -14,6 +14,7 @@ from tessera.operators import mixture
 from tessera.operators.emissions import VonMisesFisher
 from tessera.operators.labels import greedy_pairs
 from tessera.operators.reduce import gram
+from tessera.session import cut_lineage
 
 
 def row_correlations(pairs: DataFrame, a: str, b: str, k: int) -> np.ndarray:
@@ -120,3 +121,42 @@ def match_to_group(rows: DataFrame, directions: np.ndarray, by: str = "subj_id")
     products = [A.dot(F.col("v"), A.literal(directions[:, k])) for k in range(directions.shape[1])]
     best = F.greatest(*products)
     return rows.groupBy(by).agg(F.avg(best).alias("match"))
+
+
+def two_means(values: DataFrame, group: str, value: str) -> DataFrame:
+    """The best split of each group's values in two by squared distances to both means: ``group, cut, cost``.
+
+    Values up to ``cut`` are the lower cluster.  Equal values are one weighted value, so the split is exact; a group
+    of one value has no split (NULL).  Values are sorted over ranges of (group, value) and summed inside each range,
+    what earlier ranges hold of a group is added, so no group meets in one task.
+    """
+    mean = values.groupBy(group).agg(F.avg(value).alias("_mean"), F.count(value).alias("_all"))
+    each = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    centred = each.join(mean, group).withColumn("_x", F.col(value) - F.col("_mean"))
+    parted = cut_lineage(centred.repartitionByRange(group, value).withColumn("_part", F.spark_partition_id()))
+    sums = {"_c": F.col("_n"), "_s": F.col("_n") * F.col("_x"), "_q": F.col("_n") * F.col("_x") * F.col("_x")}
+    per_range = parted.groupBy(group, "_part").agg(*[F.sum(e).alias(f"{c}r") for c, e in sums.items()])
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_range.select(group, "_part", *[F.coalesce(F.sum(f"{c}r").over(before), F.lit(0)).alias(f"{c}b") for c in sums])
+    inside = Window.partitionBy(group, "_part").orderBy(value)
+    local = parted.select("*", *[F.sum(e).over(inside).alias(c) for c, e in sums.items()])
+    upto = local.join(carry, [group, "_part"]).select(
+        group, value, "_all", *[(F.col(c) + F.col(f"{c}b")).alias(c) for c in sums])
+    total = per_range.groupBy(group).agg(F.sum("_sr").alias("_st"), F.sum("_qr").alias("_qt"))
+    right = F.col("_all") - F.col("_c")
+    s = F.col("_st") - F.col("_s")
+    cost = F.when(right > 0, F.col("_q") - F.col("_s") * F.col("_s") / F.col("_c") + (F.col("_qt") - F.col("_q")) - s * s / right)
+    best = upto.join(total, group).withColumn("cost", cost).where("cost IS NOT NULL").groupBy(group).agg(
+        F.min(F.struct("cost", F.col(value).alias("cut"))).alias("b"))
+    return mean.select(group).join(best, group, "left").select(group, "b.cut", "b.cost")
+
+
+def trim_starts(starts: DataFrame, model: str = "model", start: str = "start", value: str = "value") -> DataFrame:
+    """The starts that ended in no local minimum: in the lower of two clusters of every model's values (errors).
+
+    Returns the rows of ``starts`` of those.  A start without a value in one of its rows does not stay.
+    """
+    cuts = two_means(starts, model, value)
+    low = F.col(value).isNotNull() & (F.col("cut").isNull() | (F.col(value) <= F.col("cut")))
+    kept = starts.join(cuts, model).groupBy(start).agg(F.min(low.cast("int")).alias("_low")).where("_low = 1")
+    return starts.join(kept.select(start), start, "left_semi")

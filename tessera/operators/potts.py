@@ -198,6 +198,58 @@ def gradient_step(
     return replace(model, prior=prior, theta=theta)
 
 
+# ---------------------------------------------------------------- normaliser
+
+
+def _pair_sums(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """Weighted number of equal neighbours of every chain, each link counted once: ``chain, phi``."""
+    a = states.select(F.col("node_id").alias("src"), F.col("labels").alias("a"))
+    b = states.select(F.col("node_id").alias("dst"), F.col("labels").alias("b"))
+    same = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1.0).otherwise(0.0))
+    linked = edges.where("src < dst").join(a, "src").join(b, "dst")
+    return linked.select(F.posexplode(same).alias("chain", "s"), "w").groupBy("chain").agg(F.sum(F.col("s") * F.col("w")).alias("phi"))
+
+
+def annealed_weights(
+    model: PottsModel, colours: DataFrame, n_colours: int, chains: int, temperatures: list[float], seed=0,
+) -> DataFrame:
+    """Log importance weights of annealed chains: ``chain, logw``.
+
+    A chain starts from the local terms alone and takes one Gibbs sweep under each share of the coupling in
+    ``temperatures``, which ascend to 1; before each sweep its weight grows by the raise of the share times the
+    coupling of its state.  Draws are hashes of the keys.
+    """
+    if not temperatures or sorted(temperatures) != list(temperatures) or temperatures[-1] != 1.0:
+        raise ValueError("temperatures ascend to 1")
+    ids = F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain")
+    spark = model.prior.sparkSession
+    weights = spark.range(1).select(ids, F.lit(0.0).alias("logw"))
+    states = cut_lineage(start(model.prior, chains, seed))
+    before = 0.0
+    for i, t in enumerate(temperatures):
+        gain = _pair_sums(model.edges, states).select("chain", ((t - before) * model.theta * F.col("phi")).alias("gain"))
+        weights = cut_lineage(weights.join(gain, "chain", "left").select(
+            "chain", (F.col("logw") + F.coalesce("gain", F.lit(0.0))).alias("logw")))
+        if i < len(temperatures) - 1:
+            states = gibbs(replace(model, theta=model.theta * t), colours, n_colours, chains, 1, f"{seed}.{i}", states=states)
+        before = t
+    return weights
+
+
+def log_normaliser(
+    model: PottsModel, colours: DataFrame, n_colours: int, chains: int, temperatures: list[float], seed=0,
+) -> DataFrame:
+    """Estimate of the log of the sum over all states of exp(theta * equal links + local terms): ``log_z`` and ``ess``, the
+    number of equally weighted chains that the weights are worth."""
+    weights = annealed_weights(model, colours, n_colours, chains, temperatures, seed)
+    free = F.array_max("logpi") + F.log(A.total(F.transform("logpi", lambda x: F.exp(x - F.array_max("logpi")))))
+    local = model.prior.agg(F.sum(free).alias("l")).scalar()
+    top = weights.agg(F.max("logw").alias("m")).scalar()
+    e = F.exp(F.col("logw") - top)
+    return weights.agg(
+        (F.log(F.avg(e)) + F.max(top) + F.max(local)).alias("log_z"), (F.sum(e) * F.sum(e) / F.sum(e * e)).alias("ess"))
+
+
 # ---------------------------------------------------------------- exact inference
 
 

@@ -94,6 +94,26 @@ def label_borders(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def label_hops(borders: DataFrame) -> DataFrame:
+    """Fewest borders to cross between labels: ``source, label, hops``, a row for each label that a source reaches.
+
+    ``borders``: ``a, b`` for each pair of touching labels, in any order, as ``label_borders`` gives them.  All sources go
+    outward at once, one join a ring; the search ends with the last new label.
+    """
+    links = cut_lineage(borders.where("a != b").select(F.explode(F.array(
+        F.struct(F.col("a").alias("label"), F.col("b").alias("next")),
+        F.struct(F.col("b").alias("label"), F.col("a").alias("next")))).alias("l")).select("l.*").distinct())
+    labels = borders.select(F.explode(F.array("a", "b")).alias("source")).distinct()
+    frontier = cut_lineage(labels.select("source", F.col("source").alias("label")))
+    ring, seen = 0, frontier.withColumn("hops", F.lit(0).cast("long"))
+    while not frontier.isEmpty():
+        ring += 1
+        met = frontier.join(links, "label").select("source", F.col("next").alias("label")).distinct()
+        frontier = cut_lineage(met.join(seen.select("source", "label"), ["source", "label"], "left_anti"))
+        seen = cut_lineage(seen.unionByName(frontier.withColumn("hops", F.lit(ring).cast("long"))))
+    return seen
+
+
 def gradient_magnitude(nodes: DataFrame, value: str) -> DataFrame:
     """Sobel gradient magnitude of a value on the grid; the border repeats its nearest node."""
     bounds = nodes.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.functions import randoms
-from tessera.operators import boltzmann, mixture, sampling, spatial, stochastic
+from tessera.operators import boltzmann, crossval, mixture, sampling, spatial, stochastic
 from tessera.plans import views
 from tessera.plans.emission_queries import (
     GME_BETA, GME_SIGMA2, GMM_PARAMS, LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, label_gme, label_gmm, label_vmf, sql_log_constant,
@@ -19,6 +19,7 @@ from tessera.plans.emission_queries import (
 from tessera.plans.prior_queries import LABEL_PRIOR, label_prior
 from tessera.plans.registry import query
 from tessera.plans.views import PARCELS, VOX, r6
+from tessera.session import cut_lineage
 
 HIDDEN = 4
 BH = (0.1, -0.2, 0.3, 0.0)
@@ -536,3 +537,49 @@ SELECT subj_id, vox_id, round(max(s), 6) + 0.0 AS signal, round(sqrt(sum(y * y))
 def gauss_exp_sample(spark, sf):
     out = sampling.draw(_labels(spark, sf), label_gme(spark, sf), 1, signal=True)
     return out.select("subj_id", "vox_id", r6(F.col("signal")).alias("signal"), r6(A.norm(F.col("y"))).alias("length"))
+
+
+# ---------------------------------------------------------------- completion under a coupled prior
+
+TURNS = 3
+_COMPLETED = f"""{_SPARSE.split("base AS MATERIALIZED")[0].rstrip().rstrip(",")},
+one AS MATERIALIZED (SELECT s.subj_id, s.vox_id, s.k, 0.1 * s.ll AS ll, p.lp FROM sc s JOIN pri p ON s.vox_id = p.vox_id AND s.k = p.k),
+base AS MATERIALIZED (SELECT o.subj_id * 100 + t.t AS subj_id, o.vox_id, o.k, o.lp + CASE WHEN o.vox_id % {TURNS} = t.t THEN 0 ELSE o.ll END AS b
+  FROM one o CROSS JOIN range({TURNS}) t(t)),
+{_sql_sparse(2)},
+done AS MATERIALIZED (SELECT subj_id // 100 AS subj_id, vox_id, k, u FROM u2 WHERE vox_id % {TURNS} = subj_id % 100)"""
+
+
+def _completed(spark, sf):
+    scores = node_scores(spark, sf)
+    out = boltzmann.sparse_completion(scores, sparse_model(spark, sf), F.col("node_id") % TURNS, 2)
+    return scores, out
+
+
+@query("completion_coupled_posterior", f"""
+WITH {_COMPLETED} SELECT subj_id, vox_id AS node_id, k::BIGINT AS k, round(u, 6) + 0.0 AS p FROM done""")
+def completion_coupled_posterior(spark, sf):
+    """Every location from the other two partitions, through the hidden units."""
+    return views.explode_parcels(_completed(spark, sf)[1], "uhat", "subj_id", "node_id")
+
+
+@query("completion_coupled", _kept(f"""
+WITH {_COMPLETED},
+ly AS (SELECT avg(ln(e)) AS v FROM (SELECT sum(exp(o.ll) * d.u) AS e FROM one o JOIN done d USING (subj_id, vox_id, k) GROUP BY o.subj_id, o.vox_id)),
+ua AS (SELECT avg(abs((x.label = d.k)::INT - d.u)) AS v FROM done d JOIN vox x USING (subj_id, vox_id)),
+dot AS (SELECT x.subj_id, x.vox_id, d.k, sum(x.v * d.v) / sqrt(sum(x.v * x.v)) AS c FROM voxl x JOIN dir d ON d.m = x.m GROUP BY ALL),
+hard AS (SELECT subj_id, vox_id, k FROM done QUALIFY row_number() OVER (PARTITION BY subj_id, vox_id ORDER BY u DESC, k) = 1),
+ch AS (SELECT subj_id, avg(1 - c) AS e FROM dot JOIN hard USING (subj_id, vox_id, k) GROUP BY ALL),
+ce AS (SELECT subj_id, avg(e) AS e FROM (SELECT d.subj_id, d.vox_id, 1 - sum(d.u * t.c) AS e FROM done d JOIN dot t USING (subj_id, vox_id, k) GROUP BY ALL) GROUP BY ALL)
+SELECT 'logpY' AS criterion, round(v, 6) + 0.0 AS value FROM ly UNION ALL SELECT 'u_abserr', round(v, 6) FROM ua
+UNION ALL SELECT 'cos_err', round(avg(e), 6) FROM ch UNION ALL SELECT 'Ecos_err', round(avg(e), 6) FROM ce"""))
+def completion_coupled(spark, sf):
+    """All four criteria of the completed locations."""
+    scores, uhat = _completed(spark, sf)
+    data = views.vox(spark, sf).select(
+        "subj_id", F.col("vox_id").alias("node_id"), "y", A.one_hot(F.col("label"), PARCELS).alias("u"))
+    rows = uhat.join(scores, ["subj_id", "node_id"]).join(data, ["subj_id", "node_id"])
+    rows = cut_lineage(rows)
+    v = label_vmf(spark, sf).emissions[0].v
+    found = [(c, float(round(crossval.evaluate(rows, c, v), 6)) + 0.0) for c in crossval.CRITERIA]
+    return spark.createDataFrame(found, "criterion string, value double")

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
-from tessera.operators import forest, mixture, neighbours, potts, priors, spatial, stochastic
+from tessera.operators import forest, matching, mixture, neighbours, potts, priors, spatial, stochastic
 from tessera.plans import views
 from tessera.plans.emission_queries import (
     EVENT_PARCELS, EVENT_SUMS, LABEL_SUMS, SHARED_KAPPA, VMF_SCORES, event_model, label_vmf,
@@ -580,3 +580,76 @@ WITH {_POTTS_SML} SELECT vox_id AS node_id, k::BIGINT AS k, round(b, 6) + 0.0 AS
 def potts_sml_prior(spark, sf):
     """The local terms after the same rounds."""
     return views.explode_parcels(_potts_sml(spark, sf).model.prior, "logpi", "node_id")
+
+
+# ---------------------------------------------------------------- normaliser, label graph
+
+TEMPERATURES = (0.25, 0.5, 1.0)
+
+
+def _sql_annealed() -> str:
+    """Chains through all temperatures and the weight that each step adds."""
+    out = [_sql_draws("z0", "pr0", [], "17", SML_CHAINS)]
+    states, gains, before = "z0", [], 0.0
+    for i, t in enumerate(TEMPERATURES):
+        gains.append(f"""SELECT a.chain, {t - before}::DOUBLE * 0.7::DOUBLE * sum((a.u = b.u)::INT) AS g FROM {states} a JOIN {states} b
+  ON a.chain = b.chain AND b.vox_id = a.vox_id + 1 GROUP BY a.chain""")
+        if i < len(TEMPERATURES) - 1:
+            out.append(_sql_swept(f"z{i + 1}_", states, "pr0", [], f"17.{i}.0", f"{0.7 * t}"))
+            states = f"z{i + 1}_1"
+        before = t
+    out.append(f"""
+lw AS MATERIALIZED (SELECT chain, sum(g) AS logw FROM ({" UNION ALL ".join(gains)}) GROUP BY chain)""")
+    return ",".join(out)
+
+
+_ANNEALED = f"""{EVT_EVIDENCE}, {EVENT_SUMS},
+pr0 AS MATERIALIZED (SELECT v.vox_id, k.k, 0.1 * k.k AS b FROM (SELECT DISTINCT vox_id FROM evt) v CROSS JOIN range({EVENT_PARCELS}) k(k)),
+{_sql_annealed()}"""
+
+
+@query("potts_log_z", f"""
+WITH {_ANNEALED},
+free AS (SELECT sum(l) AS l FROM (SELECT vox_id, ln(sum(exp(b))) AS l FROM pr0 GROUP BY vox_id))
+SELECT round(ln(avg(exp(logw - m))) + max(m) + max(free.l), 6) + 0.0 AS log_z,
+       round(sum(exp(logw - m)) ** 2 / sum(exp(2 * (logw - m))), 6) + 0.0 AS ess
+FROM lw CROSS JOIN (SELECT max(logw) AS m FROM lw) CROSS JOIN free""")
+def potts_log_z(spark, sf):
+    """Log normaliser of the Potts prior on the chain of event locations, by annealed importance sampling."""
+    _, model = _event_chain(spark, sf)
+    colours = model.prior.select("node_id", (F.col("node_id") % 2).cast("int").alias("colour"))
+    out = potts.log_normaliser(model, colours, 2, SML_CHAINS, list(TEMPERATURES), 17)
+    return out.select(r6(F.col("log_z")).alias("log_z"), r6(F.col("ess")).alias("ess"))
+
+
+@query("label_hops", f"""
+WITH RECURSIVE {_LINKS}, lab AS (SELECT node_id, x // 25 * 2 + y // 10 AS label FROM grid),
+adj AS (SELECT DISTINCT a.label AS a, b.label AS b FROM links JOIN lab a ON a.node_id = src JOIN lab b ON b.node_id = dst),
+reach(source, label, h) AS (SELECT DISTINCT a, a, 0 FROM adj UNION
+  SELECT source, b, h + 1 FROM reach JOIN adj ON a = label WHERE a <> b AND h < (SELECT count(DISTINCT a) FROM adj))
+SELECT source, label, min(h)::BIGINT AS hops FROM reach GROUP BY ALL""")
+def label_hops(spark, sf):
+    """Borders between blocks of the grid of parts."""
+    nodes = part_grid(spark, sf)
+    labels = nodes.select("node_id", F.expr("x div 25 * 2 + y div 10").alias("label"))
+    return spatial.label_hops(spatial.label_borders(labels, spatial.grid_edges(nodes)))
+
+
+@query("starts_trimmed", """
+WITH v AS (SELECT (event_type IN ('click', 'view'))::INT AS model, user_id AS start, avg(value) AS value FROM events GROUP BY ALL),
+e AS (SELECT model, value, count(*) AS n FROM v GROUP BY model, value),
+m AS (SELECT model, avg(value) AS mean, count(*) AS total FROM v GROUP BY model),
+c AS (SELECT e.model, e.value, m.total, e.n, e.value - m.mean AS x FROM e JOIN m USING (model)),
+s AS (SELECT *, sum(n) OVER w AS c1, sum(n * x) OVER w AS s1, sum(n * x * x) OVER w AS q1,
+             sum(n * x) OVER (PARTITION BY model) AS st, sum(n * x * x) OVER (PARTITION BY model) AS qt
+      FROM c WINDOW w AS (PARTITION BY model ORDER BY value)),
+cost AS (SELECT model, value, q1 - s1 * s1 / c1 + (qt - q1) - (st - s1) * (st - s1) / (total - c1) AS cost FROM s WHERE total > c1),
+cut AS (SELECT model, arg_min(value, cost) AS cut FROM cost GROUP BY model),
+low AS (SELECT start FROM v LEFT JOIN cut USING (model) GROUP BY start HAVING min((cut IS NULL OR value <= cut)::INT) = 1)
+SELECT model::BIGINT AS model, start, round(value, 6) + 0.0 AS value FROM v JOIN low USING (start)""")
+def starts_trimmed(spark, sf):
+    """Users as starts, two kinds of events as models: those in the lower cluster of both."""
+    kind = F.col("event_type").isin("click", "view").cast("long").alias("model")
+    starts = table(spark, sf, "events").groupBy(kind, F.col("user_id").alias("start")).agg(
+        F.avg("value").alias("value"))
+    return matching.trim_starts(starts).select("model", "start", r6(F.col("value")).alias("value"))
