@@ -604,6 +604,38 @@ def m_step(aligned: Aligned, model: Model, uhat: DataFrame | None = None) -> Mod
     return _update_emissions(model, model, aligned, df, step, stats, counts, 0, gates, gates)
 
 
+def batch_statistics(aligned: Aligned, model: Model) -> dict[str, np.ndarray]:
+    """All sums of one inference pass by name, empty without rows: they may be added to those of other data.
+
+    For models without parameters per subject; the sums of a flat prior are ``node``.
+    """
+    if any(getattr(e, "per_subject", False) or getattr(e, "equal_weight", False) for e in model.emissions):
+        raise ValueError("parameters per subject cannot be added up")
+    gates = [True] * len(model.emissions)
+    step = _pass(aligned, _attach(aligned.df, model), [model], gates, want_nodes=not model.prior.spatial)
+    stats, counts, total = _collect(step, model)
+    if not total:
+        return {}
+    out = {f"{d}.{name}": m for (_, d), names in stats.items() if d >= 0 for name, m in names.items()}
+    out |= {f"{d}.rows": np.array([n]) for (_, d), n in counts.items()}
+    if (0, -1) in stats:
+        out["node"] = np.asarray(stats[0, -1]["node"][0], dtype=float)
+    return out
+
+
+def model_from_statistics(model: Model, sums: dict[str, np.ndarray], fit_prior: bool = True, fit_emission: bool = True) -> Model:
+    """The M-step of the sums of ``batch_statistics``."""
+    prior, new = model.prior, list(model.emissions)
+    if fit_prior and "node" in sums:
+        prior = _flat_prior(sums["node"], prior)
+    for d, e in enumerate(model.emissions):
+        own = {name.split(".", 1)[1]: m for name, m in sums.items() if name.startswith(f"{d}.")}
+        if fit_emission and own:
+            rows = float(own.pop("rows")[0])
+            new[d] = e.updated(own, rows)
+    return replace(model, prior=prior, emissions=tuple(new))
+
+
 def _as_list(value, n):
     return list(value) if hasattr(value, "__len__") else [bool(value)] * n
 

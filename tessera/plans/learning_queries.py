@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 import numpy as np
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.operators import emissions as em
 from tessera.operators import mixture, priors
+from tessera.operators.priors import IndependentPrior
 from tessera.plans import views
 from tessera.plans.emission_queries import (
-    labelled, sql_concentration, sql_log_constant, start_vmf, vox_aligned,
+    LABEL_SUMS, SHARED_KAPPA, label_vmf, labelled, sql_concentration, sql_log_constant, start_vmf, vox_aligned,
 )
 from tessera.plans.prior_queries import HALF, LABEL_PRIOR, PART, fused_model, label_prior, pair_layout
 from tessera.plans.registry import query
-from tessera.plans.views import PARCELS, VOX, WIDTH, r6
+from tessera.plans.views import PARCELS, SUBJECTS, VOX, WIDTH, r6
+from tessera.session import ensure_checkpoint_dir
+from tessera.streaming import learning, scoring
 
 # ---------------------------------------------------------------- starting points
 
@@ -307,3 +311,57 @@ def em_symmetric_groups(spark, sf):
         first_evidence=True,
     )
     return views.explode_parcels(fit.posterior(), "uhat", "subj_id", "vox_id")
+
+
+# ---------------------------------------------------------------- learning from a stream
+
+BATCHES, DECAY = 3, 0.5
+
+
+def _sql_stream() -> str:
+    """Micro-batches by embedding number; sums decay, parameters follow after each."""
+    out = [f"""
+d0 AS (SELECT k, m, v FROM dir), w0 AS (SELECT kappa FROM kap), f0 AS (SELECT t.k, -ln({PARCELS}) AS lp FROM range({PARCELS}) t(k))"""]
+    for b in range(BATCHES):
+        mine = f"(x.vox_id * {SUBJECTS} + x.subj_id) % {BATCHES} = {b}"
+        old = lambda c, t, on: f"n.{c}" if b == 0 else f"n.{c} + {DECAY} * (SELECT o.{c} FROM {t}{b - 1} o WHERE {on})"  # noqa: E731, B023
+        out.append(f"""
+s{b} AS MATERIALIZED (SELECT x.subj_id, x.vox_id, d.k, max({sql_log_constant(WIDTH, 'q.kappa')}) + max(q.kappa) * sum(x.v * d.v) + max(f.lp) AS b
+  FROM voxl x JOIN d{b} d ON x.m = d.m CROSS JOIN w{b} q JOIN f{b} f ON f.k = d.k WHERE {mine} GROUP BY x.subj_id, x.vox_id, d.k),
+p{b} AS MATERIALIZED (SELECT subj_id, vox_id, k, exp(b - t) / sum(exp(b - t)) OVER (PARTITION BY subj_id, vox_id) AS p
+  FROM (SELECT *, max(b) OVER (PARTITION BY subj_id, vox_id) AS t FROM s{b})),
+y{b} AS MATERIALIZED (SELECT n.k, n.m, {old("s", "y", "o.k = n.k AND o.m = n.m")} AS s
+  FROM (SELECT p.k, x.m, sum(p.p * x.v) AS s FROM p{b} p JOIN voxl x ON x.subj_id = p.subj_id AND x.vox_id = p.vox_id GROUP BY p.k, x.m) n),
+j{b} AS MATERIALIZED (SELECT n.k, {old("j", "j", "o.k = n.k")} AS j FROM (SELECT k, sum(p) AS j FROM p{b} GROUP BY k) n),
+l{b} AS MATERIALIZED (SELECT k, sqrt(sum(s * s)) AS n FROM y{b} GROUP BY k),
+d{b + 1} AS MATERIALIZED (SELECT y.k, y.m, y.s / l.n AS v FROM y{b} y JOIN l{b} l ON y.k = l.k),
+w{b + 1} AS MATERIALIZED (SELECT {sql_concentration('r', WIDTH)} AS kappa FROM (SELECT avg(l.n / j.j) AS r FROM l{b} l JOIN j{b} j ON l.k = j.k)),
+f{b + 1} AS MATERIALIZED (SELECT k, ln(j / (SELECT sum(j) FROM j{b})) AS lp FROM j{b})""")
+    return ",".join(out)
+
+
+@query("stream_learned", f"""
+WITH {VOX}, {LABEL_SUMS}, {SHARED_KAPPA}, {_sql_stream()}
+SELECT 'V' AS name, m::BIGINT AS m, k::BIGINT AS k, round(v, 6) + 0.0 AS value FROM d{BATCHES}
+UNION ALL SELECT 'kappa', 0, 0, round(kappa, 6) FROM w{BATCHES}
+UNION ALL SELECT 'pi', 0, k, round(exp(lp), 6) FROM f{BATCHES}""")
+def stream_learned(spark, sf):
+    """Parameters after a stream of three files, each scored with those before it."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/learn-{uuid.uuid4().hex}"
+    rows = views.table(spark, sf, "embeddings").select(
+        (F.col("vec_id") % SUBJECTS).alias("subj_id"), F.expr(f"vec_id div {SUBJECTS}").alias("vox_id"), "vec_id", F.col("embedding").alias("y"))
+    for b in range(BATCHES):  # the files arrive one after the other
+        part = rows.where(F.col("vec_id") % BATCHES == b).drop("vec_id")
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = rows.drop("vec_id").schema
+    prior = IndependentPrior(PARCELS, flat=priors.uniform_flat(PARCELS), spatial=False)
+    model = replace(label_vmf(spark, sf), prior=prior)
+    stream = scoring.read_stream(spark, f"{base}/in", schema, files_per_batch=1)
+    fit = learning.learn_stream(stream, model, f"{base}/model", f"{base}/state", DECAY, normalised=True)
+    e = fit.emissions[0]
+    pi = np.exp(fit.prior.flat - fit.prior.flat.max())
+    found = [("V", m, k, e.v[m, k]) for m in range(WIDTH) for k in range(PARCELS)]
+    found += [("kappa", 0, 0, e.kappa)] + [("pi", 0, k, p) for k, p in enumerate(pi / pi.sum())]
+    return spark.createDataFrame(
+        [(n, m, k, float(round(float(v), 6)) + 0.0) for n, m, k, v in found], "name string, m long, k long, value double")

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from tessera.operators import emissions as em
 from tessera.operators import evidence, mixture, priors
 from tessera.sources import tables
-from tessera.streaming import scoring
+from tessera.streaming import learning, scoring
 
 
 def test_info_tables(spark, tmp_path):
@@ -79,3 +79,33 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_zero_runs_are_missing(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 4.0), (2, 0.0)], "vox_id int, value double")
     assert {r["vox_id"]: r["value"] for r in tables.average_runs(df, "value", ["vox_id"]).collect()} == {1: 4.0, 2: None}
+
+
+def test_learning_from_a_stream_equals_the_batch_loop(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(s, p, rng.standard_normal(6).tolist()) for s in range(4) for p in range(8)]
+    df = spark.createDataFrame(rows, "subj_id long, vox_id long, y array<double>")
+    x, parts = np.vstack([np.eye(3), np.eye(3)]), [0, 0, 0, 1, 1, 1]
+    prior = priors.IndependentPrior(3, flat=priors.uniform_flat(3), spatial=False)
+    model = mixture.Model(prior, (em.VonMisesFisher(np.eye(3), 4.0),))
+    now, sums, folder = model, {}, str(tmp_path / "in")
+    for s in range(3):
+        new = mixture.batch_statistics(mixture.align([evidence.project(df.where(F.col("subj_id") == s), x, parts)]), now)
+        sums = {k: v + 0.7 * sums[k] if k in sums else v for k, v in new.items()}
+        now = mixture.model_from_statistics(now, sums)
+        df.where(F.col("subj_id") == s).coalesce(1).write.mode("append").parquet(folder)
+    stream = scoring.read_stream(spark, folder, T.StructType(df.schema.fields), files_per_batch=1)
+    out = (str(tmp_path / "model"), str(tmp_path / "state"), 0.7, x, parts)
+    got = learning.learn_stream(stream, model, *out)
+    assert got.emissions[0].v == pytest.approx(now.emissions[0].v) and got.emissions[0].kappa == pytest.approx(now.emissions[0].kappa)
+    assert got.prior.flat == pytest.approx(now.prior.flat)
+    version, again, _ = learning.load(spark, out[0], model)
+    assert version == 2 and again.emissions[0].kappa == got.emissions[0].kappa
+    # Nothing new: nothing changes. A micro-batch that is run again reads the version below it.
+    assert learning.learn_stream(stream, model, *out).emissions[0].kappa == got.emissions[0].kappa
+    assert learning.load(spark, out[0], model, 2)[0] == 1 and learning.load(spark, out[0], model, 0)[0] == learning.START
+    df.where("subj_id = 3").coalesce(1).write.mode("append").parquet(folder)
+    assert learning.learn_stream(stream, model, *out).emissions[0].kappa != got.emissions[0].kappa
+    with pytest.raises(ValueError):
+        mixture.batch_statistics(mixture.align([evidence.project(df, x, parts)]), mixture.Model(
+            prior, (em.VonMisesFisher(np.eye(3), 4.0, per_subject=True),)))
