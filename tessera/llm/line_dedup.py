@@ -10,7 +10,7 @@ from tessera.llm.shared import written
 #: Shorter lines have no edit variants: one changed word would be more than a fifth of them.
 MIN_WORDS = 5
 #: Size of the tables that spare most rows a shuffle: this many rows of 8 bytes at most.
-_PRESENCE = 1 << 19
+_PRESENCE = 1 << 22
 
 
 def _doc_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
