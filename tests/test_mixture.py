@@ -112,9 +112,9 @@ def test_rollback_keeps_the_rejected_posterior(spark, data):
         def updated(self, totals, rows):
             return replace(self, kappa=0.1)  # makes the likelihood drop
 
-    model = mixture.Model(prior, (Spoiler(v, 20.0),))
+    model = mixture.Model(prior, (Spoiler(v, 8.0),))  # the concentration that the data were drawn with
     fit = mixture.fit_em(model, mixture.align([evidence(spark, y)]), 5, 0.01, fit_prior=False, first_evidence=True)
-    assert len(fit.trace) == 2 and fit.model is fit.history[0] and fit.model.emissions[0].kappa == 20.0
+    assert len(fit.trace) == 2 and fit.model is fit.history[0] and fit.model.emissions[0].kappa == 8.0
     rejected = softmax_rows((0.1 * (y @ v)).reshape(-1, K)).reshape(S, P, K)
     assert as_array(fit.posterior(), S, P, K) == pytest.approx(rejected)
 
