@@ -19,6 +19,8 @@ from tessera.functions import arrays as A
 from tessera.functions import batches
 from tessera.operators import neighbours
 
+# Densities that differ by no more differ by rounding only.
+SAME_DENSITY = 1e-12
 WEIGHTINGS = (
     "length", "length_sum2P", "lsquare", "lsquare_sum2P", "lsquare_sum2PJ",
     "length_normalized", "ones",
@@ -232,13 +234,14 @@ def add_density_weights(
     a subject and partition.
 
     The density of a location is the mean cosine of its ``q`` nearest neighbours there.  A vector that is incomplete or
-    has no neighbour gets no weight (NULL), and neither does any of a group whose densities are all equal.
+    has no neighbour gets no weight (NULL), and neither does any of a group whose densities are equal within SAME_DENSITY.
     """
     by = ["subj_id", "part_id"]
     weighted = add_weights(vectors, "length_normalized", partitions, locations, subjects)
     density = neighbours.cosine_density(vectors, q, group=by)
     scale = density.groupBy(*by).agg(F.min("density").alias("_low"), F.max("density").alias("_high"))
-    scaled = F.try_divide(F.col("density") - F.col("_low"), F.col("_high") - F.col("_low"))
+    span = F.col("_high") - F.col("_low")
+    scaled = F.when(span > SAME_DENSITY, (F.col("density") - F.col("_low")) / span)
     rows = density.join(scale, by).select(*by, "vox_id", scaled.alias("_dense"))
     return weighted.join(rows, [*by, "vox_id"], "left").withColumn("w", F.col("w") + F.col("_dense")).drop("_dense")
 

@@ -181,7 +181,7 @@ cosine AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY subj_id, part_id, vox_id ORDER BY c DESC, other) AS r FROM cosine),
 dens AS (SELECT subj_id, part_id, vox_id, avg(c) AS density FROM ranked WHERE r <= {NEAREST} GROUP BY ALL),
 scaled AS (
-  SELECT *, (density - min(density) OVER g) / nullif(max(density) OVER g - min(density) OVER g, 0) AS dense
+  SELECT *, CASE WHEN max(density) OVER g - min(density) OVER g > 1e-12 THEN (density - min(density) OVER g) / (max(density) OVER g - min(density) OVER g) END AS dense
   FROM dens WINDOW g AS (PARTITION BY subj_id, part_id))
 SELECT v.subj_id, v.vox_id, v.part_id, round(ln(1 + {_WEIGHT_SQL["length_normalized"]} + dense), 6) + 0.0 AS log_w
 FROM vec v JOIN tot t ON v.subj_id = t.subj_id AND v.part_id = t.part_id JOIN loc l ON v.subj_id = l.subj_id

@@ -87,7 +87,7 @@ WITH {_GRID}, pt AS (SELECT g.*, p.p_retailprice / 100 AS z, p.p_size % 3 AS grp
 d AS (SELECT a.grp, a.node_id, b.node_id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d
       FROM pt a JOIN pt b ON a.grp = b.grp),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp, node_id ORDER BY d, other) AS place FROM d)
-SELECT grp, node_id, round(sum(exp(-d * d / 100.0)), 6) + 0.0 AS density FROM r WHERE place <= 20 GROUP BY ALL""")
+SELECT grp::BIGINT AS grp, node_id, round(sum(exp(-d * d / 100.0)), 6) + 0.0 AS density FROM r WHERE place <= 20 GROUP BY ALL""")
 def knn_kernel_density(spark, sf):
     part = table(spark, sf, "part").select(
         F.col("p_partkey").alias("node_id"), (F.col("p_retailprice") / 100).alias("z"), (F.col("p_size") % 3).cast("long").alias("grp"))
