@@ -297,7 +297,8 @@ def stream_posterior(spark, sf):
     """The flagship posterior, computed on a stream of files with a frozen model."""
     ensure_checkpoint_dir(spark)
     model = label_vmf(spark, sf)
-    stream = scoring.read_stream(spark, sf, _EMBEDDINGS, "embeddings.parquet").select(
+    # The braces make the path a pattern: a table may be one file, which no stream takes as its folder, or a folder of files.
+    stream = scoring.read_stream(spark, f"{sf}/{{embeddings.parquet}}", _EMBEDDINGS).select(
         (F.col("vec_id") % SUBJECTS).alias("subj_id"), F.expr(f"vec_id div {SUBJECTS}").alias("vox_id"), F.col("embedding").alias("y")
     )
     base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from tessera.operators import emissions as em
 from tessera.operators import evidence, mixture, priors
+from tessera.plans import reporting_queries, views
 from tessera.sources import tables
 from tessera.streaming import learning, scoring
 
@@ -109,3 +110,12 @@ def test_learning_from_a_stream_equals_the_batch_loop(spark, tmp_path):
     with pytest.raises(ValueError):
         mixture.batch_statistics(mixture.align([evidence.project(df, x, parts)]), mixture.Model(
             prior, (em.VonMisesFisher(np.eye(3), 4.0, per_subject=True),)))
+
+
+def test_stream_posterior_reads_a_table_in_parts(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = reporting_queries.stream_posterior(spark, str(tmp_path))
+    want = reporting_queries.stream_posterior(spark, "/root/testdata/sf0.001")
+    assert got.count() == want.count() == rows.count() * views.PARCELS
+    assert got.exceptAll(want).isEmpty()
