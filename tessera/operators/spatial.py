@@ -1,7 +1,10 @@
 """Spatial layouts as node and edge tables.
 
 Neighbours are found by joining coordinates, so the cost grows with the number
-of nodes; a nodes x nodes matrix is never formed.
+of nodes; a nodes x nodes matrix is never formed.  Joins of nodes with nodes are
+merge joins: Spark takes a few columns of a compressed table for small and would
+broadcast millions of nodes through the driver, and leave the work to the few
+tasks that read them.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ def chain_edges(nodes: DataFrame) -> DataFrame:
     """Both directions of every link between consecutive ``node_id``s."""
     ids = nodes.select("node_id").distinct()
     step = ids.select(F.col("node_id").alias("src"), F.explode(F.array(F.col("node_id") - 1, F.col("node_id") + 1)).alias("dst"))
-    return step.join(ids.withColumnRenamed("node_id", "dst"), "dst").select("src", "dst", F.lit(1.0).alias("w"))
+    return step.hint("merge").join(ids.withColumnRenamed("node_id", "dst"), "dst").select("src", "dst", F.lit(1.0).alias("w"))
 
 
 def grid_edges(nodes: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def grid_edges(nodes: DataFrame) -> DataFrame:
         "src", (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y")
     )
     there = nodes.select(F.col("node_id").alias("dst"), "x", "y")
-    return step.join(there, ["x", "y"]).select("src", "dst", F.lit(1.0).alias("w"))
+    return step.hint("merge").join(there, ["x", "y"]).select("src", "dst", F.lit(1.0).alias("w"))
 
 
 def grid_position(node, height: int):
@@ -78,7 +81,7 @@ def within_distance(nodes: DataFrame, radius: float) -> DataFrame:
         (F.col("bx") + F.col("s.i")).alias("cx"), (F.col("by") + F.col("s.j")).alias("cy"),
     )
     d = F.sqrt((F.col("x1") - F.col("x2")) * (F.col("x1") - F.col("x2")) + (F.col("y1") - F.col("y2")) * (F.col("y1") - F.col("y2")))
-    return here.join(around, ["cx", "cy"]).where(F.col("src") != F.col("dst")).select("src", "dst", d.alias("dist")).where(
+    return here.hint("merge").join(around, ["cx", "cy"]).where(F.col("src") != F.col("dst")).select("src", "dst", d.alias("dist")).where(
         F.col("dist") < radius
     )
 
@@ -90,7 +93,7 @@ def label_borders(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """
     a = labels.select(F.col("node_id").alias("src"), F.col("label").alias("a"))
     b = labels.select(F.col("node_id").alias("dst"), F.col("label").alias("b"))
-    pairs = edges.where("src < dst").join(a, "src").join(b, "dst")
+    pairs = edges.where("src < dst").join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
     return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -129,7 +132,7 @@ def gradient_magnitude(nodes: DataFrame, value: str) -> DataFrame:
         clamp(F.col("y") + F.col("k.dy"), bounds["y0"], bounds["y1"]).alias("ny"), "k.gx", "k.gy",
     )
     there = nodes.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col(value).alias("v"))
-    sums = want.join(there, ["nx", "ny"]).groupBy("node_id").agg(
+    sums = want.hint("merge").join(there, ["nx", "ny"]).groupBy("node_id").agg(
         F.sum(F.col("v") * F.col("gx")).alias("gx"), F.sum(F.col("v") * F.col("gy")).alias("gy")
     )
     return sums.select("node_id", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("gradient"))
@@ -145,7 +148,7 @@ _SOBEL = (
 
 def map_data(nodes: DataFrame, data: DataFrame, default: float = 0.0, value: str = "value") -> DataFrame:
     """Values for all nodes; nodes without data get the default."""
-    return nodes.join(data, "node_id", "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    return nodes.join(data.hint("merge"), "node_id", "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def colour(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
