@@ -100,21 +100,26 @@ def label_borders(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def label_hops(borders: DataFrame) -> DataFrame:
     """Fewest borders to cross between labels: ``source, label, hops``, a row for each label that a source reaches.
 
-    ``borders``: ``a, b`` for each pair of touching labels, in any order, as ``label_borders`` gives them.  All sources go
-    outward at once, one join a ring; the search ends with the last new label.
+    ``borders``: ``a, b`` for each pair of touching labels, in any order, as ``label_borders`` gives them.  The reach
+    doubles in every round: a label up to ``2 r`` away lies within ``r`` of one that is exactly ``r`` away, so the rim of
+    what is known meets the whole of it.  The rounds grow with the logarithm of the greatest distance; a round's join has a
+    row for each pair of a rim and what is near it.
     """
-    links = cut_lineage(borders.where("a != b").select(F.explode(F.array(
-        F.struct(F.col("a").alias("label"), F.col("b").alias("next")),
-        F.struct(F.col("b").alias("label"), F.col("a").alias("next")))).alias("l")).select("l.*").distinct())
-    labels = borders.select(F.explode(F.array("a", "b")).alias("source")).distinct()
-    frontier = cut_lineage(labels.select("source", F.col("source").alias("label")))
-    ring, seen = 0, frontier.withColumn("hops", F.lit(0).cast("long"))
-    while not frontier.isEmpty():
-        ring += 1
-        met = frontier.join(links, "label").select("source", F.col("next").alias("label")).distinct()
-        frontier = cut_lineage(met.join(seen.select("source", "label"), ["source", "label"], "left_anti"))
-        seen = cut_lineage(seen.unionByName(frontier.withColumn("hops", F.lit(ring).cast("long"))))
-    return seen
+    ends = F.array(
+        F.struct(F.col("a").alias("source"), F.col("a").alias("label"), F.lit(0).cast("long").alias("hops")),
+        F.struct(F.col("b").alias("source"), F.col("b").alias("label"), F.lit(0).cast("long").alias("hops")),
+        F.struct(F.col("a").alias("source"), F.col("b").alias("label"), F.lit(1).cast("long").alias("hops")),
+        F.struct(F.col("b").alias("source"), F.col("a").alias("label"), F.lit(1).cast("long").alias("hops")))
+    step = borders.select(F.explode(ends).alias("l")).select("l.*")
+    known, reach = cut_lineage(step.groupBy("source", "label").agg(F.min("hops").alias("hops"))), 1
+    while True:
+        rim = known.where(F.col("hops") == reach).select("source", F.col("label").alias("via"))
+        near = known.where("hops > 0").select(F.col("source").alias("via"), "label", F.col("hops").alias("more"))
+        met = rim.hint("merge").join(near, "via").groupBy("source", "label").agg((F.min("more") + reach).alias("hops"))
+        new = cut_lineage(met.hint("merge").join(known.select("source", "label"), ["source", "label"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, reach = cut_lineage(known.unionByName(new)), 2 * reach
 
 
 def gradient_magnitude(nodes: DataFrame, value: str) -> DataFrame:

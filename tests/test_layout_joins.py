@@ -23,6 +23,14 @@ def cuts(monkeypatch):
     return seen
 
 
+def test_hops_double_their_reach(spark, cuts):
+    ring = [(i, (i + 1) % 40, 1) for i in range(40)] + [(100, 100, 1)]  # a label that touches only itself
+    got = {(r["source"], r["label"]): r["hops"] for r in spatial.label_hops(spark.createDataFrame(ring, "a int, b int, n long")).collect()}
+    want = {(i, j): min(abs(i - j), 40 - abs(i - j)) for i in range(40) for j in range(40)} | {(100, 100): 0}
+    assert got == want
+    assert len(cuts) <= 12  # 20 rings
+
+
 def test_near_nodes_are_not_broadcast(spark):
     nodes = _grid(spark)
     pairs = spatial.within_distance(nodes, 2.5)
