@@ -163,17 +163,18 @@ def colour(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     neighbours (by a hash) takes the smallest colour none of its neighbours
     has.  The number of rounds grows with the logarithm of the graph.
     """
+    edges = cut_lineage(edges.select("src", "dst"))  # read in every round
     nodes = edges.select(F.col("src").alias("node_id")).distinct()
     state = cut_lineage(nodes.withColumn("colour", F.lit(None).cast("int")).withColumn("rank", F.xxhash64("node_id")))
     for _ in range(max_rounds):
         other = state.select(F.col("node_id").alias("dst"), F.col("colour").alias("c"), F.struct("rank", F.col("node_id").alias("i")).alias("r"))
-        around = edges.select("src", "dst").join(other, "dst").groupBy(F.col("src").alias("node_id")).agg(
+        around = edges.join(other.hint("merge"), "dst").groupBy(F.col("src").alias("node_id")).agg(
             F.collect_set("c").alias("taken"), F.max(F.when(F.col("c").isNull(), F.col("r"))).alias("rival")
         )
         wins = F.col("rival").isNull() | (F.struct("rank", F.col("node_id").alias("i")) > F.col("rival"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), F.col("taken")))
         new = F.when(F.col("colour").isNotNull(), F.col("colour")).when(wins, free)
-        state = cut_lineage(state.join(around, "node_id").select("node_id", new.cast("int").alias("colour"), "rank"))
+        state = cut_lineage(state.hint("merge").join(around, "node_id").select("node_id", new.cast("int").alias("colour"), "rank"))
         if state.where("colour is null").limit(1).count() == 0:
             return state.select("node_id", "colour")
     raise RuntimeError("colouring did not finish; raise max_rounds")

@@ -165,10 +165,11 @@ def graph_colouring(spark, sf):
     edges = spatial.grid_edges(part_grid(spark, sf))
     colours = spatial.colour(edges)
     far = colours.select(F.col("node_id").alias("dst"), F.col("colour").alias("other"))
-    clash = edges.join(colours.withColumnRenamed("node_id", "src"), "src").join(far, "dst").where("colour = other").groupBy(
+    clash = edges.join(colours.withColumnRenamed("node_id", "src").hint("merge"), "src").join(far.hint("merge"), "dst").where("colour = other").groupBy(
         F.col("src").alias("node_id")).agg(F.count("*").alias("conflicts"))
     linked = edges.select(F.col("src").alias("node_id")).distinct().withColumn("linked", F.lit(True))
-    found = nodes.join(linked, "node_id", "left").join(colours, "node_id", "left").join(clash, "node_id", "left")
+    found = nodes.join(linked.hint("merge"), "node_id", "left").join(colours.hint("merge"), "node_id", "left").join(
+        clash.hint("merge"), "node_id", "left")
     done = F.col("colour").isNotNull() | F.col("linked").isNull()  # a node without links takes any colour
     return found.select("node_id", done.cast("long").alias("coloured"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 

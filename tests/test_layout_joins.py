@@ -40,3 +40,10 @@ def test_near_nodes_are_not_broadcast(spark):
     labels = nodes.select("node_id", F.col("x").alias("label"))
     for df in (pairs, spatial.grid_edges(nodes), spatial.chain_edges(nodes), spatial.label_borders(labels, spatial.grid_edges(nodes))):
         assert "Broadcast" not in _plan(df)
+
+
+def test_colours_are_not_broadcast(spark, cuts):
+    edges = spatial.grid_edges(_grid(spark))
+    colours = {r["node_id"]: r["colour"] for r in spatial.colour(edges).collect()}
+    assert all(colours[r["src"]] != colours[r["dst"]] for r in edges.collect()) and len(colours) == 40
+    assert cuts and not any("Broadcast" in plan for plan in cuts)
