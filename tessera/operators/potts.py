@@ -70,9 +70,10 @@ def neighbour_counts(edges: DataFrame, states: DataFrame, k: int, keys: tuple[st
 def conditional(model: PottsModel, states: DataFrame, bias: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Distribution of every node given its neighbours: ``node_id, chain, p``."""
     local = model.prior.select("node_id", F.col("logpi").alias("bias")) if bias is None else bias
-    counts = neighbour_counts(model.edges, states, model.k, keys)
+    # Merge joins, as in the layouts: states and priors are as long as the nodes, however small Spark takes them.
+    counts = neighbour_counts(model.edges.hint("merge"), states, model.k, keys)
     own = states.select(*keys, "node_id", F.posexplode("labels").alias("chain", "u"))
-    rows = own.join(counts, [*keys, "node_id", "chain"], "left").join(local, [*keys, "node_id"])
+    rows = own.join(counts.hint("merge"), [*keys, "node_id", "chain"], "left").join(local.hint("merge"), [*keys, "node_id"])
     none = F.array_repeat(F.lit(0.0), model.k)
     score = F.zip_with(F.coalesce("same", none), "bias", lambda s, b: s * model.theta + b)
     return rows.select(*keys, "node_id", "chain", "u", A.softmax(score).alias("p"))

@@ -47,3 +47,12 @@ def test_colours_are_not_broadcast(spark, cuts):
     colours = {r["node_id"]: r["colour"] for r in spatial.colour(edges).collect()}
     assert all(colours[r["src"]] != colours[r["dst"]] for r in edges.collect()) and len(colours) == 40
     assert cuts and not any("Broadcast" in plan for plan in cuts)
+
+
+def test_conditional_is_not_broadcast(spark):
+    nodes = _grid(spark)
+    model = potts.PottsModel(spatial.grid_edges(nodes), 2, nodes.select("node_id", F.array(F.lit(0.0), F.lit(0.5)).alias("logpi")), 0.8)
+    states = nodes.select("node_id", F.array((F.col("x") % 2).cast("int"), (F.col("y") % 2).cast("int")).alias("labels"))
+    out = potts.conditional(model, states)
+    assert "Broadcast" not in _plan(out)
+    assert out.count() == 80
