@@ -14,7 +14,7 @@ from tessera.plans.emission_queries import (
 )
 from tessera.plans.prior_queries import LABEL_PRIOR, label_prior
 from tessera.plans.registry import query
-from tessera.plans.views import EVT_EVIDENCE, VOX, r6, table
+from tessera.plans.views import EVT_EVIDENCE, PARCELS, VOX, r6, table
 
 HEIGHT = 20  # parts fill a grid column by column
 CENTROIDS = ((1.0, 2.0), (30.0, 10.0), (60.0, 17.0), (90.0, 5.0))
@@ -384,7 +384,9 @@ def potts_duo_exact(spark, sf):
         F.first(F.when(even, F.col("q")), ignorenulls=True).alias("a"), F.first(F.when(~even, F.col("q")), ignorenulls=True).alias("b")
     )
     out = pairs.select("subj_id", "pair", potts.pair_posterior(F.col("a"), F.col("b"), THETA).alias("d"))
-    return out.select("subj_id", "pair", F.posexplode(F.arrays_zip("d.u1", "d.u2")).alias("k", "z"), "d.agree").select(
+    none = F.array_repeat(F.lit(None).cast("double"), PARCELS)  # zipping with a missing array would drop the location that is there
+    both = F.arrays_zip(F.coalesce("d.u1", none).alias("u1"), F.coalesce("d.u2", none).alias("u2"))
+    return out.select("subj_id", "pair", F.posexplode(both).alias("k", "z"), "d.agree").select(
         "subj_id", "pair", F.col("k").cast("long").alias("k"), r6(F.col("z.u1")).alias("u1"), r6(F.col("z.u2")).alias("u2"), r6(F.col("agree")).alias("agree")
     )
 
