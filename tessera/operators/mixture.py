@@ -158,10 +158,10 @@ def align(evidence: Sequence[DataFrame], prior: IndependentPrior | None = None)
     for s in slots:
         cols += [F.col(f"s{s.name}.num_part").alias(f"n{s.name}"), F.col(f"s{s.name}.y").alias(f"y{s.name}")]
     if layout is not None:
-        for side in (0, 1):
-            known = [F.col(f"s{s.name}.vox_id") for s in slots if s.side == side]
-            cols.append(F.coalesce(*known).alias(f"vox{side}"))
-        df = wide.select(*cols).withColumn("share", F.when(F.col("vox0") == F.col("vox1"), 0.5).otherwise(1.0))
+        # The locations of a node are the layout's: a subject may have data at one of them only.
+        ends = layout.table.groupBy("node_id").agg(
+            *[F.max(F.when(F.col("side") == side, F.col("vox_id"))).cast("long").alias(f"vox{side}") for side in (0, 1)])
+        df = wide.select(*cols).join(ends, "node_id").withColumn("share", F.when(F.col("vox0") == F.col("vox1"), 0.5).otherwise(1.0))
         return Aligned(df, slots, sided=True, grouped=True)
     return Aligned(wide.select(*cols), slots, grouped=True)
 
@@ -247,7 +247,10 @@ def _log_prior(b: _Batch, cfg, i):
 
 
 def posterior(aligned: Aligned, model: Model, gates: Sequence[bool] | None = None) -> DataFrame:
-    """Posterior parcel probabilities of every (subject, location): one inference pass."""
+    """Posterior parcel probabilities of every (subject, location): one inference pass.
+
+    With a layout both locations of a node get the node's posterior, also where the subject has data at one of them only.
+    """
     cfg = _settings([model])
     slots = aligned.slots
     gates = [True] * len(model.emissions) if gates is None else list(gates)

@@ -25,3 +25,15 @@ def test_pairs_keep_a_location_without_its_partner(spark, cut):
     assert len(got) == 5 * 10
     for r in got:
         assert r["u1"] is not None and (r["u2"] is None) == (r["agree"] is None) == (r["subj_id"] > 0)
+
+
+def test_a_node_gives_its_posterior_to_both_locations(spark, cut):
+    # Subjects 1 to 4 have no data at location 11, the partner of location 10.
+    folder = cut(56)
+    want = prior_queries.symmetric_map_roundtrip(spark, folder)
+    got = prior_queries.symmetric_estep(spark, folder)
+    assert got.count() == 5 * 12 * 10 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    same = prior_queries.symmetric_same_parcels_estep(spark, folder)
+    assert same.count() == 5 * 12 * 10
+    left, right = ({(r["subj_id"], r["k"]): r["p"] for r in same.where(F.col("vox_id") == v).collect()} for v in (10, 11))
+    assert left == right
