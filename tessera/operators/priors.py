@@ -33,13 +33,13 @@ class Layout:
 
     @classmethod
     def symmetric(cls, pairs: DataFrame, same_parcels: bool = False) -> Layout:
-        """``pairs``: ``node_id, left_vox, right_vox`` (equal on the midline)."""
+        """``pairs``: ``node_id, left_vox, right_vox`` (equal on the midline; NULL where a side has no location)."""
         sides = F.array(
             F.struct(F.col("left_vox").alias("vox_id"), F.lit(0).alias("side")),
             F.struct(F.col("right_vox").alias("vox_id"), F.lit(1).alias("side")),
         )
         table = pairs.select("node_id", F.explode(sides).alias("s")).select("s.vox_id", "node_id", "s.side")
-        return cls(table, same_parcels)
+        return cls(table.where("vox_id is not null"), same_parcels)
 
     @classmethod
     def separate(cls, sides: DataFrame) -> Layout:

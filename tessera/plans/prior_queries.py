@@ -131,7 +131,9 @@ def pair_layout(spark, sf, same_parcels=False) -> priors.Layout:
     v = views.vox(spark, sf).select("vox_id").distinct()
     r = F.col("vox_id") % 5
     node = F.when(r.isin(1, 3), F.col("vox_id") - 1).otherwise(F.col("vox_id"))
-    pairs = v.groupBy(node.alias("node_id")).agg(F.min("vox_id").alias("left_vox"), F.max("vox_id").alias("right_vox"))
+    # The last pair may lack its right location: the left one is not on the midline for that.
+    side = lambda *rs: F.max(F.when(r.isin(*rs), F.col("vox_id")))
+    pairs = v.groupBy(node.alias("node_id")).agg(side(0, 2, 4).alias("left_vox"), side(1, 3, 4).alias("right_vox"))
     return priors.Layout.symmetric(pairs, same_parcels)
 
 

@@ -37,3 +37,13 @@ def test_a_node_gives_its_posterior_to_both_locations(spark, cut):
     assert same.count() == 5 * 12 * 10
     left, right = ({(r["subj_id"], r["k"]): r["p"] for r in same.where(F.col("vox_id") == v).collect()} for v in (10, 11))
     assert left == right
+
+
+def test_a_location_without_a_partner_keeps_its_side(spark, cut):
+    # Vectors 0 to 54: location 10 is the left one of a pair without a right one.
+    folder = cut(55)
+    for query in (prior_queries.symmetric_estep, prior_queries.symmetric_map_roundtrip):
+        rows = query(spark, folder).where("vox_id = 10").collect()
+        assert len(rows) == 50 and all(r["p"] == 0 for r in rows if r["k"] >= 5)
+    table = prior_queries.pair_layout(spark, folder).table
+    assert [(r["vox_id"], r["side"]) for r in table.where("node_id = 10").collect()] == [(10, 0)]
