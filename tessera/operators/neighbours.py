@@ -19,7 +19,9 @@ from tessera.functions import arrays as A
 from tessera.functions import batches
 from tessera.session import cut_lineage
 
-PIVOTS, TILE_ROWS = 64, 512
+# A tile is sent once for each tile it meets, so what is sent falls with the rows of a tile; distances are formed for
+# STRIP rows of it at a time.
+PIVOTS, TILE_ROWS, STRIP = 64, 4096, 512
 # Bounds are widened by this part, so that rounding loses no neighbour.
 SLACK = 1e-9
 
@@ -80,9 +82,12 @@ def _tiles(rows: DataFrame, group: Sequence[str], pivots: np.ndarray, q: int, ti
                     x = v[a:b]
                     own = np.full(b - a, np.inf)
                     if b - a > q:
-                        d2 = _squares(x, x)
-                        np.fill_diagonal(d2, np.inf)
-                        own = np.sqrt(np.maximum(np.partition(d2, q - 1, axis=1)[:, q - 1], 0.0) + _room(x, x))
+                        for top in range(0, b - a, STRIP):
+                            d2 = _squares(x[top:top + STRIP], x)
+                            d2[np.arange(len(d2)), top + np.arange(len(d2))] = np.inf
+                            d2.partition(q - 1, axis=1)
+                            own[top:top + STRIP] = np.maximum(d2[:, q - 1], 0.0)
+                        own = np.sqrt(own + _room(x, x))
                     out.append([*(int(p[a]) for p in parts), b - a, float(radius[a:b].max()), float(own.max()),
                                 ids[a:b].tobytes(), x.tobytes(), own.tobytes()])
             kinds = [pa.int64()] * len(keys) + [pa.int32(), pa.int32(), pa.float64(), pa.float64()] + [pa.binary()] * 3
@@ -147,6 +152,26 @@ def nearest(
     joined = pairs.join(of("a").join(tiles.select(*group, F.col("_tile").alias("_a"), "_own"), "_a"), "_a").join(of("b"), "_b").select(
         *group, (F.col("_a") == F.col("_b")).alias("_same"), "_limit", "_idsa", "_vsa", "_own", "_idsb", "_vsb")
 
+    def strip(key, same, limit, ids_a, a, own, ids_b, b):
+        most = np.minimum(own, limit) * (1 + SLACK) + SLACK
+        d2 = _squares(a, b)
+        d2[ids_a[:, None] == ids_b[None, :]] = np.inf
+        room = _room(a, b)
+        top = most * most + room
+        if d2.shape[1] > q:
+            top = np.minimum(top, np.partition(d2, q - 1, axis=1)[:, q - 1] + 2 * room)
+        i, j = np.nonzero((d2 <= top[:, None]) & np.isfinite(d2))
+        d = 1.0 - (a[i] * b[j]).sum(axis=1) if cosine else np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+        order = np.lexsort((ids_b[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        count = np.bincount(i, minlength=len(a))
+        at = np.flatnonzero(count) if not same else np.arange(len(a))
+        near = pa.ListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(count[at]))), pa.int32()),
+            pa.StructArray.from_arrays([pa.array(d), pa.array(ids_b[j])], ["d", "id"]))
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(np.full(len(at), k)) for k in key), pa.array(ids_a[at]), near], names=[*group, id_col, "near"])
+
     def compare(it):
         for batch in it:
             for row in range(batch.num_rows):
@@ -154,24 +179,10 @@ def nearest(
                 same, limit, ids_a, vs_a, own, ids_b, vs_b = (batch.column(len(group) + i)[row].as_py() for i in range(7))
                 ids_a, ids_b = np.frombuffer(ids_a, np.int64), np.frombuffer(ids_b, np.int64)
                 a, b = (np.frombuffer(v, float).reshape(-1, width) for v in (vs_a, vs_b))
-                most = np.minimum(np.frombuffer(own, float), limit) * (1 + SLACK) + SLACK
-                d2 = _squares(a, b)
-                d2[ids_a[:, None] == ids_b[None, :]] = np.inf
-                room = _room(a, b)
-                top = most * most + room
-                if d2.shape[1] > q:
-                    top = np.minimum(top, np.partition(d2, q - 1, axis=1)[:, q - 1] + 2 * room)
-                i, j = np.nonzero((d2 <= top[:, None]) & np.isfinite(d2))
-                d = 1.0 - (a[i] * b[j]).sum(axis=1) if cosine else np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
-                order = np.lexsort((ids_b[j], d, i))
-                i, j, d = i[order], j[order], d[order]
-                count = np.bincount(i, minlength=len(a))
-                at = np.flatnonzero(count) if not same else np.arange(len(a))
-                near = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(count[at]))), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(d), pa.array(ids_b[j])], ["d", "id"]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(len(at), k)) for k in key), pa.array(ids_a[at]), near], names=[*group, id_col, "near"])
+                own = np.frombuffer(own, float)
+                for lo in range(0, len(a), STRIP):
+                    part = slice(lo, lo + STRIP)
+                    yield strip(key, same, limit, ids_a[part], a[part], own[part], ids_b, b)
 
     found = joined.mapInArrow(compare, f"{fields}, {id_col} long, near array<struct<d:double,id:long>>")
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, q).alias("near")

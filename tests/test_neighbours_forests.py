@@ -159,3 +159,16 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert a == b and all(np.linalg.norm(y) == pytest.approx(1.0) for y in a.values())
 
 
+
+
+def test_large_tiles_are_compared_in_strips(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    y = rng.standard_normal((3000, 3))
+    rows = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(y)], "subj_id long, vox_id long, y array<double>")
+    seen, cut = [], neighbours.cut_lineage
+    monkeypatch.setattr(neighbours, "cut_lineage", lambda df: (seen.append(cut(df)), seen[-1])[1])
+    got = {r["vox_id"]: [n["id"] for n in r["near"]] for r in neighbours.nearest(rows, 4, pivots=1).collect()}
+    d = ((y[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: np.argsort(d[i])[:4].tolist() for i in range(3000)}
+    assert seen[0].count() <= 4  # at most one for each task of the sort
