@@ -4,6 +4,9 @@ Pages of one host share a wrapper. Each task reads its pages as trees of block e
 tree matching: the order-keeping matching of children that pairs the most nodes. What the tasks found is merged the same way.
 A text that stands at the same node of nearly all pages is template; slots whose texts vary hold content. The second pass
 reads each page again, takes the part that holds the article and leaves out template texts and what tags and names mark.
+
+A template in memory is bounded and knows what it had to leave out. Where that could change a decision, the paths and texts
+of all pages of the host are counted as rows, without a bound, and decided by the same shares.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import written
 
-TEXTS = 16  # texts that a node of a template remembers: all that stand on more than 1 in 17 of its pages
+TEXTS = 16  # texts that a node of a template remembers; it knows how many pages a forgotten one may have had
 WITNESSES = 8  # different pages that must show a text before it is template
 SHARE = 0.8  # of the pages that have the node
-NODES = 512  # of a template; beyond, the rarest go
+NODES = 512  # of a template; beyond, the rarest go, and its host is counted in rows
+COUNTS = 20_000  # paths and texts that a task counts before it hands them on as rows
 HOSTS = 512  # templates that a task holds at once; beyond, it hands them on and starts anew
 DEPTH = 200  # deeper elements are read as children of the element at this depth
 CELLS = 250_000  # of the matching of two lists of children; longer lists are matched by the order of their labels
@@ -219,22 +223,23 @@ def blocks(nodes: list[Node], inside: bool, keep: set[int] = frozenset()):
 
 class Slot:
     """A node of a template: pages that have it, their characters and those in links, frequent texts, and children.
-    ``texts``: hash -> [pages, characters, up to WITNESSES digests of pages]."""
+    ``texts``: hash -> [pages, characters, up to WITNESSES digests of pages]. ``missed``: pages that a text may have beyond
+    its count, or a forgotten one at all. ``cut``: children were left out."""
 
-    __slots__ = ("label", "pages", "chars", "linked", "texts", "kids", "marked")
+    __slots__ = ("label", "pages", "chars", "linked", "texts", "kids", "marked", "missed", "cut")
 
     def __init__(self, label: str, pages: int = 1, chars: int = 0, linked: int = 0, texts: dict | None = None,
-                 kids: list | None = None, marked: bool = False):
+                 kids: list | None = None, marked: bool = False, missed: int = 0, cut: bool = False):
         self.label, self.pages, self.chars, self.linked = label, pages, chars, linked
-        self.texts, self.kids, self.marked = texts or {}, kids or [], marked
+        self.texts, self.kids, self.marked, self.missed, self.cut = texts or {}, kids or [], marked, missed, cut
 
     def packed(self) -> list:
         return [self.label, self.pages, self.chars, self.linked, [[k, *v] for k, v in self.texts.items()],
-                [k.packed() for k in self.kids], int(self.marked)]
+                [k.packed() for k in self.kids], int(self.marked), self.missed, int(self.cut)]
 
     @staticmethod
     def unpacked(x: list) -> Slot:
-        return Slot(x[0], x[1], x[2], x[3], {k: v for k, *v in x[4]}, [Slot.unpacked(k) for k in x[5]], bool(x[6]))
+        return Slot(x[0], x[1], x[2], x[3], {k: v for k, *v in x[4]}, [Slot.unpacked(k) for k in x[5]], bool(x[6]), x[7], bool(x[8]))
 
 
 def _pairs(a: list[Slot], b: list[Slot], memo: dict) -> list[tuple[int, int]]:
@@ -288,6 +293,8 @@ def merge(a: Slot, b: Slot, same_page: bool = False, memo: dict | None = None) -
         a.pages += b.pages
     a.chars += b.chars
     a.linked += b.linked
+    a.missed += b.missed
+    a.cut |= b.cut
     for text, (pages, chars, witnesses) in b.texts.items():
         mine = a.texts.get(text)
         if mine is None:
@@ -298,7 +305,10 @@ def merge(a: Slot, b: Slot, same_page: bool = False, memo: dict | None = None) -
     if len(a.texts) > TEXTS and not same_page:
         least = sorted((v[0] for v in a.texts.values()), reverse=True)[TEXTS]
         a.texts = {k: [v[0] - least, *v[1:]] for k, v in a.texts.items() if v[0] > least}
+        a.missed += least
     if b.kids:
+        # Long lists are matched roughly, which may split the counts of a node.
+        a.cut |= len(a.kids) * len(b.kids) > CELLS and [x.label for x in a.kids] != [x.label for x in b.kids]
         kids, i, j = [], 0, 0
         for x, y in [*_pairs(a.kids, b.kids, memo), (len(a.kids), len(b.kids))]:
             kids += a.kids[i:x] + b.kids[j:y]
@@ -345,7 +355,7 @@ def _size(slot: Slot) -> int:
 
 
 def _prune(slot: Slot) -> Slot:
-    """Without the rarest nodes, if there are too many: those were on few of the pages."""
+    """Without the rarest nodes, if there are too many; their parents are marked as cut."""
     if _size(slot) > NODES:
         counts = []
 
@@ -358,7 +368,9 @@ def _prune(slot: Slot) -> Slot:
         least = sorted(counts, reverse=True)[NODES // 2]
 
         def cut(x: Slot) -> None:
-            x.kids = [k for k in x.kids if k.pages > least]
+            kids = [k for k in x.kids if k.pages > least]
+            x.cut |= len(kids) < len(x.kids)
+            x.kids = kids
             for k in x.kids:
                 cut(k)
 
@@ -367,15 +379,20 @@ def _prune(slot: Slot) -> Slot:
 
 
 def decide(template: Slot) -> str:
-    """What the second pass needs of a template, as JSON: ``fixed``, hashes of (labels, text) of template texts, and
-    ``region``, labels down to the slot that holds most of the varying text."""
-    fixed = []
+    """What the second pass needs of a template, as JSON: ``fixed``, hashes of (labels, text) of template texts,
+    ``region``, labels down to the slot that holds most of the varying text, and ``open``: what the template left out could
+    change either, so that ``counted`` has to decide."""
+    fixed, open_ = [], []
 
     def template_text(slot: Slot, path: tuple[str, ...]) -> int:
         path = path if slot.label.startswith("#") else (*path, slot.label)
         chars = 0
+        least = SHARE * slot.pages
+        if slot.cut or slot.missed and slot.pages >= WITNESSES and max([0, *(
+                v[0] for v in slot.texts.values() if v[0] < least or len(v[2]) < WITNESSES)]) + slot.missed >= least:
+            open_.append(slot.label)
         for text, (pages, length, witnesses) in slot.texts.items():
-            if len(witnesses) >= WITNESSES and pages >= SHARE * slot.pages:
+            if len(witnesses) >= WITNESSES and pages >= least:
                 fixed.append(_hash(*path, str(text)))
                 chars += pages * length
         slot.texts = {}
@@ -391,7 +408,121 @@ def decide(template: Slot) -> str:
             break
         region.append(most.label)
         at = most
-    return json.dumps({"fixed": sorted(set(fixed)), "region": region})
+    # Counts of a template that was cut start late for nodes that came back, so nothing is taken from it.
+    return json.dumps({"fixed": [], "region": [], "open": True} if open_ else {"fixed": sorted(set(fixed)), "region": region, "open": False})
+
+
+def places(page: str) -> tuple[int, dict]:
+    """The digest of a page's texts and, by labels from the page down, [characters, those in links, hash of text -> length].
+    What is marked counts no characters."""
+    tree = parse(page)
+    witness = _hash(*(t for _, t in blocks([tree], False)))
+    found: dict[tuple[str, ...], list] = {}
+
+    def walk(slot: Slot, path: tuple[str, ...]) -> None:
+        path = path if slot.label.startswith("#") else (*path, slot.label)
+        at = found.setdefault(path, [0, 0, {}])
+        if not slot.marked:
+            at[0] += slot.chars
+            at[1] += slot.linked
+        at[2] |= {text: 0 if slot.marked else v[1] for text, v in slot.texts.items()}
+        for kid in slot.kids:
+            walk(kid, path)
+
+    walk(_slot(tree, witness), ())
+    return witness, found
+
+
+def counted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template texts, regions) of hosts whose templates left something out, counted over all of their pages.
+
+    ``pages``: host, html. A text is template where it stands on SHARE of the pages that have its path, and on WITNESSES
+    different ones: ``host, path, text, key``, the last as in ``fixed``. Regions: ``host, region``, labels joined by "/",
+    down to the path that holds most of the varying text. Every path and text is a row, added up in tasks first; nothing of a
+    host is held together."""
+
+    def count(batches):
+        found: dict = {}
+
+        def rows() -> pa.RecordBatch:
+            keys = [*found]
+            of = lambda i, kind: pa.array([k[i] for k in keys], kind)
+            value = lambda i, kind: pa.array([v[i] for v in found.values()], kind)
+            return pa.RecordBatch.from_arrays(
+                [of(0, pa.string()), of(1, pa.string()), of(2, pa.int64()), value(0, pa.int64()), value(1, pa.int64()),
+                 value(2, pa.int64()), value(3, pa.list_(pa.int64()))],
+                names=["host", "path", "text", "n", "chars", "linked", "witnesses"])
+
+        def add(key: tuple, chars: int, linked: int, witness: int) -> None:
+            at = found.setdefault(key, [0, 0, 0, []])
+            at[0] += 1
+            at[1] += chars
+            at[2] += linked
+            if len(at[3]) < WITNESSES and witness not in at[3]:
+                at[3].append(witness)
+
+        for batch in batches:
+            for host, page in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                witness, made = places(page)
+                for path, (chars, linked, texts) in made.items():
+                    add((host, "/".join(path), None), chars, linked, witness)
+                    for text, length in texts.items():
+                        add((host, "/".join(path), text), length, 0, witness)
+                if len(found) > COUNTS:
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+
+    parts = pages.select("host", "html").mapInArrow(
+        count, "host string, path string, text long, n long, chars long, linked long, witnesses array<long>")
+    sums = written(parts.groupBy("host", "path", "text").agg(
+        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("witnesses")))).alias("witnesses")))
+    paths = sums.filter("text IS NULL").select("host", "path", F.col("n").alias("pages"), F.col("chars").alias("all"), "linked")
+    texts = sums.filter((F.col("text").isNotNull()) & (F.col("witnesses") >= WITNESSES)).select("host", "path", "text", "n", "chars")
+    fixed = written(texts.join(paths, ["host", "path"]).filter(F.col("n") >= SHARE * F.col("pages")).select("host", "path", "text", "chars"))
+
+    free = F.greatest(F.lit(0), F.col("all") - F.coalesce("fixed", F.lit(0)) - F.col("linked"))
+    left = paths.join(fixed.groupBy("host", "path").agg(F.sum("chars").alias("fixed")), ["host", "path"], "left").select(
+        "host", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/")).alias("labels"),
+        free.alias("chars"))
+    below = written(left.select("host", "chars", "labels", F.explode(F.sequence(F.lit(0), F.size("labels"))).alias("depth")).groupBy(
+        "host", F.array_join(F.slice("labels", 1, F.col("depth")), "/").alias("path"),
+        F.array_join(F.slice("labels", 1, F.greatest(F.col("depth") - 1, F.lit(0))), "/").alias("parent"), "depth").agg(
+        F.sum("chars").alias("chars")))
+    tips = below.filter("depth = 0").select("host", F.col("path").alias("region"), F.col("chars").alias("of"))
+    region = tips
+    tag = F.regexp_extract("path", r"([^/.]*)[^/]*$", 1)
+    kids = below.filter((F.col("depth") > 0) & (F.col("chars") > 0) & tag.isin(*_CONTAINERS)).select("host", "depth", "path", "parent", "chars")
+    for depth in range(1, DEPTH + 1):  # a node has one child at most with so much of its text
+        tips = written(kids.filter(F.col("depth") == depth).join(
+            tips.withColumnRenamed("region", "parent"), ["host", "parent"]).filter("chars >= 0.7 * of").select(
+            "host", F.col("path").alias("region"), F.col("chars").alias("of")))
+        if tips.isEmpty():
+            break
+        region = region.join(tips.select("host", F.col("region").alias("_lower")), "host", "left").select(
+            "host", F.coalesce("_lower", "region").alias("region"))
+    key = F.udf(lambda path, text: _hash(*(path.split("/") if path else ()), str(text)), "long")
+    return fixed.select("host", "path", "text", key("path", "text").alias("key")), region.select("host", "region")
+
+
+def shared_texts(pages: DataFrame, fixed: DataFrame) -> DataFrame:
+    """host, digest of html, ``fixed``: the template texts (see ``counted``) that a page has, as keys. A page meets its own
+    alone, however many its host has."""
+
+    def keys(batches):
+        for batch in batches:
+            out = []
+            for host, digest, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for path, (_, _, texts) in places(page)[1].items():
+                    out += [(host, digest, "/".join(path), text) for text in texts]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "digest", "path", "text"])
+
+    rows = pages.select("host", "digest", "html").mapInArrow(keys, "host string, digest string, path string, text long")
+    return rows.join(fixed, ["host", "path", "text"]).groupBy("host", "digest").agg(F.collect_set("key").alias("fixed"))
 
 
 def _outermost(nodes: list[Node]) -> list[Node]:
@@ -531,25 +662,41 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     pages without a host, and of hosts with fewer than WITNESSES different pages, are read by their own tags alone. Rows
     are taken one by one, so repeated pages and ids are as they come; other columns are not read.
 
-    The table of wrappers is written; it is broadcast if it is under Spark's limit and joined by host otherwise.
+    The table of wrappers is written; it is broadcast if it is under Spark's limit and joined by host otherwise. Hosts whose
+    wrapper is open are counted in rows, their pages read twice more; equal pages of a host share what is found.
     """
     host = host_of(url_col)
     known = written(wrappers(pages, url_col, html_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                        F.col(html_col).cast("string").alias("html"), host.alias("host")).join(known, "host", "left").select(
-        "page_id", "url", "html", "decision")
+                        F.col(html_col).cast("string").alias("html"), host.alias("host")).join(known, "host", "left")
+    undecided = known.filter(F.get_json_object("decision", "$.open") == "true").select("host")
+    if undecided.isEmpty():
+        rows = rows.select("page_id", "url", "html", "decision", F.lit(None).cast("string").alias("region"),
+                           F.array().cast("array<long>").alias("fixed"))
+    else:
+        digest = F.sha2(F.col("html").cast("binary"), 256)
+        theirs = pages.select(host.alias("host"), F.col(html_col).cast("string").alias("html")).filter("html <> ''").join(
+            undecided, "host", "left_semi").withColumn("digest", digest)
+        fixed, region = counted(theirs)
+        # Only the pages of open hosts have a digest, so no other page is moved to one task by a missing one.
+        own = F.when(F.get_json_object("decision", "$.open") == "true", digest).otherwise(F.xxhash64("page_id", "html").cast("string"))
+        rows = rows.withColumn("digest", own).join(shared_texts(theirs.dropDuplicates(["host", "digest"]), fixed), ["host", "digest"], "left").join(
+            region, "host", "left").select("page_id", "url", "html", "decision", "region", "fixed")
 
     def run(batches):
         read: dict[str, dict] = {}
         for batch in batches:
             texts = []
-            for page, decision in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for page, decision, region, shared in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 if decision is not None and decision not in read:
                     if len(read) > HOSTS:
                         read = {}
                     made = json.loads(decision)
                     read[decision] = made | {"fixed": frozenset(made["fixed"])}
-                texts.append(extract(page or "", read.get(decision)))
+                wrapper = read.get(decision)
+                if wrapper is not None and wrapper["open"]:
+                    wrapper = {"fixed": shared or [], "region": region.split("/") if region else []}
+                texts.append(extract(page or "", wrapper))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

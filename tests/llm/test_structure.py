@@ -270,6 +270,29 @@ def test_wrapper_of_a_host(spark):
     assert html_extraction.main_text(pages.limit(0)).collect() == []
 
 
+def test_no_template_text_is_lost_to_bounds(spark):
+    """More texts a node than a template remembers, and more nodes than it keeps: template texts go all the same."""
+    word = lambda n: "".join(chr(97 + int(d)) for d in f"{n:03d}")
+
+    def many_texts(n):
+        return f"<body><div>{''.join(f'<p>Par {n} {k} of many words</p>' for k in range(40))}<p>Subscribe to us.</p></div><div>Foot</div>"
+
+    def many_nodes(n):  # ten pages of each kind, with 12 nodes of their own
+        inner = "".join(f'<div class="{word(n // 10)}{word(k)}"><p>Of kind {n // 10} {k}</p><p>Text {n} {k} of some more words</p></div>' for k in range(12))
+        return f"<body><div><p>Our site</p></div><section><div>{inner}</div></section>"
+
+    rows = [(n, "http://texts.example/", many_texts(n)) for n in range(40)]
+    rows += [(1000 + n, "http://nodes.example/", many_nodes(n)) for n in range(600)] + [(1000, "http://nodes.example/", many_nodes(0))]
+    rows += [(n, "http://h.example/", _page(n, ARTICLE.format(n=n))) for n in range(2000, 2012)] + [(3000, None, ""), (3001, "http://nodes.example/", None)]
+    want = {n: "\n".join(f"Par {n} {k} of many words" for k in range(40)) for n in range(40)}
+    want |= {1000 + n: "\n".join(f"Text {n} {k} of some more words" for k in range(12)) for n in range(600)}
+    want |= {n: WANT.format(n=n) for n in range(2000, 2012)} | {3000: "", 3001: ""}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        out = html_extraction.main_text(pages.repartition(parts)).collect()
+        assert len(out) == len(rows) and {r.page_id: r.text for r in out} == want
+
+
 def test_templates_merge_in_any_order():
     pages = [_page(n, ARTICLE.format(n=n) + f"<p>same</p>{'<hr><ul><li>x</ul>' * (n % 2)}") for n in range(24)]
     def decided(order):
