@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
+from tessera.functions import batches
 
-# Locations per side of a block of pairs; a task holds two such sides.
-BLOCK = 2048
+# Locations per side of a block of pairs; a task holds two such sides and forms STRIP rows of their pairs at a time. A parcel
+# is cut into smaller blocks only until there are SPLIT of them: a location is sent once for every block of its parcel.
+BLOCK, STRIP, SPLIT = 8192, 256, 8
 
 
 def complete(rows: DataFrame) -> DataFrame:
@@ -43,16 +45,23 @@ def homogeneity(rows: DataFrame, width: int, by: str = "subj_id") -> DataFrame:
     return sums.select(by, "label", "n", F.when(F.col("n") < 2, 1.0).otherwise(value).alias("homogeneity"))
 
 
+def blocks_of(n: Column, block: int) -> Column:
+    """Blocks of a parcel with ``n`` locations."""
+    parts = lambda side: F.ceil(n / F.lit(side)).cast("int")
+    return F.greatest(parts(BLOCK), F.least(parts(block), F.lit(SPLIT)))
+
+
 def homogeneity_fisher(rows: DataFrame, by: str = "subj_id", block: int = BLOCK) -> DataFrame:
     """Mean Fisher-transformed correlation between the locations of each parcel.
 
-    The transform is not linear, so every pair has to be looked at.  Large
-    parcels are cut into blocks; each pair of blocks is one unit of work whose
-    pairs are formed and summed in numpy and never become rows.
+    The transform is not linear, so every pair has to be looked at.  Parcels
+    are cut into blocks of ``block`` locations, but into SPLIT at most unless
+    these hold more than BLOCK; each pair of blocks is one unit of work whose
+    pairs are formed and summed in numpy, in strips, and never become rows.
     """
     z = _standardised(complete(rows)).select(by, "label", "vox_id", "z")
     sizes = z.groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    blocks = sizes.withColumn("blocks", blocks_of(F.col("n"), block))
     mine = F.pmod(F.xxhash64("vox_id"), F.col("blocks")).cast("int")
     placed = z.join(blocks, [by, "label"]).withColumn("b", mine)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -60,24 +69,25 @@ def homogeneity_fisher(rows: DataFrame, by: str = "subj_id", block: int = BLOCK)
         by, "label", F.least("b", "c").alias("p"), F.greatest("b", "c").alias("q"), (F.col("b") <= F.col("c")).alias("first"), "z"
     )
 
-    def block_sum(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        first = pdf["first"].to_numpy(dtype=bool)
-        ok = pdf["z"].map(lambda v: v is not None and v[0] is not None and not np.isnan(v[0])).to_numpy(dtype=bool)
-        take = lambda keep: np.array([list(v) for v in pdf["z"][keep]], dtype=float)
-        same = head["p"] == head["q"]
-        a, b = take(ok & first), take(ok & ~first) if not same else None
+    def block_sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        z = table["z"].combine_chunks()
+        v = batches.matrix(z, batches.width(z))
+        ok = ~np.isnan(v).any(axis=1)  # constant data has no direction
+        first = table["first"].to_numpy()
+        same = key[2] == key[3]
+        a = v[ok & first]
+        b = a if same else v[ok & ~first]
         total = 0.0
-        if len(a) and (same or len(b)):
-            r = a @ (a if same else b).T
+        for top in range(0, len(a), STRIP):
+            r = a[top:top + STRIP] @ b.T
             if same:
-                np.fill_diagonal(r, 0.0)
+                r[np.arange(len(r)), top + np.arange(len(r))] = 0.0
             with np.errstate(divide="ignore", invalid="ignore"):
                 f = 0.5 * np.log((1 + r) / (1 - r))
-            total = float(f[np.isfinite(f)].sum()) * (1 if same else 2)
-        return pd.DataFrame({by: [head[by]], "label": [head["label"]], "s": [total]})
+            total += float(f.sum(where=np.isfinite(f))) * (1 if same else 2)
+        return pa.table({by: pa.array([key[0].as_py()], pa.int64()), "label": pa.array([key[1].as_py()], pa.int64()), "s": [total]})
 
-    sums = units.groupBy(by, "label", "p", "q").applyInPandas(block_sum, f"{by} long, label long, s double")
+    sums = units.groupBy(by, "label", "p", "q").applyInArrow(block_sum, f"{by} long, label long, s double")
     total = sums.groupBy(by, "label").agg(F.sum("s").alias("s"))
     n = F.col("n").cast("double")
     return sizes.join(total, [by, "label"]).select(
