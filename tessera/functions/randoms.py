@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays as A
+
 
 def uniform(seed, *keys: Column) -> Column:
     """Uniform in [0, 1) from the first 32 bits of md5(seed|key|key...)."""
@@ -31,12 +33,15 @@ def pick_category(p: Column, u: Column) -> Column:
     """Index of the first cumulative probability above ``u``; 0 if none is."""
     state = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("i"), F.lit(-1).alias("hit"))
 
-    def step(acc, x):
-        c = acc["c"] + x
-        hit = F.when((acc["hit"] < 0) & (u < c), acc["i"]).otherwise(acc["hit"])
-        return F.struct(c.alias("c"), (acc["i"] + 1).alias("i"), hit.alias("hit"))
+    def pick(v):
+        def step(acc, x):
+            c = acc["c"] + x
+            hit = F.when((acc["hit"] < 0) & (v < c), acc["i"]).otherwise(acc["hit"])
+            return F.struct(c.alias("c"), (acc["i"] + 1).alias("i"), hit.alias("hit"))
+
+        return F.aggregate(p, state, step, lambda acc: F.greatest(acc["hit"], F.lit(0)))
 
-    return F.aggregate(p, state, step, lambda acc: F.greatest(acc["hit"], F.lit(0)))
+    return A.let(u, pick)  # ``u`` is hashed once, not for every element
 
 
 def uniform_blocks(n: int, seed, *keys: Column) -> Column:

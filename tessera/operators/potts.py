@@ -129,7 +129,10 @@ def gibbs(
     # A node without links has no colour: it may be drawn with any.
     states = states.join(colours, "node_id", "left").select(
         *keys, "node_id", "labels", F.coalesce(F.col("colour"), F.lit(0)).cast("int").alias("colour"))
+    if sweeps:
+        states = cut_lineage(states)  # the first colour reads them three times, and first labels are drawn by hashes
     edges = model.edges.join(colours.select(F.col("node_id").alias("src"), "colour"), "src")
+    edges = cut_lineage(edges.where("w != 0"))  # read by every colour of every sweep
     for i in range(sweeps):
         states = cut_lineage(sweep(model, states, edges, n_colours, f"{seed}.{i}", bias, keys))
     return states.select(*keys, "node_id", "labels")

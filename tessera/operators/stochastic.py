@@ -7,7 +7,7 @@ the posteriors of all subjects once per round.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,6 +154,9 @@ def fit_potts_sml(
     draws are hashes of round and keys, so that a lost task repeats them.
     """
     scores = cut_lineage(scores.select("subj_id", "node_id", "ll"))
+    # Every sweep of every round reads the layout and the local terms: what they were made of is read once.
+    model = replace(model, edges=cut_lineage(model.edges), prior=cut_lineage(model.prior))
+    colours = cut_lineage(colours)
     states, uhat = None, None
     thetas, trace = [float(model.theta)], []
     for r in range(rounds):

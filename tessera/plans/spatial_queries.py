@@ -15,6 +15,7 @@ from tessera.plans.emission_queries import (
 from tessera.plans.prior_queries import LABEL_PRIOR, label_prior
 from tessera.plans.registry import query
 from tessera.plans.views import EVT_EVIDENCE, PARCELS, VOX, r6, table
+from tessera.session import cut_lineage
 
 HEIGHT = 20  # parts fill a grid column by column
 CENTROIDS = ((1.0, 2.0), (30.0, 10.0), (60.0, 17.0), (90.0, 5.0))
@@ -315,7 +316,8 @@ def _event_chain(spark, sf):
     """Evidence of the event users, whose locations form a chain, and a flat prior."""
     aligned, model = event_model(spark, sf)
     scores = mixture.scores(aligned, model).withColumnRenamed("vox_id", "node_id")
-    nodes = views.event_cells(spark, sf).select(F.col("vox_id").alias("node_id")).distinct()
+    # Links, colours and priors all come from the nodes: the events are read for them once.
+    nodes = cut_lineage(views.event_cells(spark, sf).select(F.col("vox_id").alias("node_id")).distinct())
     flat = nodes.withColumn("logpi", A.literal([0.1 * k for k in range(EVENT_PARCELS)]))
     return scores, potts.PottsModel(spatial.chain_edges(nodes), EVENT_PARCELS, flat, 0.7, drop_last=False)
 

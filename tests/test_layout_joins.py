@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import potts, spatial
+from tessera.functions import randoms
+from tessera.operators import potts, spatial, stochastic
 
 
 def _grid(spark, height=4, n=40):
@@ -56,3 +57,29 @@ def test_conditional_is_not_broadcast(spark):
     out = potts.conditional(model, states)
     assert "Broadcast" not in _plan(out)
     assert out.count() == 80
+
+
+def test_sweeps_read_made_tables(spark, monkeypatch):
+    """Layout, colours and first labels are made once, not by every colour of every sweep."""
+    nodes = _grid(spark)
+    colours = nodes.select("node_id", ((F.col("x") + F.col("y")) % 2).cast("int").alias("colour"))
+    prior = nodes.select("node_id", F.array(F.lit(0.0), F.lit(0.5)).alias("logpi"))
+    model = potts.PottsModel(spatial.grid_edges(nodes), 2, prior, 0.8)
+    scores = spark.range(2).withColumnRenamed("id", "subj_id").crossJoin(prior.withColumnRenamed("logpi", "ll"))
+    seen, sweep = [], potts.sweep
+
+    def watched(model, states, edges, *more):
+        seen.extend(_plan(df) for df in (states, edges, model.prior))
+        return sweep(model, states, edges, *more)
+
+    monkeypatch.setattr(potts, "sweep", watched)
+    phase = stochastic.sampled_phase(colours, 2, 3, 1)
+    fit = stochastic.fit_potts_sml(model, scores, phase, colours, 2, 1, 3, 1, seed=5)
+    assert fit.posterior.count() == 80 and len(seen) == 6
+    assert not any(word in plan for plan in seen for word in ("Join", "md5", "Range"))
+
+
+def test_draws_hash_once(spark):
+    u = spark.range(50).select(F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5)).alias("p"), randoms.uniform(1, F.col("id")).alias("u"))
+    rows = u.select("u", randoms.pick_category(F.col("p"), F.col("u")).alias("k"))
+    assert all(r["k"] == (0 if r["u"] < 0.2 else 1 if r["u"] < 0.5 else 2) for r in rows.collect())
