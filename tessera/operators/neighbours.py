@@ -22,6 +22,8 @@ from tessera.session import cut_lineage
 # A tile is sent once for each tile it meets, so what is sent falls with the rows of a tile; distances are formed for
 # STRIP rows of it at a time.
 PIVOTS, TILE_ROWS, STRIP = 64, 4096, 512
+# Numbers that a task holds of the candidates of a strip; ties can make every pair of it one.
+HELD = 1 << 20
 # Bounds are widened by this part, so that rounding loses no neighbour.
 SLACK = 1e-9
 
@@ -150,7 +152,7 @@ def nearest(
     pairs = _open_pairs(tiles, group, chosen, q)
     of = lambda s: tiles.select(F.col("_tile").alias(f"_{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("_ids", "_vs")])
     joined = pairs.join(of("a").join(tiles.select(*group, F.col("_tile").alias("_a"), "_own"), "_a"), "_a").join(of("b"), "_b").select(
-        *group, (F.col("_a") == F.col("_b")).alias("_same"), "_limit", "_idsa", "_vsa", "_own", "_idsb", "_vsb")
+        *group, (F.col("_a") == F.col("_b")).alias("_same"), "_limit", "_idsa", "_vsa", "_own", "_idsb", "_vsb", "_a", "_b")
 
     def strip(key, same, limit, ids_a, a, own, ids_b, b):
         most = np.minimum(own, limit) * (1 + SLACK) + SLACK
@@ -160,11 +162,23 @@ def nearest(
         top = most * most + room
         if d2.shape[1] > q:
             top = np.minimum(top, np.partition(d2, q - 1, axis=1)[:, q - 1] + 2 * room)
-        i, j = np.nonzero((d2 <= top[:, None]) & np.isfinite(d2))
-        d = 1.0 - (a[i] * b[j]).sum(axis=1) if cosine else np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
-        order = np.lexsort((ids_b[j], d, i))
-        i, j, d = i[order], j[order], d[order]
-        count = np.bincount(i, minlength=len(a))
+        within = (d2 <= top[:, None]) & np.isfinite(d2)
+        del d2
+        count = np.count_nonzero(within, axis=1)
+        parts, lo, ends = [], 0, np.cumsum(count)
+        while lo < len(a):  # some rows at a time: points that lie together are all candidates of each other
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + HELD // max(width, 1), side="right")))
+            i, j = np.nonzero(within[lo:hi])
+            i += lo
+            d = 1.0 - (a[i] * b[j]).sum(axis=1) if cosine else np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+            order = np.lexsort((ids_b[j], d, i))
+            # Of a tile, no more than the first q of a point by distance and id can be among its q nearest.
+            order = order[np.arange(len(order)) - (np.cumsum(count[lo:hi]) - count[lo:hi])[i[order] - lo] < q]
+            parts.append((i[order], j[order], d[order]))
+            lo = hi
+        i, j, d = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        count = np.minimum(count, q)
         at = np.flatnonzero(count) if not same else np.arange(len(a))
         near = pa.ListArray.from_arrays(
             pa.array(np.concatenate(([0], np.cumsum(count[at]))), pa.int32()),
@@ -172,19 +186,16 @@ def nearest(
         return pa.RecordBatch.from_arrays(
             [*(pa.array(np.full(len(at), k)) for k in key), pa.array(ids_a[at]), near], names=[*group, id_col, "near"])
 
-    def compare(it):
-        for batch in it:
-            for row in range(batch.num_rows):
-                key = [batch.column(i)[row].as_py() for i in range(len(group))]
-                same, limit, ids_a, vs_a, own, ids_b, vs_b = (batch.column(len(group) + i)[row].as_py() for i in range(7))
-                ids_a, ids_b = np.frombuffer(ids_a, np.int64), np.frombuffer(ids_b, np.int64)
-                a, b = (np.frombuffer(v, float).reshape(-1, width) for v in (vs_a, vs_b))
-                own = np.frombuffer(own, float)
-                for lo in range(0, len(a), STRIP):
-                    part = slice(lo, lo + STRIP)
-                    yield strip(key, same, limit, ids_a[part], a[part], own[part], ids_b, b)
-
-    found = joined.mapInArrow(compare, f"{fields}, {id_col} long, near array<struct<d:double,id:long>>")
+    def compare(key, pair):
+        """One pair of tiles: an Arrow batch of them would hold as many as the task has."""
+        *key, same, limit, ids_a, vs_a, own, ids_b, vs_b = (c[0].as_py() for c in pair.columns[:-2])
+        ids_a, ids_b = np.frombuffer(ids_a, np.int64), np.frombuffer(ids_b, np.int64)
+        a, b = (np.frombuffer(v, float).reshape(-1, width) for v in (vs_a, vs_b))
+        own = np.frombuffer(own, float)
+        cuts = [slice(lo, lo + STRIP) for lo in range(0, len(a), STRIP)]
+        return pa.Table.from_batches([strip(key, same, limit, ids_a[x], a[x], own[x], ids_b, b) for x in cuts])
+
+    found = joined.groupBy("_a", "_b").applyInArrow(compare, f"{fields}, {id_col} long, near array<struct<d:double,id:long>>")
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, q).alias("near")
     best = found.groupBy(*group, id_col).agg(merged)
     lone = everyone.where(A.has_missing(F.col("_v"))).select(

@@ -172,3 +172,13 @@ def test_large_tiles_are_compared_in_strips(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     assert got == {i: np.argsort(d[i])[:4].tolist() for i in range(3000)}
     assert seen[0].count() <= 4  # at most one for each task of the sort
+
+
+def test_points_in_one_place(spark, monkeypatch):
+    """All points are ties: a tile gives q of a point at most, by distance and id, and pairs of tiles come one by one."""
+    monkeypatch.setattr(neighbours, "HELD", 64)
+    data = {1: [(i, np.array([1.0, 2.0, float(i % 2)])) for i in range(60)]}
+    near = neighbours.nearest(points(spark, data), 4, tile_rows=16, pivots=4)
+    got = {r.vox_id: [(n["d"], n["id"]) for n in r.near] for r in near.collect()}
+    assert got == {i: [(0.0, j) for j in range(i % 2, 60, 2) if j != i][:4] for i in range(60)}
+    assert "FlatMapGroupsInArrow" in near._jdf.queryExecution().executedPlan().toString()
